@@ -5,18 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, exact_dedup, language_id, minhash_dedup, mixing
+from mnemospark.llm import bpe, chat_format, embed_dedup, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, toxicity
 from mnemospark.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+#: Turns of conversation -1, whose texts are control strings.
+CONTROL_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(CONTROL_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.digest_formatted(chat_format.format_conversations(turns.unionByName(extra)))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,9 +62,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_exact_dedup, op8_minhash_dedup, op9_language_id, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_embed_dedup, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_toxicity, op8_minhash_dedup, op9_language_id, op10_mixing)}
 
 ORACLE_SQL = {
+    "op3_embed_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL),
+        n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+        link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        reach AS (
+            SELECT vec_id AS node, vec_id AS other FROM embeddings
+            UNION
+            SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT r.vec_id, coalesce(d.n_links, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
+        FROM (SELECT node AS vec_id, min(other) AS component_id FROM reach GROUP BY node) r
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM link GROUP BY a) d ON d.a = r.vec_id""",
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

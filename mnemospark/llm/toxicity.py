@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories have an order. Each category's model is logistic in the presence of selected words and in the
-probabilities that the models before it give. The later models are trained with out-of-fold probabilities of the
+The categories have an order. Each category's model is logistic in how often selected words, and words with selected
+beginnings, occur in a document, and in the probabilities that the models before it give. The later models are trained with out-of-fold probabilities of the
 earlier ones, so that they see them as they are on unseen documents. The last category is the given label; those
 before it are the given label narrowed to documents that hold one of a category's seed words.
 """
@@ -9,6 +9,8 @@ before it are the given label narrowed to documents that hold one of a category'
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,20 +30,60 @@ SEEDS = {
 }
 CATEGORIES = (*SEEDS, "toxic")
 
-#: Bounds of training: labelled rows, words kept as features, and rows that must hold a word.
-TRAIN_ROWS, FEATURES, LEAST_ROWS = 20_000, 256, 4
+#: Bounds of training: labelled rows, features kept, and rows that must hold a feature.
+TRAIN_ROWS, FEATURES, LEAST_ROWS = 8_000, 256, 4
+#: Lengths of the beginnings of words that are features, in characters.
+BEGINNINGS = range(3, 9)
+#: A feature is full at this share of a document's words, and present from a fifth of it.
+FULL = 0.01
+#: Distinct words whose features a worker remembers.
+CACHE_WORDS = 400_000
 FOLDS, PENALTY, CUT = 3, 1.0, 0.5
 
 
 class Chain(NamedTuple):
-    words: dict[bytes, int]
-    #: per category: intercept, weights of the words, weights of the earlier categories' probabilities
+    features: dict[bytes, int]
+    #: per category: intercept, weights of the features, weights of the earlier categories' probabilities
     weights: list[np.ndarray]
 
 
-def words_of(text: bytes) -> set[bytes]:
-    """Distinct words, A-Z in lower case; as short as at most 64 bytes."""
-    return {w for w in set(WORD.findall(text.lower())) if len(w) <= 64}
+def word_features(word: bytes) -> list[bytes]:
+    """The word itself, marked with =, and its beginnings; a very long word has only its beginnings."""
+    text = word.decode("utf-8", "replace")
+    return ([b"=" + word] if len(word) <= 64 else []) + [text[:k].encode() for k in BEGINNINGS if len(text) > k]
+
+
+def shares(text: bytes) -> dict[bytes, float]:
+    """Every feature's share of a document's words, as a part of FULL, at most 1; A-Z in lower case."""
+    words = WORD.findall(text.lower())
+    count: Counter = Counter()
+    for w, n in Counter(words).items():
+        for f in word_features(w):
+            count[f] += n
+    return {f: min(1.0, n / (FULL * len(words))) for f, n in count.items()}
+
+
+class Features:
+    """The selected features of documents as rows of numbers, with what each word gives remembered."""
+
+    def __init__(self, chosen: dict[bytes, int]):
+        self.chosen, self.known = chosen, {}
+
+    def row(self, text: bytes) -> np.ndarray:
+        out = np.zeros(len(self.chosen))
+        words = WORD.findall(text.lower())
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in words:
+            at = known.get(w)
+            if at is None:
+                at = tuple(self.chosen[f] for f in word_features(w) if f in self.chosen)
+                if len(w) <= 64:
+                    known[w] = at
+            for i in at:
+                out[i] += 1
+        return np.minimum(1.0, out / (FULL * len(words))) if words else out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -86,50 +128,57 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.nd
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain:
     """Fit the chain on at most TRAIN_ROWS labelled documents, those with the smallest hash of the key.
 
-    The features are the FEATURES words with the largest chi-squared statistic against the label, among words that
-    LEAST_ROWS sampled documents hold. Rows with a null key, label or text are not used.
+    The features are those FEATURES with the largest chi-squared statistic of presence against the label, among
+    features that LEAST_ROWS sampled documents have. Rows with a null key, label or text are not used.
     """
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("bigint").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t"))
-
-    def split(keys: list, raw: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sorted(words_of(t)) for t in raw], pa.list_(pa.binary()))], ["k", "words"])
-
-    sampled = texts.join(F.broadcast(chosen), "k")  # at most TRAIN_ROWS pairs of numbers
-    rows = materialize(map_text(sampled.select("k", "t"), split, "k bigint, words array<binary>").join(F.broadcast(chosen), "k").dropDuplicates(["k"]))
+    rows = materialize(texts.join(F.broadcast(chosen), "k").dropDuplicates(["k"]))  # broadcast: at most TRAIN_ROWS pairs of numbers
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = total.n, total.pos
     if not n:
         return Chain({}, [np.array([-12.0, *np.zeros(c)]) for c in range(len(CATEGORIES))])
-    counts = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where(F.col("n") >= LEAST_ROWS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows_of: Counter = Counter()
+            toxic: Counter = Counter()
+            for raw, y in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                present = [f for f, v in shares(raw).items() if v >= 0.2]
+                rows_of.update(present)
+                if y:
+                    toxic.update(present)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows_of), pa.binary()), pa.array(list(rows_of.values()), pa.int64()), pa.array([toxic[f] for f in rows_of], pa.int64())], ["f", "n", "pos"])
+
+    counts = rows.select("t", "y").mapInArrow(count, "f binary, n bigint, pos bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_ROWS)
     gap = F.col("pos") * float(n - pos) - (F.col("n") - F.col("pos")) * float(pos)
     counts = counts.withColumn("chi", gap * gap / (F.col("n") * (F.lit(float(n)) - F.col("n")) + 1e-9))
-    seeds = sorted({w.encode() for ws in SEEDS.values() for w in ws})
-    best = [bytes(r.word) for r in counts.orderBy(F.desc("chi"), "word").limit(FEATURES).collect()]
-    words = {w: i for i, w in enumerate(best)}
-    held = rows.select("k", "y", F.expr("filter(words, w -> array_contains(array(" + ",".join(f"X'{w.hex()}'" for w in {*best, *seeds}) + "), w))").alias("words")).orderBy("k").collect()
-    x = np.zeros((len(held), len(words)))
-    truth = np.zeros((len(held), len(CATEGORIES)), bool)
-    for i, r in enumerate(held):
-        own = {bytes(w) for w in r.words}
-        x[i, [words[w] for w in own if w in words]] = 1
-        truth[i] = [*(bool(r.y) and any(s.encode() in own for s in ws) for ws in SEEDS.values()), bool(r.y)]
-    fold = np.arange(len(held)) % FOLDS
-    return Chain(words, fit_chain(x, truth, fold))
-
-
-def predict(chain: Chain, texts: list[bytes]) -> np.ndarray:
+    features = {bytes(r.f): i for i, r in enumerate(counts.orderBy(F.desc("chi"), "f").limit(FEATURES).collect())}
+    seeds = [{s.encode() for s in ws} for ws in SEEDS.values()]
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen_features = Features(features)
+        for x in batches:
+            raw = x.column(1).to_pylist()
+            held = [{*WORD.findall(t.lower())} for t in raw]
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0), x.column(2), pa.array([[bool(s & w) for s in seeds] for w in held], pa.list_(pa.bool_())), pa.array([chosen_features.row(t).astype(np.float32) for t in raw], pa.list_(pa.float32()))], ["k", "y", "seeded", "v"]
+            )
+
+    held = rows.select("k", "t", "y").mapInArrow(vectors, "k bigint, y int, seeded array<boolean>, v array<float>").orderBy("k").toArrow()  # TRAIN_ROWS by FEATURES at most
+    y = held.column("y").to_numpy().astype(bool)
+    x = np.array(held.column("v").to_pylist(), np.float64).reshape(len(y), len(features))
+    truth = np.column_stack([np.array(held.column("seeded").to_pylist(), bool) & y[:, None], y])
+    return Chain(features, fit_chain(x, truth, np.arange(len(y)) % FOLDS))
+
+
+def predict(chain: Chain, features: Features, texts: list[bytes]) -> np.ndarray:
     """Rows by categories: the probabilities of the chain."""
-    out = np.zeros((len(texts), len(chain.weights)))
-    known = chain.words.keys()
-    for i, t in enumerate(texts):
-        at = [chain.words[w] for w in known & words_of(t)]
-        size = len(chain.words)
-        for c, w in enumerate(chain.weights):
-            out[i, c] = w[0] + w[1 : size + 1][at].sum() + w[size + 1 :] @ out[i, :c]
-            out[i, c] = sigmoid(out[i, c])
-    return out
+    x = np.array([features.row(t) for t in texts]).reshape(len(texts), len(chain.features))
+    for w in chain.weights:
+        x = np.concatenate([x, sigmoid(w[0] + x @ w[1:])[:, None]], axis=1)
+    return x[:, len(chain.features) :]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -141,9 +190,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, label))
     names = [f"p_{c}" for c in CATEGORIES]
+    state: dict = {}
 
     def run(keys: list, texts: list[bytes]) -> pa.RecordBatch:
-        p = predict(held.value, texts)
+        if "features" not in state:
+            state["features"] = Features(held.value.features)
+        p = predict(held.value, state["features"], texts)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(p[:, -1] >= CUT)], ["k", *names, "toxic"])
 
     schema = "k bigint, " + ", ".join(f"{x} double" for x in names) + ", toxic boolean"
