@@ -36,3 +36,45 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("url", F.concat(F.lit("https://"), "domain", F.lit("/p/"), F.col("k").cast("string")))
     minute = F.floor(F.unix_micros(F.col("occurred_at").cast("timestamp")) / 60_000_000)
     return rows.withColumn("dedupe_key", F.concat_ws(":", "type", minute.cast("string"), F.md5(F.col("url").cast("binary"))))
+
+
+EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
+USERS = 150
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured documents: one row per text, captured a minute apart."""
+    from mnemospark.functions.columns import content_hash, word_count
+
+    raw = read(spark, sf_dir, "documents")
+    return raw.select(
+        F.col("doc_id").alias("document_id"),
+        (F.col("doc_id") % USERS).alias("user_id"),
+        "source",
+        "lang",
+        F.col("text").alias("extracted_text"),
+        content_hash(F.col("text")).alias("content_hash"),
+        word_count(F.col("text")).alias("word_count"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), (F.col("doc_id") % 997).cast("string")).alias("url"),
+        F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("captured_at"),
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with vectors: five to a document, the label as topic."""
+    raw = read(spark, sf_dir, "embeddings")
+    return raw.select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 5).alias("document_id"), F.col("label").alias("topic"), "embedding", F.lit("m1").alias("embedding_model"))
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements: what users say in conversations, valid from the conversation's day and the turn's hour."""
+    raw = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return raw.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"),
+        "conv_id",
+        (F.col("conv_id") % USERS).alias("user_id"),
+        F.when(F.col("turn") % 2 == 0, "fact").otherwise("preference").alias("kind"),
+        F.col("text").alias("statement"),
+        F.expr(f"{EPOCH} + make_dt_interval(cast(conv_id as int), cast(turn as int), 0, 0)").alias("valid_from"),
+        (F.col("turn") % 4).alias("access_count"),
+    )
