@@ -126,12 +126,16 @@ def split_payload(events: DataFrame, json: str, base: list[str]) -> DataFrame:
 
 
 def exclude_domains(events: DataFrame, excluded: DataFrame, domain: str = "domain") -> DataFrame:
-    """Events whose host is none of the excluded domains, nor below one; an unknown host is excluded. ``excluded``: (domain), a user's list."""
-    parts = F.split(F.lower(domain), "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1000), "."))
-    keyed = events.where(F.length(domain) > 0).withColumn("__suffixes", suffixes)
-    listed = excluded.select(F.lower("domain").alias("__listed")).distinct()
-    return keyed.join(listed, F.array_contains("__suffixes", F.col("__listed")), "left_anti").drop("__suffixes")
+    """Events whose host is none of the excluded domains (domain), nor below one; an unknown host is excluded.
+
+    The distinct hosts are split into their suffixes and matched by equality; the events then meet only the hosts
+    that are to go.
+    """
+    hosts = events.where(F.length(domain) > 0).select(F.col(domain).alias("__host")).distinct()
+    parts = F.split(F.lower("__host"), "\\.")
+    suffixes = hosts.select("__host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1000), "."))).alias("__suffix"))
+    gone = suffixes.join(excluded.select(F.lower("domain").alias("__suffix")).distinct(), "__suffix", "left_semi").select("__host").distinct()
+    return events.where(F.length(domain) > 0).join(gone, F.col(domain) == F.col("__host"), "left_anti")
 
 
 def exclude_apps(events: DataFrame, packages: DataFrame, package: str = "package") -> DataFrame:

@@ -48,14 +48,19 @@ def similarity_from_distance(distance: Column) -> Column:
 def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding", query_vector: str = "query_embedding", keep: Sequence[str] = ()) -> DataFrame:
     """(query_id, key, *keep, similarity, rank): the k nearest rows of each query at or above a cosine, ties by key.
 
-    A stated query set against all rows: the queries are numbered into blocks of QUERY_BLOCK, each block meets each
-    row once, and every task keeps k rows of a query before anything is shuffled (WindowGroupLimit).
+    A stated query set against all rows: the queries are counted and dealt into blocks of about QUERY_BLOCK, each of
+    which is broadcast and meets every row once. Every task keeps k rows of a query before anything is shuffled.
     """
-    blocks = queries.select("query_id", F.col(query_vector).alias("__q"))
-    pairs = corpus.select(key, *keep, F.col(vector).alias("__v")).join(F.broadcast(blocks), F.lit(True))
-    scored = pairs.withColumn("similarity", cosine(F.col("__v"), F.col("__q"))).where(F.col("similarity") >= least).drop("__v", "__q")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select("query_id", F.col(query_vector).alias("__q"))
+    rows = corpus.select(key, *keep, F.col(vector).alias("__v"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
+    found = []
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = rows.join(F.broadcast(block), F.lit(True)).withColumn("similarity", cosine(F.col("__v"), F.col("__q"))).where(F.col("similarity") >= least).drop("__v", "__q")
+        found.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def match_vectors_blocked(query_rows: list[tuple[int, list[float]]], corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding") -> DataFrame:

@@ -1,11 +1,13 @@
-"""Roll-ups, gates and windows over activity events."""
+"""Queries over activity events: roll-ups, gates, ingest, scores, windows and sessions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.sources.tables import activity_events
+from mnemospark.functions.columns import working_hours
+from mnemospark.operators import importance, ingest, lifecycle, rollups, sessions
+from mnemospark.sources import tables
 
 #: The event view as SQL, for the DuckDB side.
 V_EVENTS = """
@@ -18,20 +20,344 @@ V_EVENTS = """
            ts AS occurred_at, ts AS received_at, CAST(floor(value + 0.5) AS BIGINT) AS duration_seconds, value,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, props
     FROM events)))"""
+#: Signals of an event, derived from the fields that the events have.
+V_SIGNALS = f"""
+    SELECT event_id, user_id, device_id, type, occurred_at, dedupe_key, url, domain, duration_seconds, k,
+           CAST(duration_seconds AS DOUBLE) AS dwell_seconds, CAST(k % 101 AS DOUBLE) AS scroll_depth_pct,
+           row_number() OVER (PARTITION BY user_id, domain ORDER BY occurred_at, event_id) = 1
+             AND row_number() OVER (PARTITION BY user_id ORDER BY occurred_at, event_id) > 1 AS is_unique_domain,
+           row_number() OVER (PARTITION BY user_id, url ORDER BY occurred_at, event_id) - 1 AS revisit_count,
+           k * 20 AS word_count, k % 7 = 0 AS has_selection, type = 'copy' AS has_copy, type = 'bookmark' AS is_bookmarked,
+           type = 'download' AS is_downloaded, CAST(k % 10 AS DOUBLE) / 10 AS youtube_watched_pct,
+           domain = 'site3.example.com' AS app_is_excluded,
+           isodow(occurred_at) <= 5 AND hour(occurred_at) BETWEEN 9 AND 17 AS is_working_hours,
+           CAST(k % 100 AS DOUBLE) / 100 AS topic_novelty
+    FROM ({V_EVENTS})"""
+EXCLUDED = ["site3.example.com", "site5.example.com", "unused.example.org"]
+NOW = "TIMESTAMP_NTZ '2024-01-15 12:00:00'"
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = rollups.revisit_signals(tables.activity_events(spark, sf_dir))
+    return e.select(
+        *("event_id", "user_id", "device_id", "type", "occurred_at", "dedupe_key", "url", "domain", "duration_seconds", "k", "revisit_count", "is_unique_domain"),
+        F.col("duration_seconds").cast("double").alias("dwell_seconds"),
+        (F.col("k") % 101).cast("double").alias("scroll_depth_pct"),
+        (F.col("k") * 20).alias("word_count"),
+        (F.col("k") % 7 == 0).alias("has_selection"),
+        (F.col("type") == "copy").alias("has_copy"),
+        (F.col("type") == "bookmark").alias("is_bookmarked"),
+        (F.col("type") == "download").alias("is_downloaded"),
+        ((F.col("k") % 10).cast("double") / 10).alias("youtube_watched_pct"),
+        (F.col("domain") == "site3.example.com").alias("app_is_excluded"),
+        working_hours(F.col("occurred_at")).alias("is_working_hours"),
+        ((F.col("k") % 100).cast("double") / 100).alias("topic_novelty"),
+    )
+
+
+def _share_sql(full: dict[str, float], weights: dict[str, float]) -> str:
+    return " + ".join(f"{w} * greatest(0.0, least(1.0, CAST({s} AS DOUBLE) / {full.get(s, 1.0)}))" for s, w in weights.items())
+
+
+def _band_sql(score: str) -> str:
+    return f"CASE WHEN {score} >= 0.9 THEN 'critical' WHEN {score} >= 0.7 THEN 'high' WHEN {score} >= 0.45 THEN 'normal' WHEN {score} >= 0.25 THEN 'low' ELSE 'noise' END"
+
+
+SERVER_SQL = f"round(greatest(0.0, least(1.0, {_share_sql(importance.SERVER_FULL, {s: w for _, s, w in importance.SERVER_RULES})})), 6)"
+CLIENT_SQL = f"CASE WHEN app_is_excluded THEN 0.0 ELSE round(greatest(0.0, least(1.0, {_share_sql(importance.CLIENT_FULL, importance.CLIENT_WEIGHTS)})), 6) END"
+TYPES = ["page_view", "copy", "bookmark", "download", "app_session"]
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that says the same."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+E = tables.activity_events
+
+
+@query(f"""WITH e AS ({V_EVENTS})
+    SELECT domain, count(*) AS events FROM e
+    WHERE occurred_at > (SELECT max(occurred_at) FROM e) - INTERVAL 7 DAY AND domain <> ''
+    GROUP BY domain ORDER BY events DESC, domain LIMIT 5""")
 def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = activity_events(spark, sf_dir)
-    end = e.agg(F.max("occurred_at").alias("end"))
-    week = e.crossJoin(F.broadcast(end)).where((F.col("occurred_at") > F.col("end") - F.expr("INTERVAL 7 DAYS")) & (F.col("domain") != ""))
-    return week.groupBy("domain").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "domain").limit(5)
-
-
-QUERIES = {"top_domains": top_domains}
-ORACLE_SQL = {
-    "top_domains": f"""
-        WITH e AS ({V_EVENTS})
-        SELECT domain, count(*) AS events FROM e
-        WHERE occurred_at > (SELECT max(occurred_at) FROM e) - INTERVAL 7 DAY AND domain <> ''
-        GROUP BY domain ORDER BY events DESC, domain LIMIT 5""",
-}
+    return rollups.top_domains(E(spark, sf_dir))
+
+
+@query(f"""SELECT CAST(occurred_at AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users
+    FROM ({V_EVENTS}) WHERE type = 'page_view' GROUP BY 1""")
+def pages_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.count_per_day(E(spark, sf_dir), "page_view")
+
+
+@query(f"""SELECT type, count(*) AS events, CAST(sum(duration_seconds) AS BIGINT) AS seconds, max(occurred_at) AS last_at
+    FROM ({V_EVENTS}) GROUP BY type""")
+def time_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.time_by(E(spark, sf_dir), "type")
+
+
+@query(f"""SELECT domain, type, count(*) AS events, CAST(sum(duration_seconds) AS BIGINT) AS seconds, max(occurred_at) AS last_at
+    FROM ({V_EVENTS}) GROUP BY domain, type""")
+def time_by_domain_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.time_by(E(spark, sf_dir), "domain", "type")
+
+
+@query(f"""SELECT day, {", ".join(TYPES)}, {" + ".join(TYPES)} AS total FROM (
+    SELECT CAST(occurred_at AS DATE) AS day,
+           {", ".join(f"CAST(coalesce(sum(duration_seconds) FILTER (WHERE type = '{t}'), 0) AS BIGINT) AS {t}" for t in TYPES)}
+    FROM ({V_EVENTS}) GROUP BY 1)""")
+def time_by_day_type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.time_by_day_pivot(E(spark, sf_dir), "type", TYPES)
+
+
+@query(f"""SELECT device_id, max(occurred_at) AS last_seen_at, count(*) AS events FROM ({V_EVENTS}) GROUP BY device_id""")
+def device_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.device_last_seen(E(spark, sf_dir))
+
+
+@query(f"""SELECT device_id, count(*) AS events, count(DISTINCT dedupe_key) AS keys, count(*) = count(DISTINCT dedupe_key) AS once
+    FROM ({V_EVENTS}) GROUP BY device_id""")
+def distinct_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.distinct_delivery(E(spark, sf_dir))
+
+
+@query(f"""SELECT device_id, count(*) AS pending, min(occurred_at) AS oldest_at FROM ({V_EVENTS}) WHERE event_id % 4 <> 0 GROUP BY device_id""")
+def pending_per_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return rollups.pending_per_device(e, e.where("event_id % 4 = 0"))
+
+
+_VERDICT_SQL = """CASE WHEN event_id IS NULL THEN 'event_id' WHEN type NOT IN ('page_view', 'copy', 'bookmark', 'download', 'app_session') THEN 'type'
+    WHEN NOT importance BETWEEN 0 AND 1 THEN 'importance' WHEN NOT length(dedupe_key) BETWEEN 8 AND 128 THEN 'dedupe_key'
+    WHEN type IN ('page_view', 'app_session') AND NOT duration_seconds >= 0 THEN 'duration' END"""
+#: A few scores are put out of range, so that something is refused.
+_IMPORTANCE = "CAST(k % 103 AS DOUBLE) / 100"
+
+
+@query(f"""SELECT coalesce(reason, 'valid') AS verdict, type, count(*) AS events FROM (
+    SELECT type, {_VERDICT_SQL} AS reason FROM (SELECT *, {_IMPORTANCE} AS importance FROM ({V_EVENTS}))) GROUP BY 1, 2""")
+def event_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ingest.event_verdict(E(spark, sf_dir).withColumn("importance", F.expr(_IMPORTANCE)))
+    return judged.groupBy(F.coalesce("reason", F.lit("valid")).alias("verdict"), "type").agg(F.count("*").alias("events"))
+
+
+@query(f"""WITH c AS (SELECT event_id, occurred_at AS was, TIMESTAMP '2024-01-15 12:00:00' AS now,
+        occurred_at > TIMESTAMP '2024-01-15 13:00:00' OR occurred_at < TIMESTAMP '2023-10-17 12:00:00' AS off FROM ({V_EVENTS}))
+    SELECT event_id, CASE WHEN off THEN now ELSE was END AS occurred_at, CASE WHEN off THEN was END AS clamped_from,
+           CAST(floor(epoch_us(now) / 1000) - floor(epoch_us(CASE WHEN off THEN now ELSE was END) / 1000) AS BIGINT) AS lag_ms FROM c""")
+def clamped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.clamp_clock(E(spark, sf_dir), F.expr(NOW)).select("event_id", "occurred_at", "clamped_from", "lag_ms")
+
+
+@query(f"""SELECT event_id, domain FROM ({V_EVENTS}) WHERE domain NOT IN ('site3.example.com', 'site5.example.com', 'unused.example.org')""")
+def exclusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    excluded = spark.createDataFrame([(d,) for d in EXCLUDED], "domain string")
+    return ingest.exclude_domains(E(spark, sf_dir), excluded).select("event_id", "domain")
+
+
+@query(f"""SELECT event_id, type, score FROM (SELECT event_id, type, {CLIENT_SQL} AS score FROM ({V_SIGNALS}))
+    WHERE type IN ('selection', 'copy', 'search', 'bookmark', 'download') OR score >= 0.15""")
+def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.client_score(signals(spark, sf_dir))
+    return scored.where(ingest.capture_gate(F.col("type"), F.col("score"))).select("event_id", "type", "score")
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY device_id, dedupe_key ORDER BY occurred_at, event_id) AS rn FROM ({V_EVENTS}) WHERE event_id % 3 <> 1)
+    SELECT event_id, device_id, dedupe_key FROM e
+    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ({V_EVENTS}) s WHERE s.event_id % 3 = 1 AND s.device_id = e.device_id AND s.dedupe_key = e.dedupe_key)""")
+def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return ingest.append_new(e.where("event_id % 3 <> 1"), e.where("event_id % 3 = 1"), ["device_id", "dedupe_key"], ["occurred_at", "event_id"]).select("event_id", "device_id", "dedupe_key")
+
+
+@query(f"""SELECT DISTINCT user_id, url FROM ({V_EVENTS}) WHERE type = 'copy'
+    INTERSECT SELECT DISTINCT user_id, url FROM ({V_EVENTS}) WHERE type = 'page_view'""")
+def existing_key_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return ingest.existing_keys(e.where("type = 'copy'"), e.where("type = 'page_view'"), ["user_id", "url"])
+
+
+_BATCHES = f"SELECT *, CAST(floor((row_number() OVER (PARTITION BY device_id ORDER BY occurred_at, event_id) - 1) / 10) AS BIGINT) AS batch_no FROM ({V_EVENTS})"
+
+
+@query(f"SELECT event_id, device_id, batch_no FROM ({_BATCHES})")
+def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.assign_batches(E(spark, sf_dir), 10).select("event_id", "device_id", "batch_no")
+
+
+@query(f"""SELECT device_id, batch_no, count(*) AS events,
+        sha256(CAST(device_id AS VARCHAR) || ':' || string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS batch_key
+    FROM ({_BATCHES}) GROUP BY device_id, batch_no""")
+def batch_idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.batch_keys(ingest.assign_batches(E(spark, sf_dir), 10))
+
+
+@query(f"""SELECT *, accepted + duplicate + rejected = total AS balanced FROM (
+    SELECT batch, count(*) AS total, count(*) FILTER (WHERE verdict = 'accepted') AS accepted,
+           count(*) FILTER (WHERE verdict = 'duplicate') AS duplicate, count(*) FILTER (WHERE verdict = 'rejected') AS rejected
+    FROM (SELECT event_id // 100 AS batch, CASE WHEN NOT importance BETWEEN 0 AND 1 THEN 'rejected'
+                 WHEN row_number() OVER (PARTITION BY user_id, url, CAST(occurred_at AS DATE) ORDER BY occurred_at, event_id) > 1 THEN 'duplicate' ELSE 'accepted' END AS verdict
+          FROM (SELECT *, {_IMPORTANCE} AS importance FROM ({V_EVENTS})))
+    GROUP BY batch)""")
+def batch_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    judged = ingest.event_verdict(E(spark, sf_dir).withColumn("importance", F.expr(_IMPORTANCE)))
+    nth = F.row_number().over(Window.partitionBy("user_id", "url", F.to_date("occurred_at")).orderBy("occurred_at", "event_id"))
+    judged = judged.withColumn("nth", nth).withColumn("verdict", F.when(F.col("reason").isNotNull(), "rejected").when(F.col("nth") > 1, "duplicate").otherwise("accepted"))
+    return ingest.batch_accounting(judged.withColumn("batch", F.expr("event_id div 100")), "batch", "verdict")
+
+
+@query(f"""SELECT device_id, received_at, event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY received_at DESC, event_id DESC) AS rn FROM ({V_EVENTS})) WHERE rn = 1""")
+def server_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.server_cursor(E(spark, sf_dir))
+
+
+@query(f"""SELECT event_id, occurred_at FROM ({V_EVENTS})
+    WHERE (occurred_at, event_id) < (TIMESTAMP '2024-01-20 00:00:00', 1000000) ORDER BY occurred_at DESC, event_id DESC LIMIT 50""")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime
+
+    return rollups.keyset_page(E(spark, sf_dir), "occurred_at", "event_id", (datetime.datetime(2024, 1, 20), 1_000_000), 50).select("event_id", "occurred_at")
+
+
+@query(f"SELECT event_id, revisit_count, is_unique_domain FROM ({V_SIGNALS})")
+def revisit_unique_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.revisit_signals(E(spark, sf_dir)).select("event_id", F.col("revisit_count").cast("bigint").alias("revisit_count"), "is_unique_domain")
+
+
+@query(f"""SELECT event_id, CAST(sum(duration_seconds) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS foreground_seconds
+    FROM (SELECT *, CAST(floor(epoch_us(occurred_at) / 1000000) AS BIGINT) AS s FROM ({V_EVENTS}))""")
+def foreground_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.foreground_seconds(E(spark, sf_dir)).select("event_id", "foreground_seconds")
+
+
+@query(f"SELECT event_id, score, {_band_sql('score')} AS band FROM (SELECT event_id, {SERVER_SQL} AS score FROM ({V_SIGNALS}))")
+def importance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.server_score(signals(spark, sf_dir)).select("event_id", "score", "band")
+
+
+@query(f"SELECT event_id, score, {_band_sql('score')} AS band FROM (SELECT event_id, {CLIENT_SQL} AS score FROM ({V_SIGNALS}))")
+def client_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.client_score(signals(spark, sf_dir)).select("event_id", "score", "band")
+
+
+@query(f"SELECT event_id, score, {_band_sql('score')} AS band FROM (SELECT event_id, {SERVER_SQL} AS score FROM ({V_SIGNALS}))")
+def importance_by_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.server_score_by_rules(signals(spark, sf_dir), importance.rules_frame(spark))
+
+
+@query(f"SELECT {_band_sql('score')} AS band, type, count(*) AS events FROM (SELECT type, {SERVER_SQL} AS score FROM ({V_SIGNALS})) GROUP BY 1, 2")
+def importance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.server_score(signals(spark, sf_dir)).groupBy("band", "type").agg(F.count("*").alias("events"))
+
+
+_NO_DWELL = {s: w for _, s, w in importance.SERVER_RULES if s != "dwell_seconds"} | {"has_copy": 0.5}
+
+
+@query(f"""SELECT event_id, round(greatest(0.0, least(1.0, {_share_sql(importance.SERVER_FULL, _NO_DWELL)})), 6) AS score FROM ({V_SIGNALS}) WHERE user_id % 10 = 0""")
+def importance_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signals(spark, sf_dir)
+    users = s.where("user_id % 10 = 0").select("user_id").distinct()
+    overrides = users.select("user_id", F.lit("rule.dwell").alias("rule"), F.lit(None).cast("double").alias("weight"), F.lit(False).alias("enabled"))
+    overrides = overrides.unionByName(users.select("user_id", F.lit("rule.copy").alias("rule"), F.lit(0.5).alias("weight"), F.lit(None).cast("boolean").alias("enabled")))
+    rules = importance.override_rules(importance.rules_frame(spark), overrides)
+    return importance.server_score_by_rules(s, rules).select("event_id", "score")
+
+
+@query(f"""SELECT event_id, type FROM ({V_EVENTS}) WHERE (CASE WHEN k % 3 = 0 THEN 'v2' WHEN k % 3 = 1 THEN 'v1' END) IS DISTINCT FROM 'v2'""")
+def rescore_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir).withColumn("importance_version", F.expr("CASE WHEN k % 3 = 0 THEN 'v2' WHEN k % 3 = 1 THEN 'v1' END"))
+    return importance.rescore_backlog(e, "v2").select("event_id", "type")
+
+
+@query(f"""SELECT event_id, band FROM (SELECT event_id, occurred_at, {_band_sql('score')} AS band FROM (SELECT event_id, occurred_at, {SERVER_SQL} AS score FROM ({V_SIGNALS})))
+    WHERE band IN ('high', 'critical') OR (band = 'normal' AND occurred_at >= TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 365 DAY)
+       OR (band = 'low' AND occurred_at >= TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY)""")
+def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.server_score(signals(spark, sf_dir))
+    return lifecycle.retained(scored, F.expr("TIMESTAMP_NTZ '2024-04-10 00:00:00'")).select("event_id", "band")
+
+
+@query(f"""WITH c AS (SELECT device_id, event_id, occurred_at, CASE WHEN k % 5 <> 0 THEN 'app' || CAST(k % 4 AS VARCHAR) END AS package FROM ({V_EVENTS})),
+    m AS (SELECT *, max(occurred_at) OVER (PARTITION BY device_id) AS last_at, row_number() OVER w = 1 OR package IS DISTINCT FROM lag(package) OVER w AS new
+          FROM c WINDOW w AS (PARTITION BY device_id ORDER BY occurred_at, event_id)),
+    s AS (SELECT *, coalesce(lead(occurred_at) OVER (PARTITION BY device_id ORDER BY occurred_at, event_id), last_at) AS ended_at FROM m WHERE new)
+    SELECT device_id, package, occurred_at AS started_at, ended_at, CAST(floor(epoch_us(ended_at) / 1000000) - floor(epoch_us(occurred_at) / 1000000) AS BIGINT) AS seconds
+    FROM s WHERE package IS NOT NULL AND floor(epoch_us(ended_at) / 1000000) - floor(epoch_us(occurred_at) / 1000000) >= 5""")
+def app_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = E(spark, sf_dir).withColumn("package", F.expr("CASE WHEN k % 5 <> 0 THEN 'app' || CAST(k % 4 AS STRING) END"))
+    return sessions.app_sessions(changes)
+
+
+@query(f"""WITH g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY occurred_at, event_id) <= 1800 THEN 0 ELSE 1 END AS new
+              FROM (SELECT *, CAST(floor(epoch_us(occurred_at) / 1000000) AS BIGINT) AS s FROM ({V_EVENTS}))),
+    n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g)
+    SELECT user_id, session_no, min(occurred_at) AS started_at, max(occurred_at) AS ended_at, count(*) AS events FROM n GROUP BY user_id, session_no""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.gap_sessions(E(spark, sf_dir), 1800)
+
+
+_ATTACHED = f"""WITH e AS (SELECT *, CAST(floor(epoch_us(occurred_at) / 1000000) AS BIGINT) AS s FROM ({V_EVENTS}))
+    SELECT a.event_id AS seed_id, b.event_id, b.type FROM e a JOIN e b ON a.user_id = b.user_id AND a.url = b.url AND a.event_id <> b.event_id
+    WHERE a.type = 'page_view' AND abs(a.s - b.s) <= 86400"""
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return sessions.attach_events(e.where("type = 'page_view'"), e, 86_400)
+
+
+@query(_ATTACHED)
+def event_document_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attached(spark, sf_dir)
+
+
+@query(f"""SELECT seed_id, count(*) AS events, bool_or(type = 'selection') AS has_selection, bool_or(type = 'copy') AS has_copy,
+    bool_or(type = 'bookmark') AS has_bookmark, bool_or(type = 'download') AS has_download FROM ({_ATTACHED}) GROUP BY seed_id""")
+def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.document_signals(_attached(spark, sf_dir))
+
+
+@query(f"""SELECT event_id, device_id FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY {_IMPORTANCE} DESC, occurred_at, event_id) AS rn FROM ({V_EVENTS})) WHERE rn <= 5""")
+def capacity_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.evict_over_capacity(E(spark, sf_dir).withColumn("importance", F.expr(_IMPORTANCE)), 5).select("event_id", "device_id")
+
+
+@query(f"""SELECT event_id FROM (SELECT event_id, s - lag(s) OVER (PARTITION BY device_id, url ORDER BY occurred_at, event_id) AS gap
+    FROM (SELECT *, CAST(floor(epoch_us(occurred_at) / 1000000) AS BIGINT) AS s FROM ({V_EVENTS}))) WHERE gap IS NULL OR gap > 86400""")
+def recent_key_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.suppress_recent(E(spark, sf_dir).withColumn("dedupe_key", F.col("url")), 86_400).select("event_id")
+
+
+@query(f"""SELECT user_id, 'events' AS table_name, count(*) AS rows FROM ({V_EVENTS}) GROUP BY user_id
+    UNION ALL SELECT doc_id % 150, 'documents', count(*) FROM documents GROUP BY 1
+    UNION ALL SELECT conv_id % 150, 'memories', count(*) FROM conversations WHERE role = 'user' GROUP BY 1""")
+def user_export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = {"events": E(spark, sf_dir), "documents": tables.documents(spark, sf_dir), "memories": tables.memories(spark, sf_dir)}
+    return lifecycle.export_manifest(held)
+
+
+@query(f"""SELECT event_id, type, occurred_at FROM ({V_EVENTS}) WHERE type IN ('copy', 'bookmark')
+    AND occurred_at >= TIMESTAMP '2024-01-05 00:00:00' AND occurred_at <= TIMESTAMP '2024-01-10 00:00:00'""")
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.operators.retrieval import metadata_filter as clause
+
+    held = clause({"type": ["copy", "bookmark"], "user_id": None}, "occurred_at", F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"))
+    return E(spark, sf_dir).where(held).select("event_id", "type", "occurred_at")
+
+
+@query(f"""SELECT event_id, CASE WHEN type = 'page_view' THEN CAST(floor(value / 1000 + 0.5) AS BIGINT) WHEN type = 'app_session' THEN CAST(floor(value + 0.5) AS BIGINT) END AS duration FROM ({V_EVENTS})""")
+def duration_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E(spark, sf_dir).select("event_id", ingest.promote_duration(F.col("type"), F.col("value")).alias("duration"))

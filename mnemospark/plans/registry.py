@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import events
+from mnemospark.plans import corpus, events
 
-QUERIES = dict(events.QUERIES)
-ORACLE_SQL = dict(events.ORACLE_SQL)
+QUERIES = events.QUERIES | corpus.QUERIES
+ORACLE_SQL = events.ORACLE_SQL | corpus.ORACLE_SQL
