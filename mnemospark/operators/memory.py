@@ -21,7 +21,7 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return memories.groupBy("user_id", statement_hash(F.col("statement")).alias("statement_hash")).agg(F.min("memory_id").alias("memory_id"), F.count("*").alias("copies"))
 
 
-def near_duplicates(candidates: DataFrame, stored: DataFrame, block: str = "user_id", k: int = NEIGHBOURS) -> DataFrame:
+def near_duplicates(candidates: DataFrame, stored: DataFrame, block: str = "user_id", k: int = NEIGHBOURS, duplicate: float = DUPLICATE, review: float = REVIEW) -> DataFrame:
     """(memory_id, match_id, similarity, relation): of each candidate the nearest earlier statement of its block, of k looked at.
 
     Both sides: memory_id, the block's columns, embedding. The join is an equi-join on the block.
@@ -31,8 +31,8 @@ def near_duplicates(candidates: DataFrame, stored: DataFrame, block: str = "user
     pairs = left.join(right, block).where("match_id < memory_id").withColumn("similarity", cosine(F.col("__a"), F.col("__b"))).drop("__a", "__b")
     w = Window.partitionBy("memory_id").orderBy(F.desc("similarity"), "match_id")
     near = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    best = near.where((F.col("rn") == 1) & (F.col("similarity") >= REVIEW))
-    return best.select("memory_id", "match_id", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= DUPLICATE, "duplicate").otherwise("candidate").alias("relation"))
+    best = near.where((F.col("rn") == 1) & (F.col("similarity") >= review))
+    return best.select("memory_id", "match_id", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= duplicate, "duplicate").otherwise("candidate").alias("relation"))
 
 
 def merge_decision(relation: Column, match_id: Column) -> Column:

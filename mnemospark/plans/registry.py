@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import corpus, events
+from mnemospark.plans import corpus, events, recall
 
-QUERIES = events.QUERIES | corpus.QUERIES
-ORACLE_SQL = events.ORACLE_SQL | corpus.ORACLE_SQL
+QUERIES = events.QUERIES | corpus.QUERIES | recall.QUERIES
+ORACLE_SQL = events.ORACLE_SQL | corpus.ORACLE_SQL | recall.ORACLE_SQL
