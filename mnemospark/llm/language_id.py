@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text
+from mnemospark.llm.common import map_text, materialize
 
 #: Bounds of the training sample: documents considered and characters used of each language, characters of all languages.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_CHARS_ALL = 400, 40_000, 2_000_000
@@ -149,13 +149,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     characters; the automaton is built of the first TRAIN_CHARS symbols of them, fewer where the languages together
     would exceed TRAIN_CHARS_ALL. Rows with a null text, language or key are not used.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.substring(text, 1, TRAIN_CHARS).alias("text"), F.xxhash64(key).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "key", "text")
-    sample = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS).where("length(text) > 0")
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
+    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    # numbers alone decide who is in the sample; its texts are then fetched by a hash bound, which is one row per language
+    order = Window.partitionBy("lang").orderBy("h", "key")
+    chosen = labelled.select("lang", "h", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
+    bound = materialize(chosen.groupBy("lang").agg(F.max("h").alias("bound")))
+    sample = labelled.join(F.broadcast(bound), "lang").where("h <= bound").withColumn("text", F.substring("text", 1, TRAIN_CHARS))
     # of these, no more than the characters that are used
-    upto = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    sample = sample.withColumn("before", F.coalesce(F.sum(F.length("text")).over(upto), F.lit(0))).where(F.col("before") <= 4 * TRAIN_CHARS)
+    line = Window.partitionBy("lang").orderBy("h", "key", "text")
+    sample = sample.withColumn("place", F.row_number().over(line)).withColumn("before", F.coalesce(F.sum(F.length("text")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sample = sample.where((F.col("before") <= 4 * TRAIN_CHARS) & (F.col("place") <= TRAIN_DOCS))
     rows = sample.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts")).orderBy("lang").collect()
     if not rows:
         return []
