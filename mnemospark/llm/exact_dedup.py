@@ -6,53 +6,20 @@ The second pass tests every row: only rows whose positions are all marked may be
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.bloom import bitmap_of, with_flag
 from mnemospark.llm.common import blank, materialize, split_join
 
-#: Bits that a row adds to the filter, and positions that it hits.
-BITS_PER_ROW, PROBES = 16, 3
-#: Bounds of the filter's size in bits: the larger is 32 MB to broadcast. With more rows more of them shuffle, and the result is the same.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
-
-
 def normalised(text: str) -> Column:
     """The text without the six ASCII white space characters; null counts as empty."""
     return F.regexp_replace(blank(text), "[ \\t-\\r]", "")
 
 
-def _positions(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(bits)) for k in range(PROBES)]
-
-
-def repeat_filter(hashes: DataFrame, h: str, rows: int) -> tuple[np.ndarray, int]:
-    """The bitmap of the positions that two or more rows hit, as bytes, and its number of bits."""
-    bits = 1 << int(np.ceil(np.log2(min(MOST_BITS, max(LEAST_BITS, rows * BITS_PER_ROW)))))
-    hit = hashes.select(F.explode(F.array(*_positions(F.col(h), bits))).alias("at")).groupBy("at").count().where("count > 1")
-    words = hit.groupBy(F.expr("at >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-    bitmap = np.zeros(bits >> 6, np.int64)
-    for part in words.toLocalIterator():
-        bitmap[part.word] = part.mask
-    return bitmap.view(np.uint8), bits
-
-
-def with_repeat_flag(rows: DataFrame, h: str, rows_count: int, hashes: DataFrame | None = None, flag: str = "maybe_repeated") -> DataFrame:
+def with_repeat_flag(rows: DataFrame, h: str, count: int, hashes: DataFrame | None = None, flag: str = "maybe_repeated") -> DataFrame:
     """``rows`` with a flag that is true wherever the value of ``h`` occurs more than once (and rarely elsewhere)."""
-    bitmap, bits = repeat_filter(hashes if hashes is not None else rows, h, rows_count)
-    held = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def marked(*at: pd.Series) -> pd.Series:
-        found = np.ones(len(at[0]), bool)
-        for p in at:
-            p = p.to_numpy(np.int64)
-            found &= (held.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(found)
-
-    return rows.withColumn(flag, marked(*_positions(F.col(h), bits)))
+    return with_flag(rows, h, *bitmap_of(hashes if hashes is not None else rows, h, count, hits=2), flag)
 
 
 def _keepers(repeated: DataFrame, key: str) -> DataFrame:

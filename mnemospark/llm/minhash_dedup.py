@@ -5,10 +5,11 @@ candidates. A candidate pair's signatures are compared batch by batch, and the p
 posterior probability that it is similar enough falls below a chosen miss probability. Survivors are verified on
 their full shingle sets.
 
-No bucket is expanded into its pairs. First every member of a bucket is compared with the bucket's smallest member,
-which connects most groups. Only where a bucket's other members still lie in different components, they are compared
-in blocks inside tasks, and only survivors from different components leave the task. Pairs inside a component need no
-comparison: their link would change nothing.
+No bucket is expanded into its pairs. First every member of a bucket meets the bucket's smallest member, in blocks
+of documents that mostly share their buckets; what is banded there is compared, and most groups are connected. Only
+where a bucket's other members still lie in different components, they are compared in slices inside tasks, and those
+that may link across components meet in blocks once more. Pairs inside a component need no comparison: their link
+would change nothing. What leaves a task is bounded by its documents, not by its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.llm.bloom import only_possible
 from mnemospark.llm.common import arrow_rows, map_text, materialize, split_join
 from mnemospark.llm.components import connected_components
 
@@ -153,92 +155,128 @@ def _sized(a: str, b: str) -> str:
     return f"least({a}, {b}) * 100 >= {SIMILAR} * greatest({a}, {b})"
 
 
-def _prune(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Of pairs (a, b): those that the comparison of signatures leaves."""
-    sig = sketches.select("doc_id", "sig", "n_shingles")
-    left = split_join(pairs.withColumnRenamed("a", "doc_id"), sig, "doc_id").select(F.col("doc_id").alias("a"), "b", F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    both = split_join(left.withColumnRenamed("b", "doc_id"), sig, "doc_id").where(_sized("n_a", "n_shingles")).select("a", F.col("doc_id").alias("b"), "sig_a", F.col("sig").alias("sig_b"))
-    arrow_rows(pairs.sparkSession, 4096)
+def blocks_of(shared: DataFrame) -> DataFrame:
+    """(doc_id, block) of all documents that share a bucket: at most about BLOCK documents to a block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                sig_a, sig_b = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in (2, 3))
-                at = np.arange(x.num_rows)
-                yield x.select(["a", "b"]).take(pa.array(bayes_survivors(at, at, sig_a, sig_b)))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of distinct pairs (a, b): those whose full shingle sets are similar enough.
-
-    Pairs are gathered by ``a``, at most about BLOCK to a group however many ``a`` has; each text goes once to every
-    group that needs it, and a task holds the set of one ``a`` and one text at a time.
+    A document's home is the smallest leader of its buckets, so that documents that are compared with each other
+    mostly have one home, and their texts meet once however many buckets they share.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
-    dealt = split_join(pairs, sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"), "b")
-    need = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(dealt.select("a", "part").distinct().withColumn("role", F.lit(0)).withColumn("doc_id", F.col("a")))
+    homes = shared.groupBy("doc_id").agg(F.min("leader").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return split_join(homes, sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
+
+
+def _meetings(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(i, j, doc_id): the documents of distinct pairs (a, b), at the pair of blocks where the two ends meet."""
+    block = blocks.select(F.col("doc_id").alias("a"), F.col("block").alias("i"))
+    dealt = split_join(split_join(pairs, block, "a"), block.withColumnRenamed("a", "b").withColumnRenamed("i", "j"), "b")
+    ends = F.explode(F.array("a", "b")).alias("doc_id")
+    return dealt.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), ends).distinct()
+
+
+class _Block:
+    """Documents that meet in one task: their sets, signatures and components."""
+
+    def __init__(self, docs: list[int], components: list[int], texts: list[bytes | None]):
+        self.docs = np.array(docs, np.int64)
+        self.sets = [shingles(t or b"") for t in texts]
+        self.sigs = np.array([signature(s) for s in self.sets])
+        self.bands = np.array([band_keys(s) for s in self.sigs])
+        self.size = np.array([len(s) for s in self.sets])
+        self.root = np.unique(np.array(components, np.int64), return_inverse=True)[1]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links between different components, each joining the two: banded pairs, pruned by signatures, verified on the sets."""
+        out = []
+        for a in range(len(self.docs) - 1):
+            near = (self.root[a + 1 :] != self.root[a]) & (np.minimum(self.size[a + 1 :], self.size[a]) * 100 >= SIMILAR * np.maximum(self.size[a + 1 :], self.size[a]))
+            b = a + 1 + np.flatnonzero(near)
+            b = b[(self.bands[b] == self.bands[a]).any(axis=1)]
+            if not len(b):
+                continue
+            for k in b[bayes_survivors(np.zeros(len(b), np.int64), b, self.sigs[a : a + 1], self.sigs)].tolist():
+                if self.root[k] == self.root[a]:
+                    continue
+                p, q = self.sets[a], self.sets[k]
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                if same and 100 * same >= SIMILAR * (len(p) + len(q) - same):
+                    self.root[self.root == self.root[k]] = self.root[a]
+                    out.append((int(self.docs[a]), int(self.docs[k])))
+        return out
+
+
+def verify(docs: DataFrame, need: DataFrame, key: str, text: str, components: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among documents that meet (i, j, doc_id), as far as they connect what is not connected yet.
+
+    Each text goes once to every pair of blocks that needs it; a task holds one pair of blocks. All banded pairs
+    there are considered, so that one link is enough for each component. ``components``: (node, component) so far.
+    """
+    need = need.withColumn("component", F.col("doc_id")) if components is None else split_join(need, components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
-    rows = need.join(texts, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "doc_id", "text")
+    texts = only_possible(texts, "doc_id", need.select("doc_id").distinct())
+    given = need.join(texts, "doc_id").select("i", "j", "doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
+    rows = given.repartition("i", "j").sortWithinPartitions("i", "j", "doc_id")
     arrow_rows(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own = None, None
-        for x in batches:
-            found: tuple[list, list] = ([], [])
-            for a, part, role, doc, raw in zip(*(x.column(c).to_pylist() for c in range(5)), strict=True):
-                s = shingles(raw or b"")
-                if role == 0:
-                    group, own = (a, part), s
-                elif group == (a, part):
-                    same = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * same >= SIMILAR * (len(own) + len(s) - same) and same:
-                        found[0].append(a)
-                        found[1].append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+        for held in _runs(batches, 2):
+            if len(held) > 1:
+                found = _Block(*map(list, zip(*held, strict=True))).links()
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows, less their first ``keys`` columns, of each run of equal keys in sorted batches."""
+    now, held = None, []
+    for x in batches:
+        for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
 def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Survivors (a, b) from different components among the members (band, doc_id, component) of buckets, compared in blocks."""
-    count = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = split_join(buckets, count, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
+    """(i, j, doc_id): where documents of different components, that share a bucket and survive the signatures, are to meet.
+
+    Buckets: (band, doc_id, component, block). A large bucket is compared in slices inside tasks; a task's result
+    has at most one row for each of its documents and blocks.
+    """
+    count = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
+    members = split_join(buckets, count, "band").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    members = members.select("band", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "doc_id", "component", "block")
     rows = members.join(sketches.select("doc_id", "sig", "n_shingles"), "doc_id")
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").select("band", "i", "j", "block", "doc_id", "component", "n_shingles", "sig")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "slice").select("band", "low", "high", "slice", "doc_id", "component", "block", "n_shingles", "sig")
     arrow_rows(buckets.sparkSession, 4096)
 
-    def compare(i: int, j: int, held: list[tuple]) -> pa.RecordBatch:
-        block, doc, comp, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
-        sig = np.frombuffer(b"".join(h[4] for h in held), np.uint32).reshape(-1, HASHES)
-        rows_a = np.flatnonzero(block == i)
-        found: list[np.ndarray] = []
-        for a in rows_a:
-            b = np.flatnonzero((block == j) & (comp != comp[a]) & (np.minimum(n, n[a]) * 100 >= SIMILAR * np.maximum(n, n[a])))
-            if i == j:
-                b = b[b > a]
+    def compare(held: list[tuple]) -> pa.RecordBatch:
+        part, doc, comp, block, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
+        sig = np.frombuffer(b"".join(h[5] for h in held), np.uint32).reshape(-1, HASHES)
+        first, last = part[0], part[-1]
+        found = []
+        for a in np.flatnonzero(part == first):
+            b = np.flatnonzero((part == last) & (comp != comp[a]) & (np.minimum(n, n[a]) * 100 >= SIMILAR * np.maximum(n, n[a])))
+            b = b[b > a]
             if len(b):
-                live = bayes_survivors(np.zeros(len(b), np.int64), b, sig[a : a + 1], sig)
-                found += [np.stack([np.full(len(live), doc[a]), doc[b[live]]])]
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+                b = b[bayes_survivors(np.zeros(len(b), np.int64), b, sig[a : a + 1], sig)]
+                if len(b):
+                    i, j = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
+                    found += [np.stack([i, j, doc[b]]), np.unique(np.stack([i, j, np.full(len(b), doc[a])]), axis=1)]
+        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["i", "j", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for x in batches:
-            for band, i, j, *row in zip(*(x.column(c).to_pylist() for c in range(8)), strict=True):
-                if (band, i, j) != group:
-                    if len(held) > 1:
-                        yield compare(group[1], group[2], held)
-                    group, held = (band, i, j), []
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield compare(group[1], group[2], held)
+        for held in _runs(batches, 3):
+            if len(held) > 1:
+                yield compare(held)
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "i bigint, j bigint, doc_id bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,13 +296,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(split_join(bands, buckets, "band").select("band", "doc_id", "leader", "members"))
     pairs = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(verify(docs, materialize(_prune(pairs, distinct)), key, text))
-    found = connected_components(links)
+    blocks = materialize(blocks_of(shared))
+    links = materialize(verify(docs, materialize(_meetings(pairs, blocks)), key, text))
+    found = materialize(connected_components(links))
     placed = split_join(shared.where("members > 2 and doc_id <> leader").select("band", "doc_id"), found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    across = materialize(_across(split_join(placed, open_bands, "band").select("band", "doc_id", "component"), distinct))
-    more = verify(docs, across, key, text)
+    still = split_join(split_join(placed, open_bands, "band").select("band", "doc_id", "component"), blocks, "doc_id")
+    more = verify(docs, materialize(_across(still, distinct)), key, text, found)
     joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     component = connected_components(joined)
     classes = split_join(sets.select("doc_id", "n_shingles", "set_key"), heads, "set_key").select("doc_id", "n_shingles", F.col("head"))
