@@ -102,15 +102,14 @@ def build_parser(lang: str, texts: list[str], chars: int) -> Parser:
     alphabet = np.unique(line)
     codes = np.searchsorted(alphabet, line)
     go = suffix_automaton(codes.tolist())
-    n, width = len(go), len(alphabet) + 1
-    table = np.empty((n, width), np.int32)
-    start = np.array([go[0].get(c, 0) for c in range(width)], np.int32)
-    table[:] = start + n  # no match goes on: the phrase ends, the next begins with this symbol
+    # one state more, for a symbol that the text does not have: it is a phrase by itself
+    n, width = len(go) + 1, len(alphabet) + 1
+    start = np.array([go[0].get(c, n - 1) for c in range(width)], np.int32)
+    table = np.tile(start + n, (n, 1)).astype(np.int32)  # no match goes on: the phrase ends, the next begins with this symbol
     for state, edges in enumerate(go):
         for c, to in edges.items():
             table[state, c] = to
     table[0] = start
-    table[0, [c for c in range(width) if c not in go[0]]] = n  # an unknown symbol is a phrase
     return Parser(lang, alphabet, table.ravel(), n, float(np.log2(len(line) + 1)))
 
 

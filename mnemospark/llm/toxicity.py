@@ -26,7 +26,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SEEDS = {
     "insult": ["idiot", "moron", "stupid", "fool", "loser", "clown", "dumb", "jerk"],
     "contempt": ["trash", "scum", "garbage", "worthless", "pathetic", "disgusting", "filth", "vermin"],
-    "threat": ["kill", "hurt", "destroy", "die", "hang", "burn", "shoot", "stab"],
+    "threat": ["kill", "murder", "hurt", "destroy", "shoot", "stab", "strangle", "burn"],
 }
 CATEGORIES = (*SEEDS, "toxic")
 
@@ -38,7 +38,7 @@ BEGINNINGS = range(3, 9)
 FULL = 0.01
 #: Distinct words whose features a worker remembers.
 CACHE_WORDS = 400_000
-FOLDS, PENALTY, CUT = 3, 1.0, 0.5
+FOLDS, PENALTY, CUT = 3, 0.1, 0.5
 
 
 class Chain(NamedTuple):
