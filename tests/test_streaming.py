@@ -38,7 +38,7 @@ def test_ingest_appends_once(spark, split, tmp_path):
 
 
 def test_dedup_stream(spark, split):
-    got = drain(jobs.dedup_stream(stream(spark, split)), name="dedup")
+    got = drain(jobs.dedup_stream(stream(spark, split, 1000)), name="dedup")
     assert got.count() == split[0].select("device_id", "dedupe_key").distinct().count()
 
 
@@ -50,7 +50,7 @@ def test_tumbling_counts(spark, split):
 def test_sliding_and_sessions_and_liveness(spark, split):
     one = drain(jobs.sliding_foreground(stream(spark, split)), "complete", "sliding")
     assert one.agg(F.sum("seconds")).first()[0] == 24 * split[0].agg(F.sum("duration_seconds")).first()[0]
-    two = drain(jobs.session_windows(stream(spark, split), "30 minutes"), "complete", "sessions")
+    two = drain(jobs.session_windows(stream(spark, split, 1000), "30 minutes"), "complete", "sessions")
     assert two.count() == sessions.gap_sessions(split[0], 1800).count()
     three = drain(jobs.device_liveness(stream(spark, split)), "complete", "liveness")
     assert three.count() == split[0].select("device_id").distinct().count()
@@ -64,7 +64,7 @@ def test_attach_stream(spark, split):
 
 
 def test_app_sessions_stream(spark, split):
-    got = {(r.device_id, r.package, r.started_s) for r in drain(jobs.app_sessions(stream(spark, split), "40 days"), name="apps").collect()}
+    got = {(r.device_id, r.package, r.started_s) for r in drain(jobs.app_sessions(stream(spark, split, 1000), "40 days"), name="apps").collect()}
     batch = {(r.device_id, r.package, r.started_s) for r in sessions.app_sessions(split[0]).select("device_id", "package", F.unix_seconds(F.col("started_at").cast("timestamp")).alias("started_s"), F.unix_seconds(F.col("ended_at").cast("timestamp")).alias("ended_s")).collect()}
     assert got <= batch and len(got) > 0.5 * len(batch)  # those that are still open come later
 
