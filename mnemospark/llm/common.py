@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.sources import tables
+
 #: Rows that an Arrow batch holds at most; long texts make larger batches too big for a worker.
 BATCH_ROWS = 1024
 #: Characters (or bytes) of text that a Python worker handles at a time, besides one text that alone exceeds it.
@@ -17,7 +19,7 @@ SLICE_CHARS = 1 << 21
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:

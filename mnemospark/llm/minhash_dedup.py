@@ -158,10 +158,13 @@ def _sized(a: str, b: str) -> str:
 def blocks_of(shared: DataFrame) -> DataFrame:
     """(doc_id, block) of all documents that share a bucket: at most about BLOCK documents to a block.
 
-    A document's home is the smallest leader of its buckets, so that documents that are compared with each other
-    mostly have one home, and their texts meet once however many buckets they share.
+    A document's home starts as the smallest leader of its buckets and becomes the smallest home in any of them, so
+    that documents that are compared with each other mostly have one home, and their texts meet once however many
+    buckets they share. Two steps do not run along chains of groups.
     """
     homes = shared.groupBy("doc_id").agg(F.min("leader").alias("home"))
+    by_band = split_join(shared.select("band", "doc_id"), homes, "doc_id").groupBy("band").agg(F.min("home").alias("home"))
+    homes = materialize(split_join(shared.select("band", "doc_id"), by_band, "band").groupBy("doc_id").agg(F.min("home").alias("home")))
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     return split_join(homes, sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
 
@@ -244,27 +247,28 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
 def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
     """(i, j, doc_id): where documents of different components, that share a bucket and survive the signatures, are to meet.
 
-    Buckets: (band, doc_id, component, block). A large bucket is compared in slices inside tasks; a task's result
-    has at most one row for each of its documents and blocks.
+    Buckets: (band, nth, doc_id, component, block). A large bucket is compared in slices inside tasks; a task's result
+    has at most one row for each of its documents and blocks, and a pair counts in the first band that it shares.
     """
     count = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     members = split_join(buckets, count, "band").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    members = members.select("band", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "doc_id", "component", "block")
+    members = members.select("band", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "nth", "doc_id", "component", "block")
     rows = members.join(sketches.select("doc_id", "sig", "n_shingles"), "doc_id")
-    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "slice").select("band", "low", "high", "slice", "doc_id", "component", "block", "n_shingles", "sig")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "slice").select("band", "low", "high", "slice", "nth", "doc_id", "component", "block", "n_shingles", "sig")
     arrow_rows(buckets.sparkSession, 4096)
 
     def compare(held: list[tuple]) -> pa.RecordBatch:
-        part, doc, comp, block, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
-        sig = np.frombuffer(b"".join(h[5] for h in held), np.uint32).reshape(-1, HASHES)
-        first, last = part[0], part[-1]
+        part, nth, doc, comp, block, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:6])
+        sig = np.frombuffer(b"".join(h[6] for h in held), np.uint32).reshape(-1, HASHES)
+        first, last, before = part[0], part[-1], int(nth[0])
         found = []
         for a in np.flatnonzero(part == first):
             b = np.flatnonzero((part == last) & (comp != comp[a]) & (np.minimum(n, n[a]) * 100 >= SIMILAR * np.maximum(n, n[a])))
             b = b[b > a]
             if len(b):
                 b = b[bayes_survivors(np.zeros(len(b), np.int64), b, sig[a : a + 1], sig)]
+                b = b[~(sig[b, : before * ROWS] == sig[a, : before * ROWS]).reshape(len(b), before, ROWS).all(axis=2).any(axis=1)]
                 if len(b):
                     i, j = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
                     found += [np.stack([i, j, doc[b]]), np.unique(np.stack([i, j, np.full(len(b), doc[a])]), axis=1)]
@@ -292,17 +296,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = sketches.where("set_key is not null and doc_id is not null")
     heads = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("head")))
     distinct = materialize(sets.join(heads, "set_key").where("doc_id = head").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"))
-    bands = distinct.select("doc_id", F.explode("bands").alias("band"))
+    bands = distinct.select("doc_id", F.posexplode("bands").alias("nth", "band"))
     buckets = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(split_join(bands, buckets, "band").select("band", "doc_id", "leader", "members"))
+    shared = materialize(split_join(bands, buckets, "band").select("band", "nth", "doc_id", "leader", "members"))
     pairs = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     blocks = materialize(blocks_of(shared))
     links = materialize(verify(docs, materialize(_meetings(pairs, blocks)), key, text))
     found = materialize(connected_components(links))
-    placed = split_join(shared.where("members > 2 and doc_id <> leader").select("band", "doc_id"), found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = split_join(shared.where("members > 2 and doc_id <> leader").select("band", "nth", "doc_id"), found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    still = split_join(split_join(placed, open_bands, "band").select("band", "doc_id", "component"), blocks, "doc_id")
+    still = split_join(split_join(placed, open_bands, "band").select("band", "nth", "doc_id", "component"), blocks, "doc_id")
     more = verify(docs, materialize(_across(still, distinct)), key, text, found)
     joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     component = connected_components(joined)
