@@ -107,15 +107,33 @@ def token_table(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token")).groupBy("token", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def search_text(queries: DataFrame, index: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
-    """(query_id, key, matched, score, rank) of (query_id, terms) against a token table, any term sufficing.
+#: Distinct query terms up to which they are broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def postings_of(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(query_id, key, token, pos) from a token table that is kept for many searches."""
+    return index.join(wanted, "token").select("query_id", key, "token", F.explode("positions").alias("pos"))
+
+
+def postings_in(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """The same straight from the texts: only tokens that some query asks for leave the scan; nothing is indexed."""
+    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    found = documents.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    return found.join(F.broadcast(wanted) if small else wanted, "token").select("query_id", key, "token", "pos")
+
+
+def search_terms_of(queries: DataFrame) -> DataFrame:
+    """(query_id, token) of queries (query_id, terms)."""
+    return queries.select("query_id", F.explode("terms").alias("token")).distinct()
 
-    Each query meets only the postings of its own terms. The raw rank grows with the number of matched terms and with
-    how near they stand: the sum over neighbouring matches of different terms of 1 / distance, plus a tenth of a point
-    for each match; r / (r + 1) is returned.
+
+def rank_postings(hits: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """(query_id, key, matched, score, rank) of postings (query_id, key, token, pos), any term sufficing.
+
+    The raw rank grows with the number of matched terms and with how near they stand: the sum over neighbouring
+    matches of different terms of 1 / distance, plus a tenth of a point for each match; r / (r + 1) is returned.
     """
-    wanted = queries.select("query_id", F.explode("terms").alias("token")).distinct()
-    hits = index.join(wanted, "token").select("query_id", key, "token", F.explode("positions").alias("pos"))
     w = Window.partitionBy("query_id", key).orderBy("pos")
     hits = hits.withColumn("near", F.when(F.lag("token").over(w) != F.col("token"), 1.0 / (F.col("pos") - F.lag("pos").over(w))).otherwise(0.0))
     raw = hits.groupBy("query_id", key).agg(F.count_distinct("token").alias("matched"), F.sum(F.col("near") + 0.1).alias("raw"))
@@ -125,6 +143,16 @@ def search_text(queries: DataFrame, index: DataFrame, key: str, k: int | None =
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def search_text(queries: DataFrame, index: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """Text search of (query_id, terms) against a token table."""
+    return rank_postings(postings_of(index, key, search_terms_of(queries)), key, k, least)
+
+
+def search_documents(queries: DataFrame, documents: DataFrame, key: str, text: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """Text search of (query_id, terms) in one pass over the documents."""
+    return rank_postings(postings_in(documents, key, text, search_terms_of(queries)), key, k, least)
+
+
 def fuse(legs: Sequence[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:
     """(query_id, key, score, rank): reciprocal rank fusion of legs (query_id, key, rank) with weights; a missing leg adds nothing."""
     parts = [leg.select("query_id", key, (F.lit(weight) / (RRF_K + F.col("rank"))).alias("part")) for leg, weight in legs]

@@ -93,9 +93,15 @@ _SEARCH = f"""
 
 
 def _text_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
+    return retrieval.search_documents(asked, tables.read(spark, sf_dir, "documents"), "doc_id", "text", k)
+
+
+@query(f"SELECT * FROM ({_SEARCH}) WHERE rank <= 10")
+def search_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
     index = retrieval.token_table(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
-    return retrieval.search_text(asked, index, "doc_id", k)
+    return retrieval.search_text(asked, index, "doc_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"SELECT * FROM ({_SEARCH}) WHERE rank <= 10")

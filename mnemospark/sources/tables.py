@@ -9,7 +9,21 @@ from mnemospark.functions.columns import content_hash, word_count
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+#: Tables whose rows take long to work on.
+TEXT_TABLES = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where their files make fewer tasks than that; any larger input is left as it is.
+
+    A small file of one row group is one task, however long its texts take.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 #: What each event type of the raw table stands for.
