@@ -34,6 +34,15 @@ def time_by(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("events"), F.sum("duration_seconds").alias("seconds"), F.max("occurred_at").alias("last_at"))
 
 
+def time_by_topic(events: DataFrame, documents: DataFrame, topics: DataFrame) -> DataFrame:
+    """Seconds, events and last time per topic: events meet documents (url, document_id) and their topics (document_id, topic).
+
+    Events without a document are absent; a document with several topics counts for each.
+    """
+    read = events.join(documents.select("url", "document_id"), "url").join(topics.select("document_id", "topic").distinct(), "document_id")
+    return time_by(read, "topic")
+
+
 def time_by_day_pivot(events: DataFrame, column: str, values: list[str]) -> DataFrame:
     """A column of seconds per value and one row per day, with the day's total over these values."""
     days = events.where(F.col(column).isin(values)).groupBy(F.to_date("occurred_at").alias("day")).pivot(column, values).agg(F.sum("duration_seconds")).na.fill(0, values)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import cosine
-from mnemospark.operators import memory, retrieval, rollups
+from mnemospark.operators import lifecycle, memory, retrieval, rollups
+from mnemospark.plans.events import V_EVENTS
 from mnemospark.sources import tables
 
 QUERIES: dict = {}
@@ -84,14 +85,21 @@ def _tokens_sql(column: str) -> str:
 
 _INDEX = f"SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)"
 _WANTED = f"SELECT DISTINCT item_id AS query_id, unnest(t) AS token FROM (SELECT item_id, {_tokens_sql('text')} AS t FROM benchmark)"
-_SEARCH = f"""
-    WITH h AS (SELECT w.query_id, i.doc_id, i.token, i.pos FROM ({_INDEX}) i JOIN ({_WANTED}) w ON i.token = w.token),
+
+
+def _search_sql(index: str, wanted: str) -> str:
+    """Ranked postings as SQL, of (doc_id, token, pos) and (query_id, token)."""
+    return f"""
+    WITH h AS (SELECT w.query_id, i.doc_id, i.token, i.pos FROM ({index}) i JOIN ({wanted}) w ON i.token = w.token),
     n AS (SELECT *, CASE WHEN lag(token) OVER w <> token THEN 1.0 / (pos - lag(pos) OVER w) ELSE 0.0 END AS near FROM h WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)),
     r AS (SELECT query_id, doc_id, count(DISTINCT token) AS matched, sum(CAST(near AS DOUBLE) + 0.1) AS raw FROM n GROUP BY query_id, doc_id)
     SELECT query_id, doc_id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, score DESC, doc_id) AS rank
     FROM (SELECT query_id, doc_id, matched, round(raw / (raw + 1), 6) AS score FROM r)"""
 
 
+_SEARCH = _search_sql(_INDEX, _WANTED)
+
+
 def _text_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked = tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
     return retrieval.search_documents(asked, tables.read(spark, sf_dir, "documents"), "doc_id", "text", k)
@@ -284,3 +292,34 @@ def memory_access_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = tables.read(spark, sf_dir, "conversations").where("turn % 3 > 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.explode(F.sequence(F.lit(1), (F.col("turn") % 3).cast("int"))).alias("n"))
     uses = uses.withColumn("used_at", F.expr("TIMESTAMP_NTZ '2024-06-01 00:00:00'"))
     return rollups.access_bump(held, uses).select("memory_id", "access_count")
+
+
+# ---- activity: text leg, time and topics
+
+_EVENT_TEXT = f"type || ' ' || domain || ' item' || CAST(k % 50 AS VARCHAR)"
+_EVENT_INDEX = f"SELECT event_id AS doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS})))"
+_EVENT_WANTED = f"SELECT DISTINCT event_id AS query_id, unnest(t) AS token FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS}) WHERE event_id % 2000 = 0))"
+
+
+@query(f"SELECT query_id, doc_id AS event_id, matched, score, rank FROM ({_search_sql(_EVENT_INDEX, _EVENT_WANTED)}) WHERE rank <= 10")
+def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = tables.activity_events(spark, sf_dir).select("event_id", F.concat("type", F.lit(" "), "domain", F.lit(" item"), (F.col("k") % 50).cast("string")).alias("text"))
+    asked = texts.where("event_id % 2000 = 0").select(F.col("event_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
+    return retrieval.search_documents(asked, texts, "event_id", "text", 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"""SELECT t.topic, count(*) AS events, CAST(sum(e.duration_seconds) AS BIGINT) AS seconds, max(e.occurred_at) AS last_at FROM ({V_EVENTS}) e
+    JOIN (SELECT doc_id, 'https://site' || CAST(doc_id % 12 AS VARCHAR) || '.example.com/p/' || CAST(doc_id AS VARCHAR) AS url FROM documents) d ON d.url = e.url
+    JOIN (SELECT DISTINCT vec_id // 5 AS document_id, label AS topic FROM embeddings) t ON t.document_id = d.doc_id GROUP BY t.topic""")
+def time_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://site"), (F.col("doc_id") % 12).cast("string"), F.lit(".example.com/p/"), F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), url.alias("url"))
+    return rollups.time_by_topic(tables.activity_events(spark, sf_dir), docs, tables.chunks(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT vec_id // 5 AS document_id, label AS topic_id, round(count(*) / 5.0, 6) AS confidence FROM embeddings GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, topic_id) AS rn FROM c)
+    SELECT document_id, topic_id, CAST(confidence AS DOUBLE) AS confidence, rn = 1 AS is_primary FROM r WHERE rn <= 3""")
+def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = tables.chunks(spark, sf_dir).groupBy("document_id", F.col("topic").alias("topic_id")).agg(F.round(F.count("*") / 5.0, 6).alias("confidence"))
+    return lifecycle.assign_topics(hits, hits.limit(0), 3)
