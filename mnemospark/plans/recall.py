@@ -296,14 +296,14 @@ def memory_access_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- activity: text leg, time and topics
 
-_EVENT_TEXT = f"type || ' ' || domain || ' item' || CAST(k % 50 AS VARCHAR)"
+_EVENT_TEXT = "type || ' ' || split_part(domain, '.', 1) || ' item' || CAST(k % 50 AS VARCHAR)"
 _EVENT_INDEX = f"SELECT event_id AS doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS})))"
 _EVENT_WANTED = f"SELECT DISTINCT event_id AS query_id, unnest(t) AS token FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS}) WHERE event_id % 2000 = 0))"
 
 
 @query(f"SELECT query_id, doc_id AS event_id, matched, score, rank FROM ({_search_sql(_EVENT_INDEX, _EVENT_WANTED)}) WHERE rank <= 10")
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = tables.activity_events(spark, sf_dir).select("event_id", F.concat("type", F.lit(" "), "domain", F.lit(" item"), (F.col("k") % 50).cast("string")).alias("text"))
+    texts = tables.activity_events(spark, sf_dir).select("event_id", F.concat("type", F.lit(" "), F.substring_index("domain", ".", 1), F.lit(" item"), (F.col("k") % 50).cast("string")).alias("text"))
     asked = texts.where("event_id % 2000 = 0").select(F.col("event_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
     return retrieval.search_documents(asked, texts, "event_id", "text", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
