@@ -248,7 +248,7 @@ def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
     """(i, j, doc_id): where documents of different components, that share a bucket and survive the signatures, are to meet.
 
     Buckets: (band, nth, doc_id, component, block). A large bucket is compared in slices inside tasks; a task's result
-    has at most one row for each of its documents and blocks, and a pair counts in the first band that it shares.
+    has one row for each of its documents, and a pair counts in the first band that it shares.
     """
     count = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
     members = split_join(buckets, count, "band").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices")).cast("int"))
@@ -271,16 +271,20 @@ def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
                 b = b[~(sig[b, : before * ROWS] == sig[a, : before * ROWS]).reshape(len(b), before, ROWS).all(axis=2).any(axis=1)]
                 if len(b):
                     i, j = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
-                    found += [np.stack([i, j, doc[b]]), np.unique(np.stack([i, j, np.full(len(b), doc[a])]), axis=1)]
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["i", "j", "doc_id"])
+                    found += [np.stack([doc[b], i, j]), np.unique(np.stack([np.full(len(b), doc[a]), i, j]), axis=1)]
+        ids, i, j = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+        own, begin = np.unique(ids, return_index=True)  # one row for each document
+        meets = pa.ListArray.from_arrays(pa.array([*begin, len(ids)], pa.int32()), pa.StructArray.from_arrays([pa.array(i), pa.array(j)], ["i", "j"]))
+        return pa.RecordBatch.from_arrays([pa.array(own), meets], ["doc_id", "meets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _runs(batches, 3):
             if len(held) > 1:
                 yield compare(held)
 
-    return rows.mapInArrow(run, "i bigint, j bigint, doc_id bigint").distinct()
+    found = rows.mapInArrow(run, "doc_id bigint, meets array<struct<i:bigint,j:bigint>>")
+    each = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("meets"))).alias("meets"))
+    return each.select("doc_id", F.explode("meets").alias("m")).select("m.i", "m.j", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
