@@ -99,13 +99,16 @@ def _permuted(slot: Column, n: Column, key: Column) -> Column:
     return x
 
 
-def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, drawn): where every row's words lie on the blocks of its source, and which blocks are drawn how often.
 
-    spans: rid, key, size, source_size, target, sid, start; drawn: sid, block, times.
+    spans: rid, key, size, source_size, target, sid, start; drawn: sid, block, times. The key may be null or repeat;
+    ``rid`` names a column that tells rows apart, without one they get numbers that hold in the result only. Rows that
+    share a key are placed by a hash of their texts, so a frequent key is spread over the lanes as well.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"))
-    rows = materialize(rows.withColumn("lane", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(LANES))))
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(number.alias("rid"), F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(blank(text)).alias("words"))
+    rows = materialize(rows.withColumn("lane", F.pmod(F.xxhash64("key", "words", F.lit(seed)), F.lit(LANES))))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("bigint"))
     targets = targets.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
@@ -113,10 +116,10 @@ def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     lanes = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     lanes = lanes.withColumn("lane_start", F.coalesce(F.sum("lane_size").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     lanes = lanes.alias("l").join(targets.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select("sid", "l.source", "lane", "lane_start", "source_size", "target")
-    inside = Window.partitionBy("source", "lane").orderBy(F.col("key").isNull(), "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "lane").orderBy(F.col("key").isNull(), "key", "size", "words").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     spans = placed.alias("r").join(lanes.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.lane") == F.col("n.lane")))
-    spans = materialize(spans.select("key", "size", "source_size", "target", "sid", (F.col("lane_start") + F.col("offset")).alias("start")))
+    spans = materialize(spans.select("rid", "key", "size", "source_size", "target", "sid", (F.col("lane_start") + F.col("offset")).alias("start")))
     slots = shard_counts(targets, seed).select("sid", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
     slots = slots.join(F.broadcast(targets.select("sid", "blocks")), "sid")
     epoch = F.floor(F.col("slot") / F.col("blocks"))
@@ -125,7 +128,7 @@ def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def _pieces(spans: DataFrame, drawn: DataFrame) -> DataFrame:
-    """One row per row and block that it lies on: key, sid, start, the words' range in the document, times."""
+    """One row per row and block that it lies on: rid, sid, start, the words' range in the document, times."""
     first, last = F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)
     on = spans.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS) - F.col("start")
@@ -151,18 +154,20 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """The mix as rows with the columns of ``docs``: each row comes once per pass in which blocks of it are drawn.
 
     Its text is then the drawn words, with the white space between them; runs that are not adjacent are joined by a
-    line feed. Rows without words are in no block and so in no mix. Rows that repeat a key each come with the draws of
-    all of them, as far as their own words go.
+    line feed. Rows without words are in no block and so in no mix. Rows with a null key, and rows that repeat one, are
+    documents of their own with their own draws. The rows are written once with a number each, by which they meet
+    their draws again.
     """
     arrow_rows(docs.sparkSession)
-    spans, drawn = draw_blocks(docs, key, text, source, seed)
-    passes = _pieces(spans, drawn).select("key", "low", "high", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("pass"))
-    takes = passes.groupBy("key", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))  # bounded by one text's blocks
-    takes = takes.groupBy("key").agg(F.collect_list("runs").alias("passes"))
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    joined = docs.select(row, F.col(key).alias("key")).join(takes, "key").select("row", "passes")
-    joined = joined.select("row", F.explode("passes").alias("runs"))
+    rows = materialize(docs.select(row, F.monotonically_increasing_id().alias("rid")))
+    named = rows.select("rid", *[F.col("row").getField(c).alias(n) for c, n in ((key, "key"), (text, "text"), (source, "source"))])
+    spans, drawn = draw_blocks(named, "key", "text", "source", seed, "rid")
+    passes = _pieces(spans, drawn).select("rid", "low", "high", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("pass"))
+    takes = passes.groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))  # bounded by one text's blocks
+    takes = takes.groupBy("rid").agg(F.collect_list("runs").alias("passes"))
+    joined = rows.join(takes, "rid").select("row", F.explode("passes").alias("runs"))
 
     @F.pandas_udf("string")
     def words_of(texts: pd.Series, runs: pd.Series) -> pd.Series:

@@ -228,6 +228,25 @@ def test_mixed_documents_hold_the_taken_words(spark, sf):
     assert [tuple(r) for r in said] == [tuple(r) for r in taken]
 
 
+def test_mixed_documents_of_null_and_repeated_keys(spark):
+    rows = [(None, f"n{i}", 90 + i) for i in range(12)] + [(7, f"k{i}", 150) for i in range(6)] + [(8, "same", 200)] * 5 + [(100 + i, f"u{i}", 80) for i in range(6)]
+    docs = spark.createDataFrame([(k, " ".join([w] * n), "s" if w[0] in "nu" else None, i) for i, (k, w, n) in enumerate(rows)], "doc_id bigint, text string, source string, rid int")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken, said, of_row = {}, {}, {}
+    for r in mixing.mixture(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    for r in mixed.collect():
+        words = r.text.split()
+        assert (r.doc_id, set(words)) == (rows[r.rid][0], {rows[r.rid][1]})
+        said[r.doc_id] = said.get(r.doc_id, 0) + len(words)
+        of_row[r.rid] = of_row.get(r.rid, 0) + len(words)
+    assert said == {k: n for k, n in taken.items() if n} and said[None] and said[7] and said[8]
+    assert all(n <= mixing.MOST_REPEATS * rows[i][2] for i, n in of_row.items())
+    by_text = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert by_text(mixing.mixed_documents(docs.repartition(5))) == by_text(mixed)
+
+
 def test_permutation_is_one():
     from pyspark.sql import SparkSession
 
