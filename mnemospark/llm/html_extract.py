@@ -2,12 +2,13 @@
 
 First pass: in each page the containers are scored by the text they hold, links counted against them, and the deepest
 container that still holds nearly all of it is the page's choice. Its path is generalised (tags, classes without
-their numbers) and counts as a vote; Spark sums the votes per host. Second pass: each page is read again and the text
+their numbers) and counts, as a hash of the whole of it, as a vote; Spark sums the votes per host. Second pass: each page is read again and the text
 is taken from the containers at its host's winning path, or at its own choice where it has no such container.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -32,41 +33,51 @@ BESIDE = frozenset(
 )
 #: Share of a container's text that one child must hold to be chosen instead of it.
 NEARLY_ALL = 0.7
-#: Hosts up to which the winning paths are broadcast (a path has at most PATH_CHARS characters); beyond, they are joined.
-BROADCAST_HOSTS, PATH_CHARS = 20_000, 200
+#: Hosts up to which the winning paths are broadcast (a path is a hash of PATH_BYTES bytes, in hex); beyond, they are joined.
+BROADCAST_HOSTS, PATH_BYTES = 20_000, 16
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_EACH = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
     """A container: its tag and generalised step, whether it stands beside the article, and what it holds in order."""
 
-    __slots__ = ("beside", "items", "links", "parent", "step", "tag", "text")
+    __slots__ = ("beside", "items", "links", "parent", "path", "tag", "text")
 
     def __init__(self, tag: str, step: str, beside: bool, parent: Node | None):
-        self.tag, self.step, self.beside, self.parent = tag, step, beside, parent
+        self.tag, self.beside, self.parent = tag, beside, parent
+        #: running hash of all steps from the root to here
+        self.path = hashlib.blake2b((parent.path if parent else b"") + step.encode("utf-8", "surrogatepass"), digest_size=PATH_BYTES).digest()
         self.items: list[Node | str | None] = []  # a None ends a block
         self.text = self.links = 0
 
-    def path(self) -> str:
-        return (f"{self.parent.path()}/" if self.parent else "") + self.step
+
+def _hidden(attributes: str) -> bool:
+    """Whether attributes hide the element: hidden as a name of its own, aria-hidden or a style without display."""
+    for m in _EACH.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
 
 
 def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step, and whether names in it mark a part beside the article."""
+    """The generalised step, and whether the element is hidden or names in it mark a part beside the article."""
     names: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     said = names.get("class") or names.get("id") or ""
     step = ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in said.split())[:3]])
-    parts = {p.lower() for n in names.values() for p in _PART.findall(n)}
-    return step, bool(parts & BESIDE) or bool(attributes and _HIDDEN.search(attributes))
+    # an article is one whatever its classes say of comments, ads or sharing
+    parts = {p.lower() for n in names.values() for p in _PART.findall(n)} if tag != "article" else set()
+    return step, bool(parts & BESIDE) or bool(attributes and _hidden(attributes))
 
 
 def parse(page: str) -> Node:
@@ -144,11 +155,11 @@ def choose(root: Node) -> Node:
 
 
 def _find(root: Node, path: str) -> list[Node]:
-    """The outermost containers at a generalised path."""
-    found, stack = [], [root]
+    """The outermost containers at a generalised path, given as its hash in hex."""
+    found, stack, wanted = [], [root], bytes.fromhex(path)
     while stack:
         node = stack.pop()
-        if node.parent is not None and node.path()[:PATH_CHARS] == path:
+        if node.parent is not None and node.path == wanted:
             found.append(node)
         else:
             stack += [x for x in reversed(node.items) if isinstance(x, Node) and not x.beside]
@@ -195,7 +206,7 @@ def extract(page: str, path: str | None) -> str:
 
 
 def host_paths(pages: DataFrame, host: str, page: str) -> DataFrame:
-    """(host, path): the path with the most votes of each host, then the most text, then the last in order."""
+    """(host, path): the hash of the path with the most votes of each host, then the most text, then the last in order."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -204,8 +215,8 @@ def host_paths(pages: DataFrame, host: str, page: str) -> DataFrame:
             for h, s in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
                 node = choose(parse(s or ""))
                 if node.parent is not None:
-                    votes[h, node.path()[:PATH_CHARS]] += 1
-                    chars[h, node.path()[:PATH_CHARS]] += node.text
+                    votes[h, node.path.hex()] += 1
+                    chars[h, node.path.hex()] += node.text
             keys = list(votes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([chars[k] for k in keys], pa.int64())], ["host", "path", "votes", "chars"]

@@ -160,6 +160,32 @@ def test_html_consensus_wins(spark):
     assert {r.text for r in html_extract.extract_main_text(pages).where("page_id = 9").collect()} == {"brief"}
 
 
+def test_html_paths_are_whole(spark):
+    """Containers that differ only far down their paths are not one."""
+    deep = "<div class='flex items-center justify-between'>" * 12
+    usual = f"<body>{deep}<div class='aa'><p>" + "beside the story " * 3 + "</p></div><div class='bb'><p>" + "the story goes on " * 40 + "</p></div></body>"
+    pages = spark.createDataFrame([(i, "https://s.example/", usual) for i in range(4)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.extract_main_text(pages).collect()} == {" ".join(["the story goes on"] * 40)}
+    tree = html_extract.parse("<table>" + "<tr><td>" * 20_000 + "<p>" + "words " * 50)
+    assert html_extract.choose(tree).tag == "td"
+    nested = spark.createDataFrame([(1, "https://t.example/", "<table>" + "<tr><td>" * 3000 + "<p>" + "words " * 50)], "page_id bigint, url string, html string")
+    assert html_extract.extract_main_text(nested).first().text == " ".join(["words"] * 50)
+
+
+@pytest.mark.parametrize(
+    ("attributes", "beside"),
+    [("class='overflow-hidden'", False), ("title='a hidden gem' data-hidden='1'", False), ("class=x hidden", True), ("hidden=''", True), ("hidden='false'", False), ("aria-hidden=true", True), ("style='color:red; display: none'", True), ("class='comments-open'", True)],
+)
+def test_html_hidden_is_an_attribute(attributes, beside):
+    assert html_extract._step("div", attributes)[1] is beside
+
+
+def test_html_article_of_any_class():
+    page = "<body><article class='post comments-open has-related'><p>" + "the story " * 20 + "</p></article><div class='x'><p>teaser</p></div></body>"
+    assert html_extract.extract(page, None) == " ".join(["the story"] * 20)
+    assert "no" not in html_extract.extract("<body><article hidden><p>no</p></article><p>yes</p></body>", None)
+
+
 def test_html_of_the_tables(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     for r in html_extract.extract_main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
