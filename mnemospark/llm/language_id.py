@@ -97,8 +97,19 @@ class Parser(NamedTuple):
     cost: float
 
 
+def equal_shares(sizes: list[int], budget: int) -> list[int]:
+    """What each gets of a budget if all get the same, none more than its size, and what some leave goes to the rest."""
+    given, left = [0] * len(sizes), max(0, budget)
+    for done, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        given[i] = min(sizes[i], left // (len(sizes) - done))
+        left -= given[i]
+    return given
+
+
 def build_parser(lang: str, texts: list[str], chars: int) -> Parser:
-    line = np.concatenate([np.zeros(1, np.uint32), *[x for s in symbols(texts) for x in (s, np.zeros(1, np.uint32))]])[:chars]
+    docs = symbols(texts)
+    shares = equal_shares([len(s) for s in docs], chars - 1 - len(docs))
+    line = np.concatenate([np.zeros(1, np.uint32), *[x for s, n in zip(docs, shares, strict=True) for x in (s[:n], np.zeros(1, np.uint32))]])
     alphabet = np.unique(line)
     codes = np.searchsorted(alphabet, line)
     go = suffix_automaton(codes.tolist())
@@ -144,21 +155,24 @@ def parse_counts(parser: Parser, docs: list[np.ndarray]) -> np.ndarray:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Parser]:
     """A parser per language, from a bounded sample of labelled rows.
 
-    Of each language the TRAIN_DOCS rows with the smallest hash of the key are considered, each up to TRAIN_CHARS
-    characters; the automaton is built of the first TRAIN_CHARS symbols of them, fewer where the languages together
-    would exceed TRAIN_CHARS_ALL. Rows with a null text, language or key are not used.
+    Of each language the TRAIN_DOCS rows with the smallest hash of the key are considered. They share 4 * TRAIN_CHARS
+    characters equally (what a short one leaves goes to the others, no one has more than TRAIN_CHARS), and their
+    symbols share the automaton's TRAIN_CHARS likewise, fewer where the languages together would exceed
+    TRAIN_CHARS_ALL. Rows with a null text, language or key are not used.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
-    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.xxhash64(key).alias("h"), F.least(F.length(text), F.lit(TRAIN_CHARS)).alias("size"), F.col(text).alias("text"))
     # numbers alone decide who is in the sample; its texts are then fetched by a hash bound, which is one row per language
-    order = Window.partitionBy("lang").orderBy("h", "key")
-    chosen = labelled.select("lang", "h", "key").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
-    bound = materialize(chosen.groupBy("lang").agg(F.max("h").alias("bound")))
-    sample = labelled.join(F.broadcast(bound), "lang").where("h <= bound").withColumn("text", F.substring("text", 1, TRAIN_CHARS))
-    # of these, no more than the characters that are used
-    line = Window.partitionBy("lang").orderBy("h", "key", "text")
-    sample = sample.withColumn("place", F.row_number().over(line)).withColumn("before", F.coalesce(F.sum(F.length("text")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sample = sample.where((F.col("before") <= 4 * TRAIN_CHARS) & (F.col("place") <= TRAIN_DOCS))
+    order = Window.partitionBy("lang").orderBy("h", "key", "size")
+    chosen = labelled.select("lang", "h", "key", "size").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
+    # the share is a water level: with sizes ascending, what the smaller ones leave over those still to come, at its highest
+    line = Window.partitionBy("lang").orderBy("size", "place")
+    before = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level = F.floor((F.lit(4 * TRAIN_CHARS) - before) / (F.count("*").over(Window.partitionBy("lang")) - F.row_number().over(line) + 1))
+    bound = materialize(chosen.withColumn("level", level).groupBy("lang").agg(F.max("h").alias("bound"), F.max("level").alias("level")))
+    sample = labelled.join(F.broadcast(bound), "lang").where("h <= bound")
+    sample = sample.withColumn("text", F.expr(f"substring(text, 1, CAST(least(level, {TRAIN_CHARS}) AS INT))"))
+    sample = sample.withColumn("place", F.row_number().over(order.orderBy("h", "key", "size", "text"))).where(F.col("place") <= TRAIN_DOCS)
     rows = sample.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts")).orderBy("lang").collect()
     if not rows:
         return []
@@ -200,14 +214,25 @@ def detect_language(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language: only null texts and texts without letters go."""
+    """The rows of ``docs``, whole, whose text has a language: only null texts and texts without letters go.
+
+    A null language is replaced by the one that is found; other languages stay as they are. Without a labelled row to
+    learn from, texts with letters stay too, and their languages as they are.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(training, key, text, lang))
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        out: list[str | None] = []
         for start in range(0, len(texts), 256):
-            out += [x != UND for x in identify(held.value, [t or "" for t in texts.iloc[start : start + 256]])[0]]
-        return pd.Series(out, dtype=bool)
+            part = [t or "" for t in texts.iloc[start : start + 256]]
+            if held.value:
+                out += identify(held.value, part)[0]
+            else:
+                out += [None if d.any() else UND for d in symbols(part)]
+        return pd.Series(out, dtype=object)
 
-    return docs.where(known(F.col(text)))
+    columns = [F.coalesce(F.col(f"`{c}`"), F.col("__found")).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns]
+    # as it counts as nondeterministic, it is evaluated once and not again in the filter
+    known = docs.withColumn("__found", found.asNondeterministic()(F.col(text))).where(~F.col("__found").eqNullSafe(F.lit(UND)))
+    return known.select(*columns)

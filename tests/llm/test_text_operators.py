@@ -243,6 +243,30 @@ def test_language_of_documents(spark):
     assert {r.lang_pred for r in language_id.detect_language(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_language_kept_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 !?", None), (3, None, None), (4, "слово", None), (None, "x", None)], "doc_id bigint, text string, lang string")
+    kept = language_id.keep_identified(docs, docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted(docs.where("doc_id in (1, 4) or doc_id is null").collect(), key=str)
+
+
+def test_language_fills_what_is_null(spark):
+    say = {"aa": "kalomi tuka lomitu kalo " * 20, "bb": "schreng ulost engul schrost " * 20}
+    rows = [(i, say[lang], lang) for i, lang in enumerate(("aa", "bb") * 5)]
+    docs = spark.createDataFrame([*rows, (20, say["aa"], None), (21, say["bb"], None), (22, say["bb"], "aa"), (23, "12", None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang for r in language_id.keep_identified(docs, docs.where("doc_id < 10")).collect()}
+    assert got == {i: lang for i, _, lang in rows} | {20: "aa", 21: "bb", 22: "aa"}
+
+
+def test_language_learns_from_all_of_the_sample(spark):
+    assert language_id.equal_shares([100, 3, 50, 0], 43) == [20, 3, 20, 0] and language_id.equal_shares([2, 5], 90) == [2, 5]
+    words = ["alpha", "bravo", "charly", "delta", "wiz", "quux", "jump", "fog"]
+    docs = spark.createDataFrame([*[(i, "z" * 100_000, "aa") for i in range(20)], *[(100 + i, w, "aa") for i, w in enumerate(words)]], "doc_id bigint, text string, lang string")
+    (parser,) = language_id.train(docs)
+    assert {chr(c) for c in parser.alphabet if c} == set("".join(words) + "z")
+    assert abs(2 ** parser.cost - 1 - language_id.TRAIN_CHARS) < 20
+
+
 def test_language_held_out_accuracy(spark):
     import os
 
