@@ -64,9 +64,14 @@ def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least
 
 
 def match_vectors_blocked(query_rows: list[tuple[int, list[float]]], corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding") -> DataFrame:
-    """As :func:`match_vectors` for a block of at most QUERY_BLOCK queries held as a matrix: one matrix product a batch, k rows a query kept of each."""
-    ids = np.array([i for i, _ in query_rows[:QUERY_BLOCK]])
-    matrix = np.array([v for _, v in query_rows[:QUERY_BLOCK]], float)
+    """As :func:`match_vectors` for queries held as matrices of QUERY_BLOCK each: one matrix product a batch, k rows a query kept of each."""
+    blocks = [query_rows[at : at + QUERY_BLOCK] for at in range(0, len(query_rows), QUERY_BLOCK)] or [[]]
+    return reduce(DataFrame.unionByName, [_match_block(block, corpus, key, k, least, vector) for block in blocks])
+
+
+def _match_block(query_rows: list[tuple[int, list[float]]], corpus: DataFrame, key: str, k: int, least: float, vector: str) -> DataFrame:
+    ids = np.array([i for i, _ in query_rows])
+    matrix = np.array([v for _, v in query_rows], float)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(frames):

@@ -122,6 +122,14 @@ def test_blocked_search_equals_the_join(spark, sf):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
+def test_blocked_search_answers_every_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "chunk_id bigint, embedding array<double>")
+    asked = [(100 + i, [float(i), 1.0]) for i in range(8)]
+    got = {r.query_id: r.chunk_id for r in retrieval.match_vectors_blocked(asked, corpus, "chunk_id", 1).collect()}
+    assert got == {100 + i: i for i in range(8)}
+
+
 def test_merge_decisions(spark):
     rows = spark.createDataFrame([(None, None), (1, "duplicate"), (1, "complementary"), (1, "contradictory"), (1, "unrelated")], "match_id int, relation string")
     assert [r.d for r in rows.select(memory.merge_decision(F.col("relation"), F.col("match_id")).alias("d")).collect()] == ["insert", "reject", "merge", "supersede", "insert"]
