@@ -1,50 +1,59 @@
-"""Bloom filters whose bitmap has a fixed greatest size, built by Spark and tested where the rows are."""
+"""Bloom filters as tables of 64-bit words, built by Spark and tested beside the rows.
+
+A value hits PROBES bits of one word, which its hash names. The filter is the table (word, mask) of the words with a
+marked bit; a row finds its word by a join on the word's number. The number of words follows the number of rows, so
+the share of rows that pass by chance is the same at every size. The table is broadcast as long as it is small and
+joined by a shuffle beyond.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits that a row adds to the filter, and positions that it hits.
-BITS_PER_ROW, PROBES = 16, 3
-#: Bounds of the filter's size in bits: the larger is 32 MB to broadcast. With more rows it lets more through, and results stay the same.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+from mnemospark.llm.common import materialize, split_join
+
+#: Rows to a word, and bits that a row hits in it.
+ROWS_PER_WORD, PROBES = 2, 4
+LEAST_WORDS = 1 << 12
+#: Words with a marked bit up to which the table is broadcast: at two longs a word, 64 MB.
+BROADCAST_WORDS = 1 << 22
+
+
+def _bit(h: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit(k + 1)), F.lit(64)).cast("int")
 
 
-def _positions(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(bits)) for k in range(PROBES)]
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(h, F.lit(0)), F.lit(words))
 
 
-def bitmap_of(rows: DataFrame, column: str, count: int, hits: int = 1) -> tuple[np.ndarray, int]:
-    """The bitmap, as bytes, of the positions that at least ``hits`` rows hit, and its number of bits."""
-    bits = 1 << int(np.ceil(np.log2(min(MOST_BITS, max(LEAST_BITS, count * BITS_PER_ROW)))))
-    at = rows.select(F.explode(F.array(*_positions(F.col(column), bits))).alias("at"))
-    hit = at.groupBy("at").count().where(F.col("count") >= hits)
-    words = hit.groupBy(F.expr("at >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-    bitmap = np.zeros(bits >> 6, np.int64)
-    for part in words.toLocalIterator():
-        bitmap[part.word] = part.mask
-    return bitmap.view(np.uint8), bits
+def _probe(h: Column) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(h, k)) for k in range(PROBES)])
 
 
-def with_flag(rows: DataFrame, column: str, bitmap: np.ndarray, bits: int, flag: str) -> DataFrame:
-    """``rows`` with a column that is true wherever all positions of ``column`` are marked."""
-    held = rows.sparkSession.sparkContext.broadcast(bitmap)
+def filter_of(rows: DataFrame, column: str, count: int, hits: int = 1) -> tuple[DataFrame, int]:
+    """The table (word, mask) of the bits that at least ``hits`` rows hit, and the number of words it ranges over."""
+    words = max(LEAST_WORDS, 1 << ceil(log2(max(1, count / ROWS_PER_WORD))))
+    h = F.col(column)
+    bits = F.explode(F.array_distinct(F.array(*[_bit(h, k) for k in range(PROBES)]))).alias("bit")
+    hit = rows.select(_word(h, words).alias("word"), bits).groupBy("word", "bit").count().where(F.col("count") >= hits)
+    return materialize(hit.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), count), words
 
-    @F.pandas_udf("boolean")
-    def marked(*at: pd.Series) -> pd.Series:
-        found = np.ones(len(at[0]), bool)
-        for p in at:
-            p = p.to_numpy(np.int64)
-            found &= (held.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(found)
 
-    return rows.withColumn(flag, marked(*_positions(F.col(column), bits)))
+def with_flag(rows: DataFrame, column: str, marked: DataFrame, words: int, flag: str) -> DataFrame:
+    """``rows`` with a column that is true wherever all bits of ``column`` are marked."""
+    rows = rows.withColumn("__word", _word(F.col(column), words))
+    small = marked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    table = marked.withColumnRenamed("word", "__word").withColumnRenamed("mask", "__mask")
+    joined = rows.join(F.broadcast(table), "__word", "left") if small else split_join(rows, table, "__word", "left")
+    probe = _probe(F.col(column))
+    return joined.withColumn(flag, F.coalesce(F.col("__mask").bitwiseAND(probe) == probe, F.lit(False))).drop("__word", "__mask")
 
 
 def only_possible(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """``rows`` less most of those whose ``column`` is not among the values of ``wanted`` (one column of that name), before a join shuffles them."""
-    bitmap, bits = bitmap_of(wanted, column, wanted.count())
-    return with_flag(rows, column, bitmap, bits, "__possible").where("__possible").drop("__possible")
+    return with_flag(rows, column, *filter_of(wanted, column, wanted.count()), "__possible").where("__possible").drop("__possible")

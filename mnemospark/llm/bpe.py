@@ -13,7 +13,7 @@ import heapq
 import json
 import re
 from array import array
-from functools import lru_cache
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text
+from mnemospark.llm.common import map_text, worker_state
 
-#: Distinct chunks whose ids a worker remembers, and twice the number of its pre-tokens.
-CACHE_CHUNKS = 500_000
+#: Distinct chunks whose ids a worker remembers, and twice the number of its pre-tokens; about 20 MB.
+CACHE_CHUNKS = 80_000
 #: Chunks and pre-tokens above this length are encoded but not remembered.
 CACHE_CHARS = 64
 #: Positions from which the merges of a pair are made together.
@@ -188,42 +188,60 @@ class ByteBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def load_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def load_bpe(tokenizer: str) -> ByteBpe:
+    """The tokenizer of that file, which a worker loads once; a file name of public_tokenizers or a path."""
+    path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
+    return worker_state(f"bpe {path}", lambda: ByteBpe(path))
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """Token ids and decoded text of every row: (key, n_tokens, ids, decoded).
+def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, columns: dict[str, tuple[str, Callable[[ByteBpe, list[bytes]], pa.Array]]]) -> DataFrame:
+    """Encode every text where it is; each column is made of a slice's ids by its function."""
 
-    A null text counts as empty and has no tokens; a null key stays null; repeated rows give repeated results; other
-    columns are left aside. Special tokens' strings in a text become their ids. ``tokenizer`` is a file name of the
-    public_tokenizers package or a path that every executor can read.
-    """
+    def run(keys: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
+        bpe = load_bpe(tokenizer)
+        ids = bpe.encode(texts)
+        return pa.RecordBatch.from_arrays([*keys, *[make(bpe, ids) for _, make in columns.values()]], [key, *columns])
 
-    def run(keys: list, texts: list[str]) -> pa.RecordBatch:
-        bpe = load_bpe(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        ids = [np.frombuffer(x, "<u4") for x in bpe.encode(texts)]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bpe.decode(x) for x in ids], pa.string())],
-            ["k", "n_tokens", "ids", "decoded"],
-        )
+    schema = ", ".join([f"`{key}` bigint", *[f"{name} {kind}" for name, (kind, _) in columns.items()]])
+    return map_text(docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias("__text")), run, schema)
 
-    return map_text(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")), run, "k bigint, n_tokens bigint, ids array<int>, decoded string").withColumnRenamed("k", key)
 
+def _count(bpe: ByteBpe, ids: list[bytes]) -> pa.Array:
+    return pa.array([len(x) // 4 for x in ids], pa.int64())
 
-def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, digested where the tokens are, so that neither ids nor texts travel."""
 
-    def run(keys: list, texts: list[str]) -> pa.RecordBatch:
-        bpe = load_bpe(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        ids = bpe.encode(texts)
-        decoded = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])],
-            ["k", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+def _lists(bpe: ByteBpe, ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
+def _texts(bpe: ByteBpe, ids: list[bytes]) -> list[str]:
+    return [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
+
 
-    return map_text(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")), run, "k bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+def _digests(parts: Iterable[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+
+
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", decoded: bool = True) -> DataFrame:
+    """Token ids and, if asked for, the decoded text of every row: (key, n_tokens, ids, decoded).
+
+    A null text counts as empty and has no tokens; a null key stays null; repeated rows give repeated results; other
+    columns are left aside; an empty table gives an empty result. Special tokens' strings in a text become their ids.
+    ``tokenizer`` is a file name of the public_tokenizers package or a path that every executor can read.
+    """
+    columns = {"n_tokens": ("bigint", _count), "ids": ("array<int>", _lists)}
+    if decoded:
+        columns["decoded"] = ("string", lambda bpe, ids: pa.array(_texts(bpe, ids), pa.string()))
+    return _encoded(docs, key, text, tokenizer, columns)
+
+
+def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row, digested where the tokens are, so that neither ids nor
+    texts travel; rows as in :func:`encode_documents`."""
+    columns = {
+        "n_tokens": ("bigint", _count),
+        "ids_sha256": ("string", lambda bpe, ids: _digests(ids)),
+        "decoded_sha256": ("string", lambda bpe, ids: _digests(t.encode() for t in _texts(bpe, ids))),
+    }
+    return _encoded(docs, key, text, tokenizer, columns)

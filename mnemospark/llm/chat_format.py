@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import arrow_rows
+from mnemospark.llm.common import bound_batches
 
 # The marks of a turn as they are written out.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -122,7 +122,7 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """
     rows = turns.select(F.col(conv).cast("bigint").alias("c"), F.col(turn).cast("bigint").alias("n"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     rows = rows.repartition("c").sortWithinPartitions("c", "n", "r", "t")
-    arrow_rows(turns.sparkSession)
+    bound_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))

@@ -1,21 +1,27 @@
-"""Helpers that the corpus operators share: batch slicing, materialising, keyed joins."""
+"""Helpers that the corpus operators share: bounded batches, materialising, keyed joins."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.sources import tables
 
-#: Rows that an Arrow batch holds at most; long texts make larger batches too big for a worker.
-BATCH_ROWS = 1024
-#: Characters (or bytes) of text that a Python worker handles at a time, besides one text that alone exceeds it.
-SLICE_CHARS = 1 << 21
+#: Bytes of an Arrow batch between Spark and a Python worker, besides one row that alone exceeds it.
+BATCH_BYTES = 1 << 22
+#: Bytes of text that a Python worker handles at a time, besides one text that alone exceeds it.
+SLICE_BYTES = 1 << 21
+#: Rows of a file of a small table.
+FILE_ROWS = 10_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,54 +29,77 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it; a temporary one in local mode only."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and a lost executor costs nothing that was written."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, and a lost executor costs nothing that was written.
+
+    The table goes when the application ends. ``rows``: about how many rows the table has; then so few of them do not
+    become a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, always to the same size, unless the session has its own bound.
+
+    Rows vary from a few bytes to whole books, so that a number of rows bounds nothing.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose values in a string or binary column have at most SLICE_BYTES together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(upto, SLICE_BYTES + (upto[start - 1] if start else 0), side="right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
-def map_text(df: DataFrame, fn: Callable[[list, list], pa.RecordBatch], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Run ``fn(keys, texts)`` over slices of a two-column frame (key, text); a null text arrives as the empty string."""
-    arrow_rows(df.sparkSession, batch_rows)
+def map_text(df: DataFrame, fn: Callable[[list[pa.Array], list], pa.RecordBatch], schema: str) -> DataFrame:
+    """Run ``fn(columns, texts)`` over slices of a frame whose last column is the text; a null text arrives as empty."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            start, held = 0, 0
-            for i, text in enumerate(texts):
-                if text is None:
-                    texts[i] = text = "" if pa.types.is_string(batch.column(1).type) else b""
-                if held and held + len(text) > SLICE_CHARS:
-                    yield fn(keys[start:i], texts[start:i])
-                    start, held = i, 0
-                held += len(text)
-            if start < len(texts):
-                yield fn(keys[start:], texts[start:])
+            empty = "" if pa.types.is_string(batch.column(batch.num_columns - 1).type) else b""
+            for x in slices(batch, batch.num_columns - 1):
+                *columns, texts = x.columns
+                yield fn(columns, [empty if t is None else t for t in texts.to_pylist()])
 
     return df.mapInArrow(run, schema)
 
 
+_held: dict[str, Any] = {}
+
+
+def worker_state(name: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker from one batch to the next. A worker holds that of one operator only,
+    as Spark goes on using its workers for other operators."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def split_join(rows: DataFrame, info: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with one row of ``info`` per ``key``, so that a key with a great share of ``rows`` can be split.
 
@@ -82,4 +111,4 @@ def split_join(rows: DataFrame, info: DataFrame, key: str, how: str = "inner") -
 
 
 def blank(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import checkpoint, split_join
+from mnemospark.llm.common import materialize, split_join
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -30,17 +30,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of ``links``; the component is the smallest node that links reach.
 
     Self-links and null ends are ignored, direction and repeats do not matter, no links give an empty frame. Each
-    round ends in a checkpoint; the rounds grow with the logarithm of the longest path. Only a count and a sum of
+    round is written as a table; the rounds grow with the logarithm of the longest path. Only a count and a sum of
     hashes per round reach the driver.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = checkpoint(edges)
-    before = None
-    while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
+    links = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    edges = materialize(links.distinct(), links.count())
+    state = F.struct(F.count("*").alias("rows"), F.sum((F.xxhash64("u", "v") % 1_000_000_007).cast("decimal(38,0)"))).alias("state")
+    now, before = edges.agg(state).first().state, None
+    while now.rows and now != before:
+        edges, before = materialize(_small_star(_large_star(edges)), now.rows), now
+        now = edges.agg(state).first().state
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import arrow_rows, materialize, split_join
+from mnemospark.llm.common import bound_batches, materialize, split_join
 from mnemospark.llm.components import connected_components
 
 #: Cosine of a link, and the probability at which a pair with just that cosine may share no bucket.
@@ -53,7 +53,7 @@ def _valid(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
             kept = x.select([0, 1]).take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(raw, pa.binary())], ["vec_id", "label", "vec"])
 
-    arrow_rows(rows.sparkSession)
+    bound_batches(rows.sparkSession)
     picked = rows.select(F.col(key).cast("bigint").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     return picked.where("vec_id is not null and label is not null and v is not null").mapInArrow(run, "vec_id bigint, label string, vec binary")
 
@@ -90,7 +90,7 @@ def _compare(held: list[tuple], table: int, i: int, j: int, tables: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(links[own]), pa.array(root[own])], ["vec_id", "links", "root"])
 
 
-def _links(heads: DataFrame, bits: int, tables: int) -> DataFrame:
+def _links(heads: DataFrame, rows: int, bits: int, tables: int) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = (1 << np.arange(bits)).astype(np.uint32)
         for x in batches:
@@ -107,7 +107,7 @@ def _links(heads: DataFrame, bits: int, tables: int) -> DataFrame:
             keys = [np.frombuffer(c, np.uint32).astype(np.int64) for c in out]
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "copies", "label", "vec", "codes", "buckets"])
 
-    placed = materialize(heads.select("vec_id", "copies", "label", "vec").mapInArrow(place, "vec_id bigint, copies bigint, label string, vec binary, codes binary, buckets array<bigint>"))
+    placed = materialize(heads.select("vec_id", "copies", "label", "vec").mapInArrow(place, "vec_id bigint, copies bigint, label string, vec binary, codes binary, buckets array<bigint>"), rows)
     spread = placed.select("vec_id", "label", F.octet_length("vec").alias("width"), F.posexplode("buckets").alias("tab", "code"))
     spread = spread.withColumn("bucket", F.xxhash64("label", "width", "tab", "code"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -143,9 +143,9 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """
     valid = materialize(_valid(vectors, key, vector, label).withColumn("vkey", F.sha2(F.concat_ws("|", F.hex(F.encode("label", "utf-8")), F.hex("vec")), 256)))
     heads = valid.groupBy("vkey").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
-    heads = materialize(valid.join(heads, "vkey").where("vec_id = head").dropDuplicates(["vec_id", "vkey"]).select("vec_id", "copies", "label", "vec", "vkey"))
-    bits, tables = tables_for(heads.count())
-    links = materialize(_links(heads.drop("vkey"), bits, tables))
+    heads = materialize(valid.join(heads, "vkey").where("vec_id = head").dropDuplicates(["vec_id", "vkey"]).select("vec_id", "copies", "label", "vec", "vkey"), valid.count())
+    rows = heads.count()
+    links = materialize(_links(heads.drop("vkey"), rows, *tables_for(rows)), rows)
     component = connected_components(links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     per_head = heads.select(F.col("vec_id").alias("head"), "copies", "vkey").join(degree.withColumnRenamed("vec_id", "head"), "head", "left").join(component.withColumnRenamed("node", "head"), "head", "left")

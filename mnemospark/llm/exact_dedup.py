@@ -1,7 +1,7 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-The first pass hashes every normalised text and marks, in a Bloom filter, the positions that at least two rows hit.
-The second pass tests every row: only rows whose positions are all marked may be repeated, and only those shuffle.
+The first pass hashes every normalised text and marks, in a Bloom filter, the bits that at least two rows hit. The
+second pass tests every row: only rows whose bits are all marked may be repeated, and only those shuffle.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bloom import bitmap_of, with_flag
+from mnemospark.llm.bloom import filter_of, with_flag
 from mnemospark.llm.common import blank, materialize, split_join
 
+
 def normalised(text: str) -> Column:
     """The text without the six ASCII white space characters; null counts as empty."""
     return F.regexp_replace(blank(text), "[ \\t-\\r]", "")
@@ -19,7 +20,7 @@ def normalised(text: str) -> Column:
 
 def with_repeat_flag(rows: DataFrame, h: str, count: int, hashes: DataFrame | None = None, flag: str = "maybe_repeated") -> DataFrame:
     """``rows`` with a flag that is true wherever the value of ``h`` occurs more than once (and rarely elsewhere)."""
-    return with_flag(rows, h, *bitmap_of(hashes if hashes is not None else rows, h, count, hits=2), flag)
+    return with_flag(rows, h, *filter_of(hashes if hashes is not None else rows, h, count, hits=2), flag)
 
 
 def _keepers(repeated: DataFrame, key: str) -> DataFrame:
@@ -28,6 +29,10 @@ def _keepers(repeated: DataFrame, key: str) -> DataFrame:
     return repeated.groupBy("text_sha256").agg(F.count("*").alias("group_size"), best.alias("__best")).select("text_sha256", "group_size", F.col("__best.k").alias("keep_id"))
 
 
+def _digest(text: str) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256")
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
 
@@ -36,7 +41,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     before all others. Rows that repeat one key are one document seen twice: both count in group_size, both carry the
     same verdict. An empty table gives an empty result; other columns are left aside.
     """
-    prints = materialize(docs.select(key, F.char_length(blank(text)).alias("__n"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256")).withColumn("__h", F.xxhash64("text_sha256")))
+    prints = materialize(docs.select(key, F.char_length(blank(text)).alias("__n"), _digest(text)).withColumn("__h", F.xxhash64("text_sha256")))
     flagged = with_repeat_flag(prints, "__h", prints.count())
     repeated = flagged.where("maybe_repeated")
     single = flagged.where("not maybe_repeated").select(key, F.col(key).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -47,14 +52,16 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole and with all their columns, that :func:`exact_duplicates` keeps.
 
-    Rows that the filter clears pass straight through; only rows that may be repeated shuffle with their texts.
+    Rows that the filter clears pass straight through; only rows that may be repeated shuffle with their texts. They
+    alone are digested, as the filter works on a shorter hash of the normalised text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    digest = F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256")
-    rows = docs.select(row, F.col(key).alias("__key"), digest).withColumn("__h", F.xxhash64("text_sha256"))
-    prints = materialize(docs.select(F.col(key).alias("__key"), F.char_length(blank(text)).alias("__n"), digest).withColumn("__h", F.xxhash64("text_sha256")))
-    count = prints.count()
-    flagged = with_repeat_flag(rows, "__h", count, hashes=prints)
-    keepers = _keepers(with_repeat_flag(prints, "__h", count).where("maybe_repeated"), "__key")
-    stay = split_join(flagged.where("maybe_repeated"), keepers, "text_sha256").where(F.col("__key").eqNullSafe(F.col("keep_id")))
+    h = F.xxhash64(normalised(text)).alias("__h")
+    prints = materialize(docs.select(h))
+    flagged = with_repeat_flag(docs.select(row, h), "__h", prints.count(), hashes=prints)
+    part = lambda c: F.col("__row").getField(c)
+    named = flagged.where("maybe_repeated").select("__row", part(key).alias("__key"), part(text).alias("__text"))
+    repeated = named.select("__row", "__key", F.char_length(blank("__text")).alias("__n"), _digest("__text"))
+    stay = split_join(repeated, _keepers(repeated.select("__key", "__n", "text_sha256"), "__key"), "text_sha256")
+    stay = stay.where(F.col("__key").eqNullSafe(F.col("keep_id")))
     return flagged.where("not maybe_repeated").select("__row.*").unionByName(stay.select("__row.*"))

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import SLICE_CHARS, arrow_rows, materialize, split_join
+from mnemospark.llm.common import bound_batches, materialize, slices, split_join
 
 # Element names by their part in a page.
 CONTAINERS = frozenset("html body main article section div header footer nav aside form ul ol dl table tbody thead tfoot tr td th center figure details fieldset head".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address hr figcaption summary caption option legend".split()) | CONTAINERS
 NEVER = frozenset("head nav footer aside form button select dialog menu".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|canvas|math"
+RAW = frozenset("script style noscript template iframe svg textarea title object canvas math".split())
 # Words in classes, ids and roles that mark parts beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments discussion disqus reply replies respond"
@@ -36,10 +36,10 @@ NEARLY_ALL = 0.7
 #: Hosts up to which the winning paths are broadcast (a path is a hash of PATH_BYTES bytes, in hex); beyond, they are joined.
 BROADCAST_HOSTS, PATH_BYTES = 20_000, 16
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile("[>\"']")
+_NEXT_BLOCK = re.compile("</?(?:" + "|".join(sorted(BLOCKS)) + r")[\s>/]", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _EACH = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -74,57 +74,136 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
     for m in _ATTRIBUTE.finditer(attributes):
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     said = names.get("class") or names.get("id") or ""
-    step = ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in said.split())[:3]])
+    step = ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in said.split())])
     # an article is one whatever its classes say of comments, ads or sharing
     parts = {p.lower() for n in names.values() for p in _PART.findall(n)} if tag != "article" else set()
     return step, bool(parts & BESIDE) or bool(attributes and _hidden(attributes))
 
 
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page's texts and tags in order, as (tag, attributes, text): a text has no tag, a closing tag begins with /.
+
+    Comments, declarations and raw elements (scripts, drawings and the like) are left out. A raw element that never
+    ends, ends at the next block. A quote in a tag that has no partner is a character as any other; if the tags of a
+    page then still do not end, quotes count for nothing from there on. Every part of a page is looked at a bounded
+    number of times: what is not found once, is not looked for again.
+    """
+    at, size, quotes, last = 0, len(page), True, page.rfind(">")
+    missing: set[str] = set()
+    text: list[str] = []
+
+    def end_of(at: int) -> int:
+        """Where the > of the tag at ``at`` is, outside quotes; -1 without one."""
+        while (m := _STOP.search(page, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if quotes and m[0] not in missing:
+                close = page.find(m[0], at)
+                if close < 0:
+                    missing.add(m[0])
+                else:
+                    at = close + 1
+        return -1
+
+    while at < size:
+        low = page.find("<", at)
+        if low < 0 or low > last:
+            text.append(page[at:])
+            break
+        if low > at:
+            text.append(page[at:low])
+        if page.startswith("<!--", low):
+            close = page.find("-->", low + 4)
+            at = size if close < 0 else close + 3
+            continue
+        if page[low + 1 : low + 2] in ("!", "?"):
+            at = page.find(">", low) + 1
+            continue
+        name = _NAME.match(page, low + 1)
+        if name is None:
+            text.append("<")
+            at = low + 1
+            continue
+        high = end_of(name.end())
+        if high < 0:
+            quotes = False
+            high = end_of(name.end())
+        tag, attributes, at = name[0].lower(), page[name.end() : high], high + 1
+        if tag in RAW:
+            if not attributes.endswith("/"):
+                m = None if tag in missing else _CLOSE[tag].search(page, at)
+                if m is None:
+                    missing.add(tag)
+                    m = _NEXT_BLOCK.search(page, at)
+                    at = m.start() if m else size
+                else:
+                    at = m.end()
+            continue
+        if text:
+            yield "", "", "".join(text)
+            text.clear()
+        yield tag, attributes, ""
+    if text:
+        yield "", "", "".join(text)
+
+
 def parse(page: str) -> Node:
     """The tree of containers; anything else is text, a block's end or markup to drop."""
     root = node = Node("", "", False, None)
-    links, at = 0, 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    links, open_tags = 0, Counter()
+    for tag, attributes, text in scan(page):
+        if not tag:
             node.items.append(text)
             size = len(text.strip())
             node.text += size
             node.links += size * (links > 0)
-        at = m.end()
-        tag = m[3]
-        if not tag:
             continue
-        tag = tag.lower()
+        closing, tag = tag[0] == "/", tag.lstrip("/")
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if closing else 1
         elif tag == "br":
             node.items.append(" ")
         elif tag in BLOCKS:
             node.items.append(None)
             if tag not in CONTAINERS:
                 continue
-            if m[2]:
-                up = node
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    node = up.parent
+            if closing:
+                while open_tags[tag]:
+                    found = node.tag == tag
+                    open_tags[node.tag] -= 1
+                    node = node.parent
                     node.items.append(None)
-            elif not m[4].endswith("/"):
+                    if found:
+                        break
+            elif not attributes.endswith("/"):
                 if tag == "body":
                     while node.parent is not None and node.tag != "html":
+                        open_tags[node.tag] -= 1
                         node = node.parent
-                step, beside = _step(tag, m[4])
+                step, beside = _step(tag, attributes)
                 child = Node(tag, step, tag in NEVER or (beside and tag not in ("html", "body", "main")), node)
+                open_tags[tag] += 1
                 node.items.append(child)
                 node, links = child, 0
-    if at < len(page):
-        node.items.append(page[at:])
-        node.text += len(page[at:].strip())
     return root
 
 
+def main_tree(page: str) -> tuple[Node, dict[int, float]]:
+    """The tree of a page and its containers' weights. Where all text stands in forms, forms are containers as others."""
+    root = parse(page)
+    score = _weigh(root)
+    if not score[id(root)]:
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == "form":
+                node.beside = False
+            stack += [x for x in node.items if isinstance(x, Node)]
+        score = _weigh(root)
+    return root, score
+
+
 def _weigh(root: Node) -> dict[int, float]:
     """Per container: text outside links less text in links, with all below it that does not stand beside the article."""
     score: dict[int, float] = {}
@@ -140,9 +219,8 @@ def _weigh(root: Node) -> dict[int, float]:
     return score
 
 
-def choose(root: Node) -> Node:
+def choose(root: Node, score: dict[int, float]) -> Node:
     """The deepest container that holds nearly all text; an article or main element among the candidates ends the search."""
-    score = _weigh(root)
     node = root
     while True:
         inner = [x for x in node.items if isinstance(x, Node) and not x.beside]
@@ -197,11 +275,11 @@ def blocks_of(node: Node) -> list[str]:
 
 
 def extract(page: str, path: str | None) -> str:
-    root = parse(page)
+    root, score = main_tree(page)
     found = _find(root, path) if path else []
     parts = [b for n in found for b in blocks_of(n)]
     if not parts:
-        parts = blocks_of(choose(root))
+        parts = blocks_of(choose(root, score))
     return "\n".join(parts)
 
 
@@ -209,11 +287,11 @@ def host_paths(pages: DataFrame, host: str, page: str) -> DataFrame:
     """(host, path): the hash of the path with the most votes of each host, then the most text, then the last in order."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in (part for batch in batches for part in slices(batch, 1)):
             votes: Counter = Counter()
             chars: Counter = Counter()
             for h, s in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                node = choose(parse(s or ""))
+                node = choose(*main_tree(s or ""))
                 if node.parent is not None:
                     votes[h, node.path.hex()] += 1
                     chars[h, node.path.hex()] += node.text
@@ -234,7 +312,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     null or empty page gives the empty text; a null or broken url counts to one host without a name; a null key stays
     null; repeated rows repeat (and vote each); other columns are left aside; an empty table gives an empty result.
     """
-    arrow_rows(pages.sparkSession, 512)
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).cast("string").alias("u"), F.col(page).cast("string").alias("page"), F.coalesce(F.lower(F.try_parse_url(F.col(url).cast("string"), F.lit("HOST"))), F.lit("")).alias("host"))
     paths = materialize(host_paths(rows, "host", "page"))
     if paths.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
@@ -243,20 +321,10 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
         joined = split_join(rows, paths, "host", "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(x: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["k", "u", "text", "n_chars"])
-
-        for x in batches:
-            start, texts, held = 0, [], 0
-            for i in range(x.num_rows):
-                text = extract(x.column(2)[i].as_py() or "", x.column(3)[i].as_py())
-                texts.append(text)
-                held += len(text)
-                if held > SLICE_CHARS:
-                    yield done(x.slice(start, i + 1 - start), texts)
-                    start, texts, held = i + 1, [], 0
-            if texts:
-                yield done(x.slice(start), texts)
+        for batch in batches:
+            for x in slices(batch, 2):
+                texts = [extract(p or "", path) for p, path in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["k", "u", "text", "n_chars"])
 
     out = joined.select("k", "u", "page", "path").mapInArrow(read, "k bigint, u string, text string, n_chars bigint")
     return out.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")

@@ -8,21 +8,20 @@ normalised by what a phrase costs with that much training text, the closer the d
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text, materialize
+from mnemospark.llm.common import bound_batches, map_text, materialize, worker_state
 
 #: Bounds of the training sample: documents considered and characters used of each language, characters of all languages.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_CHARS_ALL = 400, 40_000, 2_000_000
-#: Documents are parsed in stretches of this many symbols, many side by side; a phrase ends where its stretch ends.
-STRETCH = 1024
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_CHARS_ALL = 400, 40_000, 800_000
 UND = "und"
 _PLANE = 0x3000
 
@@ -44,57 +43,56 @@ def folded() -> np.ndarray:
     return table
 
 
-def symbols(texts: list[str]) -> list[np.ndarray]:
-    """Per text: lower-case letters' code points, with a 0 for each run of anything else."""
-    fold = folded()
-    out = []
-    for text in texts:
-        s = fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if len(s) > 1:
-            s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-        out.append(s)
-    return out
+def symbols(text: str) -> str:
+    """Lower-case letters, with one NUL for each run of anything else."""
+    s = folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(s) > 1:
+        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+    return s.tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton of a sequence (Blumer et al.); state 0 is the start."""
-    go: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(text: str) -> dict[str, dict]:
+    """The start state of the suffix automaton of a text (Blumer et al.). A state is the map of its transitions."""
+    start: dict[str, dict] = {}
+    go, link, length, last = [start], [-1], [0], 0
+    number = {id(start): 0}
+
+    def state(edges: dict, size: int, suffix: int) -> int:
+        go.append(edges)
+        length.append(size)
+        link.append(suffix)
+        number[id(edges)] = len(go) - 1
+        return len(go) - 1
+
     for c in text:
-        cur = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        cur = state({}, length[last] + 1, 0)
         p = last
         while p >= 0 and c not in go[p]:
-            go[p][c] = cur
+            go[p][c] = go[cur]
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = number[id(go[p][c])]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = len(go)
-                go.append(dict(go[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = clone
+                clone = state(dict(go[q]), length[p] + 1, link[q])
+                while p >= 0 and go[p].get(c) is go[q]:
+                    go[p][c] = go[clone]
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return go
+    return start
 
 
-class Parser(NamedTuple):
+class Sample(NamedTuple):
     lang: str
-    #: code points of the alphabet in order; anything else is the symbol after them
-    alphabet: np.ndarray
-    #: next state by state and symbol, plus the number of states where a phrase ends first
-    table: np.ndarray
-    states: int
-    #: bits of a phrase: where in the training text it points to
-    cost: float
+    #: the symbols that the language's automaton is built of
+    line: str
+
+    @property
+    def cost(self) -> float:
+        """Bits of a phrase: where in the training text it points to."""
+        return float(np.log2(len(self.line) + 1))
 
 
 def equal_shares(sizes: list[int], budget: int) -> list[int]:
@@ -106,94 +104,77 @@ def equal_shares(sizes: list[int], budget: int) -> list[int]:
     return given
 
 
-def build_parser(lang: str, texts: list[str], chars: int) -> Parser:
-    docs = symbols(texts)
+def sample_of(lang: str, texts: Iterable[str], chars: int) -> Sample:
+    """The training text of a language: its documents' symbols, equally shared, with a NUL about each."""
+    docs = [symbols(t) for t in texts]
     shares = equal_shares([len(s) for s in docs], chars - 1 - len(docs))
-    line = np.concatenate([np.zeros(1, np.uint32), *[x for s, n in zip(docs, shares, strict=True) for x in (s[:n], np.zeros(1, np.uint32))]])
-    alphabet = np.unique(line)
-    codes = np.searchsorted(alphabet, line)
-    go = suffix_automaton(codes.tolist())
-    # one state more, for a symbol that the text does not have: it is a phrase by itself
-    n, width = len(go) + 1, len(alphabet) + 1
-    start = np.array([go[0].get(c, n - 1) for c in range(width)], np.int32)
-    table = np.tile(start + n, (n, 1)).astype(np.int32)  # no match goes on: the phrase ends, the next begins with this symbol
-    for state, edges in enumerate(go):
-        for c, to in edges.items():
-            table[state, c] = to
-    table[0] = start
-    return Parser(lang, alphabet, table.ravel(), n, float(np.log2(len(line) + 1)))
-
-
-def parse_counts(parser: Parser, docs: list[np.ndarray]) -> np.ndarray:
-    """Phrases that each document takes; stretches of all documents advance together, one symbol a step."""
-    owner = np.repeat(np.arange(len(docs)), [-(-len(d) // STRETCH) for d in docs])
-    count = np.zeros(len(docs), np.int64)
-    if not len(owner):
-        return count
-    line = np.concatenate(docs)
-    slot = np.minimum(np.searchsorted(parser.alphabet, line), len(parser.alphabet) - 1)
-    codes = np.where(parser.alphabet[slot] == line, slot, len(parser.alphabet)).astype(np.int32)
-    begin = np.cumsum([0, *map(len, docs)])
-    starts = np.concatenate([np.arange(b, e, STRETCH) for b, e in zip(begin[:-1], begin[1:], strict=True)])
-    sizes = np.minimum(np.repeat(begin[1:], [-(-len(d) // STRETCH) for d in docs]) - starts, STRETCH)
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes, owner = starts[order], sizes[order], owner[order]
-    width, n = len(parser.alphabet) + 1, parser.states
-    state = np.zeros(len(starts), np.int32)
-    phrases = np.zeros(len(starts), np.int32)
-    live = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # stretches longer than each step
-    for step in range(int(sizes[0])):
-        k = live[step]
-        to = parser.table[state[:k] * width + codes[starts[:k] + step]]
-        ended = to >= n
-        phrases[:k] += ended
-        state[:k] = to - n * ended
-    np.add.at(count, owner, phrases + 1)
+    return Sample(lang, "\0" + "".join(s[:n] + "\0" for s, n in zip(docs, shares, strict=True)))
+
+
+def phrases(start: dict[str, dict], line: str) -> int:
+    """Phrases of the greedy cross-parse of a whole text; a symbol that the training text lacks is one by itself."""
+    count, state, none = 0, {}, {}
+    for c in line:
+        state = state.get(c)
+        if state is None:
+            count += 1
+            state = start.get(c, none)
     return count
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Parser]:
-    """A parser per language, from a bounded sample of labelled rows.
+def _rank(h: Column) -> Column:
+    """A hash as a number from 0 to 1."""
+    return F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40)
 
-    Of each language the TRAIN_DOCS rows with the smallest hash of the key are considered. They share 4 * TRAIN_CHARS
-    characters equally (what a short one leaves goes to the others, no one has more than TRAIN_CHARS), and their
-    symbols share the automaton's TRAIN_CHARS likewise, fewer where the languages together would exceed
-    TRAIN_CHARS_ALL. Rows with a null text, language or key are not used.
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Sample]:
+    """The training text of each language, from a bounded sample of labelled rows.
+
+    Of each language the TRAIN_DOCS rows with the smallest hash of key and text are considered, equal rows once. They
+    share 4 * TRAIN_CHARS characters equally (what a short one leaves goes to the others, no one has more than
+    TRAIN_CHARS), and their symbols share TRAIN_CHARS likewise, fewer where the languages together would exceed
+    TRAIN_CHARS_ALL. Rows with a null text, language or key are not used. A count per language gives a bound of the
+    hash that a few times TRAIN_DOCS rows are under, so that no more than these meet in a task.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
-    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.xxhash64(key).alias("h"), F.least(F.length(text), F.lit(TRAIN_CHARS)).alias("size"), F.col(text).alias("text"))
-    # numbers alone decide who is in the sample; its texts are then fetched by a hash bound, which is one row per language
-    order = Window.partitionBy("lang").orderBy("h", "key", "size")
-    chosen = labelled.select("lang", "h", "key", "size").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
+    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    bounds = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(3.0 * TRAIN_DOCS) / F.col("n")).alias("most"))
+    bounds = materialize(bounds, 1)  # one row per language
+    near = labelled.join(F.broadcast(bounds), "lang").withColumn("h", F.xxhash64("key", "text")).where(_rank(F.col("h")) <= F.col("most"))
+    sizes = near.groupBy("lang", "h").agg(F.min(F.least(F.length("text"), F.lit(TRAIN_CHARS))).alias("size"))
+    chosen = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(_rank(F.col("h")), "h"))).where(F.col("place") <= TRAIN_DOCS)
     # the share is a water level: with sizes ascending, what the smaller ones leave over those still to come, at its highest
     line = Window.partitionBy("lang").orderBy("size", "place")
     before = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     level = F.floor((F.lit(4 * TRAIN_CHARS) - before) / (F.count("*").over(Window.partitionBy("lang")) - F.row_number().over(line) + 1))
-    bound = materialize(chosen.withColumn("level", level).groupBy("lang").agg(F.max("h").alias("bound"), F.max("level").alias("level")))
-    sample = labelled.join(F.broadcast(bound), "lang").where("h <= bound")
-    sample = sample.withColumn("text", F.expr(f"substring(text, 1, CAST(least(level, {TRAIN_CHARS}) AS INT))"))
-    sample = sample.withColumn("place", F.row_number().over(order.orderBy("h", "key", "size", "text"))).where(F.col("place") <= TRAIN_DOCS)
+    chosen = materialize(chosen.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy("lang"))).select("lang", "h", "place", "level"), TRAIN_DOCS)
+    sample = near.join(F.broadcast(chosen), ["lang", "h"])  # at most TRAIN_DOCS rows per language
+    sample = sample.groupBy("lang", "place").agg(F.min(F.expr(f"substring(text, 1, CAST(least(level, {TRAIN_CHARS}) AS INT))")).alias("text"))
     rows = sample.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts")).orderBy("lang").collect()
     if not rows:
         return []
     chars = max(1000, min(TRAIN_CHARS, TRAIN_CHARS_ALL // len(rows)))
-    return [build_parser(r.lang, [t.text for t in r.texts], chars) for r in rows]
+    return [sample_of(r.lang, [t.text for t in r.texts], chars) for r in rows]
 
 
-def identify(parsers: list[Parser], texts: list[str]) -> tuple[list[str], list[float]]:
-    docs = symbols(texts)
-    lettered = np.array([bool(d.any()) for d in docs], bool) if docs else np.zeros(0, bool)
-    if not parsers:
+def identify(samples: list[Sample], texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language of each text and how sure that is. A worker builds the automata once for as long as it is asked with the same samples."""
+    docs = [symbols(t) for t in texts]
+    lettered = np.array([bool(d.strip("\0")) for d in docs], bool)
+    if not samples or not docs:
         return [UND] * len(texts), [0.0] * len(texts)
-    bits = np.array([parse_counts(p, docs) * p.cost for p in parsers])
+    held = worker_state("language_id", dict)
+    if held.get("samples") != samples:
+        held |= {"samples": samples, "starts": [suffix_automaton(x.line) for x in samples]}
+    bits = np.array([[phrases(start, d) * x.cost for d in docs] for x, start in zip(samples, held["starts"], strict=True)])
     best = bits.argmin(axis=0)  # the first language on a tie
     least = bits.min(axis=0)
-    if len(parsers) > 1:
+    if len(samples) > 1:
         second = np.partition(bits, 1, axis=0)[1]
         score = np.divide(second, second + least, out=np.full(len(least), 0.5), where=second + least > 0)
     else:
         score = np.ones(len(least))
-    return [parsers[i].lang if ok else UND for i, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0).tolist()
+    return [samples[i].lang if ok else UND for i, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0).tolist()
 
 
 def detect_language(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -206,33 +187,35 @@ def detect_language(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     """
     held = docs.sparkSession.sparkContext.broadcast(train(training, key, text, lang))
 
-    def run(keys: list, texts: list[str]) -> pa.RecordBatch:
+    def run(columns: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
         langs, scores = identify(held.value, texts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["k", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["k", "lang_pred", "score"])
 
     return map_text(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")), run, "k bigint, lang_pred string, score double").withColumnRenamed("k", key)
 
 
-def keep_identified(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language: only null texts and texts without letters go.
+def keep_identified(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", languages: Iterable[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, whole, whose text is found to be in one of ``languages`` (any learned one if None).
 
-    A null language is replaced by the one that is found; other languages stay as they are. Without a labelled row to
-    learn from, texts with letters stay too, and their languages as they are.
+    The language that is found is what ``lang`` holds from then on, whatever it was before. Null texts and texts
+    without letters have none and go. Without a labelled row to learn from, all texts with letters stay and keep the
+    language they had. Null keys and repeated rows count as any row; an empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(training, key, text, lang))
+    samples = train(training, key, text, lang)
+    held = docs.sparkSession.sparkContext.broadcast(samples)
+    wanted = None if languages is None else set(languages)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
-        out: list[str | None] = []
-        for start in range(0, len(texts), 256):
-            part = [t or "" for t in texts.iloc[start : start + 256]]
-            if held.value:
-                out += identify(held.value, part)[0]
-            else:
-                out += [None if d.any() else UND for d in symbols(part)]
+        texts = [t or "" for t in texts]
+        if held.value:
+            out = [x if x != UND and (wanted is None or x in wanted) else None for x in identify(held.value, texts)[0]]
+        else:
+            out = [UND if symbols(t).strip("\0") else None for t in texts]
         return pd.Series(out, dtype=object)
 
-    columns = [F.coalesce(F.col(f"`{c}`"), F.col("__found")).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns]
     # as it counts as nondeterministic, it is evaluated once and not again in the filter
-    known = docs.withColumn("__found", found.asNondeterministic()(F.col(text))).where(~F.col("__found").eqNullSafe(F.lit(UND)))
-    return known.select(*columns)
+    known = docs.withColumn("__found", found.asNondeterministic()(F.col(text))).where("__found is not null")
+    new = F.col("__found") if samples else F.col(f"`{lang}`")
+    return known.select(*[new.alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns])

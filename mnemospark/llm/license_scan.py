@@ -219,10 +219,10 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     key stays null, repeated rows repeat, other columns are left aside, an empty table gives an empty result.
     """
 
-    def run(keys: list, texts: list[bytes]) -> pa.RecordBatch:
+    def run(columns: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
         scan = scanner()
         rows = []
-        for k, t in zip(keys, texts, strict=True):
+        for k, t in zip(columns[0].to_pylist(), texts, strict=True):
             n, places, spans = scan.scan(t)
             starts = [s for _, s in places]
             base = {scan.phrases[p][1] for p, _ in places}

@@ -23,23 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bloom import only_possible
-from mnemospark.llm.common import arrow_rows, map_text, materialize, split_join
+from mnemospark.llm.bloom import filter_of, only_possible, with_flag
+from mnemospark.llm.common import blank, bound_batches, map_text, materialize, split_join, worker_state
 from mnemospark.llm.components import connected_components
 
 #: Words in a shingle, and the similarity of a link, in hundredths.
 SHINGLE, SIMILAR = 5, 75
-#: Bands and rows: a pair at the threshold shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
-BANDS, ROWS = 32, 4
+#: Bands and rows: a pair at the threshold shares no band with probability (1 - 0.75 ** 5) ** 45 = 5e-6.
+BANDS, ROWS = 45, 5
 HASHES = BANDS * ROWS
 #: Signature positions compared at a time, and the posterior probability under which a pair is dropped.
 BATCH, MISS = 16, 1e-6
-#: Members of a large bucket or group that one task compares.
-BLOCK = 512
+#: Documents, and shingles of all of them, in a block whose sets meet in one task; members of a bucket in a slice whose signatures do.
+BLOCK, BLOCK_SHINGLES, SLICE = 256, 400_000, 2048
+#: Distinct words whose hashes a worker remembers.
+CACHE_WORDS = 100_000
 
 _rng = np.random.default_rng(20240501)
-_MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_TOGGLE = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,9 +61,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingles(text: bytes) -> np.ndarray:
     """The sorted set of 64-bit hashes of a text's five-word shingles; of all its words if there are fewer; empty without words.
 
@@ -70,9 +69,10 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_state("minhash", _Words)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -81,12 +81,15 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function over a set."""
+    """The minimum of each hash function over a set; the functions are permutations of 32-bit numbers."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(s), 2048):
-        part = s[start : start + 2048]
-        h = (part[None, :] * _MULTIPLY[:, None] + _ADD[:, None]) >> np.uint64(32)
-        out = np.minimum(out, h.min(axis=1).astype(np.uint32))
+    x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+    for start in range(0, len(x), 512):
+        h = x[None, start : start + 512] * _MULTIPLY[:, None]
+        h ^= _TOGGLE[:, None]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
@@ -131,61 +134,59 @@ def bayes_survivors(a: np.ndarray, b: np.ndarray, sig_a: np.ndarray, sig_b: np.n
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (digest of the set; null if empty), sig, bands."""
+    """Per row: doc_id, text_hash, n_shingles, set_key (digest of the set; null if empty), sig (16 bits a position), bands."""
 
-    def run(keys: list, texts: list[bytes]) -> pa.RecordBatch:
+    def run(columns: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts]
         sigs = [signature(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(keys, pa.int64()),
+                *columns,
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
+                pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in sigs], pa.binary()),
                 pa.array([None if s is None else band_keys(s) for s in sigs], pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "set_key", "sig", "bands"],
+            ["doc_id", "text_hash", "n_shingles", "set_key", "sig", "bands"],
         )
 
-    return map_text(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t")), run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>")
+    return map_text(_named(docs, key, text), run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>")
 
 
-def _sized(a: str, b: str) -> str:
-    """Sets whose sizes differ more than this cannot be similar enough."""
-    return f"least({a}, {b}) * 100 >= {SIMILAR} * greatest({a}, {b})"
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(blank(text)).alias("text_hash"), F.col(text).cast("binary").alias("text"))
 
 
-def blocks_of(shared: DataFrame) -> DataFrame:
-    """(doc_id, block) of all documents that share a bucket: at most about BLOCK documents to a block.
+def blocks_of(shared: DataFrame, rows: int) -> DataFrame:
+    """(sid, block) of all sets that share a bucket: at most about BLOCK of them, or BLOCK_SHINGLES shingles, to a block.
 
-    A document's home starts as the smallest leader of its buckets and becomes the smallest home in any of them, so
-    that documents that are compared with each other mostly have one home, and their texts meet once however many
-    buckets they share. Two steps do not run along chains of groups.
+    A set's home starts as the smallest leader of its buckets and becomes the smallest home in any of them, so that
+    sets that are compared with each other mostly have one home, and their texts meet once however many buckets they
+    share. Two steps do not run along chains of groups.
     """
-    homes = shared.groupBy("doc_id").agg(F.min("leader").alias("home"))
-    by_band = split_join(shared.select("band", "doc_id"), homes, "doc_id").groupBy("band").agg(F.min("home").alias("home"))
-    homes = materialize(split_join(shared.select("band", "doc_id"), by_band, "band").groupBy("doc_id").agg(F.min("home").alias("home")))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return split_join(homes, sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
+    homes = shared.groupBy("sid").agg(F.min("leader").alias("home"), F.first("n_shingles").alias("n_shingles"))
+    by_band = split_join(shared.select("band", "sid"), homes, "sid").groupBy("band").agg(F.min("home").alias("home"))
+    homes = materialize(split_join(shared.select("band", "sid", "n_shingles"), by_band, "band").groupBy("sid").agg(F.min("home").alias("home"), F.first("n_shingles").alias("n_shingles")), rows)
+    sizes = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    return split_join(homes, sizes, "home").select("sid", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("block"))
 
 
 def _meetings(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(i, j, doc_id): the documents of distinct pairs (a, b), at the pair of blocks where the two ends meet."""
-    block = blocks.select(F.col("doc_id").alias("a"), F.col("block").alias("i"))
+    """(i, j, sid): the sets of distinct pairs (a, b), at the pair of blocks where the two ends meet."""
+    block = blocks.select(F.col("sid").alias("a"), F.col("block").alias("i"))
     dealt = split_join(split_join(pairs, block, "a"), block.withColumnRenamed("a", "b").withColumnRenamed("i", "j"), "b")
-    ends = F.explode(F.array("a", "b")).alias("doc_id")
+    ends = F.explode(F.array("a", "b")).alias("sid")
     return dealt.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), ends).distinct()
 
 
 class _Block:
-    """Documents that meet in one task: their sets, signatures and components."""
+    """Sets that meet in one task, with their documents, signatures and components."""
 
-    def __init__(self, docs: list[int], components: list[int], texts: list[bytes | None]):
-        self.docs = np.array(docs, np.int64)
-        self.sets = [shingles(t or b"") for t in texts]
-        self.sigs = np.array([signature(s) for s in self.sets])
+    def __init__(self, docs: list[int], components: list[int], sets: list[np.ndarray]):
+        self.docs, self.sets = np.array(docs, np.int64), sets
+        self.sigs = np.array([signature(s) for s in sets])
         self.bands = np.array([band_keys(s) for s in self.sigs])
-        self.size = np.array([len(s) for s in self.sets])
+        self.size = np.array([len(s) for s in sets])
         self.root = np.unique(np.array(components, np.int64), return_inverse=True)[1]
 
     def links(self) -> list[tuple[int, int]]:
@@ -208,59 +209,59 @@ class _Block:
         return out
 
 
-def verify(docs: DataFrame, need: DataFrame, key: str, text: str, components: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among documents that meet (i, j, doc_id), as far as they connect what is not connected yet.
+def verify(docs: DataFrame, entries: DataFrame, need: DataFrame, rows: int, key: str, text: str, components: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the documents whose sets meet (i, j, sid), as far as they connect what is not connected yet; a written table.
 
-    Each text goes once to every pair of blocks that needs it; a task holds one pair of blocks. All banded pairs
-    there are considered, so that one link is enough for each component. ``components``: (node, component) so far.
+    Each text goes once to every pair of blocks that needs it; a task holds the sets of one pair of blocks. All banded
+    pairs there are considered, so that one link is enough for each component. A set is that of the row of ``docs``
+    with its key and text hash. ``components``: (node, component) so far.
     """
+    need = split_join(need, entries.select("sid", "doc_id", "text_hash"), "sid")
     need = need.withColumn("component", F.col("doc_id")) if components is None else split_join(need, components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    texts = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
-    texts = only_possible(texts, "doc_id", need.select("doc_id").distinct())
-    given = need.join(texts, "doc_id").select("i", "j", "doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
-    rows = given.repartition("i", "j").sortWithinPartitions("i", "j", "doc_id")
-    arrow_rows(docs.sparkSession, 1024)
+    wanted = materialize(need.select("i", "j", "sid", "doc_id", "text_hash", F.coalesce("component", "doc_id").alias("component")), rows)
+    texts = only_possible(_named(docs, key, text).where("doc_id is not null"), "doc_id", wanted.select("doc_id").distinct())
+    given = wanted.join(texts.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"]).select("i", "j", "sid", "doc_id", "component", "text")
+    together = given.repartition("i", "j").sortWithinPartitions("i", "j", "sid")
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _runs(batches, 2):
-            if len(held) > 1:
-                found = _Block(*map(list, zip(*held, strict=True))).links()
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        now: tuple | None = None
+        held: dict[int, tuple] = {}
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+        def links() -> pa.RecordBatch:
+            found = _Block(*map(list, zip(*held.values(), strict=True))).links()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
+        for x in batches:
+            for i, j, sid, doc, component, t in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if (i, j) != now:
+                    if len(held) > 1:
+                        yield links()
+                    now, held = (i, j), {}
+                held[sid] = (doc, component, shingles(t or b""))
+        if len(held) > 1:
+            yield links()
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """The rows, less their first ``keys`` columns, of each run of equal keys in sorted batches."""
-    now, held = None, []
-    for x in batches:
-        for row in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            if row[:keys] != now:
-                if held:
-                    yield held
-                now, held = row[:keys], []
-            held.append(row[keys:])
-    if held:
-        yield held
+    return materialize(together.mapInArrow(run, "a bigint, b bigint"), rows)
 
 
-def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(i, j, doc_id): where documents of different components, that share a bucket and survive the signatures, are to meet.
+def _across(buckets: DataFrame, entries: DataFrame) -> DataFrame:
+    """(i, j, sid): where sets of different components, that share a bucket and survive the signatures, are to meet.
 
-    Buckets: (band, nth, doc_id, component, block). A large bucket is compared in slices inside tasks; a task's result
-    has one row for each of its documents, and a pair counts in the first band that it shares.
+    Buckets: (band, nth, sid, component, block). A large bucket is compared in slices inside tasks; a task's result
+    has one row for each of its sets, and a pair counts in the first band that it shares.
     """
-    count = buckets.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slices"))
-    members = split_join(buckets, count, "band").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices")).cast("int"))
+    count = buckets.groupBy("band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    members = split_join(buckets, count, "band").withColumn("slice", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("slices")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    members = members.select("band", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "nth", "doc_id", "component", "block")
-    rows = members.join(sketches.select("doc_id", "sig", "n_shingles"), "doc_id")
-    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "slice").select("band", "low", "high", "slice", "nth", "doc_id", "component", "block", "n_shingles", "sig")
-    arrow_rows(buckets.sparkSession, 4096)
+    members = members.select("band", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"), "slice", "nth", "sid", "component", "block")
+    rows = split_join(members, entries.select("sid", "sig", "n_shingles"), "sid")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "slice").select("band", "low", "high", "slice", "nth", "sid", "component", "block", "n_shingles", "sig")
+    bound_batches(buckets.sparkSession)
 
     def compare(held: list[tuple]) -> pa.RecordBatch:
         part, nth, doc, comp, block, n = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:6])
-        sig = np.frombuffer(b"".join(h[6] for h in held), np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(h[6] for h in held), np.uint16).reshape(-1, HASHES)
         first, last, before = part[0], part[-1], int(nth[0])
         found = []
         for a in np.flatnonzero(part == first):
@@ -273,18 +274,26 @@ def _across(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
                     i, j = np.minimum(block[a], block[b]), np.maximum(block[a], block[b])
                     found += [np.stack([doc[b], i, j]), np.unique(np.stack([np.full(len(b), doc[a]), i, j]), axis=1)]
         ids, i, j = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        own, begin = np.unique(ids, return_index=True)  # one row for each document
+        own, begin = np.unique(ids, return_index=True)  # one row for each set
         meets = pa.ListArray.from_arrays(pa.array([*begin, len(ids)], pa.int32()), pa.StructArray.from_arrays([pa.array(i), pa.array(j)], ["i", "j"]))
-        return pa.RecordBatch.from_arrays([pa.array(own), meets], ["doc_id", "meets"])
+        return pa.RecordBatch.from_arrays([pa.array(own), meets], ["sid", "meets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _runs(batches, 3):
-            if len(held) > 1:
-                yield compare(held)
-
-    found = rows.mapInArrow(run, "doc_id bigint, meets array<struct<i:bigint,j:bigint>>")
-    each = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("meets"))).alias("meets"))
-    return each.select("doc_id", F.explode("meets").alias("m")).select("m.i", "m.j", "doc_id")
+        now: tuple | None = None
+        held: list[tuple] = []
+        for x in batches:
+            for band, low, high, *row in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if (band, low, high) != now:
+                    if len(held) > 1:
+                        yield compare(held)
+                    now, held = (band, low, high), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield compare(held)
+
+    found = rows.mapInArrow(run, "sid bigint, meets array<struct<i:bigint,j:bigint>>")
+    each = found.groupBy("sid").agg(F.array_distinct(F.flatten(F.collect_set("meets"))).alias("meets"))
+    return each.select("sid", F.explode("meets").alias("m")).select("m.i", "m.j", "sid")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,35 +302,60 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Two documents link when 100 * |A & B| >= 75 * |A | B| over their shingle sets; the component is the smallest key
     that links reach. Null texts, and texts without words, have no shingles and link with nothing; so do rows with a
     null key, whose component is null and which are kept. Rows that repeat a key are one node of the graph with the
-    sets of either row. An empty table gives an empty result; other columns are left aside. A link is missed only if
+    sets of all of them. An empty table gives an empty result; other columns are left aside. A link is missed only if
     its signatures share no band (at most 5e-6 at the threshold) or are pruned (MISS).
     """
-    sketches = materialize(sketch(docs, key, text))
-    sets = sketches.where("set_key is not null and doc_id is not null")
-    heads = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("head")))
-    distinct = materialize(sets.join(heads, "set_key").where("doc_id = head").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"))
-    bands = distinct.select("doc_id", F.posexplode("bands").alias("nth", "band"))
-    buckets = bands.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(split_join(bands, buckets, "band").select("band", "nth", "doc_id", "leader", "members"))
-    pairs = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    blocks = materialize(blocks_of(shared))
-    links = materialize(verify(docs, materialize(_meetings(pairs, blocks)), key, text))
-    found = materialize(connected_components(links))
-    placed = split_join(shared.where("members > 2 and doc_id <> leader").select("band", "nth", "doc_id"), found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    return _near_duplicates(docs, key, text)[0]
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """The rows of :func:`near_duplicates` and their number."""
+    sketches = materialize(sketch(docs, key, text).withColumn("sid", F.monotonically_increasing_id()))
+    rows = sketches.count()
+    sets = sketches.where("set_key is not null and doc_id is not null").select("sid", "doc_id", "set_key", "n_shingles")
+    heads = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "sid")).alias("h")).select("set_key", F.col("h.doc_id").alias("head"), F.col("h.sid").alias("head_sid"))
+    placed_sets = materialize(split_join(sets, heads, "set_key").select("sid", "doc_id", "n_shingles", "head", "head_sid"), rows)
+    copies = placed_sets.where("sid <> head_sid").select("sid")
+    entries = materialize(sketches.where("set_key is not null and doc_id is not null").drop("set_key").join(copies, "sid", "left_anti"), rows)
+    bands = entries.select("sid", "n_shingles", F.posexplode("bands").alias("nth", "band"))
+    buckets = bands.groupBy("band").agg(F.min("sid").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    shared = materialize(split_join(bands, buckets, "band").select("band", "nth", "sid", "n_shingles", "leader", "members"), 4 * rows)
+    pairs = shared.where("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b")).distinct()
+    blocks = materialize(blocks_of(shared, rows), rows)
+    links = verify(docs, entries, _meetings(pairs, blocks), rows, key, text)
+    # documents with several sets connect these
+    several = placed_sets.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("top")).where("a <> top")
+    links = links.unionByName(split_join(placed_sets.select("doc_id", F.col("head").alias("b")), several.select("doc_id", "a"), "doc_id").select("a", "b").distinct())
+    found = materialize(connected_components(links), rows)
+    placed = split_join(shared.where("members > 2 and sid <> leader").select("band", "nth", "sid"), entries.select("sid", "doc_id"), "sid")
+    placed = split_join(placed, found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    still = split_join(split_join(placed, open_bands, "band").select("band", "nth", "doc_id", "component"), blocks, "doc_id")
-    more = verify(docs, materialize(_across(still, distinct)), key, text, found)
-    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    component = connected_components(joined)
-    classes = split_join(sets.select("doc_id", "n_shingles", "set_key"), heads, "set_key").select("doc_id", "n_shingles", F.col("head"))
-    classes = split_join(classes.withColumnRenamed("head", "node"), component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    still = split_join(split_join(placed, open_bands, "band").select("band", "nth", "sid", "component"), blocks, "sid")
+    more = verify(docs, entries, _across(still, entries), rows, key, text, found)
+    component = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    classes = split_join(placed_sets.select("doc_id", "n_shingles", F.col("head").alias("node")), component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = classes.unionByName(alone)
-    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = classes.unionByName(_with_their_key(alone, placed_sets, component))
+    return out.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), rows
+
+
+def _with_their_key(alone: DataFrame, placed_sets: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows without shingles, with the component of another row of the same key where there is one."""
+    keys = alone.select("doc_id").where("doc_id is not null").distinct()
+    of_key = split_join(placed_sets.join(keys, "doc_id", "left_semi").select("doc_id", F.col("head").alias("node")), component, "node", "left")
+    of_key = of_key.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("other"))
+    return split_join(alone, of_key, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("other", "component_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, of which :func:`near_duplicates` keeps one document of each group."""
-    lost = near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("__lost")).distinct()
-    return docs.join(lost, F.col(key) == F.col("__lost"), "left_anti")
+    """The rows of ``docs``, whole, of which :func:`near_duplicates` keeps one document of each group.
+
+    Rows without shingles or without a key stay; rows that repeat a key stay or go together. Only rows that a Bloom
+    filter of the lost keys lets through shuffle. An empty table gives an empty result.
+    """
+    found, rows = _near_duplicates(docs, key, text)
+    lost = materialize(found.where("not kept").select(F.col(key).alias("__key")).distinct(), rows)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    flagged = with_flag(docs.select(row, F.col(key).cast("bigint").alias("__key")), "__key", *filter_of(lost, "__key", lost.count()), "__maybe")
+    stay = flagged.where("__maybe").join(lost, "__key", "left_anti")
+    return flagged.where("not __maybe").select("__row.*").unionByName(stay.select("__row.*"))

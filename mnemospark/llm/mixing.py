@@ -1,21 +1,22 @@
 """Mixing sources to target weights by drawing fixed-length blocks of tokens.
 
 Each source's documents are laid on a line of tokens that is cut into blocks. Every output shard draws, from a
-multinomial over the sources, how many of its slots each source fills; a source's slots are numbered through, and a
-pseudorandom permutation maps the numbers to its blocks, one pass over all blocks after another. A join by block
-index then says which words of which documents the mix takes. Everything is column arithmetic on Spark.
+multinomial over the sources given their quotas, how many of its slots each source fills; a source's slots are
+numbered through, and a pseudorandom permutation maps the numbers to its blocks, one pass over all blocks after
+another. A join by block index then says which words of which documents the mix takes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import arrow_rows, blank, materialize, split_join
+from mnemospark.llm.common import blank, bound_batches, materialize
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -23,8 +24,12 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Words in a block, slots in an output shard.
 BLOCK_WORDS, SHARD_SLOTS = 64, 4096
-#: Stretches of a source's token line, so that no task holds a whole source.
-LANES = 512
+#: A source's token line has so many lanes at least, and more where they would hold over LANE_ROWS rows, so that no task holds a whole source.
+LEAST_LANES, LANE_ROWS = 512, 20_000
+#: Shards that are drawn together, and tasks that draw.
+STRETCH, TASKS = 16, 10_000
+#: Counts up to which numpy draws hypergeometric numbers exactly; rounds of the permutations' Feistel network.
+EXACT_DRAWS, ROUNDS = 10**9, 6
 
 
 def word_count(text: str) -> Column:
@@ -52,51 +57,93 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def shard_counts(targets: DataFrame, seed: int) -> DataFrame:
-    """(sid, shard, first_slot, slots): the slots of each source in each shard, and the number of the first of them.
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` draws without replacement are good; by the normal limit where numpy's exact draw ends."""
+    if not good or not sample:
+        return 0
+    if max(good, bad) < EXACT_DRAWS:
+        return int(rng.hypergeometric(good, bad, sample))
+    share, n = good / (good + bad), good + bad
+    spread = (sample * share * (1 - share) * ((n - sample) / max(1, n - 1))) ** 0.5
+    return min(good, sample, max(0, sample - bad, round(rng.normal(sample * share, spread))))
 
-    Every shard draws its counts by itself, from a multinomial with the sources' shares. The draws of a source are
-    then numbered through over the shards and end at its quota; what they leave open is filled at the end, as the
-    shard -1, so that each source gets its quota exactly.
-    """
-    shares = [(r.sid, r.quota) for r in targets.select("sid", "quota").orderBy("sid").collect()]  # one row per source
-    total = sum(q for _, q in shares)
-    schema = "sid bigint, shard bigint, drawn bigint"
-    if not total:
-        return targets.sparkSession.createDataFrame([], "sid bigint, shard bigint, first_slot bigint, slots bigint")
-    shards = -(-total // SHARD_SLOTS)
-    p = np.array([q for _, q in shares], float) / total
-    ids = np.array([s for s, _ in shares], np.int64)
-
-    def draw(frames):
-        for pdf in frames:
-            for shard in pdf["id"]:
-                slots = int(min(SHARD_SLOTS, total - shard * SHARD_SLOTS))
-                drawn = np.random.default_rng([seed, int(shard)]).multinomial(slots, p)
-                yield pd.DataFrame({"sid": ids[drawn > 0], "shard": shard, "drawn": drawn[drawn > 0]})
 
-    spark = targets.sparkSession
-    drawn = spark.range(0, shards, 1, min(200, shards)).mapInPandas(draw, schema)
-    line = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = targets.select("sid", "quota")
-    placed = drawn.withColumn("first_slot", F.coalesce(F.sum("drawn").over(line), F.lit(0))).join(F.broadcast(quotas), "sid")
-    placed = placed.select("sid", "shard", "first_slot", F.least(F.col("drawn"), F.col("quota") - F.col("first_slot")).alias("slots"), "quota").where("slots > 0")
-    short = quotas.join(placed.groupBy("sid").agg(F.sum("slots").alias("had")), "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < quota")
-    return placed.drop("quota").unionByName(short.select("sid", F.lit(-1).cast("bigint").alias("shard"), F.col("had").alias("first_slot"), (F.col("quota") - F.col("had")).alias("slots")))
+def shard_slots(quotas: list[int], seed: int, wanted: range) -> Iterator[tuple[int, int, int, int]]:
+    """(source's place, shard, first slot, slots) of the shards in ``wanted``: multinomial counts given the quotas.
 
+    Multinomial draws of all shards, given how much each source has in all, are the quotas dealt out at random. A tree
+    over the shards does that: the draws of a node's left half are multivariate hypergeometric, those of the right
+    half what is left. Every shard follows from the seed by the nodes above it alone, and so do the numbers of its
+    slots among all slots of the source.
+    """
+    total = sum(quotas)
 
-def _permuted(slot: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1: three rounds of x -> (x + r) and x -> x * g with g prime to n.
+    def size(low: int, high: int) -> int:
+        return min(total, high * SHARD_SLOTS) - min(total, low * SHARD_SLOTS)
 
-    The multipliers are large primes, so only a multiple of all three could share a factor with n; such a prime is
-    replaced by 1.
+    stack = [(0, -(-total // SHARD_SLOTS), list(quotas), [0] * len(quotas))]
+    while stack:
+        low, high, counts, first = stack.pop()
+        if high <= wanted.start or low >= wanted.stop or low >= high:
+            continue
+        if high - low == 1:
+            yield from ((s, low, first[s], n) for s, n in enumerate(counts) if n)
+            continue
+        middle = (low + high) // 2
+        rng = np.random.default_rng([seed, low, high])
+        sample, rest, left = size(low, middle), size(low, high), []
+        for n in counts:
+            rest -= n
+            left.append(_hypergeometric(rng, n, rest, sample))
+            sample -= left[-1]
+        stack.append((middle, high, [n - k for n, k in zip(counts, left, strict=True)], [f + k for f, k in zip(first, left, strict=True)]))
+        stack.append((low, middle, left, first))
+
+
+def permuted(x: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n-1 at the places ``x``: a Feistel network over the least even number of
+    bits that holds n; what falls outside walks on until it is inside (Black & Rogaway, 2002)."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    bits, mask = np.uint64(half), np.uint64((1 << half) - 1)
+    rounds = np.random.default_rng(key).integers(0, 1 << 63, (ROUNDS, 2), dtype=np.uint64)
+    out, todo = x.astype(np.uint64), np.arange(len(x))
+    while len(todo):
+        v = out[todo]
+        left, right = v >> bits, v & mask
+        for a, b in rounds:
+            h = (right + a) * (b | np.uint64(1))
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & mask)
+        out[todo] = left << bits | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def drawn_blocks(targets: DataFrame, seed: int) -> DataFrame:
+    """(sid, block, times): how often the mix takes each block of each source.
+
+    Each task draws the counts of a stretch of shards and maps their slots, pass by pass, through the source's
+    permutation of that pass. The sources (one row each) are known to all tasks.
     """
-    x = slot
-    for k, prime in enumerate((1_000_003, 15_485_863, 32_452_843)):
-        g = F.when(n % F.lit(prime) == 0, F.lit(1)).otherwise(F.lit(prime)).cast("bigint")
-        x = F.pmod(F.pmod(x + F.pmod(F.xxhash64(key, F.lit(k)), n), n) * F.pmod(g, n), n)
-        x = F.when(F.lit(k % 2 == 0), n - 1 - x).otherwise(x)
-    return x
+    sources = [(r.sid, r.quota, r.blocks) for r in targets.select("sid", "quota", "blocks").where("quota > 0").orderBy("sid").collect()]  # one row per source
+    shards = -(-sum(q for _, q, _ in sources) // SHARD_SLOTS)
+    spark = targets.sparkSession
+    if not shards:
+        return spark.createDataFrame([], "sid bigint, block bigint, times bigint")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for first in pdf["id"]:
+                for s, _, start, n in shard_slots([q for _, q, _ in sources], seed, range(first * STRETCH, (first + 1) * STRETCH)):
+                    sid, _, blocks = sources[s]
+                    epoch, place = np.divmod(np.arange(start, start + n), blocks)
+                    found = [permuted(place[epoch == e], blocks, (seed, sid, int(e))) for e in np.unique(epoch)]
+                    block, times = np.unique(np.concatenate(found), return_counts=True)
+                    yield pd.DataFrame({"sid": sid, "block": block, "times": times})
+
+    stretches = -(-shards // STRETCH)
+    drawn = spark.range(0, stretches, 1, min(stretches, TASKS)).mapInPandas(draw, "sid bigint, block bigint, times bigint")
+    return drawn.groupBy("sid", "block").agg(F.sum("times").alias("times"))
 
 
 def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -107,24 +154,21 @@ def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     share a key are placed by a hash of their texts, so a frequent key is spread over the lanes as well.
     """
     number = F.monotonically_increasing_id() if rid is None else F.col(rid)
-    rows = docs.select(number.alias("rid"), F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(blank(text)).alias("words"))
-    rows = materialize(rows.withColumn("lane", F.pmod(F.xxhash64("key", "words", F.lit(seed)), F.lit(LANES))))
+    rows = materialize(docs.select(number.alias("rid"), F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(blank(text)).alias("words")))
+    count = rows.count()
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64("key", "words", F.lit(seed)), F.lit(max(LEAST_LANES, 1 << (count // LANE_ROWS).bit_length()))))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("bigint"))
     targets = targets.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
-    targets = materialize(targets.withColumn("quota", F.least(F.round(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("blocks")), F.col("blocks") * MOST_REPEATS).cast("bigint")))
+    targets = materialize(targets.withColumn("quota", F.least(F.round(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("blocks")), F.col("blocks") * MOST_REPEATS).cast("bigint")), 1)
     lanes = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     lanes = lanes.withColumn("lane_start", F.coalesce(F.sum("lane_size").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     lanes = lanes.alias("l").join(targets.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select("sid", "l.source", "lane", "lane_start", "source_size", "target")
     inside = Window.partitionBy("source", "lane").orderBy(F.col("key").isNull(), "key", "size", "words").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     spans = placed.alias("r").join(lanes.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.lane") == F.col("n.lane")))
-    spans = materialize(spans.select("rid", "key", "size", "source_size", "target", "sid", (F.col("lane_start") + F.col("offset")).alias("start")))
-    slots = shard_counts(targets, seed).select("sid", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
-    slots = slots.join(F.broadcast(targets.select("sid", "blocks")), "sid")
-    epoch = F.floor(F.col("slot") / F.col("blocks"))
-    blocks = slots.select("sid", _permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.concat_ws(":", "sid", epoch, F.lit(seed))).alias("block"))
-    return spans, blocks.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    spans = materialize(spans.select("rid", "key", "size", "source_size", "target", "sid", (F.col("lane_start") + F.col("offset")).alias("start")), count)
+    return spans, drawn_blocks(targets, seed)
 
 
 def _pieces(spans: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -158,7 +202,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     documents of their own with their own draws. The rows are written once with a number each, by which they meet
     their draws again.
     """
-    arrow_rows(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     rows = materialize(docs.select(row, F.monotonically_increasing_id().alias("rid")))

@@ -192,11 +192,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     names = [f"p_{c}" for c in CATEGORIES]
     state: dict = {}
 
-    def run(keys: list, texts: list[bytes]) -> pa.RecordBatch:
+    def run(keys: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
         if "features" not in state:
             state["features"] = Features(held.value.features)
         p = predict(held.value, state["features"], texts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(p[:, -1] >= CUT)], ["k", *names, "toxic"])
+        return pa.RecordBatch.from_arrays([*keys, *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(p[:, -1] >= CUT)], ["k", *names, "toxic"])
 
     schema = "k bigint, " + ", ".join(f"{x} double" for x in names) + ", toxic boolean"
     return map_text(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t")), run, schema).withColumnRenamed("k", key)

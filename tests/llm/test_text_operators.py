@@ -167,7 +167,7 @@ def test_html_paths_are_whole(spark):
     pages = spark.createDataFrame([(i, "https://s.example/", usual) for i in range(4)], "page_id bigint, url string, html string")
     assert {r.text for r in html_extract.extract_main_text(pages).collect()} == {" ".join(["the story goes on"] * 40)}
     tree = html_extract.parse("<table>" + "<tr><td>" * 20_000 + "<p>" + "words " * 50)
-    assert html_extract.choose(tree).tag == "td"
+    assert html_extract.choose(tree, html_extract._weigh(tree)).tag == "td"
     nested = spark.createDataFrame([(1, "https://t.example/", "<table>" + "<tr><td>" * 3000 + "<p>" + "words " * 50)], "page_id bigint, url string, html string")
     assert html_extract.extract_main_text(nested).first().text == " ".join(["words"] * 50)
 
@@ -180,6 +180,40 @@ def test_html_hidden_is_an_attribute(attributes, beside):
     assert html_extract._step("div", attributes)[1] is beside
 
 
+def test_html_paths_have_all_classes(spark):
+    names = ["tw-" + "x" * 90, "tw-" + "y" * 90, "tw-" + "z" * 90]
+    beside, story = " ".join([*names, "zz-a"]), " ".join([*names, "zz-b"])
+    usual = f"<body><div class='{beside}'><p>" + "side matter " * 5 + f"</p></div><div class='{story}'><p>" + "the story goes on " * 40 + "</p></div></body>"
+    pages = spark.createDataFrame([(i, "https://s.example/", usual) for i in range(4)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.extract_main_text(pages).collect()} == {" ".join(["the story goes on"] * 40)}
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    story = "<body><article><p>" + "the story goes on " * 20 + "</p></article>"
+    for page in ("<div>" * 10_000 + story, story + "<a title='x\" >text " * 270_000, "<div>" * 30_000 + "</section>" * 30_000 + story, story + '<a x=">" ' * 200_000, "<script>" * 100_000 + story, "<" * 300_000 + story):
+        began = time.process_time()
+        assert "the story goes on the story" in html_extract.extract(page, None)
+        assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("raw", sorted(html_extract.RAW))
+def test_html_raw_elements_without_end(raw):
+    page = f"<body><{raw}>no <b>no</b><article><p>" + "the story " * 20 + "</p></article></body>"
+    assert html_extract.extract(page, None) == " ".join(["the story"] * 20)
+    closed = f"<body><{raw}>no <p>no</p></{raw.upper()} ><p>" + "the story " * 20 + "</p></body>"
+    assert html_extract.extract(closed, None) == " ".join(["the story"] * 20)
+
+
+def test_html_page_wide_form(spark):
+    page = "<body><form action=x><header><a href=y>menu</a></header><div class='main'><p>" + "the story " * 20 + "</p></div></form></body>"
+    pages = spark.createDataFrame([(i, "https://f.example/", page) for i in range(3)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.extract_main_text(pages).collect()} == {" ".join(["the story"] * 20)}
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+    assert html_extract.extract("<body><p>text</p><form><p>no</p></form></body>", None) == "text"
+
+
 def test_html_article_of_any_class():
     page = "<body><article class='post comments-open has-related'><p>" + "the story " * 20 + "</p></article><div class='x'><p>teaser</p></div></body>"
     assert html_extract.extract(page, None) == " ".join(["the story"] * 20)
@@ -200,29 +234,42 @@ def test_html_of_the_tables(spark, sf):
 
 
 def naive_phrases(train, text):
-    """Greedy longest matches, counted within the operator's stretches."""
-    count = 0
-    for low in range(0, len(text), language_id.STRETCH):
-        part, at = text[low : low + language_id.STRETCH], 0
-        while at < len(part):
-            size = 1
-            while at + size <= len(part) and part[at : at + size] in train:
-                size += 1
-            at += max(1, size - 1)
-            count += 1
+    """Greedy longest matches over the whole text."""
+    count = at = 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in train:
+            size += 1
+        at += max(1, size - 1)
+        count += 1
     return count
 
 
 def test_cross_parsing_equals_brute_force():
     rng = random.Random(7)
     train = "".join(rng.choice("abcd ") for _ in range(400)) + "xyz"
-    parser = language_id.build_parser("x", [train], 10_000)
-    line = lambda t: "".join(chr(c) if c else " " for c in language_id.symbols([t])[0])
-    texts = ["".join(rng.choice("abcdx q") for _ in range(rng.randint(1, 3000))) for _ in range(40)]
-    got = language_id.parse_counts(parser, language_id.symbols(texts))
-    known = " " + line(train) + " "
-    for t, n in zip(texts, got, strict=True):
-        assert n == naive_phrases(known, line(t))
+    sample = language_id.sample_of("x", [train], 10_000)
+    start = language_id.suffix_automaton(sample.line)
+    assert sample.line == f"\0{language_id.symbols(train)}\0"
+    texts = ["".join(rng.choice("abcdx q") for _ in range(rng.randint(0, 3000))) for _ in range(40)] + ["ab cd" * 1500]
+    for t in texts:
+        assert language_id.phrases(start, language_id.symbols(t)) == naive_phrases(sample.line, language_id.symbols(t))
+
+
+def test_symbols():
+    assert language_id.symbols("Ab1, Çé \ud800x") == "ab\0çé\0x" and language_id.symbols("") == "" and language_id.symbols(" 12 ") == "\0"
+
+
+def test_language_automaton_of_a_large_script_is_small():
+    import tracemalloc
+
+    rng = random.Random(1)
+    line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40_000))
+    tracemalloc.start()
+    start = language_id.suffix_automaton(line)
+    assert tracemalloc.get_traced_memory()[0] < 50e6
+    tracemalloc.stop()
+    assert language_id.phrases(start, line) == 1
 
 
 def test_language_of_documents(spark):
@@ -241,6 +288,7 @@ def test_language_of_documents(spark):
     assert all(0 <= r.score <= 1 and (r.score == 0) == (r.lang_pred == "und") for r in got)
     assert language_id.keep_identified(docs, docs).count() == 121
     assert {r.lang_pred for r in language_id.detect_language(docs, docs.limit(0)).collect()} == {"und"}
+    assert language_id.detect_language(docs.limit(0), docs).count() == language_id.keep_identified(docs.limit(0), docs).count() == 0
 
 
 def test_language_kept_without_labels(spark):
@@ -250,21 +298,30 @@ def test_language_kept_without_labels(spark):
     assert sorted(kept.collect(), key=str) == sorted(docs.where("doc_id in (1, 4) or doc_id is null").collect(), key=str)
 
 
-def test_language_fills_what_is_null(spark):
+def test_language_is_what_the_parse_finds(spark):
     say = {"aa": "kalomi tuka lomitu kalo " * 20, "bb": "schreng ulost engul schrost " * 20}
     rows = [(i, say[lang], lang) for i, lang in enumerate(("aa", "bb") * 5)]
     docs = spark.createDataFrame([*rows, (20, say["aa"], None), (21, say["bb"], None), (22, say["bb"], "aa"), (23, "12", None)], "doc_id bigint, text string, lang string")
     got = {r.doc_id: r.lang for r in language_id.keep_identified(docs, docs.where("doc_id < 10")).collect()}
-    assert got == {i: lang for i, _, lang in rows} | {20: "aa", 21: "bb", 22: "aa"}
+    assert got == {i: lang for i, _, lang in rows} | {20: "aa", 21: "bb", 22: "bb"}
+    only = language_id.keep_identified(docs, docs.where("doc_id < 10"), languages=["bb"]).collect()
+    assert {r.doc_id for r in only} == {1, 3, 5, 7, 9, 21, 22} and {r.lang for r in only} == {"bb"}
 
 
 def test_language_learns_from_all_of_the_sample(spark):
     assert language_id.equal_shares([100, 3, 50, 0], 43) == [20, 3, 20, 0] and language_id.equal_shares([2, 5], 90) == [2, 5]
     words = ["alpha", "bravo", "charly", "delta", "wiz", "quux", "jump", "fog"]
     docs = spark.createDataFrame([*[(i, "z" * 100_000, "aa") for i in range(20)], *[(100 + i, w, "aa") for i, w in enumerate(words)]], "doc_id bigint, text string, lang string")
-    (parser,) = language_id.train(docs)
-    assert {chr(c) for c in parser.alphabet if c} == set("".join(words) + "z")
-    assert abs(2 ** parser.cost - 1 - language_id.TRAIN_CHARS) < 20
+    (sample,) = language_id.train(docs)
+    assert set(sample.line) - {"\0"} == set("".join(words) + "z")
+    assert abs(len(sample.line) - language_id.TRAIN_CHARS) < 20
+
+
+def test_language_sample_of_many_rows(spark):
+    """The sample is the rows with the smallest hashes, equal rows once, whatever the number of rows and partitions."""
+    docs = spark.range(9000).select((F.col("id") % 6000).alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 6000).alias("text"), F.lit("aa").alias("lang"))
+    (one,), (two,) = language_id.train(docs), language_id.train(docs.repartition(7))
+    assert one == two and one.line.count("\0") >= language_id.TRAIN_DOCS
 
 
 def test_language_held_out_accuracy(spark):
