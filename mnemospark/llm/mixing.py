@@ -143,7 +143,8 @@ def drawn_blocks(targets: DataFrame, seed: int) -> DataFrame:
 
     stretches = -(-shards // STRETCH)
     drawn = spark.range(0, stretches, 1, min(stretches, TASKS)).mapInPandas(draw, "sid bigint, block bigint, times bigint")
-    return drawn.groupBy("sid", "block").agg(F.sum("times").alias("times"))
+    # written, as Spark would take the draws to be as small as the range that they come from, and broadcast them
+    return materialize(drawn.groupBy("sid", "block").agg(F.sum("times").alias("times")), sum(b for _, _, b in sources))
 
 
 def draw_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, rid: str | None = None) -> tuple[DataFrame, DataFrame]:
