@@ -6,19 +6,25 @@ Queries are a DataFrame with a query_id; every window is partitioned by it, so o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from mnemospark.functions.columns import clamp01, cosine, estimate_tokens
+from mnemospark.functions.columns import clamp01, estimate_tokens
 
 RRF_K = 60
 #: Queries that are compared with the corpus as one broadcast block; more of them go in blocks.
 QUERY_BLOCK = 2_000
+#: Digits of a similarity that count, so that ranks do not hang on the order of a sum.
+PLACES = 9
 
 # Words that say nothing in a search.
 STOP_WORDS = (
@@ -45,49 +51,120 @@ def similarity_from_distance(distance: Column) -> Column:
     return clamp01(1 - distance)
 
 
-def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding", query_vector: str = "query_embedding", keep: Sequence[str] = ()) -> DataFrame:
+def unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix): the places of usable vectors (finite, not zero, of one width) and these at unit length."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    width = (int(sizes.max()) if len(sizes) else 0) if width is None else width
+    rows = np.flatnonzero((sizes == width) & (sizes > 0))
+    flat = pc.list_flatten(column.take(pa.array(rows))).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    v = flat.reshape(len(rows), width)
+    size = np.sqrt((v * v).sum(axis=1))
+    good = np.isfinite(size) & (size > 0)
+    return rows[good], v[good] / size[good, None]
+
+
+def _query_blocks(queries: DataFrame, query_vector: str, by: str | None) -> Iterator[list[tuple]]:
+    """The queries (query_id, by, vector) in blocks of QUERY_BLOCK; one block at a time passes the driver."""
+    asked = queries.select("query_id", (F.col(by) if by else F.lit(None)).alias("by"), F.col(query_vector).alias("v")).where("v is not null")
+    block: list[tuple] = []
+    for row in asked.toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding", query_vector: str = "query_embedding", keep: Sequence[str] = (), by: str | None = None, grouped: bool = False) -> DataFrame:
     """(query_id, key, *keep, similarity, rank): the k nearest rows of each query at or above a cosine, ties by key.
 
-    A stated query set against all rows: the queries are counted and dealt into blocks of about QUERY_BLOCK, each of
-    which is broadcast and meets every row once. Every task keeps k rows of a query before anything is shuffled.
+    A stated query set against all rows: each block of QUERY_BLOCK queries is broadcast at unit length and meets every
+    row once, as matrix products of Arrow batches; a batch gives on what may be among the k nearest. With ``by`` (a
+    user) a query meets only the rows that have its value; ``grouped`` takes rows of one key (a document's chunks) as
+    one, by the nearest of them: a key among the k nearest is so in the batch of its nearest row. Null, zero and broken vectors, and vectors of another width
+    than the query's, match nothing. Similarities are rounded to PLACES digits before they are ranked.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select("query_id", F.col(query_vector).alias("__q"))
-    rows = corpus.select(key, *keep, F.col(vector).alias("__v"))
+    row = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {row}, similarity double"
+    rows = corpus.select(*([by] if by else []), F.col(vector).alias("__v"), key, *keep)
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def block_of(block: list[tuple]) -> DataFrame:
+        of_value: dict[Any, dict[int, list]] = {}
+        for q, value, v in block:
+            if v and None not in v:
+                of_value.setdefault(value, {}).setdefault(len(v), []).append((q, v))
+        parts = {}
+        for value, widths in of_value.items():
+            for width, asked in widths.items():
+                usable, m = unit_rows(pa.array([list(v) for _, v in asked], pa.list_(pa.float64())), width)
+                if len(usable):
+                    parts.setdefault(value, []).append((width, [asked[i][0] for i in usable], m))
+        held = rows.sparkSession.sparkContext.broadcast(parts)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                vectors, out = x.column(1 if by else 0), x.columns[2 if by else 1 :]
+                if by:
+                    coded = x.column(0).dictionary_encode()
+                    number, code = {o: n for n, o in enumerate(coded.dictionary.to_pylist())}, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+                for value, asked in held.value.items():
+                    own = np.flatnonzero(code == number.get(value, -2)) if by else np.arange(x.num_rows)
+                    for width, ids, m in asked if len(own) else ():
+                        at, v = unit_rows(vectors.take(pa.array(own)), width)
+                        if not len(at):
+                            continue
+                        like = np.round(v @ m.T, PLACES)
+                        if grouped:
+                            _, first, group = np.unique(out[0].take(pa.array(own[at])).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                            order = np.argsort(group, kind="stable")
+                            like = np.maximum.reduceat(like[order], np.searchsorted(group[order], np.arange(len(first))), axis=0)
+                            at = at[first]
+                        floor = np.partition(like, len(at) - k, axis=0)[len(at) - k] if 0 < k < len(at) else -np.inf
+                        i, j = np.nonzero(like >= np.maximum(floor, least))
+                        took = pa.array(own[at[i]])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in j], id_type), *[c.take(took) for c in out], pa.array(like[i, j])], ["query_id", key, *keep, "similarity"])
+
+        return rows.mapInArrow(run, schema)
+
+    blocks = [block_of(b) for b in _query_blocks(queries, query_vector, by)]
+    found = reduce(DataFrame.unionByName, blocks) if blocks else rows.sparkSession.createDataFrame([], schema)
+    if grouped:
+        found = found.groupBy("query_id", key).agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    found = []
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = rows.join(F.broadcast(block), F.lit(True)).withColumn("similarity", cosine(F.col("__v"), F.col("__q"))).where(F.col("similarity") >= least).drop("__v", "__q")
-        found.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k)))
-    return reduce(DataFrame.unionByName, found)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
 
 
-def match_vectors_blocked(query_rows: list[tuple[int, list[float]]], corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding") -> DataFrame:
-    """As :func:`match_vectors` for queries held as matrices of QUERY_BLOCK each: one matrix product a batch, k rows a query kept of each."""
-    blocks = [query_rows[at : at + QUERY_BLOCK] for at in range(0, len(query_rows), QUERY_BLOCK)] or [[]]
-    return reduce(DataFrame.unionByName, [_match_block(block, corpus, key, k, least, vector) for block in blocks])
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, label: str, vector: str = "embedding", centroid: str = "centroid") -> DataFrame:
+    """(key, label, similarity): of each row the centroid (label, centroid) with the largest cosine, ties by label.
 
+    Centroids meet the rows in blocks, as in :func:`match_vectors`; each block leaves one candidate a row.
+    """
+    asked = centroids.select(F.col(label).alias("query_id"), F.col(centroid).alias("query_embedding"))
+    label_type = to_arrow_type(centroids.schema[label].dataType)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{label}` {centroids.schema[label].dataType.simpleString()}, similarity double"
+
+    def block_of(block: list[tuple]) -> DataFrame:
+        block = sorted(b for b in block if b[2])
+        usable, m = unit_rows(pa.array([list(v) for _, _, v in block], pa.list_(pa.float64())))
+        held = rows.sparkSession.sparkContext.broadcast(([block[i][0] for i in usable], m))
 
-def _match_block(query_rows: list[tuple[int, list[float]]], corpus: DataFrame, key: str, k: int, least: float, vector: str) -> DataFrame:
-    ids = np.array([i for i, _ in query_rows])
-    matrix = np.array([v for _, v in query_rows], float)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels, m = held.value
+            for x in batches:
+                at, v = unit_rows(x.column(1), m.shape[1])
+                if len(at) and len(labels):
+                    like = np.round(v @ m.T, PLACES)
+                    best = like.argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(at)), pa.array([labels[j] for j in best], label_type), pa.array(like[np.arange(len(at)), best])], [key, label, "similarity"])
 
-    def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                v = np.stack(pdf["v"].to_numpy()).astype(float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                sim = v @ matrix.T
-                for j in range(len(ids)):
-                    best = np.lexsort((pdf["k"].to_numpy(), -sim[:, j]))[:k]
-                    best = best[sim[best, j] >= least]
-                    yield pd.DataFrame({"query_id": ids[j], "k": pdf["k"].to_numpy()[best], "similarity": sim[best, j]})
+        return rows.select(key, F.col(vector).alias("__v")).mapInArrow(run, schema)
 
-    near = corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, "query_id bigint, k bigint, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "k")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("k", key)
+    blocks = [block_of(b) for b in _query_blocks(asked, "query_embedding", None)]
+    found = reduce(DataFrame.unionByName, blocks) if blocks else rows.sparkSession.createDataFrame([], schema)
+    best = found.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("d"), label)).alias("b"))
+    return best.select(key, F.col(f"b.{label}").alias(label), (-F.col("b.d")).alias("similarity"))
 
 
 def nearest_per_group(matches: DataFrame, group: str, key: str) -> DataFrame:
@@ -121,27 +198,40 @@ def postings_of(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return index.join(wanted, "token").select("query_id", key, "token", F.explode("positions").alias("pos"))
 
 
-def postings_in(documents: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """The same straight from the texts: only tokens that some query asks for leave the scan; nothing is indexed."""
+def postings_in(documents: DataFrame, key: str, text: str, wanted: DataFrame, by: str | None = None) -> DataFrame:
+    """The same straight from the texts: only tokens that some query (with ``by``: of the row's own user) asks for leave the scan."""
+    on = [by, "token"] if by else ["token"]
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    found = documents.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
-    return found.join(F.broadcast(wanted) if small else wanted, "token").select("query_id", key, "token", "pos")
+    found = documents.select(key, *([by] if by else []), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    return found.join(F.broadcast(wanted) if small else wanted, on).select("query_id", key, "token", "pos")
 
 
-def search_terms_of(queries: DataFrame) -> DataFrame:
-    """(query_id, token) of queries (query_id, terms)."""
-    return queries.select("query_id", F.explode("terms").alias("token")).distinct()
+def search_terms_of(queries: DataFrame, by: str | None = None) -> DataFrame:
+    """(query_id, by, token) of queries (query_id, by, terms)."""
+    return queries.select("query_id", *([by] if by else []), F.explode("terms").alias("token")).distinct()
 
 
-def rank_postings(hits: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
-    """(query_id, key, matched, score, rank) of postings (query_id, key, token, pos), any term sufficing.
+def score_postings(hits: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, matched, raw) of postings (query_id, key, token, pos).
 
-    The raw rank grows with the number of matched terms and with how near they stand: the sum over neighbouring
-    matches of different terms of 1 / distance, plus a tenth of a point for each match; r / (r + 1) is returned.
+    The raw rank grows with the number of matches and with how near they stand: the sum over neighbouring matches of
+    different terms of 1 / distance, plus a tenth of a point for each match. Each term's places are gathered per query
+    and document before anything is shuffled.
     """
-    w = Window.partitionBy("query_id", key).orderBy("pos")
-    hits = hits.withColumn("near", F.when(F.lag("token").over(w) != F.col("token"), 1.0 / (F.col("pos") - F.lag("pos").over(w))).otherwise(0.0))
-    raw = hits.groupBy("query_id", key).agg(F.count_distinct("token").alias("matched"), F.sum(F.col("near") + 0.1).alias("raw"))
+    places = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    near = F.aggregate(
+        F.col("places"),
+        F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("token")),
+        lambda s, p: F.struct((s["sum"] + F.when(s["token"] != p["token"], F.lit(1.0) / (p["pos"] - s["pos"])).otherwise(F.lit(0.0)) + F.lit(0.1)).alias("sum"), p["pos"].alias("pos"), p["token"].alias("token")),
+        lambda s: s["sum"],
+    )
+    held = hits.groupBy("query_id", key).agg(places.alias("places"))  # bounded by one text's words
+    return held.select("query_id", key, F.size(F.array_distinct(F.transform("places", lambda p: p["token"]))).cast("bigint").alias("matched"), near.alias("raw"))
+
+
+def rank_postings(hits: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """(query_id, key, matched, score, rank) of postings, any term sufficing; r / (r + 1) of the raw rank is the score."""
+    raw = score_postings(hits, key)
     scored = raw.withColumn("score", F.round(F.col("raw") / (F.col("raw") + 1), 6)).where(F.col("score") >= least).drop("raw")
     w = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), key)
     ranked = scored.withColumn("rank", F.row_number().over(w))
@@ -178,8 +268,13 @@ def min_max(hits: DataFrame, score: str) -> DataFrame:
     return hits.withColumn("scaled", F.when(high > low, F.round((F.col(score) - low) / (high - low), 6)).otherwise(0.0))
 
 
-def rerank(hits: DataFrame, scores: DataFrame | None, key: str, k: int = 8) -> DataFrame:
-    """First k of each query by supplied relevance (query_id, key, relevance); without one, in fused order after those that have."""
+def rerank(hits: DataFrame, scores: DataFrame | None, key: str, k: int = 8, exact: DataFrame | None = None) -> DataFrame:
+    """First k of each query by supplied relevance (query_id, key, relevance); without one, in fused order after those that have.
+
+    Queries of ``exact`` (query_id), which ask for an identifier, keep the fused order.
+    """
+    if scores is not None and exact is not None:
+        scores = scores.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     ranked = hits.withColumn("relevance", F.lit(None).cast("double")) if scores is None else hits.join(scores, ["query_id", key], "left")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("relevance"), "rank")
     return ranked.withColumn("rerank", F.row_number().over(w)).where(F.col("rerank") <= k)
@@ -204,6 +299,18 @@ def citations(context: DataFrame, text: str, chars: int = 240) -> DataFrame:
     return context.withColumn("citation", F.row_number().over(w)).withColumn("snippet", F.substring(text, 1, chars))
 
 
+def one_source(rows: DataFrame, document: str = "document_id", memory: str = "memory_id") -> DataFrame:
+    """Rows that cite exactly one of a document and a memory."""
+    return rows.where(F.col(document).isNull() != F.col(memory).isNull())
+
+
+def citation_integrity(answers: DataFrame, context: DataFrame) -> DataFrame:
+    """Per query: citations that an answer makes (query_id, citation), and how many of them its context has."""
+    made = answers.select("query_id", "citation").distinct().join(context.select("query_id", "citation", F.lit(1).alias("there")).distinct(), ["query_id", "citation"], "left")
+    out = made.groupBy("query_id").agg(F.count("*").alias("cited"), F.count("there").alias("held"))
+    return out.withColumn("sound", F.col("cited") == F.col("held"))
+
+
 # Phrases that point to a time, to the user's own activity, or to a question.
 TEMPORAL_CUES = (
     "yesterday", "today", "tomorrow", "this morning", "this afternoon", "tonight", "last night", "last week", "last month", "last year", "last quarter", "this week", "this month",

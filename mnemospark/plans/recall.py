@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.columns import cosine
 from mnemospark.operators import lifecycle, memory, retrieval, rollups
 from mnemospark.plans.events import V_EVENTS
 from mnemospark.sources import tables
@@ -31,24 +30,11 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _V = "SELECT vec_id AS chunk_id, vec_id // 5 AS document_id, label AS topic, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
 _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
-_PAIRS = f"SELECT a.chunk_id AS query_id, b.chunk_id, b.document_id, {_COS} AS similarity FROM ({_V}) a, ({_V}) b WHERE a.chunk_id % 100 = 0"
+_PAIRS = f"SELECT a.chunk_id AS query_id, b.chunk_id, b.document_id, round({_COS}, 9) AS similarity FROM ({_V}) a, ({_V}) b WHERE a.chunk_id % 100 = 0"
 _TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM ({}) WHERE similarity >= 0"
 MATCHES = f"SELECT * FROM ({_TOP.format(_PAIRS)}) WHERE rank <= 10"
 
 
-@query(f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM ({MATCHES})")
-def match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.match_vectors(_queries(spark, sf_dir), tables.chunks(spark, sf_dir), "chunk_id", 10)
-    return out.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(f"""SELECT query_id, chunk_id AS memory_id, round(similarity, 6) AS similarity FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM ({_PAIRS} AND b.topic = 3) WHERE similarity >= 0) WHERE rank <= 5""")
-def match_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = tables.chunks(spark, sf_dir).where("topic = 3").withColumnRenamed("chunk_id", "memory_id")
-    return retrieval.match_vectors(_queries(spark, sf_dir), active, "memory_id", 5).select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"))
-
-
 @query(f"""SELECT query_id, document_id, arg_min(chunk_id, (-similarity, chunk_id)) AS chunk_id, round(max(similarity), 6) AS similarity FROM ({MATCHES.replace("<= 10", "<= 50")}) GROUP BY query_id, document_id""")
 def nearest_chunk_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.match_vectors(_queries(spark, sf_dir), tables.chunks(spark, sf_dir), "chunk_id", 50, keep=["document_id"])
@@ -63,14 +49,12 @@ def topic_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH m AS (SELECT topic, pos, avg(x) AS x FROM (SELECT label AS topic, unnest(range(0, len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY topic, pos),
     c AS (SELECT topic, list(x ORDER BY pos) AS e FROM m GROUP BY topic),
-    s AS (SELECT a.chunk_id, b.topic, {_COS} AS similarity, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_COS} DESC, b.topic) AS rn FROM ({_V}) a, c b)
+    s AS (SELECT a.chunk_id, b.topic, round({_COS}, 9) AS similarity, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round({_COS}, 9) DESC, b.topic) AS rn FROM ({_V}) a, c b)
     SELECT chunk_id, topic, round(similarity, 6) AS similarity FROM s WHERE rn = 1""")
 def nearest_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = tables.chunks(spark, sf_dir)
-    centroids = rollups.topic_centroids(chunks).withColumnRenamed("topic", "centroid_topic")  # tens of topics, one row each
-    scored = chunks.join(F.broadcast(centroids), F.lit(True)).select("chunk_id", F.col("centroid_topic").alias("topic"), cosine(F.col("embedding"), F.col("centroid")).alias("similarity"))
-    best = scored.groupBy("chunk_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "topic")).alias("b"))
-    return best.select("chunk_id", F.col("b.topic").alias("topic"), F.round(-F.col("b.d"), 6).alias("similarity"))
+    found = retrieval.nearest_centroid(chunks, rollups.topic_centroids(chunks), "chunk_id", "topic")
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 # ---- text search: benchmark passages as questions against documents
@@ -121,10 +105,12 @@ _EXPECTED = "SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN docume
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage verbatim; the passages are a stated, small set of questions."""
+    """Documents that hold a passage verbatim. Documents with all of its words are looked at; a passage without words is in none."""
     items, docs = tables.read(spark, sf_dir, "benchmark"), tables.read(spark, sf_dir, "documents")
-    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return docs.join(F.broadcast(asked), F.contains("text", "passage")).select("query_id", "doc_id")
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), retrieval.search_terms(F.col("text")).alias("terms"))
+    hits = retrieval.postings_in(docs, "doc_id", "text", retrieval.search_terms_of(asked)).groupBy("query_id", "doc_id").agg(F.count_distinct("token").alias("matched"))
+    full = hits.join(asked, "query_id").where(F.col("matched") == F.size("terms"))
+    return full.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id")
 
 
 @query(f"""WITH x AS ({_EXPECTED}), f AS (SELECT x.query_id, h.rank FROM x LEFT JOIN (SELECT * FROM ({_SEARCH}) WHERE rank <= 10) h ON h.query_id = x.query_id AND h.doc_id = x.doc_id),
@@ -138,46 +124,6 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- fusion
 
-_HYBRID = f"""
-    SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM (
-    SELECT query_id, key, round(sum(part), 8) AS score FROM (
-        SELECT query_id, chunk_id AS key, CAST(0.6 AS DOUBLE) / (60 + rank) AS part FROM ({MATCHES.replace("<= 10", "<= 40")})
-        UNION ALL
-        SELECT query_id, chunk_id, CAST(0.4 AS DOUBLE) / (60 + rank) FROM (
-            SELECT a.chunk_id AS query_id, b.chunk_id, row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.chunk_id) AS rank FROM ({_V}) a JOIN ({_V}) b ON a.topic = b.topic WHERE a.chunk_id % 100 = 0) WHERE rank <= 40)
-    GROUP BY query_id, key)"""
-
-
-def _fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """A vector leg and a leg of the query's own topic, oldest first."""
-    from pyspark.sql import Window
-
-    chunks = tables.chunks(spark, sf_dir)
-    near = retrieval.match_vectors(_queries(spark, sf_dir), chunks, "chunk_id", 40)
-    topic = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "topic").join(chunks.select("chunk_id", "topic"), "topic")
-    topic = topic.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("rank <= 40")
-    return retrieval.fuse([(near, 0.6), (topic, 0.4)], "chunk_id", k)
-
-
-@query(f"SELECT query_id, key AS chunk_id, score, rank FROM ({_HYBRID}) WHERE rank <= 20")
-def hybrid_chunks_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 20).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-@query(f"""WITH v AS (SELECT query_id, document_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY max(similarity) DESC, document_id) AS rank
-        FROM ({MATCHES.replace("<= 10", "<= 60")}) GROUP BY query_id, document_id),
-    t AS (SELECT query_id, doc_id, rank FROM ({_SEARCH}) WHERE rank <= 30)
-    SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-        SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 8) AS score FROM (SELECT query_id, doc_id, rank FROM v WHERE rank <= 30 UNION ALL SELECT * FROM t) GROUP BY query_id, doc_id)) WHERE rank <= 10""")
-def hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    near = retrieval.match_vectors(_queries(spark, sf_dir), tables.chunks(spark, sf_dir), "chunk_id", 60, keep=["document_id"])
-    per_doc = retrieval.nearest_per_group(near, "document_id", "chunk_id").withColumnRenamed("document_id", "doc_id")
-    per_doc = per_doc.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id"))).where("rank <= 30")
-    fused = retrieval.fuse([(per_doc, 1.0), (_text_hits(spark, sf_dir, 30), 1.0)], "doc_id", 10)
-    return fused.withColumn("rank", F.col("rank").cast("bigint"))
-
 
 _SHOWN = f"SELECT * FROM ({_SEARCH}) WHERE rank <= 20"
 
@@ -244,19 +190,11 @@ _CHAIN = f"""SELECT *, CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'super
     SELECT *, lead(valid_from) OVER w AS valid_to, lead(memory_id) OVER w AS superseded_by FROM ({_M}) WINDOW w AS (PARTITION BY conv_id ORDER BY valid_from, memory_id))"""
 
 
-@query(f"""SELECT user_id, sha256(trim(regexp_replace(regexp_replace(statement, '[​-‍﻿]', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))) AS statement_hash, min(memory_id) AS memory_id, count(*) AS copies FROM ({_M}) GROUP BY 1, 2""")
+@query(f"""SELECT user_id, sha256(trim(regexp_replace(regexp_replace(nfc_normalize(statement), '[​-‍﻿]', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))) AS statement_hash, min(memory_id) AS memory_id, count(*) AS copies FROM ({_M}) GROUP BY 1, 2""")
 def memory_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.exact_duplicates(tables.memories(spark, sf_dir))
 
 
-@query(f"""WITH p AS (SELECT a.chunk_id AS memory_id, b.chunk_id AS match_id, {_COS} AS similarity FROM ({_V}) a JOIN ({_V}) b ON a.document_id // 20 = b.document_id // 20 AND a.topic = b.topic AND b.chunk_id < a.chunk_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, match_id) AS rn FROM p)
-    SELECT memory_id, match_id, round(similarity, 6) AS similarity, CASE WHEN similarity >= 0.3 THEN 'duplicate' ELSE 'candidate' END AS relation FROM r WHERE rn = 1 AND similarity >= 0.2""")
-def memory_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = tables.chunks(spark, sf_dir).select(F.col("chunk_id").alias("memory_id"), F.concat_ws(":", F.expr("document_id div 20"), "topic").alias("block"), "embedding")
-    return memory.near_duplicates(vectors, vectors, "block", duplicate=0.3, review=0.2)
-
-
 @query(f"SELECT memory_id, valid_from, valid_to, superseded_by, status FROM ({_CHAIN})")
 def memory_supersede_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.supersede_chain(tables.memories(spark, sf_dir), "conv_id").select("memory_id", "valid_from", "valid_to", "superseded_by", "status")
@@ -298,13 +236,13 @@ def memory_access_bump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EVENT_TEXT = "type || ' ' || split_part(domain, '.', 1) || ' item' || CAST(k % 50 AS VARCHAR)"
 _EVENT_INDEX = f"SELECT event_id AS doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS})))"
-_EVENT_WANTED = f"SELECT DISTINCT event_id AS query_id, unnest(t) AS token FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS}) WHERE event_id % 2000 = 0))"
+_EVENT_WANTED = f"SELECT DISTINCT event_id AS query_id, unnest(t) AS token FROM (SELECT event_id, {_tokens_sql('x')} AS t FROM (SELECT event_id, {_EVENT_TEXT} AS x FROM ({V_EVENTS}) WHERE event_id % 100 = 0))"
 
 
 @query(f"SELECT query_id, doc_id AS event_id, matched, score, rank FROM ({_search_sql(_EVENT_INDEX, _EVENT_WANTED)}) WHERE rank <= 10")
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = tables.activity_events(spark, sf_dir).select("event_id", F.concat("type", F.lit(" "), F.substring_index("domain", ".", 1), F.lit(" item"), (F.col("k") % 50).cast("string")).alias("text"))
-    asked = texts.where("event_id % 2000 = 0").select(F.col("event_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
+    asked = texts.where("event_id % 100 = 0").select(F.col("event_id").alias("query_id"), retrieval.search_terms(F.col("text")).alias("terms"))
     return retrieval.search_documents(asked, texts, "event_id", "text", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -317,9 +255,35 @@ def time_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.time_by_topic(tables.activity_events(spark, sf_dir), docs, tables.chunks(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT vec_id // 5 AS document_id, label AS topic_id, round(count(*) / 5.0, 6) AS confidence FROM embeddings GROUP BY 1, 2),
+_NEAREST = f"""WITH m AS (SELECT topic, pos, avg(x) AS x FROM (SELECT label AS topic, unnest(range(0, len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY topic, pos),
+    c AS (SELECT topic, list(x ORDER BY pos) AS e FROM m GROUP BY topic)
+    SELECT document_id, topic, similarity FROM (SELECT a.document_id, b.topic, round({_COS}, 9) AS similarity, row_number() OVER (PARTITION BY a.chunk_id ORDER BY round({_COS}, 9) DESC, b.topic) AS rn FROM ({_V}) a, c b) WHERE rn = 1"""
+
+
+@query(f"""WITH c AS (SELECT document_id, topic_id, max(confidence) AS confidence FROM (
+        SELECT vec_id // 5 AS document_id, label AS topic_id, round(count(*) / 5.0, 6) AS confidence FROM embeddings GROUP BY 1, 2
+        UNION ALL SELECT document_id, topic, round(similarity, 6) FROM ({_NEAREST})) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, topic_id) AS rn FROM c)
     SELECT document_id, topic_id, CAST(confidence AS DOUBLE) AS confidence, rn = 1 AS is_primary FROM r WHERE rn <= 3""")
 def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = tables.chunks(spark, sf_dir).groupBy("document_id", F.col("topic").alias("topic_id")).agg(F.round(F.count("*") / 5.0, 6).alias("confidence"))
-    return lifecycle.assign_topics(hits, hits.limit(0), 3)
+    near = nearest_topic(spark, sf_dir).join(tables.chunks(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id")
+    return lifecycle.assign_topics(hits, near.select("document_id", F.col("topic").alias("topic_id"), F.col("similarity").alias("confidence")), 3)
+
+
+_READ = f"""SELECT CAST(e.occurred_at AS DATE) AS day, t.topic, e.duration_seconds FROM ({V_EVENTS}) e
+    JOIN (SELECT doc_id, 'https://site' || CAST(doc_id % 12 AS VARCHAR) || '.example.com/p/' || CAST(doc_id AS VARCHAR) AS url FROM documents) d ON d.url = e.url
+    JOIN (SELECT DISTINCT vec_id // 5 AS document_id, label AS topic FROM embeddings) t ON t.document_id = d.doc_id WHERE t.topic IN (0, 1, 2, 3)"""
+
+
+@query(f"""SELECT day, {", ".join(f'CAST(coalesce(sum(duration_seconds) FILTER (WHERE topic = {t}), 0) AS BIGINT) AS "{t}"' for t in range(4))}, CAST(sum(duration_seconds) AS BIGINT) AS total FROM ({_READ}) GROUP BY day""")
+def time_by_day_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://site"), (F.col("doc_id") % 12).cast("string"), F.lit(".example.com/p/"), F.col("doc_id").cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), url.alias("url"))
+    return rollups.time_by_day_topic(tables.activity_events(spark, sf_dir), docs, tables.chunks(spark, sf_dir), [0, 1, 2, 3])
+
+
+@query(f"""SELECT memory_id, statement FROM ({_CHAIN}) WHERE status = 'active' AND kind = 'fact' ORDER BY valid_from DESC, memory_id DESC LIMIT 20""")
+def recent_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = memory.supersede_chain(tables.memories(spark, sf_dir), "conv_id")
+    return rollups.recent_memories(held, 20, ["fact"]).select("memory_id", "statement")

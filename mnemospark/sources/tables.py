@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.columns import content_hash, word_count
+from mnemospark.functions.columns import content_hash, squeeze, truncate, word_count
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
+#: Tables whose rows take long to work on, and tasks of a file up to which they are dealt to all cores.
+TEXT_TABLES, SMALL_TASKS = ("documents", "pages"), 4
 
-#: Tables whose rows take long to work on.
-TEXT_TABLES = ("documents", "pages")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where their files make fewer tasks than that; any larger input is left as it is.
-
-    A small file of one row group is one task, however long its texts take.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. A small file of texts is dealt to all cores, as a row group is one task however long its texts take;
+    a file of over SMALL_TASKS tasks, which have spark.sql.files.maxPartitionBytes each, is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and cores > SMALL_TASKS and df.rdd.getNumPartitions() <= SMALL_TASKS:
+        return df.repartition(cores)
+    return df
 
 
 #: What each event type of the raw table stands for.
@@ -92,3 +88,46 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"{EPOCH} + make_dt_interval(cast(conv_id as int), cast(turn as int), 0, 0)").alias("valid_from"),
         (F.col("turn") % 4).alias("access_count"),
     )
+
+
+#: Users that the retrieval views are dealt to: few, so that each has many rows.
+TENANTS, CHUNKS_OF_DOCUMENT, CHUNK_STEP, VECTORS_OF_MEMORIES = 10, 5, 800, 13
+
+
+def recall_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as retrieval sees them: owner, title, soft deletes, extraction status and the topics of their passages."""
+    topics = chunks(spark, sf_dir).where("topic is not null").groupBy("document_id").agg(F.array_sort(F.collect_set("topic")).alias("topic_ids"))
+    raw = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        (F.col("doc_id") % TENANTS).alias("user_id"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), F.col("doc_id").cast("string")).alias("url"),
+        truncate(squeeze(F.col("text")), 40).alias("title"),
+        word_count(F.col("text")).alias("word_count"),
+        F.expr(f"{EPOCH} + make_dt_interval(0, 0, cast(doc_id % 500 as int), 0)").alias("captured_at"),
+        F.expr(f"CASE WHEN doc_id % 50 = 49 THEN {EPOCH} END").alias("deleted_at"),
+        F.when(F.col("doc_id") % 37 == 0, "failed").otherwise("succeeded").alias("extraction_status"),
+        F.col("text").alias("extracted_text"),
+    )
+    return raw.join(topics, "document_id", "left")
+
+
+def recall_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages with owner, text and vector."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % TENANTS).alias("user_id"), F.col("text").alias("__text"))
+    rows = chunks(spark, sf_dir).withColumn("ordinal", F.col("chunk_id") % CHUNKS_OF_DOCUMENT).join(texts, "document_id")
+    return rows.withColumn("text", F.substring("__text", F.col("ordinal") * CHUNK_STEP + 1, F.lit(CHUNK_STEP))).drop("__text")
+
+
+def recall_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with owner, status (a later statement of a conversation supersedes), vector and topics."""
+    later = Window.partitionBy("conv_id").orderBy("valid_from", "memory_id")
+    rows = memories(spark, sf_dir).withColumn("user_id", F.col("conv_id") % TENANTS).withColumn("status", F.when(F.lead("memory_id").over(later).isNull(), "active").otherwise("superseded"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"), "embedding", F.when(F.col("label").isNotNull(), F.array("label")).alias("topic_ids"))
+    rows = rows.withColumn("__v", F.col("memory_id") % VECTORS_OF_MEMORIES).join(vectors.where(F.col("__v") < VECTORS_OF_MEMORIES), "__v", "left").drop("__v")
+    return rows.withColumn("confidence", (F.col("memory_id") % 10).cast("double") / 10).withColumn("statement_hash", content_hash(F.col("statement")))
+
+
+def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every statement whose id is divisible by 100, asked by its owner, with its text and vector."""
+    asked = recall_memories(spark, sf_dir).where("memory_id % 100 = 0")
+    return asked.select(F.col("memory_id").alias("query_id"), "user_id", F.col("statement").alias("query_text"), F.col("embedding").alias("query_embedding"))
