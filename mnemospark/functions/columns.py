@@ -1,9 +1,13 @@
-"""Column expressions for texts, urls, vectors, scores and times; all of them stay inside Catalyst."""
+"""Column expressions for texts, urls, vectors, scores and times; all but unicode composition stay inside Catalyst."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHARS_PER_TOKEN, WORDS_PER_MINUTE = 4, 238
 
@@ -26,6 +30,21 @@ def without_zero_width(text: Column) -> Column:
     return F.regexp_replace(text, "[​-‍﻿]", "")
 
 
+def without_control(text: Column) -> Column:
+    """Without control characters but line feeds and tabs, lone surrogates and replacement characters."""
+    return F.regexp_replace(text, "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\uFFFD]", "")
+
+
+@F.pandas_udf(T.StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode composition, which has no built-in; texts within ASCII do not reach Python."""
+    return F.coalesce(_composed(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t-\\r]+")).cast("bigint")
 
@@ -48,8 +67,8 @@ def slugify(text: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """Identity of a content: SHA-256 of the text without zero-width characters, white space squeezed."""
-    return F.sha2(squeeze(without_zero_width(text)).cast("binary"), 256)
+    """Identity of a content: SHA-256 of the composed text without zero-width characters, white space squeezed."""
+    return F.sha2(squeeze(without_zero_width(nfc(text))).cast("binary"), 256)
 
 
 def _absolute(url: Column) -> Column:
@@ -123,6 +142,17 @@ def seconds_of(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
+def local_day(ts: Column, zone: str) -> Column:
+    """The calendar day of a UTC time in a zone."""
+    return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))
+
+
+def since_until(ts: Column, low: Column | None = None, high: Column | None = None, closed: bool = False) -> Column:
+    """The range convention: aggregates include their start and exclude their end; retrieval (``closed``) includes both."""
+    out = F.lit(True) if low is None else ts >= low
+    return out if high is None else out & ((ts <= high) if closed else (ts < high))
+
+
 def working_hours(ts: Column) -> Column:
     """Monday to Friday, from 9 to before 18."""
     return F.weekday(ts).between(0, 4) & F.hour(ts).between(9, 17)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.columns import band_for, clamp01
+from mnemospark.functions.columns import band_for, clamp01, working_hours
 
 # Fixed values: (rule, signal, weight), in order; weights of the server's rules.
 SERVER_RULES = [
@@ -57,11 +57,16 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 
 
 def override_rules(rules: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Rules for every user of ``overrides`` (user_id, rule, weight, enabled): an override's values win, null ones do not."""
-    users = overrides.select("user_id").distinct()
+    """The rules of every user of ``overrides`` (user_id, rule, weight, enabled), and those of all other users under a null user_id.
+
+    An override's values win, null ones do not. Each user of ``overrides`` meets the rule table, which has a fixed size.
+    """
+    users = overrides.where("user_id is not null").select("user_id").distinct()
     mine = overrides.select("user_id", "rule", F.col("weight").alias("__w"), F.col("enabled").alias("__e"))
-    out = users.crossJoin(F.broadcast(rules)).join(mine, ["user_id", "rule"], "left")
-    return out.withColumn("weight", F.coalesce("__w", "weight")).withColumn("enabled", F.coalesce("__e", "enabled")).drop("__w", "__e")
+    every = rules.withColumn("__all", F.lit(True))
+    out = users.withColumn("__all", F.lit(True)).join(F.broadcast(every), "__all").drop("__all").join(mine, ["user_id", "rule"], "left")
+    out = out.withColumn("weight", F.coalesce("__w", "weight")).withColumn("enabled", F.coalesce("__e", "enabled")).drop("__w", "__e")
+    return out.unionByName(rules.withColumn("user_id", F.lit(None).cast(out.schema["user_id"].dataType)))
 
 
 def weight_check(rules: DataFrame) -> DataFrame:
@@ -80,9 +85,15 @@ def server_score(events: DataFrame) -> DataFrame:
 def server_score_by_rules(events: DataFrame, rules: DataFrame, key: str = "event_id") -> DataFrame:
     """(key, score, band) by a rule table, which may have several signals to a rule and rules per user.
 
-    The signals are unpivoted and joined with the small rule table; a weight is spread over its rule's signals.
+    The signals are unpivoted and joined with the small rule table; a weight is spread over its rule's signals. Users
+    without rules of their own, and events without a user, have those under a null user_id.
     """
     keyed = "user_id" in rules.columns
+    if keyed:
+        own = rules.where("user_id is not null").select("user_id").distinct().withColumn("__own", F.lit(True))
+        users = F.when(F.col("__own"), F.col("user_id"))
+        events = events.join(own, "user_id", "left").withColumn("user_id", F.coalesce(users.cast("string"), F.lit(""))).drop("__own")
+        rules = rules.withColumn("user_id", F.coalesce(F.col("user_id").cast("string"), F.lit("")))
     stack = ", ".join(f"'{s}', cast({s} as double)" for s in SIGNALS)
     signals = events.select(key, "user_id", F.expr(f"stack({len(SIGNALS)}, {stack}) as (signal, raw)"))
     full = F.coalesce(*[F.when(F.col("signal") == s, F.lit(v)) for s, v in SERVER_FULL.items()], F.lit(1.0))
@@ -94,6 +105,36 @@ def server_score_by_rules(events: DataFrame, rules: DataFrame, key: str = "event
     return out.select(key, F.round(clamp01(F.col("total")), 6).alias("score")).withColumn("band", band_for(F.col("score")))
 
 
+def extract_signals(events: DataFrame, type_: str = "type", payload: str = "payload") -> DataFrame:
+    """Adds the thirteen signals to events with a JSON payload and a history.
+
+    Of the history it takes revisit_count and is_unique_domain (see rollups.revisit_signals), of the topics
+    topic_likeness, the cosine to the nearest known centroid (null: nothing known, a novelty of 0.5), and of the device
+    app_is_excluded, each where the events have it. A field that the event's type does not have counts 0 or false.
+    """
+    kind = F.col(type_)
+    number = lambda field: F.coalesce(F.expr(f"try_cast(get_json_object({payload}, '$.{field}') as double)"), F.lit(0.0))
+    had = lambda name, default: F.coalesce(F.col(name), default) if name in events.columns else default
+    dwell = F.when(kind == "page_view", number("durationMs") / 1000).when(kind == "app_session", number("durationSeconds")).otherwise(0.0)
+    likeness = F.col("topic_likeness") if "topic_likeness" in events.columns else F.lit(None).cast("double")
+    signals = {
+        "dwell_seconds": F.greatest(F.lit(0.0), dwell),
+        "scroll_depth_pct": F.when(kind == "page_view", F.greatest(F.lit(0.0), F.least(F.lit(100.0), number("scrollDepthPct")))).otherwise(0.0),
+        "is_unique_domain": had("is_unique_domain", F.lit(False)),
+        "revisit_count": had("revisit_count", F.lit(0)),
+        "word_count": F.when(kind == "page_read", F.greatest(F.lit(0.0), number("wordCount"))).otherwise(0.0),
+        "has_selection": kind == "selection",
+        "has_copy": kind == "copy",
+        "is_bookmarked": kind == "bookmark",
+        "is_downloaded": kind == "download",
+        "youtube_watched_pct": F.when(kind == "youtube_watch", clamp01(number("watchedPct"))).otherwise(0.0),
+        "app_is_excluded": had("app_is_excluded", F.lit(False)),
+        "is_working_hours": working_hours(F.col("occurred_at")),
+        "topic_novelty": F.when(likeness.isNull(), 0.5).otherwise(clamp01(1 - likeness)),
+    }
+    return events.withColumns(signals)
+
+
 def client_score(events: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Adds score, band and contributions by the client's weights; an excluded app scores 0 whatever else holds."""
     weights = CLIENT_WEIGHTS if weights is None else weights

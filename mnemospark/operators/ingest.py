@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemospark.functions.columns import domain_of
+from mnemospark.functions.columns import BANDS, canonical_url, domain_of
 
 # Event types and document sources.
 EVENT_TYPES = ("page_view", "page_read", "selection", "copy", "youtube_watch", "app_session", "search", "bookmark", "download")
@@ -15,6 +18,7 @@ DURATION_TYPES = ("page_view", "app_session", "youtube_watch")
 DOMAIN_TYPES = ("page_view", "page_read")
 BATCH_EVENTS, BATCH_DOCUMENTS, SCHEMA_VERSION = 100, 5, 1
 DOCUMENT_CHARS = (200, 500_000)
+DOCUMENT_SOURCES = ("web", "youtube", "pdf", "gdoc", "newsletter", "manual")
 
 _EVENT = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "deviceId", "type", "occurredAt", "dedupeKey", "url", "title", "domain", "payload")] + [T.StructField("importance", T.DoubleType())])
 _DOCUMENT = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "source", "text", "contentHash", "capturedAt")] + [T.StructField("wordCount", T.LongType())])
@@ -69,17 +73,51 @@ def event_verdict(events: DataFrame) -> DataFrame:
     )
 
 
+# Forms of ids, times and digests on the wire.
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ISO_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+VIDEO_ID = "^[A-Za-z0-9_-]{6,64}$"
+DIGEST = "^([a-zA-Z0-9]+:)?[0-9a-fA-F]{16,}$"
+
+
+def wire_verdict(events: DataFrame, batch_device: str = "batch_device") -> DataFrame:
+    """Adds ``reason``, null for a valid event of an envelope: the envelope's event fields as columns, and the batch's device.
+
+    ``metadata`` and ``payload`` are JSON texts. The first rule that is broken names the reason.
+    """
+    needs = lambda types: F.col("type").isin(*types)
+    number = F.when(F.col("type") == "page_view", F.get_json_object("payload", "$.durationMs")).otherwise(F.get_json_object("payload", "$.durationSeconds"))
+    return events.withColumn(
+        "reason",
+        first_reason(
+            [
+                ("id", F.col("id").rlike(UUID)),
+                ("type", F.col("type").isin(*EVENT_TYPES)),
+                ("deviceId", F.col("deviceId") == F.col(batch_device)),
+                ("occurredAt", F.col("occurredAt").rlike(ISO_TIME) & F.try_to_timestamp("occurredAt").isNotNull()),
+                ("importance", F.col("importance").between(0, 1)),
+                ("dedupeKey", F.length("dedupeKey").between(8, 128)),
+                ("metadata", F.ltrim(F.coalesce("metadata", F.lit("{}"))).startswith("{")),
+                ("domain", ~needs(DOMAIN_TYPES) | F.col("domain").isNotNull()),
+                ("duration", ~needs(DURATION_TYPES) | (number.try_cast("double") >= 0)),
+            ]
+        ),
+    )
+
+
+_TEXT, _CONTEXT = "length(v) between 1 and 20000", "length(v) <= 500"
+_COUNT, _URL = "try_cast(v as bigint) >= 0", "length(try_parse_url(v, 'HOST')) > 0"
 # Per event type, the payload fields that it needs and the rule each must keep.
 PAYLOAD_RULES = {
-    "page_view": {"domain": "length(v) between 1 and 253", "durationMs": "try_cast(v as double) >= 0", "scrollDepthPct": "try_cast(v as double) between 0 and 100"},
-    "page_read": {"domain": "length(v) between 1 and 253", "wordCount": "try_cast(v as bigint) >= 0", "readingTimeSeconds": "try_cast(v as double) >= 0", "contentHash": "length(v) between 8 and 128"},
-    "selection": {"text": "length(v) >= 1", "length": "try_cast(v as bigint) >= 1"},
-    "copy": {"text": "length(v) >= 1"},
-    "youtube_watch": {"videoId": "length(v) between 1 and 64", "watchedPct": "try_cast(v as double) between 0 and 1"},
-    "app_session": {"packageName": "length(v) >= 1", "durationSeconds": "try_cast(v as double) >= 0"},
-    "search": {"query": "length(v) between 1 and 1024"},
-    "bookmark": {"title": "length(v) >= 0"},
-    "download": {"filename": "length(v) >= 1"},
+    "page_view": {"domain": "length(v) between 1 and 253", "durationMs": _COUNT, "scrollDepthPct": "try_cast(v as double) between 0 and 100"},
+    "page_read": {"domain": "length(v) between 1 and 253", "wordCount": _COUNT, "readingTimeSeconds": _COUNT, "contentHash": f"length(v) between 16 and 128 and v rlike '{DIGEST}'"},
+    "selection": {"text": _TEXT, "contextBefore": _CONTEXT, "contextAfter": _CONTEXT, "selectionLength": "try_cast(v as bigint) between 1 and 20000"},
+    "copy": {"text": _TEXT, "selectionLength": "try_cast(v as bigint) between 1 and 20000"},
+    "youtube_watch": {"videoId": f"v rlike '{VIDEO_ID}'", "channelName": "v is null or length(v) <= 200", "watchedSeconds": _COUNT, "durationSeconds": f"v is null or {_COUNT}", "watchedPct": "try_cast(v as double) between 0 and 1", "transcriptAvailable": "v in ('true', 'false')"},
+    "app_session": {"packageName": "length(v) between 1 and 255", "appLabel": "length(v) between 1 and 200", "startAt": f"v rlike '{ISO_TIME}'", "endAt": f"v rlike '{ISO_TIME}'", "durationSeconds": _COUNT, "isForeground": "v in ('true', 'false')"},
+    "search": {"query": "length(v) between 1 and 500", "engine": "length(v) between 1 and 50"},
+    "bookmark": {"url": _URL, "folder": "v is null or length(v) <= 200"},
+    "download": {"url": _URL, "filename": "length(v) between 1 and 255", "mimeType": "v is null or length(v) <= 255", "bytes": f"v is null or {_COUNT}"},
 }
 
 
@@ -87,12 +125,12 @@ def payload_verdict(events: DataFrame, type_: str = "type", payload: str = "payl
     """Adds ``payload_reason``: the first field that the event's type needs and its JSON payload does not keep to."""
     reason = F.lit(None).cast("string")
     for kind, fields in PAYLOAD_RULES.items():
-        rules = [(name, F.expr(rule.replace("(v", f"(get_json_object({payload}, '$.{name}')"))) for name, rule in fields.items()]
+        rules = [(name, F.expr(re.sub(r"\bv\b", lambda _, n=name: f"get_json_object({payload}, '$.{n}')", rule))) for name, rule in fields.items()]
         reason = F.when(F.col(type_) == kind, first_reason(rules)).otherwise(reason)
     return events.withColumn("payload_reason", reason)
 
 
-def document_verdict(documents: DataFrame) -> DataFrame:
+def document_verdict(documents: DataFrame, sources: Sequence[str] = DOCUMENT_SOURCES) -> DataFrame:
     """Adds ``reason``, null for a valid document: columns url, extracted_text, source, word_count, captured_at."""
     return documents.withColumn(
         "reason",
@@ -100,7 +138,7 @@ def document_verdict(documents: DataFrame) -> DataFrame:
             [
                 ("url", F.length("url") > 0),
                 ("text", F.length("extracted_text").between(*DOCUMENT_CHARS)),
-                ("source", F.length("source") > 0),
+                ("source", F.col("source").isin(*sources)),
                 ("word_count", F.col("word_count") >= 1),
                 ("captured_at", F.col("captured_at").isNotNull()),
             ]
@@ -108,6 +146,16 @@ def document_verdict(documents: DataFrame) -> DataFrame:
     )
 
 
+def capture_verdict(documents: DataFrame, url: str = "url", body: str = "body_text") -> DataFrame:
+    """Adds ``reason``: a capture carries a url to fetch or a body to accept; an absolute url, a body of 1 to 2 000 000 characters."""
+    rules = [
+        ("url_or_body", F.col(url).isNotNull() | F.col(body).isNotNull()),
+        ("url", F.col(url).isNull() | (F.length(F.try_parse_url(F.col(url), F.lit("HOST"))) > 0)),
+        ("body", F.col(body).isNull() | F.length(body).between(1, 2_000_000)),
+    ]
+    return documents.withColumn("reason", first_reason(rules))
+
+
 def clamp_clock(events: DataFrame, now: Column, ts: str = "occurred_at") -> DataFrame:
     """Times over an hour ahead or over 90 days old become ``now``; ``clamped_from`` keeps the original, lag_ms the delay."""
     off = (F.col(ts) > now + F.expr("INTERVAL 1 HOUR")) | (F.col(ts) < now - F.expr("INTERVAL 90 DAYS"))
@@ -147,6 +195,27 @@ def capture_gate(type_: Column, score: Column, least: float = 0.15) -> Column:
     return type_.isin(*EXPLICIT_TYPES) | (score >= 0.9) | (score >= least)
 
 
+def text_floor(type_: Column, text: Column, least: int = 40) -> Column:
+    """Selections and copies of fewer characters are no events."""
+    return ~type_.isin("selection", "copy") | F.coalesce(F.length(text) >= least, F.lit(False))
+
+
+def distillation_gate(score: Column) -> Column:
+    """What is at least of the normal band goes on to be distilled."""
+    return F.coalesce(score >= BANDS["normal"], F.lit(False))
+
+
+def rejected_in_batch(batch: DataFrame, rejected: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows of the batch that the server refused; refused keys of other batches touch nothing."""
+    return batch.join(rejected.select(key).distinct(), key, "left_semi")
+
+
+def document_by_url(documents: DataFrame, wanted: DataFrame, url: str = "url") -> DataFrame:
+    """Documents whose canonical url is that of a wanted one (url), with it as canonical_url."""
+    asked = wanted.select(canonical_url(F.col(url)).alias("canonical_url")).where("canonical_url is not null").distinct()
+    return documents.withColumn("canonical_url", canonical_url(F.col(url))).join(asked, "canonical_url")
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
@@ -162,15 +231,19 @@ def existing_keys(batch: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
 
 
 def upsert_documents(captures: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """One row per (user_id, content_hash): the first capture's identity and time, the latest url, last_seen_at.
+    """One row per (user_id, content_hash): the first capture's identity and time, the latest url and title, last_seen_at.
 
-    Captures: document_id, user_id, content_hash, url, captured_at. Partial aggregation absorbs a hot hash.
+    Captures: document_id, user_id, content_hash, url, captured_at, and title and deleted_at where there are any. A
+    deletion is not undone by a new capture. Partial aggregation absorbs a hot hash.
     """
-    rows = captures.select("document_id", "user_id", "content_hash", "url", "captured_at", F.col("captured_at").alias("last_seen_at"))
+    more = [c for c in ("title", "deleted_at") if c in captures.columns]
+    rows = captures.select("document_id", "user_id", "content_hash", "url", "captured_at", *more, F.col("captured_at").alias("last_seen_at"))
     if stored is not None:
-        rows = rows.unionByName(stored.select(*rows.columns))
+        rows = rows.unionByName(stored.select(*rows.columns), allowMissingColumns=True)
     first, last = F.struct("captured_at", "document_id"), F.struct("last_seen_at", "document_id")
-    return rows.groupBy("user_id", "content_hash").agg(F.min_by("document_id", first).alias("document_id"), F.min("captured_at").alias("captured_at"), F.max_by("url", last).alias("url"), F.max("last_seen_at").alias("last_seen_at"), F.count("*").alias("captures"))
+    extra = {"title": F.max_by("title", last).alias("title"), "deleted_at": F.max("deleted_at").alias("deleted_at")} if more else {}
+    found = rows.groupBy("user_id", "content_hash").agg(F.min_by("document_id", first).alias("document_id"), F.min("captured_at").alias("captured_at"), F.max_by("url", last).alias("url"), F.max("last_seen_at").alias("last_seen_at"), F.count("*").alias("captures"), *[extra[c] for c in more])
+    return found
 
 
 def replace_chunks(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -190,8 +263,9 @@ def stale_vectors(chunks: DataFrame, model: str) -> DataFrame:
 
 
 def embedding_backlog(documents: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Undeleted documents without any chunk, oldest first."""
-    waiting = documents.where("deleted_at is null").join(chunks.select("document_id").distinct(), "document_id", "left_anti").orderBy("captured_at", "document_id")
+    """Undeleted documents, whose extraction succeeded where that is known, without any chunk, oldest first."""
+    ready = documents.where("extraction_status = 'succeeded'") if "extraction_status" in documents.columns else documents
+    waiting = ready.where("deleted_at is null").join(chunks.select("document_id").distinct(), "document_id", "left_anti").orderBy("captured_at", "document_id")
     return waiting if limit is None else waiting.limit(limit)
 
 

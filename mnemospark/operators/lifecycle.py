@@ -55,7 +55,8 @@ def export_manifest(tables: dict[str, DataFrame], user: str = "user_id") -> Data
 
 def seed_topics(users: DataFrame, seeds: DataFrame, stored: DataFrame) -> DataFrame:
     """Topics (user_id, slug, parent_slug) that users lack; ``seeds``: (slug, parent_slug), roots without a parent."""
-    wanted = users.select("user_id").distinct().crossJoin(F.broadcast(seeds))
+    each = F.broadcast(seeds.withColumn("__all", F.lit(True)))  # the seeds have a fixed size
+    wanted = users.select("user_id").distinct().withColumn("__all", F.lit(True)).join(each, "__all").drop("__all")
     return wanted.join(stored.select("user_id", "slug"), ["user_id", "slug"], "left_anti")
 
 
@@ -85,13 +86,13 @@ def route_categories(documents: DataFrame, rules: DataFrame, key: str = "documen
     parts = F.split(F.lower(F.coalesce(host, F.lit(""))), "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 100), "."))
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9-]+", " "), " "), lambda w: F.length(w) > 0)
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i < F.size(words)), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+    pairs = F.filter(F.zip_with(words, F.slice(words, 2, 2**30), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())  # the last word has no next one
     tagged = F.concat(
         F.transform(suffixes, lambda v: F.struct(F.lit("host").alias("kind"), v.alias("value"))),
         F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda v: F.struct(F.lit("topic").alias("kind"), v.alias("value"))),
         F.transform(F.concat(words, pairs), lambda v: F.struct(F.lit("keyword").alias("kind"), v.alias("value"))),
     )
-    asked = documents.select(key, F.explode(F.array_distinct(tagged)).alias("t")).select(key, "t.kind", "t.value")
+    asked = documents.select(key, F.explode(tagged).alias("t")).select(key, "t.kind", "t.value")
     found = asked.join(F.broadcast(rules), ["kind", "value"])
     order = F.struct((-F.col("confidence")).alias("c"), F.when(F.col("kind") == "host", 0).when(F.col("kind") == "topic", 1).otherwise(2).alias("k"), "place", "value", "category", "kind")
     best = found.groupBy(key).agg(F.min(order).alias("b"))
@@ -105,6 +106,17 @@ def route_categories(documents: DataFrame, rules: DataFrame, key: str = "documen
     )
 
 
+def topics_by_keyword(documents: DataFrame, topics: DataFrame, key: str = "document_id", text: str = "text", confidence: float = 0.7) -> DataFrame:
+    """(key, topic_id, confidence) of documents (key, user_id, text) that hold one of a topic's keywords as a word.
+
+    Topics (topic_id, user_id, keywords array) belong to their user; a keyword matches exactly, never nearly.
+    """
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}-]+", " "), " "))
+    wanted = topics.select("topic_id", "user_id", F.explode(F.transform("keywords", F.lower)).alias("word")).where("word <> ''").distinct()
+    found = documents.select(key, "user_id", F.explode(words).alias("word")).join(wanted, ["user_id", "word"])
+    return found.groupBy(key, "topic_id").agg(F.lit(confidence).alias("confidence"))
+
+
 def assign_topics(keyword_hits: DataFrame, centroid_hits: DataFrame, most: int = 5) -> DataFrame:
     """(document_id, topic_id, confidence, is_primary) from hits (document_id, topic_id, confidence): the surest ``most``, one of them primary."""
     best = keyword_hits.unionByName(centroid_hits).groupBy("document_id", "topic_id").agg(F.max("confidence").alias("confidence"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.columns import content_hash, cosine, seconds_of
+from mnemospark.functions.columns import content_hash, seconds_of
+from mnemospark.operators.retrieval import unit_rows
 
 STATEMENT_CHARS = (8, 512)
-#: Neighbours compared and cosines from which a statement is a duplicate, or a candidate for review.
-NEIGHBOURS, DUPLICATE, REVIEW = 5, 0.9, 0.8
+#: Cosines from which a statement is a duplicate, or a candidate for review; stored statements that a task holds.
+DUPLICATE, REVIEW, SLICE = 0.9, 0.8, 4096
 
 
 def statement_hash(statement: Column) -> Column:
@@ -21,18 +26,58 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return memories.groupBy("user_id", statement_hash(F.col("statement")).alias("statement_hash")).agg(F.min("memory_id").alias("memory_id"), F.count("*").alias("copies"))
 
 
-def near_duplicates(candidates: DataFrame, stored: DataFrame, block: str = "user_id", k: int = NEIGHBOURS, duplicate: float = DUPLICATE, review: float = REVIEW) -> DataFrame:
-    """(memory_id, match_id, similarity, relation): of each candidate the nearest earlier statement of its block, of k looked at.
+def near_duplicates(candidates: DataFrame, stored: DataFrame, by: str = "user_id", duplicate: float = DUPLICATE, review: float = REVIEW) -> DataFrame:
+    """(memory_id, match_id, similarity, relation): of each candidate the nearest earlier statement of its user, from ``review`` on.
 
-    Both sides: memory_id, the block's columns, embedding. The join is an equi-join on the block.
+    Both sides: memory_id, the user, statement_hash, embedding. Equal statements are settled first, by their hash.
+    Vectors then meet in slices of a user's stored statements, which a task holds while the user's candidates stream
+    past them; a slice leaves one match a candidate, so a user with many statements takes many tasks and few rows.
     """
-    left = candidates.select("memory_id", block, F.col("embedding").alias("__a"))
-    right = stored.select(F.col("memory_id").alias("match_id"), block, F.col("embedding").alias("__b"))
-    pairs = left.join(right, block).where("match_id < memory_id").withColumn("similarity", cosine(F.col("__a"), F.col("__b"))).drop("__a", "__b")
-    w = Window.partitionBy("memory_id").orderBy(F.desc("similarity"), "match_id")
-    near = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    best = near.where((F.col("rn") == 1) & (F.col("similarity") >= review))
-    return best.select("memory_id", "match_id", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= duplicate, "duplicate").otherwise("candidate").alias("relation"))
+    earlier = stored.select(F.col("memory_id").alias("match_id"), by, "statement_hash")
+    same = candidates.select("memory_id", by, "statement_hash").join(earlier, [by, "statement_hash"]).where("match_id < memory_id")
+    exact = same.groupBy("memory_id").agg(F.min("match_id").alias("match_id")).withColumn("similarity", F.lit(1.0))
+    open_ = candidates.join(exact.select("memory_id"), "memory_id", "left_anti").where("embedding is not null").select("memory_id", by, F.col("embedding").cast("array<double>").alias("v"))
+    held = stored.where("embedding is not null").select("memory_id", by, F.col("embedding").cast("array<double>").alias("v"))
+    sizes = held.groupBy(by).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    kept = held.join(sizes, by).withColumn("slice", F.pmod(F.xxhash64("memory_id"), F.col("slices")).cast("int")).select(by, "slice", F.lit(0).alias("side"), "memory_id", "v")
+    asked = open_.join(sizes, by).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(by, "slice", F.lit(1).alias("side"), "memory_id", "v")
+    rows = kept.unionByName(asked).repartition(by, "slice").sortWithinPartitions(by, "slice", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+        matrix = keys = None
+        for x in batches:
+            group = list(zip(*(x.column(i).to_pylist() for i in range(3)), strict=True))
+            start = 0
+            for end in range(1, len(group) + 1):
+                if end < len(group) and group[end] == group[start]:
+                    continue
+                part, side = x.slice(start, end - start), group[start][2]
+                if group[start][:2] != now:
+                    now, ids, vectors = group[start][:2], [], []
+                if side == 0:
+                    ids += part.column(3).to_pylist()
+                    vectors += part.column(4).to_pylist()
+                    matrix = None
+                elif ids:
+                    if matrix is None:
+                        usable, matrix = unit_rows(pa.array(vectors, pa.list_(pa.float64())))
+                        keys = np.array(ids, np.int64)[usable]
+                        order = np.argsort(keys, kind="stable")
+                        keys, matrix = keys[order], matrix[order]
+                    at, v = unit_rows(part.column(4), matrix.shape[1])
+                    own = part.column(3).to_numpy()[at]
+                    like = np.where(keys[None, :] < own[:, None], np.round(v @ matrix.T, 9), -np.inf)
+                    best = like.argmax(axis=1) if len(keys) else np.zeros(0, int)  # the smallest key on a tie
+                    near = like[np.arange(len(best)), best]
+                    good = near >= review
+                    yield pa.RecordBatch.from_arrays([pa.array(own[: len(best)][good]), pa.array(keys[best[good]]), pa.array(near[good])], ["memory_id", "match_id", "similarity"])
+                start = end
+
+    found = rows.mapInArrow(run, "memory_id bigint, match_id bigint, similarity double")
+    best = found.groupBy("memory_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "match_id")).alias("b")).select("memory_id", F.col("b.match_id").alias("match_id"), (-F.col("b.d")).alias("similarity"))
+    relation = F.when(F.col("similarity") >= duplicate, "duplicate").otherwise("candidate").alias("relation")
+    return exact.unionByName(best).select("memory_id", "match_id", F.round("similarity", 6).alias("similarity"), relation)
 
 
 def merge_decision(relation: Column, match_id: Column) -> Column:
@@ -92,6 +137,12 @@ def admit(candidates: DataFrame, chunks: DataFrame, per_document: int = 3, cited
     return good.join(absent, "candidate_id", "left_anti").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_document).drop("__rn")
 
 
-def provenance(memories: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each memory with its cited chunks; the memory stays, with nulls, when its evidence is gone."""
-    return memories.select("memory_id", "statement").join(sources, "memory_id", "left").join(chunks.select("chunk_id", "document_id"), "chunk_id", "left")
+def provenance(memories: DataFrame, sources: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Each memory with its cited chunks (memory_id, chunk_id, excerpt) and their documents.
+
+    The excerpt is the one that was stored when the memory was made. The memory stays, with nulls, when a chunk or
+    document is gone, and so does the excerpt.
+    """
+    held = documents.select("document_id", F.col("title").alias("document_title"), F.col("url").alias("document_url"))
+    cited = sources.select("memory_id", "chunk_id", "excerpt").join(chunks.select("chunk_id", "document_id"), "chunk_id", "left").join(held, "document_id", "left")
+    return memories.select("memory_id", "statement").join(cited, "memory_id", "left")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions.columns import seconds_of
+from mnemospark.functions.columns import canonical_url, seconds_of, since_until
 
 
 def with_as_of(rows: DataFrame, ts: str, name: str = "as_of", as_of: Column | None = None) -> DataFrame:
@@ -16,7 +20,10 @@ def with_as_of(rows: DataFrame, ts: str, name: str = "as_of", as_of: Column | No
 
 
 def last_days(rows: DataFrame, days: int, ts: str = "occurred_at", as_of: Column | None = None) -> DataFrame:
-    return with_as_of(rows, ts, "__as_of", as_of).where((F.col(ts) > F.col("__as_of") - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= F.col("__as_of"))).drop("__as_of")
+    """Rows of the days before a moment, their start included: before the given one, or up to the latest time of the rows."""
+    timed = with_as_of(rows, ts, "__as_of", as_of)
+    held = since_until(F.col(ts), F.col("__as_of") - F.expr(f"INTERVAL {days} DAYS"), F.col("__as_of") if as_of is not None else None)
+    return timed.where(held).drop("__as_of")
 
 
 def top_domains(events: DataFrame, days: int = 7, limit: int = 5, as_of: Column | None = None) -> DataFrame:
@@ -43,10 +50,16 @@ def time_by_topic(events: DataFrame, documents: DataFrame, topics: DataFrame) ->
     return time_by(read, "topic")
 
 
+def time_by_day_topic(events: DataFrame, documents: DataFrame, topics: DataFrame, values: list) -> DataFrame:
+    """A column of seconds per topic and one row per day, with the day's total over these topics."""
+    read = events.join(documents.select("url", "document_id"), "url").join(topics.select("document_id", "topic").distinct(), "document_id")
+    return time_by_day_pivot(read, "topic", values)
+
+
 def time_by_day_pivot(events: DataFrame, column: str, values: list[str]) -> DataFrame:
     """A column of seconds per value and one row per day, with the day's total over these values."""
-    days = events.where(F.col(column).isin(values)).groupBy(F.to_date("occurred_at").alias("day")).pivot(column, values).agg(F.sum("duration_seconds")).na.fill(0, values)
-    return days.withColumn("total", sum((F.col(v) for v in values), F.lit(0)))
+    days = events.where(F.col(column).isin(values)).groupBy(F.to_date("occurred_at").alias("day")).pivot(column, values).agg(F.sum("duration_seconds")).na.fill(0, [str(v) for v in values])
+    return days.withColumn("total", sum((F.col(f"`{v}`") for v in values), F.lit(0)))
 
 
 def topic_cloud(members: DataFrame, topic: str) -> DataFrame:
@@ -89,18 +102,41 @@ def merge_topics(links: DataFrame, moves: DataFrame) -> DataFrame:
     return links.join(moves, links["topic_id"] == moves["from_id"], "left").select("document_id", F.coalesce("to_id", "topic_id").alias("topic_id")).distinct()
 
 
-def topic_centroids(chunks: DataFrame, topic: str = "topic", vector: str = "embedding") -> DataFrame:
-    """Mean vector per topic, component by component; partial sums absorb a hot topic."""
-    parts = chunks.select(topic, F.posexplode(vector).alias("pos", "x")).groupBy(topic, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
+def merge_topics_everywhere(links: DataFrame, memories: DataFrame, topics: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, memories, topics) after topics are merged: links and the memories' topic_ids repointed, the merged ones gone,
+    and each topic's documents and memories counted anew. Moves (from_id, to_id) are a stated, small set."""
+    links = merge_topics(links, F.broadcast(moves))
+    each = memories.select("memory_id", F.explode("topic_ids").alias("topic_id"))
+    each = each.join(F.broadcast(moves), F.col("topic_id") == F.col("from_id"), "left").select("memory_id", F.coalesce("to_id", "topic_id").alias("topic_id")).distinct()
+    held = each.groupBy("memory_id").agg(F.array_sort(F.collect_list("topic_id")).alias("topic_ids"))
+    kept = topics.join(F.broadcast(moves.select(F.col("from_id").alias("topic_id"))), "topic_id", "left_anti").drop("documents", "memories")
+    counted = kept.join(links.groupBy("topic_id").agg(F.count("*").alias("documents")), "topic_id", "left").join(each.groupBy("topic_id").agg(F.count("*").alias("memories")), "topic_id", "left")
+    return links, memories.drop("topic_ids").join(held, "memory_id", "left"), counted.na.fill(0, ["documents", "memories"])
+
+
+def topic_centroids(chunks: DataFrame, topic: str = "topic", vector: str = "embedding", model: str | None = None) -> DataFrame:
+    """Mean vector per topic and, if named, model, component by component; partial sums absorb a hot topic."""
+    keys = [topic] if model is None else [topic, model]
+    parts = chunks.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
 def revisit_signals(events: DataFrame) -> DataFrame:
-    """Adds revisit_count (earlier events of the same user and url) and is_unique_domain (first of a domain, not the user's first event)."""
-    by_url = Window.partitionBy("user_id", "url").orderBy("occurred_at", "event_id")
+    """Adds revisit_count (earlier events of the same user and canonical url) and is_unique_domain (first of a domain, not the user's first event)."""
+    events = events.withColumn("__page", F.coalesce(canonical_url(F.col("url")), "url"))
+    by_url = Window.partitionBy("user_id", "__page").orderBy("occurred_at", "event_id")
     by_domain = Window.partitionBy("user_id", "domain").orderBy("occurred_at", "event_id")
     by_user = Window.partitionBy("user_id").orderBy("occurred_at", "event_id")
-    return events.withColumn("revisit_count", F.row_number().over(by_url) - 1).withColumn("is_unique_domain", (F.row_number().over(by_domain) == 1) & (F.row_number().over(by_user) > 1))
+    return events.withColumn("revisit_count", F.row_number().over(by_url) - 1).withColumn("is_unique_domain", (F.row_number().over(by_domain) == 1) & (F.row_number().over(by_user) > 1)).drop("__page")
+
+
+def history_window(events: DataFrame) -> DataFrame:
+    """:func:`revisit_signals` and :func:`foreground_seconds`, with seen_domains: the domains that the user had met before."""
+    out = foreground_seconds(revisit_signals(events))
+    by_domain = Window.partitionBy("user_id", "domain").orderBy("occurred_at", "event_id")
+    before = Window.partitionBy("user_id").orderBy("occurred_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.when(F.col("domain").isNotNull() & (F.row_number().over(by_domain) == 1), 1).otherwise(0)
+    return out.withColumn("__first", first).withColumn("seen_domains", F.coalesce(F.sum("__first").over(before), F.lit(0))).drop("__first")
 
 
 def foreground_seconds(events: DataFrame, hours: int = 24) -> DataFrame:
@@ -122,6 +158,59 @@ def suppress_recent(events: DataFrame, seconds: int) -> DataFrame:
     return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > seconds)).drop("__gap")
 
 
+#: Keys that a device remembers.
+RECENT_KEYS = 2_000
+
+
+def suppress_last_keys(events: DataFrame, capacity: int = RECENT_KEYS) -> DataFrame:
+    """Events (event_id, device_id, dedupe_key, occurred_at) whose key is not among the device's last ``capacity`` keys.
+
+    Every sight makes a key the latest one. A device is a sequence, so it is read in order by one task, which
+    remembers ``capacity`` keys and no more.
+    """
+    rows = events.select("event_id", "device_id", "dedupe_key", "occurred_at").repartition("device_id").sortWithinPartitions("device_id", "occurred_at", "event_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        device, held = None, OrderedDict()
+        for pdf in frames:
+            new = []
+            for d, k in zip(pdf["device_id"], pdf["dedupe_key"], strict=True):
+                if d != device:
+                    device, held = d, OrderedDict()
+                new.append(k not in held)
+                held[k] = None
+                held.move_to_end(k)
+                while len(held) > max(0, capacity):
+                    held.popitem(last=False)
+            yield pdf[new]
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def recent_events(events: DataFrame, limit: int = 50, types: Sequence[str] | None = None, devices: Sequence | None = None, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """The latest events by time of receipt, of some types or devices, of a range with both ends."""
+    held = since_until(F.col("occurred_at"), low, high, closed=True)
+    for name, values in (("type", types), ("device_id", devices)):
+        if values is not None:
+            held = held & F.col(name).isin(*values)
+    return events.where(held).orderBy(F.desc("received_at"), F.desc("event_id")).limit(limit)
+
+
+def recent_documents(documents: DataFrame, limit: int = 20) -> DataFrame:
+    """The latest documents that are not deleted."""
+    return documents.where("deleted_at is null").orderBy(F.desc("captured_at"), F.desc("document_id")).limit(limit)
+
+
+def recent_memories(memories: DataFrame, limit: int = 20, kinds: Sequence[str] | None = None, topics: Sequence | None = None) -> DataFrame:
+    """The latest active statements, of some kinds, about some topics."""
+    rows = memories.where("status = 'active'")
+    if kinds is not None:
+        rows = rows.where(F.col("kind").isin(*kinds))
+    if topics is not None:
+        rows = rows.where(F.arrays_overlap("topic_ids", F.array(*map(F.lit, topics))))
+    return rows.orderBy(F.desc("valid_from"), F.desc("memory_id")).limit(limit)
+
+
 def keyset_page(rows: DataFrame, pivot: str, key: str, after: tuple | None, limit: int) -> DataFrame:
     """One page in descending (pivot, key) order after a cursor; the limit is held between 1 and 200."""
     if after is not None:

@@ -88,7 +88,7 @@ E = tables.activity_events
 
 @query(f"""WITH e AS ({V_EVENTS})
     SELECT domain, count(*) AS events FROM e
-    WHERE occurred_at > (SELECT max(occurred_at) FROM e) - INTERVAL 7 DAY AND domain <> ''
+    WHERE occurred_at >= (SELECT max(occurred_at) FROM e) - INTERVAL 7 DAY AND domain <> ''
     GROUP BY domain ORDER BY events DESC, domain LIMIT 5""")
 def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.top_domains(E(spark, sf_dir))
@@ -266,7 +266,7 @@ def importance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NO_DWELL = {s: w for _, s, w in importance.SERVER_RULES if s != "dwell_seconds"} | {"has_copy": 0.5}
 
 
-@query(f"""SELECT event_id, round(greatest(0.0, least(1.0, {_share_sql(importance.SERVER_FULL, _NO_DWELL)})), 6) AS score FROM ({V_SIGNALS}) WHERE user_id % 10 = 0""")
+@query(f"""SELECT event_id, round(greatest(0.0, least(1.0, CASE WHEN user_id % 10 = 0 THEN {_share_sql(importance.SERVER_FULL, _NO_DWELL)} ELSE {_share_sql(importance.SERVER_FULL, {s: w for _, s, w in importance.SERVER_RULES})} END)), 6) AS score FROM ({V_SIGNALS})""")
 def importance_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     users = s.where("user_id % 10 = 0").select("user_id").distinct()
@@ -361,3 +361,45 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT event_id, CASE WHEN type = 'page_view' THEN CAST(floor(value / 1000 + 0.5) AS BIGINT) WHEN type = 'app_session' THEN CAST(floor(value + 0.5) AS BIGINT) END AS duration FROM ({V_EVENTS})""")
 def duration_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E(spark, sf_dir).select("event_id", ingest.promote_duration(F.col("type"), F.col("value")).alias("duration"))
+
+
+@query(f"""SELECT event_id, dwell_seconds, scroll_depth_pct, is_unique_domain, revisit_count, 0.0 AS word_count, false AS has_selection, has_copy, is_bookmarked, is_downloaded, 0.0 AS youtube_watched_pct,
+    false AS app_is_excluded, is_working_hours, CASE WHEN k % 4 = 0 THEN 0.5 ELSE 1 - CAST(k % 100 AS DOUBLE) / 100 END AS topic_novelty
+    FROM (SELECT * EXCLUDE (dwell_seconds, scroll_depth_pct), CASE WHEN type IN ('page_view', 'app_session') THEN CAST(duration_seconds AS DOUBLE) ELSE 0.0 END AS dwell_seconds,
+          CASE WHEN type = 'page_view' THEN CAST(least(100, k % 140) AS DOUBLE) ELSE 0.0 END AS scroll_depth_pct FROM ({V_SIGNALS}))""")
+def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.to_json(F.struct((F.col("duration_seconds") * 1000).alias("durationMs"), F.col("duration_seconds").alias("durationSeconds"), (F.col("k") % 140).alias("scrollDepthPct"), (F.col("k") * 20).alias("wordCount")))
+    e = rollups.revisit_signals(E(spark, sf_dir)).withColumn("payload", said).withColumn("topic_likeness", F.when(F.col("k") % 4 != 0, (F.col("k") % 100).cast("double") / 100))
+    out = importance.extract_signals(e).withColumn("revisit_count", F.col("revisit_count").cast("bigint"))
+    return out.select("event_id", *importance.SIGNALS)
+
+
+@query(f"""SELECT event_id, (SELECT count(DISTINCT b.domain) FROM ({V_EVENTS}) b WHERE b.user_id = a.user_id AND (b.occurred_at, b.event_id) < (a.occurred_at, a.event_id)) AS seen_domains FROM ({V_EVENTS}) a""")
+def history_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.history_window(E(spark, sf_dir)).select("event_id", F.col("seen_domains").cast("bigint").alias("seen_domains"))
+
+
+@query(f"""WITH e AS (SELECT event_id, device_id, type || CAST(k % 8 AS VARCHAR) AS key, row_number() OVER (PARTITION BY device_id ORDER BY occurred_at, event_id) AS pos FROM ({V_EVENTS})),
+    p AS (SELECT *, lag(pos) OVER (PARTITION BY device_id, key ORDER BY pos) AS before FROM e)
+    SELECT event_id, device_id FROM p WHERE before IS NULL OR (SELECT count(DISTINCT b.key) FROM e b WHERE b.device_id = p.device_id AND b.pos > p.before AND b.pos < p.pos) >= 5""")
+def recent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir).withColumn("dedupe_key", F.concat("type", (F.col("k") % 8).cast("string")))
+    return rollups.suppress_last_keys(e, 5).select("event_id", "device_id")
+
+
+@query(f"""SELECT event_id, type, occurred_at FROM ({V_EVENTS}) WHERE type IN ('copy', 'bookmark') AND occurred_at >= TIMESTAMP '2024-01-03 00:00:00' AND occurred_at <= TIMESTAMP '2024-01-20 00:00:00'
+    ORDER BY received_at DESC, event_id DESC LIMIT 50""")
+def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.recent_events(E(spark, sf_dir), 50, ["copy", "bookmark"], low=F.expr("TIMESTAMP_NTZ '2024-01-03 00:00:00'"), high=F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")).select("event_id", "type", "occurred_at")
+
+
+@query(f"SELECT event_id, type FROM ({V_EVENTS}) WHERE event_id % 7 = 0 AND event_id % 2 = 0")
+def rejected_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return ingest.rejected_in_batch(e.where("event_id % 7 = 0"), e.where("event_id % 2 = 0")).select("event_id", "type")
+
+
+@query(f"SELECT event_id, band FROM (SELECT event_id, score, {_band_sql('score')} AS band FROM (SELECT event_id, {SERVER_SQL} AS score FROM ({V_SIGNALS}))) WHERE band IN ('normal', 'high', 'critical')")
+def distillation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = importance.server_score(signals(spark, sf_dir))
+    return scored.where(ingest.distillation_gate(F.col("score"))).select("event_id", "band")
