@@ -29,23 +29,27 @@ def dedup_stream(events: DataFrame) -> DataFrame:
     return clamped.withWatermark("event_ts", KEY_MEMORY).dropDuplicatesWithinWatermark(["device_id", "dedupe_key"]).drop("received_ts")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def ingest(events: DataFrame, table: str, rejected: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Validate each micro-batch, append what is new to ``table`` and the rest with its reason to ``rejected``.
+    """Clamp impossible clocks, validate each micro-batch, append what is new to ``table`` and the rest with its reason to ``rejected``.
 
     A batch id is written as a partition of its own and overwritten when the batch is run again, so that a restart
-    leaves no event twice. Keys already in the table are found by an anti-join on the key columns alone.
+    leaves no event twice. Keys already in the table are found by an anti-join on the key columns alone, among events
+    that are at most KEY_MEMORY older than the batch's oldest.
     """
     spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = quarantine(event_verdict(batch))
+        good, bad = quarantine(event_verdict(clamp_clock(batch, F.col("received_at"))))
         fresh = keep_first(good, ["device_id", "dedupe_key"], ["occurred_at", "event_id"])
-        try:
-            stored = spark.read.parquet(table).where(F.col("batch_id") != batch_id).select("device_id", "dedupe_key")
-        except Exception as e:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
+        oldest = batch.agg(F.min("received_at").alias("t")).first().t
+        if oldest is not None and _there(spark, table):
+            recent = F.col("received_at") >= F.lit(oldest).cast(batch.schema["received_at"].dataType) - F.expr(f"INTERVAL {KEY_MEMORY}")
+            stored = spark.read.parquet(table).where((F.col("batch_id") != batch_id) & recent).select("device_id", "dedupe_key")
             fresh = fresh.join(stored, ["device_id", "dedupe_key"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
@@ -53,13 +57,34 @@ def ingest(events: DataFrame, table: str, rejected: str, checkpoint: str, trigge
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def upsert_captures(captures: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Fold captures of documents into a table of one row per content: each batch writes a new version of the table."""
+#: Parts of a table of documents; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def upsert_captures(captures: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Fold captures of documents into a table of one row per content, dealt to buckets by content.
+
+    A batch reads and rewrites only the buckets that it touches, by way of a staging folder. A bucket keeps the batch
+    that wrote it, so that a batch that is run again leaves what it has already written as it is.
+    """
     spark = captures.sparkSession
+    staged = f"{table}_staged"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.parquet(f"{table}/version={batch_id - 1}") if batch_id else None
-        upsert_documents(batch, stored).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("user_id", "content_hash"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = None
+        if _there(spark, table):
+            held = spark.read.parquet(table).where(F.col("bucket").isin(touched))
+            done = {r.bucket for r in held.where(F.col("batch_id") >= batch_id).select("bucket").distinct().collect()}
+            touched = [b for b in touched if b not in done]
+            stored = held.where(F.col("bucket").isin(touched))
+        if not touched:
+            return
+        merged = upsert_documents(dealt.where(F.col("bucket").isin(touched)), stored)
+        merged = merged.withColumn("bucket", F.pmod(F.xxhash64("user_id", "content_hash"), F.lit(buckets)).cast("int")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        merged.write.mode("overwrite").parquet(staged)
+        spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -97,15 +122,18 @@ def embedding_queue(documents: DataFrame, lateness: str = KEY_MEMORY) -> DataFra
 
 
 def device_liveness(events: DataFrame) -> DataFrame:
+    """The state has one row per device, and no more."""
     return events.groupBy("device_id").agg(F.max("occurred_at").alias("last_seen_at"))
 
 
 def app_sessions(changes: DataFrame, lateness: str = "1 hour", least_seconds: int = LEAST_SESSION) -> DataFrame:
     """Sessions per device as a stateful stream: the state is the open session, and a package change or screen-off closes it.
 
-    A micro-batch's changes of a device are applied in time order. A session that is still open when the watermark
-    passes its last change by ``lateness`` is closed there.
+    A micro-batch's changes of a device are applied in time order; one that is older than what has been applied comes
+    too late and changes nothing. A session that is still open when the watermark passes its last change by
+    ``lateness`` is closed there.
     """
+    wait_ms = changes.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {lateness}) AS ms").first().ms
     schema = "device_id bigint, package string, started_s bigint, ended_s bigint"
     state = "package string, started_s bigint, last_s bigint"
 
@@ -123,6 +151,8 @@ def app_sessions(changes: DataFrame, lateness: str = "1 hour", least_seconds: in
         else:
             rows = pd.concat(list(frames)).sort_values(["at_s", "event_id"])
             for now, at in zip(rows["package"], rows["at_s"], strict=True):
+                if last is not None and at < last:
+                    continue
                 now = None if pd.isna(now) else now
                 if now != package:
                     if package is not None:
@@ -130,7 +160,7 @@ def app_sessions(changes: DataFrame, lateness: str = "1 hour", least_seconds: in
                     package, started = now, at
                 last = at
             held.update((package, int(started), int(last)))
-            held.setTimeoutTimestamp(max(int(last) * 1000 + 3_600_000, held.getCurrentWatermarkMs() + 1))
+            held.setTimeoutTimestamp(max(int(last) * 1000 + wait_ms, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["device_id", "package", "started_s", "ended_s"])
 
     timed = changes.withColumn("event_ts", F.col("occurred_at").cast("timestamp")).withWatermark("event_ts", lateness)

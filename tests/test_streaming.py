@@ -1,5 +1,7 @@
 """Streams over split files against their batch forms."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,4 +77,27 @@ def test_upsert_stream(spark, sf, tmp_path):
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
     jobs.upsert_captures(s, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     rows = lambda x: sorted(tuple(r) for r in x.select("user_id", "content_hash", "document_id", "url").collect())
-    assert rows(spark.read.parquet(str(tmp_path / "t" / "version=1"))) == rows(ingest.upsert_documents(d))
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert rows(got) == rows(ingest.upsert_documents(d))
+    again = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
+    jobs.upsert_captures(again, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()  # batches 0 and 1 have been written
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(ingest.upsert_documents(d))
+
+
+def test_ingest_clamps_clocks(spark, split, tmp_path):
+    frame, _ = split
+    off = frame.limit(20).withColumn("occurred_at", F.col("occurred_at") + F.expr("INTERVAL 400 DAYS"))
+    off.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(off.schema).parquet(str(tmp_path / "in"))
+    jobs.ingest(s, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "check")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == rows.where("clamped_from is not null and occurred_at = received_at").count() > 0
+
+
+def test_embedding_queue(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(1, "h1", "succeeded", "text", t), (1, "h1", "succeeded", "text", t), (2, "h2", "failed", "text", t), (3, "h3", "succeeded", "", t), (1, "h4", "succeeded", "new text", t)]
+    d = spark.createDataFrame(rows, "document_id bigint, content_hash string, extraction_status string, extracted_text string, captured_at timestamp")
+    d.write.parquet(str(tmp_path / "d"))
+    got = drain(jobs.embedding_queue(spark.readStream.schema(d.schema).parquet(str(tmp_path / "d"))), name="queue")
+    assert sorted(map(tuple, got.collect())) == [(1, "h1"), (1, "h4")]
