@@ -30,26 +30,52 @@ BASE_PHRASES = {
 TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
         "Released under the MIT License",
         "Licensed under the MIT License",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     ],
+    "bsd-3": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "apache-2": [
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Licensed under the Apache License, Version 2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
     ],
-    "gpl": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "licensed under the GNU General Public License, version 3",
+    "gpl-2": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
         "licensed under the GNU General Public License, version 2",
     ],
-    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "gpl-3": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "licensed under the GNU General Public License, version 3",
+    ],
+    "gpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"],
+    "lgpl-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl-3": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ],
+    "bsl-1": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc": [
@@ -75,15 +101,16 @@ class Scanner:
         self.codes = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words] for words in texts]
         self.go: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: per state, for each text that holds its strings: where the first of them ends
-        self.ends: list[dict[int, int]] = [{}]
+        #: per state, for each text that holds its strings: where they end in it, all places
+        self.ends: list[dict[int, set[int]]] = [{}]
         for t, words in enumerate(self.codes):
             self._add(t, words)
         for state in sorted(range(len(self.go)), key=lambda s: -self.length[s]):
             up = self.link[state]
             if up > 0:
                 for t, e in self.ends[state].items():
-                    self.ends[up][t] = min(e, self.ends[up].get(t, e))
+                    self.ends[up].setdefault(t, set()).update(e)
+        self.places = [{t: sorted(e) for t, e in ends.items()} for ends in self.ends]
         #: per state: the base phrases that are suffixes of its longest string, with their lengths
         n = len(self.phrases)
         whole = [self._walk(words) for words in self.codes[:n]]
@@ -134,7 +161,7 @@ class Scanner:
                 if p >= 0:
                     q = self.go[p][c]
                     self.link[last] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
-            self.ends[last].setdefault(text, at + 1)
+            self.ends[last].setdefault(text, set()).add(at + 1)
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
         """Number of words, base places (phrase, first word), spans (label, first word, last word, share covered)."""
@@ -174,7 +201,11 @@ class Scanner:
         return n, places, self._chain(matches)
 
     def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chain matches of each template, in order in both texts and close together; keep what covers enough of it."""
+        """Chain matches of each template, in order in both texts and close together; keep what covers enough of it.
+
+        A chain goes on at the nearest later place of a match in the template, and begins at the first one. Of spans
+        of different labels that overlap by more than half of one, those that cover fewest words go.
+        """
         n = len(self.phrases)
         open_: dict[int, list[int]] = {}  # template: first word, end in the document, end in the template, words covered
         spans = []
@@ -183,25 +214,31 @@ class Scanner:
             first, end, _, covered = open_.pop(t)
             share = covered / len(self.codes[t])
             if share >= COVERED:
-                spans.append((self.templates[t - n][0], first, end - 1, min(1.0, share)))
+                spans.append((self.templates[t - n][0], first, end - 1, min(1.0, share), covered))
 
         for end, size, state in matches:
-            for t, stop in self.ends[state].items():
+            for t, stops in self.places[state].items():
                 if t < n:
                     continue
-                begin, low = end - size, stop - size
+                begin = end - size
                 if t in open_:
-                    _, before, upto, _ = open_[t]
-                    if begin - before <= GAP and low >= upto - size // 2 and stop > upto:
-                        open_[t][1:] = [end, stop, open_[t][3] + stop - max(low, upto)]
+                    _, before, upto, covered = open_[t]
+                    stop = next((x for x in stops if x > upto and x - size >= upto - size // 2), None)
+                    if begin - before <= GAP and stop is not None:
+                        open_[t][1:] = [end, stop, covered + stop - max(stop - size, upto)]
                         continue
-                    if open_[t][3] >= size and begin - before <= GAP:
+                    if covered >= size and begin - before <= GAP:
                         continue  # a lesser match beside the chain
                     close(t)
-                open_[t] = [begin, end, stop, size]
+                open_[t] = [begin, end, stops[0], size]
         for t in list(open_):
             close(t)
-        return sorted(spans, key=lambda s: s[1:3])
+
+        def beaten(s: tuple) -> bool:
+            both = lambda o: min(s[2], o[2]) - max(s[1], o[1]) + 1
+            return any(o[0] != s[0] and o[4] > s[4] and 2 * both(o) > s[2] - s[1] + 1 for o in spans)
+
+        return sorted({s[:4] for s in spans if not beaten(s)}, key=lambda s: (s[1], s[2], s[0]))
 
 
 @lru_cache(maxsize=1)
