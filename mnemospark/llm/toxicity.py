@@ -1,9 +1,10 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories have an order. Each category's model is logistic in how often selected words, and words with selected
-beginnings, occur in a document, and in the probabilities that the models before it give. The later models are trained with out-of-fold probabilities of the
-earlier ones, so that they see them as they are on unseen documents. The last category is the given label; those
-before it are the given label narrowed to documents that hold one of a category's seed words.
+beginnings, occur in a document, and in the probabilities that the models before it give. The later models are trained
+with out-of-fold probabilities of the earlier ones, so that they see them as they are on unseen documents. The last
+category is the given label. Those before it are kinds of toxicity that the labelled toxic documents themselves fall
+into: clusters of them by the features that they have.
 """
 
 from __future__ import annotations
@@ -18,17 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text, materialize
+from mnemospark.llm.common import map_text, materialize, worker_state
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-# Seed words of the categories before the last.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "fool", "loser", "clown", "dumb", "jerk"],
-    "contempt": ["trash", "scum", "garbage", "worthless", "pathetic", "disgusting", "filth", "vermin"],
-    "threat": ["kill", "murder", "hurt", "destroy", "shoot", "stab", "strangle", "burn"],
-}
-CATEGORIES = (*SEEDS, "toxic")
+#: Kinds of toxicity that are told apart, the largest first, and the label at the chain's end.
+KINDS = 3
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 
 #: Bounds of training: labelled rows, features kept, and rows that must hold a feature.
 TRAIN_ROWS, FEATURES, LEAST_ROWS = 8_000, 256, 4
@@ -37,7 +34,7 @@ BEGINNINGS = range(3, 9)
 #: A feature is full at this share of a document's words, and present from a fifth of it.
 FULL = 0.01
 #: Distinct words whose features a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 FOLDS, PENALTY, CUT = 3, 0.1, 0.5
 
 
@@ -110,6 +107,30 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def kinds_of(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Rows by kinds: which cluster each toxic row is in, by cosine; the first centres are the row nearest to the mean
+    and those farthest from the centres before them. Kinds come by size, and may be empty."""
+    out = np.zeros((len(x), KINDS), bool)
+    rows = x[toxic] / np.maximum(np.linalg.norm(x[toxic], axis=1, keepdims=True), 1e-12)
+    if not len(rows):
+        return out
+    centres = rows[[int((rows @ rows.mean(axis=0)).argmax())]]
+    while len(centres) < KINDS:
+        centres = np.concatenate([centres, rows[[int((rows @ centres.T).max(axis=1).argmin())]]])
+    for _ in range(20):
+        kind = (rows @ centres.T).argmax(axis=1)
+        sums = np.array([rows[kind == k].sum(axis=0) for k in range(KINDS)])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        new = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+        if np.allclose(new, centres):
+            break
+        centres = new
+    kind = (rows @ centres.T).argmax(axis=1)
+    order = np.argsort(-np.bincount(kind, minlength=KINDS), kind="stable")
+    out[np.flatnonzero(toxic), np.argsort(order)[kind]] = True
+    return out
+
+
 def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
     """The models of the chain: x is rows by words, labels rows by categories, fold the part of each row."""
     weights = []
@@ -129,12 +150,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit the chain on at most TRAIN_ROWS labelled documents, those with the smallest hash of the key.
 
     The features are those FEATURES with the largest chi-squared statistic of presence against the label, among
-    features that LEAST_ROWS sampled documents have. Rows with a null key, label or text are not used.
+    features that LEAST_ROWS sampled documents have. Rows with a null key, label or text are not used; a key that is
+    labelled more than once is toxic if it is so once.
     """
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).cast("bigint").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t"))
-    rows = materialize(texts.join(F.broadcast(chosen), "k").dropDuplicates(["k"]))  # broadcast: at most TRAIN_ROWS pairs of numbers
+    # broadcast: at most TRAIN_ROWS pairs of numbers; of a key with several texts the longest counts
+    one = F.max_by("t", F.struct(F.octet_length("t"), F.xxhash64("t"))).alias("t")
+    rows = materialize(texts.join(F.broadcast(chosen), "k").groupBy("k").agg(one, F.max("y").alias("y")), TRAIN_ROWS)
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = total.n, total.pos
     if not n:
@@ -155,21 +179,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     gap = F.col("pos") * float(n - pos) - (F.col("n") - F.col("pos")) * float(pos)
     counts = counts.withColumn("chi", gap * gap / (F.col("n") * (F.lit(float(n)) - F.col("n")) + 1e-9))
     features = {bytes(r.f): i for i, r in enumerate(counts.orderBy(F.desc("chi"), "f").limit(FEATURES).collect())}
-    seeds = [{s.encode() for s in ws} for ws in SEEDS.values()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen_features = Features(features)
         for x in batches:
-            raw = x.column(1).to_pylist()
-            held = [{*WORD.findall(t.lower())} for t in raw]
-            yield pa.RecordBatch.from_arrays(
-                [x.column(0), x.column(2), pa.array([[bool(s & w) for s in seeds] for w in held], pa.list_(pa.bool_())), pa.array([chosen_features.row(t).astype(np.float32) for t in raw], pa.list_(pa.float32()))], ["k", "y", "seeded", "v"]
-            )
+            v = [chosen_features.row(t).astype(np.float32) for t in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(v, pa.list_(pa.float32()))], ["k", "y", "v"])
 
-    held = rows.select("k", "t", "y").mapInArrow(vectors, "k bigint, y int, seeded array<boolean>, v array<float>").orderBy("k").toArrow()  # TRAIN_ROWS by FEATURES at most
+    held = rows.select("k", "t", "y").mapInArrow(vectors, "k bigint, y int, v array<float>").orderBy("k").toArrow()  # TRAIN_ROWS by FEATURES at most
     y = held.column("y").to_numpy().astype(bool)
     x = np.array(held.column("v").to_pylist(), np.float64).reshape(len(y), len(features))
-    truth = np.column_stack([np.array(held.column("seeded").to_pylist(), bool) & y[:, None], y])
+    truth = np.column_stack([kinds_of(x, y), y])
     return Chain(features, fit_chain(x, truth, np.arange(len(y)) % FOLDS))
 
 
@@ -190,12 +210,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, label))
     names = [f"p_{c}" for c in CATEGORIES]
-    state: dict = {}
 
     def run(keys: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
-        if "features" not in state:
-            state["features"] = Features(held.value.features)
-        p = predict(held.value, state["features"], texts)
+        kept = worker_state("toxicity", dict)
+        if kept.get("chosen") != held.value.features:
+            kept |= {"chosen": held.value.features, "features": Features(held.value.features)}
+        p = predict(held.value, kept["features"], texts)
         return pa.RecordBatch.from_arrays([*keys, *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(p[:, -1] >= CUT)], ["k", *names, "toxic"])
 
     schema = "k bigint, " + ", ".join(f"{x} double" for x in names) + ", toxic boolean"

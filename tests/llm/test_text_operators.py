@@ -57,15 +57,36 @@ def test_license_templates(spark):
 
 
 def test_matching_statistics():
+    """States and lengths along random word sequences against the longest suffix that some template holds."""
     scan = license_scan.scanner()
+    held = [tuple(c) for c in scan.codes]
+    inside = {t[i:j] for t in held for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
     rng = random.Random(5)
-    texts = [[*c] for c in scan.codes]
-    for _ in range(200):
-        word = rng.choice(texts)
-        a = rng.randrange(len(word))
-        piece = word[a : a + rng.randint(1, 9)]
-        state = scan._walk(piece)  # every substring of a template is accepted
-        assert scan.length[state] >= len(piece) or piece == []
+    for _ in range(60):
+        line = []
+        while len(line) < 40:
+            t = rng.choice(held)
+            a = rng.randrange(len(t))
+            line += t[a : a + rng.randint(1, 7)]
+        state = length = 0
+        for i, c in enumerate(line):
+            while state and c not in scan.go[state]:
+                state = scan.link[state]
+                length = scan.length[state]
+            if c in scan.go[state]:
+                state, length = scan.go[state][c], length + 1
+            best = max((n for n in range(i + 2) if not n or tuple(line[i + 1 - n : i + 1]) in inside), default=0)
+            assert length == best
+            suffix = tuple(line[i + 1 - length : i + 1])
+            for t, stops in scan.places[state].items():
+                assert stops == [e for e in range(length, len(held[t]) + 1) if held[t][e - length : e] == suffix]
+
+
+def test_license_versions(spark):
+    by = license_scan.TEMPLATES
+    texts = [(1, by["gpl-2"][0]), (2, by["gpl-3"][0]), (3, by["agpl-3"][0]), (4, " ".join(by["bsd"][:3])), (5, " ".join(by["bsd"][:3] + by["bsd-3"])), (6, "no licence at all, but free software of any version")]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert got == {1: "gpl-2", 2: "gpl-3", 3: "agpl-3", 4: "bsd", 5: "bsd,bsd-3", 6: ""}
 
 
 # ---- BPE
@@ -346,7 +367,7 @@ def test_toxicity(spark):
     for i in range(600):
         w = [rng.choice(clean) for _ in range(60)]
         if i % 5 == 0:
-            w[10], w[40] = rng.choice(toxicity.SEEDS["insult"]), rng.choice(toxicity.SEEDS["contempt"])
+            w[10], w[40] = rng.choice(["idiot", "moron", "fool"]), rng.choice(["trash", "scum"])
         rows.append((i, " ".join(w), "p"))
         labels.append((i, int(i % 5 == 0)))
     rows += [(900, None, "p"), (901, "", "p"), (None, "You IDIOT, you scum", "p")]
@@ -358,6 +379,61 @@ def test_toxicity(spark):
     assert not [i for i in wrong if i % 5] and len(wrong) <= 3
     assert not got[900].toxic and not got[901].toxic and got[None].toxic
     assert not any(r.toxic for r in toxicity.score_toxicity(docs, truth.limit(0)).collect())
+    assert toxicity.score_toxicity(docs.limit(0), truth).count() == 0
+    again = spark.createDataFrame([(0, "short", "p"), (0, rows[0][1], "p"), (950, "you idiot, you scum " + "word " * 90_000, "p"), (951, "you idiot, you scum " * 20_000, "p")], "doc_id bigint, text string, p_toxic string")
+    both = docs.unionByName(again)
+    one, two = (sorted((str(r.doc_id), r.toxic, round(r.p_toxic, 9)) for r in toxicity.score_toxicity(d, truth).collect()) for d in (both, both.repartition(5)))
+    assert one == two and ("951", True) in {x[:2] for x in one} and ("950", False) in {x[:2] for x in one}
+
+
+def test_toxicity_chain():
+    """Each model is a stationary point of its objective, and later ones see earlier probabilities of models without their row."""
+    rng = np.random.default_rng(1)
+    x = rng.random((90, 4))
+    kinds = np.column_stack([x[:, 0] > 0.6, x[:, 1] > 0.7, (x[:, 0] > 0.6) | (x[:, 1] > 0.7)])
+    fold = np.arange(90) % toxicity.FOLDS
+    weights = toxicity.fit_chain(x, kinds, fold)
+    seen = x
+    for c, w in enumerate(weights):
+        y = kinds[:, c].astype(float)
+        a = np.concatenate([np.ones((90, 1)), seen], axis=1)
+        slope = a.T @ (y - toxicity.sigmoid(a @ w)) - np.array([1e-6, *[toxicity.PENALTY] * seen.shape[1]]) * w
+        assert np.abs(slope).max() < 1e-4
+        p = np.zeros(90)
+        for i in range(90):
+            v = toxicity.fit(seen[fold != fold[i]], y[fold != fold[i]])
+            p[i] = toxicity.sigmoid(v[0] + seen[i] @ v[1:])
+        seen = np.concatenate([seen, p[:, None]], axis=1)
+    features = toxicity.Features({b"=a": 0, b"=b": 1, b"=c": 2, b"=d": 3})
+    p = toxicity.predict(toxicity.Chain(features.chosen, weights), features, [b"a a b", b""])
+    z = np.minimum(1.0, np.array([2, 1, 0, 0]) / (toxicity.FULL * 3))
+    for c, w in enumerate(weights):
+        assert p[0, c] == pytest.approx(toxicity.sigmoid(w[0] + np.concatenate([z, p[0, :c]]) @ w[1:]))
+
+
+def test_toxicity_kinds():
+    rng = np.random.default_rng(2)
+    group = np.repeat([0, 1, 2], [30, 20, 10])
+    x = np.eye(3)[group] + rng.random((60, 3)) * 0.1
+    toxic = np.ones(60, bool)
+    toxic[::7] = False
+    kinds = toxicity.kinds_of(x, toxic)
+    assert (kinds.any(axis=1) == toxic).all() and (kinds[toxic].argmax(axis=1) == group[toxic]).all()
+    assert not toxicity.kinds_of(x, np.zeros(60, bool)).any() and toxicity.kinds_of(x[:1], np.ones(1, bool)).sum() == 1
+
+
+def test_toxicity_held_out(spark):
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    asked = docs.join(labels.where(held).select("doc_id"), "doc_id", "left_semi")
+    found = toxicity.score_toxicity(asked.unionByName(docs.join(labels.where(~held).select("doc_id"), "doc_id", "left_semi")), labels.where(~held)).join(labels.where(held).withColumnRenamed("toxic", "truth"), "doc_id")
+    n = {(r.truth, r.toxic): r["count"] for r in found.groupBy("truth", "toxic").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) > 0.9 and n.get((0, True), 0) / n[0, False] < 0.005
 
 
 @pytest.mark.parametrize("run", [license_scan.scan_licenses, bpe.encode_documents, bpe.token_digests])
