@@ -137,7 +137,8 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Vectors of one non-null label (and one length) link when their cosine, in double precision, is at least COSINE.
     Null or empty vectors, zero vectors, vectors with a null or non-finite component, and rows with a null label or
-    key link with nothing: 0 links, their own component. Rows that repeat a key and vector count as copies. An empty
+    key link with nothing: 0 links, their own component. Rows that repeat a key and vector count as copies; a key with
+    several vectors is one node, which has the larger of their numbers of links. An empty
     table gives an empty result; other columns are left aside. A pair at the threshold shares no bucket, and is then
     missed, with probability MISS; closer pairs with less.
     """
@@ -146,11 +147,15 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     heads = materialize(valid.join(heads, "vkey").where("vec_id = head").dropDuplicates(["vec_id", "vkey"]).select("vec_id", "copies", "label", "vec", "vkey"), valid.count())
     rows = heads.count()
     links = materialize(_links(heads.drop("vkey"), rows, *tables_for(rows)), rows)
-    component = connected_components(links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
+    # keys with several vectors connect what these link with
+    placed = split_join(valid.select("vec_id", "vkey"), heads.select("vkey", F.col("vec_id").alias("head")), "vkey")
+    several = placed.groupBy("vec_id").agg(F.min("head").alias("a"), F.max("head").alias("top")).where("a <> top")
+    joined = split_join(placed.select("vec_id", F.col("head").alias("b")), several.select("vec_id", "a"), "vec_id").select("a", "b").distinct()
+    component = connected_components(links.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).unionByName(joined))
     degree = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     per_head = heads.select(F.col("vec_id").alias("head"), "copies", "vkey").join(degree.withColumnRenamed("vec_id", "head"), "head", "left").join(component.withColumnRenamed("node", "head"), "head", "left")
     per_head = per_head.select("vkey", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
-    found = split_join(valid.select("vec_id", "vkey"), per_head, "vkey").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
+    found = split_join(valid.select("vec_id", "vkey"), per_head, "vkey").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.select(F.col(key).cast("bigint").alias("vec_id")).join(found, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select(F.col("vec_id").alias(key), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

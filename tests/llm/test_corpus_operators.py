@@ -221,6 +221,13 @@ def test_near_embeddings(spark, monkeypatch):
     assert embed_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_near_embeddings_of_keys_with_several_vectors(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (9, [0.0, 1.0], 1), (4, [1.0, 1.0], 1)]
+    for order in (rows, rows[::-1]):
+        got = {(r.vec_id, r.component_id, r.kept) for r in embed_dedup.near_embeddings(spark.createDataFrame(order, "vec_id bigint, embedding array<float>, label int").repartition(3)).collect()}
+        assert got == {(5, 2, False), (2, 2, True), (3, 2, False), (9, 2, False), (4, 4, True)}
+
+
 # ---- mixing
 
 
