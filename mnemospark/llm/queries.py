@@ -80,6 +80,24 @@ ORACLE_SQL = {
         SELECT r.vec_id, coalesce(d.n_links, 0) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
         FROM (SELECT node AS vec_id, min(other) AS component_id FROM reach GROUP BY node) r
         LEFT JOIN (SELECT a, count(*) AS n_links FROM link GROUP BY a) d ON d.a = r.vec_id""",
+    "op8_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM w),
+        u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        link AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT doc_id AS node, doc_id AS other FROM documents
+            UNION
+            SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+        FROM s JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id""",
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
