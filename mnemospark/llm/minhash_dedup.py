@@ -219,6 +219,8 @@ def verify(docs: DataFrame, entries: DataFrame, need: DataFrame, rows: int, key:
     need = split_join(need, entries.select("sid", "doc_id", "text_hash"), "sid")
     need = need.withColumn("component", F.col("doc_id")) if components is None else split_join(need, components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     wanted = materialize(need.select("i", "j", "sid", "doc_id", "text_hash", F.coalesce("component", "doc_id").alias("component")), rows)
+    if not wanted.head(1):
+        return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     texts = only_possible(_named(docs, key, text).where("doc_id is not null"), "doc_id", wanted.select("doc_id").distinct())
     given = wanted.join(texts.dropDuplicates(["doc_id", "text_hash"]), ["doc_id", "text_hash"]).select("i", "j", "sid", "doc_id", "component", "text")
     together = given.repartition("i", "j").sortWithinPartitions("i", "j", "sid")
@@ -332,7 +334,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, i
     open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     still = split_join(split_join(placed, open_bands, "band").select("band", "nth", "sid", "component"), blocks, "sid")
     more = verify(docs, entries, _across(still, entries), rows, key, text, found)
-    component = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    component = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if more.head(1) else found
     classes = split_join(placed_sets.select("doc_id", "n_shingles", F.col("head").alias("node")), component, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     alone = sketches.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = classes.unionByName(_with_their_key(alone, placed_sets, component))
