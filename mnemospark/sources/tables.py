@@ -9,7 +9,7 @@ from mnemospark.functions.columns import content_hash, squeeze, truncate, word_c
 
 
 #: Tables whose rows take long to work on, and tasks of a file up to which they are dealt to all cores.
-TEXT_TABLES, SMALL_TASKS = ("documents", "pages"), 4
+TEXT_TABLES, SMALL_TASKS = ("documents", "pages"), 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     a file of over SMALL_TASKS tasks, which have spark.sql.files.maxPartitionBytes each, is left as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and cores > SMALL_TASKS and df.rdd.getNumPartitions() <= SMALL_TASKS:
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < min(cores, SMALL_TASKS + 1):
         return df.repartition(cores)
     return df
 
