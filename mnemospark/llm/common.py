@@ -13,15 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions.arrow import bound_batches
 from mnemospark.sources import tables
 
-#: Bytes of an Arrow batch between Spark and a Python worker, besides one row that alone exceeds it.
-BATCH_BYTES = 1 << 22
+__all__ = ["blank", "bound_batches", "map_text", "materialize", "read_table", "shared_dir", "slices", "split_join", "worker_state"]
+
 #: Bytes of text that a Python worker handles at a time, besides one text that alone exceeds it.
 SLICE_BYTES = 1 << 21
 #: Rows of a file of a small table.
 FILE_ROWS = 10_000
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +55,6 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the session's Arrow batches, always to the same size, unless the session has its own bound.
-
-    Rows vary from a few bytes to whole books, so that a number of rows bounds nothing.
-    """
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose values in a string or binary column have at most SLICE_BYTES together, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
