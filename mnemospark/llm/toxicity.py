@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("binary").alias("t"))
     # broadcast: at most TRAIN_ROWS pairs of numbers; of a key with several texts the longest counts
     one = F.max_by("t", F.struct(F.octet_length("t"), F.xxhash64("t"))).alias("t")
-    rows = materialize(texts.join(F.broadcast(chosen), "k").groupBy("k").agg(one, F.max("y").alias("y")), TRAIN_ROWS)
+    rows = materialize(texts.join(F.broadcast(chosen), "k").groupBy("k").agg(one, F.max("y").alias("y")))  # in as many files as there are tasks, as each row takes long
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = total.n, total.pos
     if not n:
