@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import bpe, chat_format, embed_dedup, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing, toxicity
+from mnemospark.llm import bpe, chat_format, embed_dedup, exact_dedup, html_extract, language_id, lexical_search, license_scan, minhash_dedup, mixing, toxicity, url_filters, whitening
 from mnemospark.llm.common import read_table
 
 
@@ -62,9 +62,88 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_embed_dedup, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_toxicity, op8_minhash_dedup, op9_language_id, op10_mixing)}
+#: The filter's rules.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read_table(spark, sf_dir, "pages"), url_filters.rules_table(spark, URL_RULES))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def _url_filters_sql() -> str:
+    """The rounds of propagation as one query after another; scores are integers, so that they are the same."""
+    u = url_filters
+    lower = f"'{u.UPPER}', '{u.LOWER}'"
+    whole, start, least = u.UNIT, u.UNIT * (1 - u.DAMPING), round((1 - u.DAMPING) * u.BLOCK_SHARE * u.UNIT)
+    link = u.LINK.replace("'", "''")
+    fits = " UNION ALL ".join(f"SELECT '{r.partition('/')[0]}' AS rh, '/{r.partition('/')[2]}' AS rp, '{v}' AS ruled" for v, r in URL_RULES)
+    rounds = ""
+    for k in range(1, u.ROUNDS + 1):
+        rounds += f"""
+        s{k} AS MATERIALIZED (SELECT node, CAST(sum(score) AS BIGINT) AS score FROM (
+            SELECT b AS node, CAST(floor(CAST(score AS DOUBLE) * share * CAST({u.DAMPING} AS DOUBLE)) AS BIGINT) AS score FROM edges JOIN s{k - 1} ON node = a
+            UNION ALL SELECT * FROM s0) GROUP BY node),"""
+    return rf"""
+        WITH p AS (
+            SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {lower}) AS host,
+                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        judged AS (
+            SELECT p.r, page_id, host, path, max(rh || rp) AS one, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(ruled, length(rh || rp)) AS ruled
+            FROM p LEFT JOIN ({fits}) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.r, page_id, host, path),
+        hosts AS MATERIALIZED (
+            SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM judged WHERE host <> '' GROUP BY host),
+        parts AS (
+            SELECT host, string_split(host, '.') AS l FROM hosts WHERE NOT regexp_matches(host, '(^|\.)[0-9][^.]*$')),
+        up AS (
+            SELECT DISTINCT array_to_string(l[-k:], '.') AS src, array_to_string(l[-(k - 1):], '.') AS dst
+            FROM (SELECT l, unnest(range(3, len(l) + 1)) AS k FROM parts WHERE len(l) BETWEEN 3 AND {u.MOST_LABELS})),
+        found AS (
+            SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), {lower}) AS dst FROM p WHERE host <> ''),
+        links AS MATERIALIZED (
+            SELECT src, dst, count(*) AS links FROM (SELECT * FROM found WHERE src <> dst UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) GROUP BY src, dst),
+        edges AS MATERIALIZED (
+            SELECT 't' || src AS a, 't' || dst AS b, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY src) AS share FROM links
+            UNION ALL SELECT 'd' || dst, 'd' || src, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY dst) FROM links),
+        s0 AS MATERIALIZED (
+            SELECT 't' || host AS node, CAST(floor(CAST(good AS DOUBLE) / n * CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) AS score FROM hosts WHERE good > 0
+            UNION ALL SELECT 'd' || host, CAST(floor(CAST(bad AS DOUBLE) / n * CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) FROM hosts WHERE bad > 0),{rounds}
+        last AS (
+            SELECT substring(node, 2) AS host, CAST(coalesce(sum(score) FILTER (node[1] = 't'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(score) FILTER (node[1] = 'd'), 0) AS BIGINT) AS distrust
+            FROM s{u.ROUNDS} GROUP BY 1)
+        SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {least} THEN 'block' ELSE 'allow' END) AS verdict,
+               coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
+        FROM judged j LEFT JOIN last ON last.host = j.host"""
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_embed_dedup, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_toxicity, op8_minhash_dedup, op9_language_id, op10_mixing, op11_url_filters, op12_whitening, op13_lexical_search)}
 
 ORACLE_SQL = {
+    "op11_url_filters": _url_filters_sql(),
+    "op13_lexical_search": rf"""
+        WITH t AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, '{lexical_search.UPPER}', '{lexical_search.LOWER}'), '{lexical_search.TERM}')) AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+        d AS (SELECT r, doc_id, count(*) AS n FROM t GROUP BY r, doc_id),
+        a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d),
+        i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{lexical_search.UPPER}', '{lexical_search.LOWER}'), '{lexical_search.TERM}')) AS term FROM benchmark),
+        f AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+        w AS (
+            SELECT term, CAST(floor(CAST(1000 AS DOUBLE) * ln((CAST(2 AS DOUBLE) * any_value(docs) + CAST(2 AS DOUBLE)) / (CAST(2 AS DOUBLE) * count(*) + CAST(1 AS DOUBLE)))) AS BIGINT) AS w
+            FROM f, a GROUP BY term),
+        s AS (
+            SELECT item_id, d.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length)))) AS BIGINT) AS score
+            FROM f JOIN d ON d.r = f.r JOIN w ON w.term = f.term JOIN i ON i.term = f.term, a GROUP BY item_id, d.r, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) WHERE rank <= {lexical_search.TOP}""",
     "op3_embed_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
