@@ -82,24 +82,29 @@ def _url_filters_sql() -> str:
     """The rounds of propagation as one query after another; scores are integers, so that they are the same."""
     u = url_filters
     lower = f"'{u.UPPER}', '{u.LOWER}'"
-    whole, start, least = u.UNIT, u.UNIT * (1 - u.DAMPING), round((1 - u.DAMPING) * u.BLOCK_SHARE * u.UNIT)
+    start = u.UNIT * (1 - u.DAMPING)
     link = u.LINK.replace("'", "''")
     fits = " UNION ALL ".join(f"SELECT '{r.partition('/')[0]}' AS rh, '/{r.partition('/')[2]}' AS rp, '{v}' AS ruled" for v, r in URL_RULES)
-    rounds = ""
-    for k in range(1, u.ROUNDS + 1):
-        rounds += f"""
-        s{k} AS MATERIALIZED (SELECT node, CAST(sum(score) AS BIGINT) AS score FROM (
-            SELECT b AS node, CAST(floor(CAST(score AS DOUBLE) * share * CAST({u.DAMPING} AS DOUBLE)) AS BIGINT) AS score FROM edges JOIN s{k - 1} ON node = a
-            UNION ALL SELECT * FROM s0) GROUP BY node),"""
+    moved = lambda c: f"CAST(floor(CAST({c} AS DOUBLE) * share * CAST({u.DAMPING} AS DOUBLE)) AS BIGINT)"
+    seed = lambda mark, c: f"SELECT '{mark}' || host AS node, CAST(floor({c} * CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) AS seeded, CAST(floor(CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) AS al FROM hosts"
+    share = lambda mark, c: f"CAST(floor(({c} + (1 - trust - distrust) * coalesce(CAST({mark}.seeded AS DOUBLE) / nullif({mark}.al, 0), 0)) * {u.MILLION} + 0.5) AS BIGINT) AS {c}"
+    rounds = "".join(
+        f"""
+        s{k} AS MATERIALIZED (SELECT node, CAST(sum(seeded) AS BIGINT) AS seeded, CAST(sum(al) AS BIGINT) AS al FROM (
+            SELECT b AS node, {moved("seeded")} AS seeded, {moved("al")} AS al FROM edges JOIN s{k - 1} ON node = a
+            {"UNION ALL SELECT * FROM s0" if k < u.ROUNDS else ""}) GROUP BY node),"""
+        for k in range(1, u.ROUNDS + 1)
+    )
     return rf"""
         WITH p AS (
             SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), {lower}) AS host,
                    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         judged AS (
-            SELECT p.r, page_id, host, path, max(rh || rp) AS one, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(ruled, length(rh || rp)) AS ruled
+            SELECT p.r, page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(ruled, length(rh || rp)) AS ruled
             FROM p LEFT JOIN ({fits}) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.r, page_id, host, path),
         hosts AS MATERIALIZED (
-            SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM judged WHERE host <> '' GROUP BY host),
+            SELECT host, CAST(count(*) FILTER (ruled = 'allow') AS DOUBLE) / count(*) AS trust, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) / count(*) AS distrust
+            FROM judged WHERE host <> '' GROUP BY host),
         parts AS (
             SELECT host, string_split(host, '.') AS l FROM hosts WHERE NOT regexp_matches(host, '(^|\.)[0-9][^.]*$')),
         up AS (
@@ -110,17 +115,15 @@ def _url_filters_sql() -> str:
         links AS MATERIALIZED (
             SELECT src, dst, count(*) AS links FROM (SELECT * FROM found WHERE src <> dst UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) GROUP BY src, dst),
         edges AS MATERIALIZED (
-            SELECT 't' || src AS a, 't' || dst AS b, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY src) AS share FROM links
-            UNION ALL SELECT 'd' || dst, 'd' || src, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY dst) FROM links),
-        s0 AS MATERIALIZED (
-            SELECT 't' || host AS node, CAST(floor(CAST(good AS DOUBLE) / n * CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) AS score FROM hosts WHERE good > 0
-            UNION ALL SELECT 'd' || host, CAST(floor(CAST(bad AS DOUBLE) / n * CAST({start!r} AS DOUBLE) + 0.5) AS BIGINT) FROM hosts WHERE bad > 0),{rounds}
-        last AS (
-            SELECT substring(node, 2) AS host, CAST(coalesce(sum(score) FILTER (node[1] = 't'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(score) FILTER (node[1] = 'd'), 0) AS BIGINT) AS distrust
-            FROM s{u.ROUNDS} GROUP BY 1)
-        SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {least} THEN 'block' ELSE 'allow' END) AS verdict,
+            SELECT 't' || src AS a, 't' || dst AS b, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY src) * coalesce(1 - trust - distrust, 1) AS share FROM links LEFT JOIN hosts ON host = dst
+            UNION ALL SELECT 'd' || dst, 'd' || src, CAST(links AS DOUBLE) / sum(links) OVER (PARTITION BY dst) * coalesce(1 - trust - distrust, 1) FROM links LEFT JOIN hosts ON host = src),
+        s0 AS MATERIALIZED ({seed("t", "trust")} UNION ALL {seed("d", "distrust")}),{rounds}
+        shares AS (
+            SELECT host, {share("t", "trust")}, {share("d", "distrust")}
+            FROM hosts LEFT JOIN s{u.ROUNDS} t ON t.node = 't' || host LEFT JOIN s{u.ROUNDS} d ON d.node = 'd' || host)
+        SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {round(u.BLOCK_SHARE * u.MILLION)} THEN 'block' ELSE 'allow' END) AS verdict,
                coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
-        FROM judged j LEFT JOIN last ON last.host = j.host"""
+        FROM judged j LEFT JOIN shares s ON s.host = j.host"""
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_embed_dedup, op4_chat_format, op5_html_extract, op6_exact_dedup, op7_toxicity, op8_minhash_dedup, op9_language_id, op10_mixing, op11_url_filters, op12_whitening, op13_lexical_search)}

@@ -2,7 +2,8 @@
 
 A page's rule decides where one fits. What is left goes by its host: hosts with allowed pages are trusted seeds, hosts
 with blocked pages are blocked seeds, each by the share of its pages. Trust spreads along links by personalised
-PageRank, distrust against them, as who links to bad hosts is suspect; a threshold on the two decides each host.
+PageRank, distrust against them, as who links to bad hosts is suspect. Both are taken as a share of what reaches a
+host from all hosts alike, so that they do not shrink as the graph grows; a threshold on them decides each host.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ DAMPING = 0.85
 ROUNDS = 20
 #: Rounds whose plan runs as one job; then the scores are written.
 ROUNDS_OF_JOB = 5
-#: Score that a wholly trusted or blocked host starts with. Scores are integers, so that no sum hangs on its order.
+#: Score of a whole seed. Scores are integers, so that no sum hangs on its order.
 UNIT = 1_000_000_000
-#: A host is blocked where its distrust exceeds its trust and is at least that of a host without links of whose pages rules block this share.
-BLOCK_SHARE = 0.5
+#: A host is blocked where its distrust, a share of 0 to 1, is at least this and exceeds its trust.
+BLOCK_SHARE, MILLION = 0.6, 1_000_000
 #: Labels of the longest host name; longer ones have no parents.
 MOST_LABELS = 127
 
@@ -82,52 +83,68 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def _shares(links: DataFrame, a: str, b: str, mark: str) -> DataFrame:
-    """(a, b, share): the share of a's mass that goes to b, for nodes marked as those of one direction."""
-    whole = links.groupBy(a).agg(F.sum("links").alias("all"))
-    part = split_join(links, whole, a)
-    return part.select(F.concat(F.lit(mark), a).alias("a"), F.concat(F.lit(mark), b).alias("b"), (F.col("links").cast("double") / F.col("all")).alias("share"))
+def _shares(links: DataFrame, seeds: DataFrame, a: str, b: str, mark: str) -> DataFrame:
+    """(a, b, share): the share of a's mass that goes to b, for nodes marked as those of one direction; what rules judge of b takes none."""
+    whole = links.groupBy(a).agg(F.sum("links").alias("whole"))
+    open_ = seeds.select(F.col("host").alias(b), (1 - F.col("trust") - F.col("distrust")).alias("rest"))
+    part = split_join(split_join(links, whole, a), open_, b, "left")
+    share = F.col("links").cast("double") / F.col("whole") * F.coalesce("rest", F.lit(1.0))
+    return part.select(F.concat(F.lit(mark), a).alias("a"), F.concat(F.lit(mark), b).alias("b"), share.alias("share")).where("share > 0")
 
 
 def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of links (src, dst, links) and seeds (host, trust, distrust), shares of 0 to 1.
+    """(host, trust, trust_all, distrust, distrust_all): what reaches each host over links (src, dst, links) from seeds (host, trust, distrust), shares of 0 to 1.
 
-    score = (1 - DAMPING) * seed + DAMPING * what arrives, for trust along the links and for distrust against them. The
-    two directions are parts of one graph without a link between them, so that a round is one join and one sum. A host
-    with very many links is split in the join; sums are taken before they are shuffled.
+    score = (1 - DAMPING) * seed + DAMPING * what arrives, for trust along the links and for distrust against them; the
+    second of each is the same with every host as a whole seed. What rules judge of a host takes nothing from its
+    links, so that a blocked host passes on its own distrust alone. What arrives is returned, without a host's own seed.
+    The two directions are parts of one graph without a link between them, so that a round is one join and one sum. A
+    host with very many links is split in the join; sums are taken before they are shuffled.
     """
-    edges = materialize(_shares(links, "src", "dst", "t").unionByName(_shares(links, "dst", "src", "d")))
-    start = lambda mark, c: seeds.where(F.col(c) > 0).select(F.concat(F.lit(mark), "host").alias("node"), F.floor(F.col(c).cast("double") * (UNIT * (1 - DAMPING)) + 0.5).cast("bigint").alias("score"))
+    edges = materialize(_shares(links, seeds, "src", "dst", "t").unionByName(_shares(links, seeds, "dst", "src", "d")))
+    start = lambda mark, c: seeds.select(F.concat(F.lit(mark), "host").alias("node"), _units(F.col(c).cast("double") * (UNIT * (1 - DAMPING)) + 0.5).alias("seeded"), _units(F.lit(UNIT * (1 - DAMPING) + 0.5)).alias("all"))
     base = materialize(start("t", "trust").unionByName(start("d", "distrust")))
     scores = base
     for done in range(1, rounds + 1):
         moved = split_join(edges, scores.withColumnRenamed("node", "a"), "a")
-        moved = moved.select(F.col("b").alias("node"), F.floor(F.col("score").cast("double") * F.col("share") * DAMPING).cast("bigint").alias("score"))
-        scores = moved.unionByName(base).groupBy("node").agg(F.sum("score").alias("score"))
+        moved = moved.select(F.col("b").alias("node"), *[_units(F.col(c).cast("double") * F.col("share") * DAMPING).alias(c) for c in ("seeded", "all")])
+        if done < rounds:
+            moved = moved.unionByName(base)
+        scores = moved.groupBy("node").agg(F.sum("seeded").alias("seeded"), F.sum("all").alias("all"))
         if done % ROUNDS_OF_JOB == 0 or done == rounds:
             scores = materialize(scores)
-    of = lambda mark: F.coalesce(F.sum(F.when(F.substring("node", 1, 1) == mark, F.col("score"))), F.lit(0))
-    return scores.groupBy(F.expr("substring(node, 2)").alias("host")).agg(of("t").alias("trust"), of("d").alias("distrust"))
+    of = lambda mark, c: F.coalesce(F.sum(F.when(F.substring("node", 1, 1) == mark, F.col(c))), F.lit(0))
+    return scores.groupBy(F.expr("substring(node, 2)").alias("host")).agg(of("t", "seeded").alias("trust"), of("t", "all").alias("trust_all"), of("d", "seeded").alias("distrust"), of("d", "all").alias("distrust_all"))
+
+
+def _units(x: Column) -> Column:
+    return F.floor(x).cast("bigint")
+
+
+def host_shares(seeds: DataFrame, scores: DataFrame) -> DataFrame:
+    """(host, trust, distrust) in millionths: the share of its pages that rules judge so, and for the rest of them the share of what its links bring that comes from such seeds."""
+    rest = 1 - F.col("s.trust") - F.col("s.distrust")
+    share = lambda c: F.col(f"s.{c}") + rest * F.coalesce(F.try_divide(F.col(f"a.{c}"), F.col(f"a.{c}_all")), F.lit(0.0))
+    joined = seeds.alias("s").join(scores.alias("a"), "host", "left")
+    return joined.select("host", *[_units(share(c) * MILLION + 0.5).alias(c) for c in ("trust", "distrust")])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One row per page: key, host, path, rule, verdict (allow or block), trust, distrust (of the host, UNIT being a whole seed).
+    """One row per page: key, host, path, rule, verdict (allow or block), trust, distrust (its host's, in millionths).
 
     ``rules``: (host, path, verdict), few beside the hosts but of any number. A page that no rule fits is judged by its
-    host: blocked where distrust exceeds trust and is at least (1 - DAMPING) * BLOCK_SHARE * UNIT, else allowed. A null
-    url, or one without ``://``, has an empty host and path, which no rule fits and no link reaches: allowed. A null or
-    empty html has no links. Repeated rows count and return as they are, null keys too; an empty table gives none.
+    host: blocked where distrust is at least BLOCK_SHARE and exceeds trust, else allowed. A null url, or one without
+    ``://``, has an empty host and path, which no rule fits and no link reaches: allowed. A null or empty html has no
+    links. Repeated rows count and return as they are, null keys too; an empty table gives none.
     """
     rows = pages.select(F.col(f"`{key}`").alias("key"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     judged = materialize(with_rules(rows, rules))
-    hosts = materialize(judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")))
-    seeds = hosts.select("host", (F.col("allowed") / F.col("pages")).alias("trust"), (F.col("blocked") / F.col("pages")).alias("distrust"))
+    hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    seeds = materialize(hosts.select("host", (F.col("allowed") / F.col("pages")).alias("trust"), (F.col("blocked") / F.col("pages")).alias("distrust")))
     linked = host_links(pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")))
-    links = materialize(linked.unionByName(parent_links(hosts.select("host"))).groupBy("src", "dst").agg(F.sum("links").alias("links")))
-    scores = spread(links, seeds)
-    least = round((1 - DAMPING) * BLOCK_SHARE * UNIT)
-    bad = F.coalesce((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least), F.lit(False))
-    out = split_join(judged, scores, "host", "left")
+    links = materialize(linked.unionByName(parent_links(seeds.select("host"))).groupBy("src", "dst").agg(F.sum("links").alias("links")))
+    out = split_join(judged, host_shares(seeds, spread(links, seeds)), "host", "left")
+    bad = F.coalesce((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= round(BLOCK_SHARE * MILLION)), F.lit(False))
     score = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), score("trust"), score("distrust"))
 
