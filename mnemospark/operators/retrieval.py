@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemospark.functions.columns import clamp01, estimate_tokens
+from mnemospark.operators.covers import score_postings
 
 RRF_K = 60
 #: Queries that are compared with the corpus as one broadcast block; more of them go in blocks.
@@ -211,24 +212,6 @@ def search_terms_of(queries: DataFrame, by: str | None = None) -> DataFrame:
     return queries.select("query_id", *([by] if by else []), F.explode("terms").alias("token")).distinct()
 
 
-def score_postings(hits: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, matched, raw) of postings (query_id, key, token, pos).
-
-    The raw rank grows with the number of matches and with how near they stand: the sum over neighbouring matches of
-    different terms of 1 / distance, plus a tenth of a point for each match. Each term's places are gathered per query
-    and document before anything is shuffled.
-    """
-    places = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    near = F.aggregate(
-        F.col("places"),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("token")),
-        lambda s, p: F.struct((s["sum"] + F.when(s["token"] != p["token"], F.lit(1.0) / (p["pos"] - s["pos"])).otherwise(F.lit(0.0)) + F.lit(0.1)).alias("sum"), p["pos"].alias("pos"), p["token"].alias("token")),
-        lambda s: s["sum"],
-    )
-    held = hits.groupBy("query_id", key).agg(places.alias("places"))  # bounded by one text's words
-    return held.select("query_id", key, F.size(F.array_distinct(F.transform("places", lambda p: p["token"]))).cast("bigint").alias("matched"), near.alias("raw"))
-
-
 def rank_postings(hits: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
     """(query_id, key, matched, score, rank) of postings, any term sufficing; r / (r + 1) of the raw rank is the score."""
     raw = score_postings(hits, key)

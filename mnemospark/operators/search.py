@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators import retrieval
+from mnemospark.operators.covers import score_postings
 from mnemospark.operators.retrieval import RRF_K
 
 EXCERPT_CHARS = 4_000
@@ -100,7 +101,7 @@ def hybrid_search(
     )
     surface = d.unionByName(m)
     by_vector = retrieval.match_vectors(queries, surface, "id", k, -1.0, by="user_id").select("query_id", "id", F.col("similarity").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    scored = retrieval.score_postings(retrieval.postings_in(surface, "id", "text", _asked(queries), by="user_id"), "id").select("query_id", "id", F.round("raw", 6).alias("text_score"))
+    scored = score_postings(retrieval.postings_in(surface, "id", "text", _asked(queries), by="user_id"), "id").select("query_id", "id", F.round("raw", 6).alias("text_score"))
     by_text = _first(scored, k, F.desc("text_score"), "id", name="text_rank")
     fused = by_vector.join(by_text, ["query_id", "id"], "full_outer")
     part = lambda weight, rank: F.coalesce(F.lit(float(weight)) / (RRF_K + F.col(rank)), F.lit(0.0))
@@ -112,7 +113,7 @@ def hybrid_search(
 def _rank_text(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
     """(query_id, document_id, score) of the user's visible documents that match; score is r / (r + 1)."""
     hits = retrieval.postings_in(visible_documents(documents), "document_id", "extracted_text", _asked(queries), by="user_id")
-    scored = retrieval.score_postings(hits, "document_id")
+    scored = score_postings(hits, "document_id")
     return scored.select("query_id", "document_id", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")).where(F.col("score") >= least)
 
 
@@ -175,7 +176,7 @@ def search_websearch(queries: DataFrame, documents: DataFrame, k: int, least: fl
     terms = F.when(F.size("terms") == 0, F.size("phrases") > 0).when(F.col("any_term"), F.exists("terms", has)).otherwise(F.forall("terms", has))
     held = held.where(terms & F.forall("phrases", stands) & ~F.exists("excluded", has))
     kept = held.select("query_id", "document_id").join(hits, ["query_id", "document_id"])
-    scored = retrieval.score_postings(kept, "document_id").select("query_id", "document_id", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")).where(F.col("score") >= least)
+    scored = score_postings(kept, "document_id").select("query_id", "document_id", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")).where(F.col("score") >= least)
     return _shown(scored, documents, k)
 
 

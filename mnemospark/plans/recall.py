@@ -71,14 +71,24 @@ _INDEX = f"SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FR
 _WANTED = f"SELECT DISTINCT item_id AS query_id, unnest(t) AS token FROM (SELECT item_id, {_tokens_sql('text')} AS t FROM benchmark)"
 
 
+def covers_sql(hits: str, key: str) -> str:
+    """(query_id, key, matched, raw) of hits (query_id, key, token, pos): for each place the last place before it of each
+    word that the text holds; their smallest begins a cover, a minimal one where no earlier place has the same."""
+    return f"""
+    WITH h AS ({hits}), t AS (SELECT query_id, {key}, token, count(*) OVER (PARTITION BY query_id, {key}) AS matched FROM h GROUP BY query_id, {key}, token),
+    l AS (SELECT h.query_id, h.{key}, h.pos, t.matched, max(CASE WHEN h.token = t.token THEN h.pos END) OVER (PARTITION BY h.query_id, h.{key}, t.token ORDER BY h.pos) AS last
+          FROM h JOIN t ON t.query_id = h.query_id AND t.{key} = h.{key}),
+    e AS (SELECT query_id, {key}, pos, any_value(matched) AS matched, min(last) AS start FROM l GROUP BY query_id, {key}, pos HAVING count(last) = any_value(matched)),
+    c AS (SELECT query_id, {key}, any_value(matched) AS matched, start, min(pos) AS finish FROM e GROUP BY query_id, {key}, start)
+    SELECT query_id, {key}, any_value(matched) AS matched, any_value(matched) - 1 + round(sum(CAST(matched AS DOUBLE) / (finish - start + 1)), 9) / (round(sum(CAST(matched AS DOUBLE) / (finish - start + 1)), 9) + 1) AS raw
+    FROM c GROUP BY query_id, {key}"""
+
+
 def _search_sql(index: str, wanted: str) -> str:
     """Ranked postings as SQL, of (doc_id, token, pos) and (query_id, token)."""
-    return f"""
-    WITH h AS (SELECT w.query_id, i.doc_id, i.token, i.pos FROM ({index}) i JOIN ({wanted}) w ON i.token = w.token),
-    n AS (SELECT *, CASE WHEN lag(token) OVER w <> token THEN 1.0 / (pos - lag(pos) OVER w) ELSE 0.0 END AS near FROM h WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos)),
-    r AS (SELECT query_id, doc_id, count(DISTINCT token) AS matched, sum(CAST(near AS DOUBLE) + 0.1) AS raw FROM n GROUP BY query_id, doc_id)
-    SELECT query_id, doc_id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, score DESC, doc_id) AS rank
-    FROM (SELECT query_id, doc_id, matched, round(raw / (raw + 1), 6) AS score FROM r)"""
+    hits = f"SELECT w.query_id, i.doc_id, i.token, i.pos FROM ({index}) i JOIN ({wanted}) w ON i.token = w.token"
+    return f"""SELECT query_id, doc_id, matched, score, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, score DESC, doc_id) AS rank
+    FROM (SELECT query_id, doc_id, matched, round(raw / (raw + 1), 6) AS score FROM ({covers_sql(hits, "doc_id")}))"""
 
 
 _SEARCH = _search_sql(_INDEX, _WANTED)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators import memory, retrieval, search
-from mnemospark.plans.recall import _tokens_sql
+from mnemospark.plans.recall import _tokens_sql, covers_sql
 from mnemospark.sources import tables
 
 QUERIES: dict = {}
@@ -57,11 +57,9 @@ def _near_sql(rows: str, key: str, k: int, least: float) -> str:
 
 def _text_sql(rows: str, key: str, asked: str = ASKED) -> str:
     """Text ranks of each user's rows (key, user_id, body) as SQL: query_id, key, raw."""
-    return f"""SELECT query_id, {key}, sum(CAST(near AS DOUBLE) + 0.1) AS raw FROM (
-        SELECT query_id, {key}, CASE WHEN lag(token) OVER w <> token THEN 1.0 / (pos - lag(pos) OVER w) ELSE 0.0 END AS near FROM (
-            SELECT w.query_id, i.{key}, i.token, i.pos FROM (SELECT {key}, user_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT {key}, user_id, {_tokens_sql("body")} AS t FROM ({rows}))) i
-            JOIN (SELECT DISTINCT query_id, user_id, unnest({_tokens_sql("query_text")}) AS token FROM ({asked})) w ON i.token = w.token AND i.user_id = w.user_id)
-        WINDOW w AS (PARTITION BY query_id, {key} ORDER BY pos)) GROUP BY query_id, {key}"""
+    hits = f"""SELECT w.query_id, i.{key}, i.token, i.pos FROM (SELECT {key}, user_id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM (SELECT {key}, user_id, {_tokens_sql("body")} AS t FROM ({rows}))) i
+            JOIN (SELECT DISTINCT query_id, user_id, unnest({_tokens_sql("query_text")}) AS token FROM ({asked})) w ON i.token = w.token AND i.user_id = w.user_id"""
+    return f"SELECT query_id, {key}, raw FROM ({covers_sql(hits, key)})"
 
 
 def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
