@@ -26,16 +26,16 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return memories.groupBy("user_id", statement_hash(F.col("statement")).alias("statement_hash")).agg(F.min("memory_id").alias("memory_id"), F.count("*").alias("copies"))
 
 
-def near_duplicates(candidates: DataFrame, stored: DataFrame, by: str = "user_id", duplicate: float = DUPLICATE, review: float = REVIEW) -> DataFrame:
-    """(memory_id, match_id, similarity, relation): of each candidate the nearest earlier statement of its user, from ``review`` on.
+def near_duplicates(candidates: DataFrame, stored: DataFrame, by: str = "user_id", duplicate: float = DUPLICATE, review: float = REVIEW, neighbours: int = 1) -> DataFrame:
+    """(memory_id, match_id, similarity, relation): of each candidate the nearest earlier statements of its user, from ``review`` on.
 
-    Both sides: memory_id, the user, statement_hash, embedding. Equal statements are settled first, by their hash.
+    Both sides: memory_id, the user, statement_hash, embedding. Equal statements are settled first, by their hash: the
+    first of them is the only match. Others have their ``neighbours`` nearest, of equally near ones the earliest.
     Vectors then meet in slices of a user's stored statements, which a task holds while the user's candidates stream
     past them; a slice leaves one match a candidate, so a user with many statements takes many tasks and few rows.
     """
-    earlier = stored.select(F.col("memory_id").alias("match_id"), by, "statement_hash")
-    same = candidates.select("memory_id", by, "statement_hash").join(earlier, [by, "statement_hash"]).where("match_id < memory_id")
-    exact = same.groupBy("memory_id").agg(F.min("match_id").alias("match_id")).withColumn("similarity", F.lit(1.0))
+    first = stored.groupBy(by, "statement_hash").agg(F.min("memory_id").alias("match_id"))
+    exact = candidates.select("memory_id", by, "statement_hash").join(first, [by, "statement_hash"]).where("match_id < memory_id").select("memory_id", "match_id", F.lit(1.0).alias("similarity")).distinct()
     open_ = candidates.join(exact.select("memory_id"), "memory_id", "left_anti").where("embedding is not null").select("memory_id", by, F.col("embedding").cast("array<double>").alias("v"))
     held = stored.where("embedding is not null").select("memory_id", by, F.col("embedding").cast("array<double>").alias("v"))
     sizes = held.groupBy(by).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
@@ -68,14 +68,15 @@ def near_duplicates(candidates: DataFrame, stored: DataFrame, by: str = "user_id
                     at, v = unit_rows(part.column(4), matrix.shape[1])
                     own = part.column(3).to_numpy()[at]
                     like = np.where(keys[None, :] < own[:, None], np.round(v @ matrix.T, 9), -np.inf)
-                    best = like.argmax(axis=1) if len(keys) else np.zeros(0, int)  # the smallest key on a tie
-                    near = like[np.arange(len(best)), best]
-                    good = near >= review
-                    yield pa.RecordBatch.from_arrays([pa.array(own[: len(best)][good]), pa.array(keys[best[good]]), pa.array(near[good])], ["memory_id", "match_id", "similarity"])
+                    best = np.argsort(-like, axis=1, kind="stable")[:, :neighbours]  # the smallest keys on a tie
+                    near = np.take_along_axis(like, best, axis=1)
+                    i, j = np.nonzero(near >= review)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(keys[best[i, j]]), pa.array(near[i, j])], ["memory_id", "match_id", "similarity"])
                 start = end
 
     found = rows.mapInArrow(run, "memory_id bigint, match_id bigint, similarity double")
-    best = found.groupBy("memory_id").agg(F.min(F.struct((-F.col("similarity")).alias("d"), "match_id")).alias("b")).select("memory_id", F.col("b.match_id").alias("match_id"), (-F.col("b.d")).alias("similarity"))
+    nearest = Window.partitionBy("memory_id").orderBy(F.desc("similarity"), "match_id")
+    best = found.withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= neighbours).drop("__rank")
     relation = F.when(F.col("similarity") >= duplicate, "duplicate").otherwise("candidate").alias("relation")
     return exact.unionByName(best).select("memory_id", "match_id", F.round("similarity", 6).alias("similarity"), relation)
 

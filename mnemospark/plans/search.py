@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators import memory, retrieval, search
+from mnemospark.operators import memory, retrieval, search, vector_index
 from mnemospark.plans.recall import _tokens_sql, covers_sql
 from mnemospark.sources import tables
 
@@ -36,14 +36,15 @@ DOCUMENTS = f"""
            text AS extracted_text, topic_ids
     FROM documents LEFT JOIN (SELECT vec_id // 5 AS t, list(DISTINCT label) AS topic_ids FROM embeddings WHERE label IS NOT NULL GROUP BY 1) ON t = doc_id"""
 CHUNKS = """
-    SELECT vec_id AS chunk_id, vec_id // 5 AS document_id, doc_id % 10 AS user_id, vec_id % 5 AS ordinal, substring(text, vec_id % 5 * 800 + 1, 800) AS text, CAST(embedding AS DOUBLE[]) AS e
-    FROM embeddings JOIN documents ON doc_id = vec_id // 5"""
+    SELECT doc_id * 1000000 + o AS chunk_id, doc_id AS document_id, doc_id % 10 AS user_id, o AS ordinal, piece AS text, CAST(embedding AS DOUBLE[]) AS e
+    FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(0, len(p))) AS o FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,800}') AS p FROM documents))
+    LEFT JOIN embeddings ON vec_id = (doc_id * 5 + o) % (SELECT count(*) FROM embeddings)"""
 MEMORIES = """
     SELECT memory_id, user_id, conv_id, kind, statement, valid_from, status, CAST(memory_id % 10 AS DOUBLE) / 10 AS confidence, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN label IS NOT NULL THEN [label] END AS topic_ids
     FROM (SELECT *, CASE WHEN lead(memory_id) OVER (PARTITION BY conv_id ORDER BY valid_from, memory_id) IS NULL THEN 'active' ELSE 'superseded' END AS status FROM (
         SELECT conv_id * 1000 + turn AS memory_id, conv_id, conv_id % 10 AS user_id, CASE WHEN turn % 2 = 0 THEN 'fact' ELSE 'preference' END AS kind, text AS statement,
                TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * conv_id + INTERVAL 1 HOUR * turn AS valid_from FROM conversations WHERE role = 'user'))
-    LEFT JOIN (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id < 13) ON vec_id = memory_id % 13"""
+    LEFT JOIN embeddings ON vec_id = (conv_id * 10 + memory_id % 1000) % (SELECT count(*) FROM embeddings)"""
 ASKED = f"SELECT memory_id AS query_id, user_id, statement AS query_text, e FROM ({MEMORIES}) WHERE memory_id % 100 = 0"
 _VISIBLE = f"SELECT c.*, d.title, d.url, d.captured_at, d.topic_ids FROM ({CHUNKS}) c JOIN ({DOCUMENTS}) d ON d.document_id = c.document_id AND d.user_id = c.user_id WHERE d.deleted_at IS NULL"
 _LIKE = "round(list_dot_product(r.e, q.e) / (sqrt(list_dot_product(r.e, r.e)) * sqrt(list_dot_product(q.e, q.e))), 9)"
@@ -73,6 +74,23 @@ def match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "chunk_id", "document_id", "ordinal", F.round("similarity", 6).alias("similarity"), "text", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"SELECT query_id, chunk_id, document_id, round(similarity, 6) AS similarity, rank FROM ({_near_sql(_VISIBLE, 'chunk_id', 10, 0)})")
+def index_match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c, d, _ = _views(spark, sf_dir)
+    index = vector_index.build(search.visible_chunks(c, d), "chunk_id", keep=["document_id"], by="user_id")
+    return vector_index.search(q, index, 10).withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM ({_near_sql(_VISIBLE, 'chunk_id', 10, 0)})")
+def index_probe_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the probes that half of the queries need for 95 % of their neighbours find 90 % for all queries."""
+    q, c, d, _ = _views(spark, sf_dir)
+    index = vector_index.build(search.visible_chunks(c, d), "chunk_id", by="user_id")
+    probes = vector_index.probes_for(q.where("query_id div 1000 % 2 = 0"), index, 10, 0.95)
+    out = vector_index.recall(vector_index.search(q, index, 10, probes=probes), vector_index.search(q, index, 10), "chunk_id")
+    return out.select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _ACTIVE = f"SELECT * FROM ({MEMORIES}) WHERE status = 'active'"
 
 
@@ -174,12 +192,22 @@ def search_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- statements near to earlier ones of their user
 
-@query(f"""WITH m AS (SELECT *, sha256(trim(regexp_replace(regexp_replace(nfc_normalize(statement), '[​-‍﻿]', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))) AS h FROM ({MEMORIES})),
+def _near_statements_sql(neighbours: int) -> str:
+    return f"""WITH m AS (SELECT *, sha256(trim(regexp_replace(regexp_replace(nfc_normalize(statement), '[​-‍﻿]', '', 'g'), '[ \\t-\\r]+', ' ', 'g'))) AS h FROM ({MEMORIES})),
     x AS (SELECT a.memory_id, min(b.memory_id) AS match_id FROM m a JOIN m b ON a.user_id = b.user_id AND a.h = b.h AND b.memory_id < a.memory_id GROUP BY a.memory_id),
     p AS (SELECT q.memory_id, r.memory_id AS match_id, {_LIKE} AS similarity FROM m q JOIN m r ON q.user_id = r.user_id AND r.memory_id < q.memory_id WHERE q.e IS NOT NULL AND r.e IS NOT NULL AND q.memory_id NOT IN (SELECT memory_id FROM x)),
     b AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, match_id) AS rn FROM p)
     SELECT memory_id, match_id, 1.0 AS similarity, 'duplicate' AS relation FROM x
-    UNION ALL SELECT memory_id, match_id, round(similarity, 6), CASE WHEN similarity >= 0.9 THEN 'duplicate' ELSE 'candidate' END FROM b WHERE rn = 1 AND similarity >= 0.8""")
+    UNION ALL SELECT memory_id, match_id, round(similarity, 6), CASE WHEN similarity >= 0.9 THEN 'duplicate' ELSE 'candidate' END FROM b WHERE rn <= {neighbours} AND similarity >= {{least}}"""
+
+
+@query(_near_statements_sql(1).format(least=0.8))
 def memory_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = tables.recall_memories(spark, sf_dir)
     return memory.near_duplicates(held, held)
+
+
+@query(_near_statements_sql(5).format(least=0.05))
+def memory_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tables.recall_memories(spark, sf_dir)
+    return memory.near_duplicates(held, held, review=0.05, neighbours=5)

@@ -90,8 +90,14 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Users that the retrieval views are dealt to: few, so that each has many rows.
-TENANTS, CHUNKS_OF_DOCUMENT, CHUNK_STEP, VECTORS_OF_MEMORIES = 10, 5, 800, 13
+#: Users that the retrieval views are dealt to: few, so that each has many rows. Characters of a passage, and passages that a document may have.
+TENANTS, PASSAGE_CHARS, MOST_PASSAGES = 10, 800, 1_000_000
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(__v, embedding, topic) and how many there are: texts are dealt the vectors by number, as often as it takes."""
+    raw = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"), "embedding", F.col("label").alias("topic"))
+    return raw, max(1, raw.count())
 
 
 def recall_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +118,20 @@ def recall_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with owner, text and vector."""
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % TENANTS).alias("user_id"), F.col("text").alias("__text"))
-    rows = chunks(spark, sf_dir).withColumn("ordinal", F.col("chunk_id") % CHUNKS_OF_DOCUMENT).join(texts, "document_id")
-    return rows.withColumn("text", F.substring("__text", F.col("ordinal") * CHUNK_STEP + 1, F.lit(CHUNK_STEP))).drop("__text")
+    """Passages of the whole text of every document, with owner and vector; a document without text has none."""
+    vectors, many = _vectors(spark, sf_dir)
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("ordinal", "text"))
+    rows = texts.select((F.col("document_id") * MOST_PASSAGES + F.col("ordinal")).alias("chunk_id"), "document_id", (F.col("document_id") % TENANTS).alias("user_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "text", ((F.col("document_id") * 5 + F.col("ordinal")) % many).alias("__v"))
+    return rows.join(vectors, "__v", "left").drop("__v")
 
 
 def recall_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements with owner, status (a later statement of a conversation supersedes), vector and topics."""
     later = Window.partitionBy("conv_id").orderBy("valid_from", "memory_id")
     rows = memories(spark, sf_dir).withColumn("user_id", F.col("conv_id") % TENANTS).withColumn("status", F.when(F.lead("memory_id").over(later).isNull(), "active").otherwise("superseded"))
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"), "embedding", F.when(F.col("label").isNotNull(), F.array("label")).alias("topic_ids"))
-    rows = rows.withColumn("__v", F.col("memory_id") % VECTORS_OF_MEMORIES).join(vectors.where(F.col("__v") < VECTORS_OF_MEMORIES), "__v", "left").drop("__v")
+    vectors, many = _vectors(spark, sf_dir)
+    vectors = vectors.select("__v", "embedding", F.when(F.col("topic").isNotNull(), F.array("topic")).alias("topic_ids"))
+    rows = rows.withColumn("__v", (F.col("conv_id") * 10 + F.col("memory_id") % 1000) % many).join(vectors, "__v", "left").drop("__v")
     return rows.withColumn("confidence", (F.col("memory_id") % 10).cast("double") / 10).withColumn("statement_hash", content_hash(F.col("statement")))
 
 
