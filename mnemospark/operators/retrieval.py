@@ -219,7 +219,11 @@ def search_terms_of(queries: DataFrame, by: str | None = None) -> DataFrame:
 
 def rank_postings(hits: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
     """(query_id, key, matched, score, rank) of postings, any term sufficing; r / (r + 1) of the raw rank is the score."""
-    raw = score_postings(hits, key)
+    return rank_scored(score_postings(hits, key), key, k, least)
+
+
+def rank_scored(raw: DataFrame, key: str, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """The same of (query_id, key, matched, raw)."""
     scored = raw.withColumn("score", F.round(F.col("raw") / (F.col("raw") + 1), 6)).where(F.col("score") >= least).drop("raw")
     w = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), key)
     ranked = scored.withColumn("rank", F.row_number().over(w))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.operators import retrieval
+from mnemospark.operators import retrieval, text_index
 from mnemospark.operators.covers import score_postings
 from mnemospark.operators.retrieval import RRF_K
 
@@ -110,10 +110,20 @@ def hybrid_search(
     return best.join(surface.drop("user_id", "embedding"), "id")
 
 
-def _rank_text(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """(query_id, document_id, score) of the user's visible documents that match; score is r / (r + 1)."""
-    hits = retrieval.postings_in(visible_documents(documents), "document_id", "extracted_text", _asked(queries), by="user_id")
-    scored = score_postings(hits, "document_id")
+def index_documents(documents: DataFrame) -> DataFrame:
+    """The index of the visible documents of each user, for :func:`search_documents`."""
+    return text_index.build(visible_documents(documents), "document_id", "extracted_text", by="user_id")
+
+
+def _rank_text(queries: DataFrame, documents: DataFrame, least: float, index: DataFrame | None = None, k: int = 0) -> DataFrame:
+    """(query_id, document_id, score) of the user's visible documents that match, or with an index of those that can be
+    among the first k; score is r / (r + 1)."""
+    if index is not None:
+        terms = queries.select("query_id", "user_id", retrieval.search_terms(F.col("query_text")).alias("terms"))
+        scored = text_index.best_candidates(terms, index, "document_id", k, by="user_id").hits
+    else:
+        hits = retrieval.postings_in(visible_documents(documents), "document_id", "extracted_text", _asked(queries), by="user_id")
+        scored = score_postings(hits, "document_id")
     return scored.select("query_id", "document_id", F.round(F.col("raw") / (F.col("raw") + 1), 6).alias("score")).where(F.col("score") >= least)
 
 
@@ -126,12 +136,13 @@ def _shown(found: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     return best.join(rows, "document_id")
 
 
-def search_documents(queries: DataFrame, documents: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+def search_documents(queries: DataFrame, documents: DataFrame, k: int, least: float = 0.0, index: DataFrame | None = None) -> DataFrame:
     """(query_id, document_id, score, rank, url, title, word_count, captured_at, extraction_status, excerpt).
 
-    Any word of the query that is no stop word suffices; best score first, then the latest capture, then the key.
+    Any word of the query that is no stop word suffices; best score first, then the latest capture, then the key. With
+    an ``index`` (:func:`index_documents`) the texts are not read, and common words only where they matter.
     """
-    return _shown(_rank_text(queries, documents, least), documents, k)
+    return _shown(_rank_text(queries, documents, least, index, k), documents, k)
 
 
 def search_documents_hybrid(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int, least: float = 0.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators import memory, retrieval, search, vector_index
 from mnemospark.plans.recall import _tokens_sql, covers_sql
 from mnemospark.sources import tables
+from mnemospark.sources.scratch import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,6 +161,12 @@ def search_user_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(search.search_documents(q, d, 10, 0.6))
 
 
+@query(_shown_sql(f"SELECT * FROM ({_SCORED})", 10))
+def index_user_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, _, d, _ = _views(spark, sf_dir)
+    return _listed(search.search_documents(q, d, 10, index=materialize(search.index_documents(d))))
+
+
 _BY_VECTOR = f"""SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY max(similarity) DESC, document_id) AS rank FROM (
     SELECT q.query_id, r.document_id, {_LIKE} AS similarity FROM ({_VISIBLE}) r JOIN ({ASKED}) q ON q.user_id = r.user_id WHERE r.e IS NOT NULL AND q.e IS NOT NULL) GROUP BY query_id, document_id"""
 _BY_TEXT = f"SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM ({_SCORED})"
