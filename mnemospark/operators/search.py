@@ -73,6 +73,18 @@ def _first(rows: DataFrame, k: int, *order: Column | str, name: str = "rank") ->
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= max(0, k))
 
 
+def searchable(chunks: DataFrame, documents: DataFrame, memories: DataFrame) -> DataFrame:
+    """What hybrid search ranks: visible chunks and active memories as (id, source, user_id, document_id, text, title, url, occurred_at, embedding, topic_ids, kind)."""
+    shown = ["title", "url", "captured_at", "topic_ids"]
+    rows = visible_chunks(chunks, documents.select("document_id", "user_id", "deleted_at", *shown), shown)
+    d = rows.select(F.concat(F.lit("d"), F.col("chunk_id").cast("string")).alias("id"), F.lit("document").alias("source"), "user_id", "document_id", "text", "title", "url", F.col("captured_at").alias("occurred_at"), "embedding", "topic_ids", F.lit(None).cast("string").alias("kind"))
+    m = visible_memories(memories).select(
+        F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("id"), F.lit("memory").alias("source"), "user_id", F.lit(None).cast(d.schema["document_id"].dataType).alias("document_id"),
+        F.col("statement").alias("text"), F.col("statement").alias("title"), F.lit(None).cast("string").alias("url"), F.col("valid_from").alias("occurred_at"), "embedding", "topic_ids", "kind",
+    )
+    return d.unionByName(m)
+
+
 def hybrid_search(
     queries: DataFrame,
     chunks: DataFrame,
@@ -92,14 +104,9 @@ def hybrid_search(
     (60 + rank), a list that lacks a row adding nothing. ``id`` is 'd' or 'm' with the chunk's or memory's key, so
     that the two never meet. Kinds narrow memories alone, topics both.
     """
-    rows = visible_chunks(chunks, documents.select("document_id", "user_id", "deleted_at", "title", "url", "captured_at", "topic_ids"), ["title", "url", "captured_at", "topic_ids"])
-    held = visible_memories(memories, kinds)
-    d = rows.where(about(topics)).where(F.lit(include_documents)).select(F.concat(F.lit("d"), F.col("chunk_id").cast("string")).alias("id"), F.lit("document").alias("source"), "user_id", "document_id", "text", "title", "url", F.col("captured_at").alias("occurred_at"), "embedding")
-    m = held.where(about(topics)).where(F.lit(include_memories)).select(
-        F.concat(F.lit("m"), F.col("memory_id").cast("string")).alias("id"), F.lit("memory").alias("source"), "user_id", F.lit(None).cast(d.schema["document_id"].dataType).alias("document_id"),
-        F.col("statement").alias("text"), F.col("statement").alias("title"), F.lit(None).cast("string").alias("url"), F.col("valid_from").alias("occurred_at"), "embedding",
-    )
-    surface = d.unionByName(m)
+    surface = searchable(chunks, documents, memories)
+    wanted = about(topics) & F.when(F.col("source") == "document", F.lit(include_documents)).otherwise(F.lit(include_memories) & (F.lit(True) if kinds is None else F.col("kind").isin(*kinds)))
+    surface = surface.where(wanted).drop("topic_ids", "kind")
     by_vector = retrieval.match_vectors(queries, surface, "id", k, -1.0, by="user_id").select("query_id", "id", F.col("similarity").alias("vector_score"), F.col("rank").alias("vector_rank"))
     scored = score_postings(retrieval.postings_in(surface, "id", "text", _asked(queries), by="user_id"), "id").select("query_id", "id", F.round("raw", 6).alias("text_score"))
     by_text = _first(scored, k, F.desc("text_score"), "id", name="text_rank")
@@ -192,7 +199,8 @@ def search_websearch(queries: DataFrame, documents: DataFrame, k: int, least: fl
 
 
 def create_views(spark, chunks: DataFrame, documents: DataFrame, memories: DataFrame) -> None:
-    """Temporary views for SQL users: what may be searched, as visible_chunks, visible_documents and active_memories."""
+    """Temporary views for SQL users: what may be searched, as visible_chunks, visible_documents, active_memories and searchable."""
     visible_chunks(chunks, documents).createOrReplaceTempView("visible_chunks")
     visible_documents(documents).createOrReplaceTempView("visible_documents")
     visible_memories(memories).createOrReplaceTempView("active_memories")
+    searchable(chunks, documents, memories).createOrReplaceTempView("searchable")

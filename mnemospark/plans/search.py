@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators import memory, retrieval, search, vector_index
+from mnemospark.operators import memory, retrieval, search, sql_functions, vector_index
 from mnemospark.plans.recall import _tokens_sql, covers_sql
 from mnemospark.sources import tables
 from mnemospark.sources.scratch import materialize
@@ -139,6 +139,20 @@ def hybrid_by_kind_and_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.hybrid_search(*_views(spark, sf_dir), 20, kinds=["fact"], topics=[0, 1, 2, 3, 4, 5]))
 
 
+_FIRST = "memory_id = (SELECT min(conv_id * 1000 + turn) FROM conversations WHERE role = 'user' AND conv_id % 10 = 0 AND (conv_id * 1000 + turn) % 100 = 0)"
+
+
+@query(_hybrid_sql("true", "true").replace("memory_id % 100 = 0", _FIRST))
+def sql_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call of the table function: what user 0 finds for the first of their questions."""
+    q, c, d, m = _views(spark, sf_dir)
+    search.create_views(spark, c, d, m)
+    sql_functions.create_functions(spark)
+    q.where("user_id = 0").orderBy("query_id").limit(1).createOrReplaceTempView("question")
+    call = "hybrid_search(user_id, query_text, CAST(query_embedding AS ARRAY<DOUBLE>), 20)"
+    return _rounded(spark.sql(f"SELECT query_id, f.* FROM question, LATERAL {call} f"))
+
+
 _SEEN = f"SELECT *, extracted_text AS body FROM ({DOCUMENTS}) WHERE deleted_at IS NULL"
 
 

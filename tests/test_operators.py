@@ -371,3 +371,28 @@ def test_embedder_is_deterministic(spark):
     df = spark.createDataFrame([("a b",), ("a b",), (None,)], "t string")
     rows = [r.embedding for r in retrieval.embed_with(df, retrieval.hashing_embedder(8), "t", 8).collect()]
     assert rows[0] == rows[1] and len(rows[2]) == 8
+
+
+@pytest.mark.parametrize("unit", ["<!-- x ", "<script> x ", "<p>a</p> ", "-- > </script <script ", "<!-- a --> <b>", "<title>"])
+def test_pages_take_linear_time(spark, unit):
+    import time
+
+    page = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit(unit), 2_000_000 // len(unit)).alias("html"))
+    began = time.perf_counter()
+    assert corpus.extract_pages(page).first().url == "u"
+    assert time.perf_counter() - began < 30  # minutes where each opener looks for its end
+
+
+def test_openers_without_an_end_hide_nothing(spark):
+    pages = ["a<!-- b <p>c", "a<!-- b -->c<!-- d", "<script>x</script>y<script>z", "<style>a<!--</style>b-->c", "<!-- <script> -->a</script>b", "a<noscript>b</noscript ><template>c"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(pages)), "i int, html string").orderBy("i").select(corpus.page_text(F.col("html")).alias("t")).collect()]
+    assert got == ["a<!-- b\n\nc", "ac<!-- d", "yz", "b-->c", "ab", "ac"]
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    text = spark.range(1).select("id", F.repeat(F.lit("wörd and 😀 "), 400_000).alias("t"))
+    began = time.perf_counter()
+    rows = corpus.fixed_chunks(text, "id", "t").agg(F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest")).first()
+    assert (rows.n, rows.longest <= 800) == (-(-400_000 * 11 // 679), True) and time.perf_counter() - began < 20
