@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,46 +13,18 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.arrow import bound_batches
 from mnemospark.sources import tables
+from mnemospark.sources.scratch import materialize, shared_dir
 
 __all__ = ["blank", "bound_batches", "map_text", "materialize", "read_table", "shared_dir", "slices", "split_join", "worker_state"]
 
 #: Bytes of text that a Python worker handles at a time, besides one text that alone exceeds it.
 SLICE_BYTES = 1 << 21
-#: Rows of a file of a small table.
-FILE_ROWS = 10_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.read(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one in local mode only."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and a lost executor costs nothing that was written.
-
-    The table goes when the application ends. ``rows``: about how many rows the table has; then so few of them do not
-    become a file for each shuffle partition.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose values in a string or binary column have at most SLICE_BYTES together, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

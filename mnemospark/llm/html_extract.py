@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 First pass: in each page the containers are scored by the text they hold, links counted against them, and the deepest
-container that still holds nearly all of it is the page's choice. Its path is generalised (tags, classes without
+container that still holds nearly all of it is the page's choice. Names that hint at menus, adverts or comments count as
+evidence only: what they mark is left out as long as the page keeps its text without it. Its path is generalised (tags, classes without
 their numbers) and counts, as a hash of the whole of it, as a vote; Spark sums the votes per host. Second pass: each page is read again and the text
 is taken from the containers at its host's winning path, or at its own choice where it has no such container.
 """
@@ -9,6 +10,7 @@ is taken from the containers at its host's winning path, or at its own choice wh
 from __future__ import annotations
 
 import hashlib
+import heapq
 import html
 import re
 from collections import Counter
@@ -25,7 +27,10 @@ CONTAINERS = frozenset("html body main article section div header footer nav asi
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address hr figcaption summary caption option legend".split()) | CONTAINERS
 NEVER = frozenset("head nav footer aside form button select dialog menu".split())
 RAW = frozenset("script style noscript template iframe svg textarea title object canvas math".split())
-# Words in classes, ids and roles that mark parts beside the article.
+# Inline elements whose classes may mark them, and blocks that may hold others.
+INLINE = frozenset("span a small ins strong em b i u label font".split())
+NESTING = frozenset("li dt dd blockquote address figcaption".split())
+# Words in classes, ids and roles that hint at parts beside the article.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments discussion disqus reply replies respond"
     " sidebar menu nav navbar navigation topnav breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription"
@@ -33,6 +38,8 @@ BESIDE = frozenset(
 )
 #: Share of a container's text that one child must hold to be chosen instead of it.
 NEARLY_ALL = 0.7
+#: Share of a page's text that must be left without its marked parts, or that articles outside of them must hold.
+REST, REST_ARTICLE = 0.2, 0.05
 #: Hosts up to which the winning paths are broadcast (a path is a hash of PATH_BYTES bytes, in hex); beyond, they are joined.
 BROADCAST_HOSTS, PATH_BYTES = 20_000, 16
 
@@ -47,12 +54,12 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    """A container: its tag and generalised step, whether it stands beside the article, and what it holds in order."""
+    """A container: its tag and generalised step, whether it stands beside the article or is marked so, and what it holds in order."""
 
-    __slots__ = ("beside", "items", "links", "parent", "path", "tag", "text")
+    __slots__ = ("beside", "items", "links", "marked", "parent", "path", "step", "tag", "text")
 
-    def __init__(self, tag: str, step: str, beside: bool, parent: Node | None):
-        self.tag, self.beside, self.parent = tag, beside, parent
+    def __init__(self, tag: str, step: str, beside: bool, parent: Node | None, marked: bool = False):
+        self.tag, self.step, self.beside, self.parent, self.marked = tag, step, beside, parent, marked
         #: running hash of all steps from the root to here
         self.path = hashlib.blake2b((parent.path if parent else b"") + step.encode("utf-8", "surrogatepass"), digest_size=PATH_BYTES).digest()
         self.items: list[Node | str | None] = []  # a None ends a block
@@ -68,8 +75,8 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step, and whether the element is hidden or names in it mark a part beside the article."""
+def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised step, whether the element is hidden, and whether names in it mark a part beside the article."""
     names: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
@@ -77,7 +84,7 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
     step = ".".join([tag, *sorted(re.sub(r"\d+", "#", c.lower()) for c in said.split())])
     # an article is one whatever its classes say of comments, ads or sharing
     parts = {p.lower() for n in names.values() for p in _PART.findall(n)} if tag != "article" else set()
-    return step, bool(parts & BESIDE) or bool(attributes and _hidden(attributes))
+    return step, bool(attributes and _hidden(attributes)), bool(parts & BESIDE)
 
 
 def scan(page: str) -> Iterator[tuple[str, str, str]]:
@@ -149,9 +156,27 @@ def scan(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def parse(page: str) -> Node:
-    """The tree of containers; anything else is text, a block's end or markup to drop."""
+    """The tree of containers, and of other elements that are hidden or marked; anything else is text, a block's end or markup to drop.
+
+    A hidden or marked block or inline element is a node as well. It ends with its end tag, and at the latest with the
+    next block (inline elements and paragraphs) or its container.
+    """
     root = node = Node("", "", False, None)
     links, open_tags = 0, Counter()
+
+    def leave(to: str) -> None:
+        """Close the innermost open element of a name, and all within it."""
+        nonlocal node
+        while open_tags[to]:
+            found = node.tag == to
+            open_tags[node.tag] -= 1
+            inline = node.tag in INLINE
+            node = node.parent
+            if not inline:
+                node.items.append(None)
+            if found:
+                break
+
     for tag, attributes, text in scan(page):
         if not tag:
             node.items.append(text)
@@ -160,38 +185,114 @@ def parse(page: str) -> Node:
             node.links += size * (links > 0)
             continue
         closing, tag = tag[0] == "/", tag.lstrip("/")
-        if tag == "a":
-            links = 0 if closing else 1
-        elif tag == "br":
+        if tag == "br":
             node.items.append(" ")
+        elif tag in INLINE:
+            if tag == "a":
+                links = 0 if closing else 1
+            if closing:
+                if node.tag == tag:
+                    leave(tag)
+            elif not attributes.endswith("/"):
+                step, hidden, marked = _step(tag, attributes) if attributes else (tag, False, False)
+                if hidden or marked or node.tag == tag:  # an element within one of its name has an end of its own
+                    child = Node(tag, step, hidden, node, marked)
+                    open_tags[tag] += 1
+                    node.items.append(child)
+                    node = child
         elif tag in BLOCKS:
+            while node.tag in INLINE or (node.tag in BLOCKS and node.tag not in CONTAINERS and node.tag not in NESTING and not (closing and node.tag == tag)):
+                leave(node.tag)
             node.items.append(None)
             if tag not in CONTAINERS:
+                if closing:
+                    if node.tag == tag:
+                        leave(tag)
+                else:
+                    if node.tag == tag:  # the next li ends the one before
+                        leave(tag)
+                    step, hidden, marked = _step(tag, attributes) if attributes else (tag, False, False)
+                    if (hidden or marked) and not attributes.endswith("/"):
+                        child = Node(tag, step, hidden, node, marked)
+                        open_tags[tag] += 1
+                        node.items.append(child)
+                        node = child
                 continue
             if closing:
-                while open_tags[tag]:
-                    found = node.tag == tag
-                    open_tags[node.tag] -= 1
-                    node = node.parent
-                    node.items.append(None)
-                    if found:
-                        break
+                leave(tag)
             elif not attributes.endswith("/"):
                 if tag == "body":
                     while node.parent is not None and node.tag != "html":
                         open_tags[node.tag] -= 1
                         node = node.parent
-                step, beside = _step(tag, attributes)
-                child = Node(tag, step, tag in NEVER or (beside and tag not in ("html", "body", "main")), node)
+                step, hidden, marked = _step(tag, attributes)
+                child = Node(tag, step, tag in NEVER or (hidden and tag not in ("html", "body", "main")), node, marked and tag not in ("html", "body", "main"))
                 open_tags[tag] += 1
                 node.items.append(child)
                 node, links = child, 0
     return root
 
 
+def judge_marks(root: Node) -> None:
+    """Decide which marked parts stand beside the article: all of them, as long as the rest of the page still has its text.
+
+    Names are evidence only: a wrapper called content-sidebar-wrap holds the article and its sidebar. If without the
+    marked parts a page keeps neither REST of its text nor an article or main element with REST_ARTICLE of it, the
+    marked parts of one name that hold the most text are taken for wrappers, and those within them are looked at.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, Node) and not x.beside]
+    plain: dict[int, float] = {}
+    articles: dict[int, float] = {}
+    for node in reversed(order):
+        inner = [x for x in node.items if isinstance(x, Node) and not x.beside]
+        plain[id(node)] = max(0.0, node.text - 2.0 * node.links) + sum(plain[id(x)] for x in inner)
+        articles[id(node)] = plain[id(node)] if node.tag in ("article", "main") else sum(articles[id(x)] for x in inner)
+    rest, rest_articles = plain[id(root)], articles[id(root)]
+    groups: dict[str, list[tuple[Node, float, float, bool]]] = {}
+    heap: list[tuple[float, str]] = []
+
+    def look_below(tops: list[tuple[Node, bool]]) -> None:
+        """Take the outermost marked parts below nodes for parts beside the article."""
+        nonlocal rest, rest_articles
+        new: set[str] = set()
+        stack = [(x, inside) for top, inside in tops for x in top.items if isinstance(x, Node)]
+        while stack:
+            node, inside = stack.pop()
+            if node.beside:
+                continue
+            if node.marked:
+                size, lost = plain[id(node)], plain[id(node)] if inside else articles[id(node)]
+                groups.setdefault(node.step, []).append((node, size, lost, inside))
+                rest, rest_articles = rest - size, rest_articles - lost
+                new.add(node.step)
+            else:
+                inside = inside or node.tag in ("article", "main")
+                stack += [(x, inside) for x in node.items if isinstance(x, Node)]
+        for step in new:
+            heapq.heappush(heap, (-sum(size for _, size, *_ in groups[step]), step))
+
+    look_below([(root, False)])
+    whole = plain[id(root)]
+    while heap and rest < REST * whole and rest_articles < REST_ARTICLE * whole:
+        _, step = heapq.heappop(heap)
+        wrappers = groups.pop(step, [])
+        for node, size, lost, _ in wrappers:
+            rest, rest_articles = rest + size, rest_articles + lost
+            node.marked = False
+        look_below([(node, inside or node.tag in ("article", "main")) for node, _, _, inside in wrappers])
+    for held in groups.values():
+        for node, *_ in held:
+            node.beside = True
+
+
 def main_tree(page: str) -> tuple[Node, dict[int, float]]:
     """The tree of a page and its containers' weights. Where all text stands in forms, forms are containers as others."""
     root = parse(page)
+    judge_marks(root)
     score = _weigh(root)
     if not score[id(root)]:
         stack = [root]
@@ -256,20 +357,24 @@ def blocks_of(node: Node) -> list[str]:
                 out.append(text)
             held.clear()
 
-    stack: list[Iterator] = [iter(node.items)]
+    stack: list[tuple[Iterator, bool]] = [(iter(node.items), False)]
     while stack:
-        for x in stack[-1]:
+        items, inline = stack[-1]
+        for x in items:
             if x is None:
                 end()
             elif isinstance(x, str):
                 held.append(x)
             else:
-                end()
+                within = x.tag in INLINE
+                if not within:
+                    end()
                 if not (x.beside or (x.tag == "header" and node.tag != "article")):
-                    stack.append(iter(x.items))
+                    stack.append((iter(x.items), within))
                     break
         else:
-            end()
+            if not inline:
+                end()
             stack.pop()
     return out
 
