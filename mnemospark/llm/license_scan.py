@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,18 +54,7 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
         "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
     ],
-    "gpl-2": [
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
-        "licensed under the GNU General Public License, version 2",
-    ],
-    "gpl-3": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-        "licensed under the GNU General Public License, version 3",
-    ],
     "gpl": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"],
-    "lgpl-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
-    "lgpl-3": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "agpl-3": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "zlib": [
         "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
@@ -76,18 +66,48 @@ TEMPLATES = {
     ],
     "bsl-1": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-nc": [
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-        "Licensed under CC BY-NC 4.0",
-    ],
     "all-rights-reserved": [
         "All rights reserved",
         "No part of this publication may be reproduced without the prior written permission of the copyright holder",
     ],
 }
 
+# The GNU licences with their versions and the Creative Commons licences with theirs, as notices name them.
+GNU = {"gpl": ("program", "GNU General Public License", ("1", "2", "3")), "lgpl": ("library", "GNU Lesser General Public License", ("2", "2.1", "3")), "agpl": ("program", "GNU Affero General Public License", ("3",))}
+CREATIVE_COMMONS = {
+    "cc-by": "Attribution",
+    "cc-by-sa": "Attribution-ShareAlike",
+    "cc-by-nc": "Attribution-NonCommercial",
+    "cc-by-nd": "Attribution-NoDerivatives",
+    "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+# Words that tell variants of a licence apart, besides numbers.
+VARIANTS = frozenset(b"noderivatives noderivs noncommercial sharealike nd nc sa lesser affero".split())
+
+
+def all_templates() -> dict[str, list[str]]:
+    """TEMPLATES, and for each version the notices of the GNU and Creative Commons licences."""
+    found = {label: list(texts) for label, texts in TEMPLATES.items()}
+    for name, (what, title, versions) in GNU.items():
+        for v in versions:
+            found.setdefault(f"{name}-{v}", []).extend([
+                f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version",
+                f"{title}, version {v}",
+                f"{title} v{v}",
+            ])
+    for label, name in CREATIVE_COMMONS.items():
+        for v, place in CC_VERSIONS.items():
+            found.setdefault(label, []).extend([f"Creative Commons {name} {v} {place}", f"Creative Commons {name.replace('NoDerivatives', 'NoDerivs')} {v} {place}", f"Licensed under {label.replace('-', ' ', 1).upper()} {v}"])
+    return {label: list(dict.fromkeys(texts)) for label, texts in found.items()}
+
+
+def tells_apart(word: bytes) -> bool:
+    """Whether a word is one by which variants or versions of a licence differ."""
+    return word in VARIANTS or word.removeprefix(b"v").isdigit()
+
+
 #: Words that a match must have to be chained, share of a template that a span must cover, and words of the document that may lie between two of its matches.
 LEAST_MATCH, COVERED, GAP = 3, 0.8, 6
 
@@ -121,6 +141,20 @@ class Scanner:
                 found += [(p, len(self.codes[p])) for p in range(n) if whole[p] == s]
                 s = self.link[s]
             self.suffixes.append(found)
+        #: per template: how many of its first words tell variants apart, and which words do
+        self.tells = [[tells_apart(w) for w in words] for _, words in self.templates]
+        self.told = [[0, *accumulate(map(int, t))] for t in self.tells]
+        #: per state: the templates that hold a string of it, or else a suffix of LEAST_MATCH words or more, with that one's length (0: the match's own) and places
+        self.reach: list[list[tuple[int, int, list[int]]]] = []
+        for state in range(len(self.go)):
+            found, s, seen = [], state, set()
+            while s > 0 and (s == state or self.length[s] >= LEAST_MATCH):
+                for t, stops in self.places[s].items():
+                    if t >= n and t not in seen:
+                        seen.add(t)
+                        found.append((t - n, 0 if s == state else self.length[s], stops))
+                s = self.link[s]
+            self.reach.append(found)
         self.shortest = min([LEAST_MATCH, *(len(words) for words in self.codes[:n])])
 
     def _walk(self, words: list[int]) -> int:
@@ -198,52 +232,71 @@ class Scanner:
                 if held >= LEAST_MATCH:
                     matches.append((end, held, state))
             at = end
-        return n, places, self._chain(matches)
+        return n, places, self._chain(matches, words)
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+    def _chain(self, matches: list[tuple[int, int, int]], words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """Chain matches of each template, in order in both texts and close together; keep what covers enough of it.
 
-        A chain goes on at the nearest later place of a match in the template, and begins at the first one. Of spans
-        of different labels that overlap by more than half of one, those that cover fewest words go.
+        A chain goes on at the nearest later place of a match in the template, and begins at the first one. All words
+        of a template that tell variants apart must be covered, and none may stand in a gap of the document: an
+        Attribution-NoDerivatives licence is no Attribution licence with a word too many. Of spans of different labels
+        that overlap by more than half of one, those that cover fewest words go.
         """
-        n = len(self.phrases)
-        open_: dict[int, list[int]] = {}  # template: first word, end in the document, end in the template, words covered
+        open_: dict[int, list[int]] = {}  # template: first word, end in the document, end in the template, words covered, telling words covered
         spans = []
 
         def close(t: int) -> None:
-            first, end, _, covered = open_.pop(t)
-            share = covered / len(self.codes[t])
-            if share >= COVERED:
-                spans.append((self.templates[t - n][0], first, end - 1, min(1.0, share), covered))
-
-        for end, size, state in matches:
-            for t, stops in self.places[state].items():
-                if t < n:
-                    continue
-                begin = end - size
+            first, end, _, covered, told = open_.pop(t)
+            share = covered / len(self.tells[t])
+            if share >= COVERED and told == self.told[t][-1]:
+                spans.append((self.templates[t][0], first, end - 1, min(1.0, share), covered))
+
+        def breaks(t: int, upto: int, gap: list[bytes]) -> bool:
+            """Whether a gap of the document, after so many words of a template, makes it another licence."""
+            number = (upto > 0 and self.tells[t][upto - 1]) or (upto < len(self.tells[t]) and self.tells[t][upto])
+            return any(w in VARIANTS or (number and tells_apart(w)) for w in gap)
+
+        for end, whole, state in matches:
+            for t, part, stops in self.reach[state]:
+                size = part or whole
+                begin, told = end - size, self.told[t]
                 if t in open_:
-                    _, before, upto, covered = open_[t]
+                    _, before, upto, covered, known = open_[t]
                     stop = next((x for x in stops if x > upto and x - size >= upto - size // 2), None)
-                    if begin - before <= GAP and stop is not None:
-                        open_[t][1:] = [end, stop, covered + stop - max(stop - size, upto)]
+                    near = begin - before <= GAP
+                    if near and stop is not None and not breaks(t, upto, words[before:begin]):
+                        open_[t][1:] = [end, stop, covered + stop - max(stop - size, upto), known + told[stop] - told[max(stop - size, upto)]]
                         continue
-                    if covered >= size and begin - before <= GAP:
+                    if covered >= size and near and stop is None:
                         continue  # a lesser match beside the chain
                     close(t)
-                open_[t] = [begin, end, stops[0], size]
+                open_[t] = [begin, end, stops[0], size, told[stops[0]] - told[stops[0] - size]]
         for t in list(open_):
             close(t)
+        return sorted({s[:4] for s in self._best(spans)}, key=lambda s: (s[1], s[2], s[0]))
 
-        def beaten(s: tuple) -> bool:
-            both = lambda o: min(s[2], o[2]) - max(s[1], o[1]) + 1
-            return any(o[0] != s[0] and o[4] > s[4] and 2 * both(o) > s[2] - s[1] + 1 for o in spans)
-
-        return sorted({s[:4] for s in spans if not beaten(s)}, key=lambda s: (s[1], s[2], s[0]))
+    @staticmethod
+    def _best(spans: list[tuple[str, int, int, float, int]]) -> list[tuple]:
+        """The spans that none of another label with more words covers by more than half. Such a one holds the middle of
+        the other, and few hold any one word, as those of a template follow one another: one sweep finds them."""
+        middle = lambda s: (s[1] + s[2]) // 2
+        starts = sorted(spans, key=lambda s: s[1])
+        there: list[tuple] = []
+        kept, at = [], 0
+        for s in sorted(spans, key=middle):
+            m = middle(s)
+            while at < len(starts) and starts[at][1] <= m:
+                there.append(starts[at])
+                at += 1
+            there = [o for o in there if o[2] >= m]
+            if not any(o[0] != s[0] and o[4] > s[4] and 2 * (min(s[2], o[2]) - max(s[1], o[1]) + 1) > s[2] - s[1] + 1 for o in there):
+                kept.append(s)
+        return kept
 
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
-    return Scanner(BASE_PHRASES, TEMPLATES)
+    return Scanner(BASE_PHRASES, all_templates())
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

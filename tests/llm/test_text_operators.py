@@ -48,8 +48,8 @@ def test_license_base_places(spark):
 
 
 def test_license_templates(spark):
-    rows = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, [(i, f"Before. {t} After.") for i, t in enumerate(t for ts in license_scan.TEMPLATES.values() for t in ts)])).collect()}
-    labels = [label for label, ts in license_scan.TEMPLATES.items() for _ in ts]
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, [(i, f"Before. {t} After.") for i, t in enumerate(t for ts in license_scan.all_templates().values() for t in ts)])).collect()}
+    labels = [label for label, ts in license_scan.all_templates().items() for _ in ts]
     assert all(label in rows[i].labels.split(",") for i, label in enumerate(labels))
     damaged = "Permission is hereby granted free of charge to any individual obtaining a copy of this software and associated documentation files"
     row = license_scan.scan_licenses(frame(spark, [(1, damaged), (2, "this software is free of charge")])).orderBy("doc_id").collect()
@@ -83,12 +83,70 @@ def test_matching_statistics():
 
 
 def test_license_versions(spark):
-    by = license_scan.TEMPLATES
+    by = license_scan.all_templates()
     texts = [(1, by["gpl-2"][0]), (2, by["gpl-3"][0]), (3, by["agpl-3"][0]), (4, " ".join(by["bsd"][:3])), (5, " ".join(by["bsd"][:3] + by["bsd-3"])), (6, "no licence at all, but free software of any version")]
     got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert got == {1: "gpl-2", 2: "gpl-3", 3: "agpl-3", 4: "bsd", 5: "bsd,bsd-3", 6: ""}
 
 
+def labels_of(text):
+    return sorted({s[0] for s in license_scan.scanner().scan(text.encode())[2]})
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["cc-by-nd"]),
+        ("licensed under the GNU General Public License, version 1", ["gpl-1"]),
+        ("a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", ["cc-by-nc-nd"]),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", ["cc-by-nc-sa"]),
+        ("under a Creative Commons Attribution 3.0 Unported License", ["cc-by"]),
+        ("GNU General Public License, version 4", []),
+        ("Creative Commons Attribution 5.0 International", []),
+        ("licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa"]),
+        ("GNU Lesser General Public License, version 2.1", ["lgpl-2.1"]),
+        ("the GNU Affero General Public License v3", ["agpl-3"]),
+    ],
+)
+def test_license_variants(text, labels):
+    assert labels_of(f"Some code. {text}. More of it.") == labels
+
+
+def test_license_chains_by_hand():
+    """Texts of templates with words left out or put in, against the rule that every telling word must be there and no other may stand between."""
+    rng = random.Random(12)
+    scan = license_scan.scanner()
+    for _ in range(300):
+        label, words = rng.choice([t for t in scan.templates if len(t[1]) > 12])
+        words = list(words)
+        at = rng.randrange(4, len(words) - 4)
+        told = license_scan.tells_apart(words[at])
+        without = b" ".join([b"x", *words[:at], *words[at + 1 :], b"y"]).decode()
+        assert (label in labels_of(without)) is not told or told and label not in labels_of(without), (label, without)
+        between = b" ".join([*words[:at], rng.choice([b"noderivatives", b"lesser"]), *words[at:]]).decode()
+        whole = [t for t in scan.templates if t[0] == label and t[1] != words]
+        if not whole and at / len(words) < license_scan.COVERED and 1 - at / len(words) < license_scan.COVERED:
+            assert label not in labels_of(between)
+
+
+def test_many_license_spans_take_linear_time():
+    import time
+
+    line = "creative commons attribution 4 0 international gnu general public license version 2 all rights reserved "
+    began = time.perf_counter()
+    n, _, spans = license_scan.scanner().scan((line * 50_000).encode())
+    assert (n, len(spans)) == (750_000, 150_000) and time.perf_counter() - began < 15
+
+
+def test_best_spans_by_hand():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [(rng.choice("abcd"), s, s + rng.randrange(12), 1.0, rng.randrange(9)) for s in (rng.randrange(40) for _ in range(25))]
+        both = lambda s, o: min(s[2], o[2]) - max(s[1], o[1]) + 1
+        want = [s for s in spans if not any(o[0] != s[0] and o[4] > s[4] and 2 * both(s, o) > s[2] - s[1] + 1 for o in spans)]
+        assert sorted(license_scan.Scanner._best(spans)) == sorted(want)
+
+
 # ---- BPE
 
 
