@@ -93,21 +93,33 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.repeated_lines(tables.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_PROMPTS = corpus.PROMPTS
-_LINES = f"""SELECT document_id, before, i, lines[i] AS line, len(lines) AS n FROM (SELECT document_id, before, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
-    SELECT doc_id AS document_id, length(coalesce(text, '')) AS before,
+_LINES = f"""SELECT document_id, site, before, i, lines[i] AS line, len(lines) AS n FROM (SELECT document_id, site, before, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+    SELECT doc_id AS document_id, coalesce(source, '') AS site, length(coalesce(text, '')) AS before,
         string_split(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{{9F}}\\x{{FFFD}}]', '', 'g'), chr(10)) AS lines FROM documents))"""
+_LINK = corpus.LINK.replace("'", "''")
+_SITE_LINES = f"""
+    b AS (SELECT document_id, site, line AS body FROM (SELECT document_id, site, trim(line) AS line, row_number() OVER (PARTITION BY document_id ORDER BY length(trim(line)) DESC, trim(line) DESC) AS rn FROM l) WHERE rn = 1),
+    w AS (SELECT site, greatest({corpus.SITE_TEXTS}, ceil(count(DISTINCT body) * CAST({corpus.SITE_SHARE} AS DOUBLE))) AS wanted FROM b GROUP BY site),
+    s AS (SELECT l.site, trim(l.line) AS line FROM l JOIN b ON b.document_id = l.document_id JOIN w ON w.site = l.site WHERE trim(l.line) <> '' GROUP BY l.site, trim(l.line), wanted HAVING count(DISTINCT body) >= wanted)"""
 
 
-@query(f"""WITH l AS (SELECT *, length(trim(line)) AS size FROM ({_LINES})),
-    m AS (SELECT * FROM l WHERE NOT (size > 0 AND size < 40 AND NOT regexp_matches(line, '[.!?:]\\s*$') AND (i <= 3 OR i > n - 3) AND n > 6) AND NOT (size < 80 AND regexp_matches(line, '{_PROMPTS}'))),
+@query(f"""WITH l AS (SELECT *, length(trim(line)) AS size FROM ({_LINES})), {_SITE_LINES},
+    m AS (SELECT l.* FROM l LEFT JOIN s ON s.site = l.site AND s.line = trim(l.line) WHERE s.line IS NULL
+        AND NOT (size > 0 AND size < 40 AND NOT regexp_matches(l.line, '[.!?:]\\s*$') AND (i <= 3 OR i > n - 3) AND n > 6)
+        AND NOT (size > 0 AND size - length(trim(regexp_replace(l.line, '{_LINK}', '', 'g'))) > {corpus.LINK_SHARE} * size)),
     r AS (SELECT *, count(*) OVER (PARTITION BY document_id, line) AS times, row_number() OVER (PARTITION BY document_id, line ORDER BY i) AS nth FROM m),
     k AS (SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS text FROM r WHERE NOT (size >= 20 AND times > 3 AND nth > 1) GROUP BY document_id),
     o AS (SELECT d.document_id, d.before, trim(regexp_replace(regexp_replace(coalesce(k.text, ''), '[ \\t]+', ' ', 'g'), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')) AS text
           FROM (SELECT DISTINCT document_id, before FROM l) d LEFT JOIN k ON k.document_id = d.document_id)
     SELECT document_id, length(text) AS chars, round(CASE WHEN before > 0 THEN 1 - length(text) / before ELSE 0.0 END, 6) AS removed_ratio FROM o""")
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.clean_documents(D(spark, sf_dir)).select("document_id", F.length("text").alias("chars"), "removed_ratio")
+    return corpus.clean_documents(D(spark, sf_dir), site="source").select("document_id", F.length("text").alias("chars"), "removed_ratio")
+
+
+@query(f"""WITH l AS ({_LINES}), {_SITE_LINES} SELECT site, count(*) AS lines FROM s GROUP BY site""")
+def site_wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = corpus.normalise_unicode(D(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("site"), F.coalesce("extracted_text", F.lit("")).alias("t")), "t").select("site", F.split("t", "\n").alias("lines"))
+    return corpus.site_lines(texts).select("site", F.size("site_lines").cast("bigint").alias("lines"))
 
 
 _BLOCK = ", ".join(f"'{t}'" for t in corpus.BLOCK_TAGS)

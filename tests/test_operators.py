@@ -223,7 +223,7 @@ def test_pages_cleaning_and_strategies(spark):
     assert (row[0].title, row[0].lang, row[0].status, row[1].text) == ("T", "en", "failed", "")
     body = "\n".join(["Home", "About", "Contact", "A real sentence of the text.", "Subscribe to our newsletter", *["The same caption of a photo"] * 5, "Another real sentence.", "e\u0301nd\u200b of it.", "\x07Bell.", "Terms", "Privacy", "Imprint"])
     out = corpus.clean_documents(spark.createDataFrame([(1, body), (2, ""), (3, None)], "document_id bigint, extracted_text string")).orderBy("document_id").collect()
-    assert out[0].text == "A real sentence of the text.\nThe same caption of a photo\nAnother real sentence.\nénd of it.\nBell." and 0 < out[0].removed_ratio < 1
+    assert out[0].text == "A real sentence of the text.\nSubscribe to our newsletter\nThe same caption of a photo\nAnother real sentence.\nénd of it.\nBell." and 0 < out[0].removed_ratio < 1
     assert [(r.text, r.removed_ratio) for r in out[1:]] == [("", 0.0), ("", 0.0)]
     drift = corpus.cleaning_drift(spark.createDataFrame([(0.0,), (0.5,)], "removed_ratio double")).first()
     assert (drift.documents, drift.mean_ratio) == (2, 0.25)
@@ -396,3 +396,21 @@ def test_long_texts_are_cut_in_linear_time(spark):
     began = time.perf_counter()
     rows = corpus.fixed_chunks(text, "id", "t").agg(F.count("*").alias("n"), F.max(F.length("chunk")).alias("longest")).first()
     assert (rows.n, rows.longest <= 800) == (-(-400_000 * 11 // 679), True) and time.perf_counter() - began < 20
+
+
+def test_lines_of_a_site_go(spark, monkeypatch):
+    own = lambda i: f"This is what text {i} has to say, and it takes a while to say it."
+    texts = [(i, "a.org", f"{own(i)}\nSign up for our letters today!\nA sentence of {i % 3} texts.\nSee [one](http://x.y/z) and https://b.c/d") for i in range(40)]
+    texts += [(100 + i, "b.org", f"{own(100 + i)}\nSign up for our letters today!") for i in range(4)]  # too few texts
+    texts += [(200 + i, "c.org", own(200) + "\nSame in all copies." + (" More." if i % 2 else "")) for i in range(30)]  # copies are one text
+    texts += [(300, None, "alone"), (301, "a.org", None), (302, "a.org", "")]
+    frame = spark.createDataFrame(texts, "document_id bigint, source string, extracted_text string").repartition(4)
+    for sites in (corpus.BROADCAST_SITES, 0):
+        monkeypatch.setattr(corpus, "BROADCAST_SITES", sites)
+        got = {r.document_id: r.text for r in corpus.clean_documents(frame, site="source").collect()}
+        assert all(got[i] == own(i) for i in range(40))  # a third of a site's texts have each of the three sentences
+        assert all(got[100 + i] == f"{own(100 + i)}\nSign up for our letters today!" for i in range(4))
+        assert all(got[200 + i].startswith(own(200) + "\nSame in all copies.") for i in range(30))
+        assert (got[300], got[301], got[302]) == ("alone", "", "")
+    kept = {r.document_id: r.text for r in corpus.clean_documents(frame).collect()}
+    assert kept[0] == f"{own(0)}\nSign up for our letters today!\nA sentence of 0 texts."
