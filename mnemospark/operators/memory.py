@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import content_hash, seconds_of
+from mnemospark.functions.intervals import join_moments
 from mnemospark.operators.retrieval import unit_rows
 
 STATEMENT_CHARS = (8, 512)
@@ -108,9 +109,10 @@ def supersede_chain(statements: DataFrame, subject: str) -> DataFrame:
 
 
 def valid_at(memories: DataFrame, moments: DataFrame) -> DataFrame:
-    """Statements that held at each moment (moment_id, at), superseded ones included; moments are a stated set."""
+    """Statements that held at each moment (moment_id, at), superseded ones included. Any number of moments: they are joined by the cells of the intervals, to whole seconds, then exactly."""
     held = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    return memories.join(F.broadcast(moments), held)
+    sure = memories.where("valid_from is not null")
+    return join_moments(sure, F.floor(seconds_of(F.col("valid_from"))), F.floor(seconds_of(F.col("valid_to"))) + 1, moments, F.floor(seconds_of(F.col("at")))).where(held)
 
 
 def decay_weight(last: Column, now: Column, accesses: Column, half_life_days: float = 30.0, least: float = 0.1, boost: float = 0.1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators import lifecycle, memory, retrieval, rollups, text_index
+from mnemospark.operators import lifecycle, memory, novelty, retrieval, rollups, text_index
 from mnemospark.plans.events import V_EVENTS
 from mnemospark.sources import tables
 from mnemospark.sources.scratch import materialize
@@ -306,3 +306,38 @@ def time_by_day_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = memory.supersede_chain(tables.memories(spark, sf_dir), "conv_id")
     return rollups.recent_memories(held, 20, ["fact"]).select("memory_id", "statement")
+
+
+_PASSAGES = "SELECT label AS topic, CAST(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * (vec_id // 5) AS DATE) AS captured, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL"
+_DOCUMENT_URL = "'https://site' || CAST(document_id % 12 AS VARCHAR) || '.example.com/p/' || CAST(document_id AS VARCHAR)"
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages whose documents were captured an hour apart."""
+    return tables.chunks(spark, sf_dir).withColumn("captured_at", F.expr(f"{tables.EPOCH} + make_dt_interval(0, cast(document_id as int), 0, 0)"))
+
+
+@query(f"""WITH p AS ({_PASSAGES}), d AS (SELECT DISTINCT topic, captured + 1 AS from_day FROM p)
+    SELECT d.topic, epoch_us(CAST(from_day AS TIMESTAMP)) // 86400000000 AS from_day, epoch_us(CAST(lead(from_day) OVER (PARTITION BY d.topic ORDER BY from_day) AS TIMESTAMP)) // 86400000000 AS to_day, members, first_entry
+    FROM (SELECT d.topic, d.from_day, count(*) AS members, round(avg(e[1]), 6) AS first_entry FROM d JOIN p ON p.topic = d.topic AND p.captured < d.from_day GROUP BY d.topic, d.from_day) d""")
+def topic_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = novelty.centroid_versions(_passages(spark, sf_dir))
+    return found.select("topic", "from_day", "to_day", "members", F.round(F.element_at("centroid", 1), 6).alias("first_entry"))
+
+
+@query(f"""WITH p AS ({_PASSAGES}),
+    v AS (SELECT document_id, {_DOCUMENT_URL} AS url, list(x ORDER BY pos) AS e FROM (
+        SELECT document_id, pos, avg(x) AS x FROM (SELECT vec_id // 5 AS document_id, unnest(range(0, len(embedding))) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY document_id, pos) GROUP BY document_id),
+    r AS (SELECT event_id, CAST(occurred_at AS DATE) AS day, v.e FROM ({V_EVENTS}) JOIN v USING (url)),
+    c AS (SELECT day, topic, list(x ORDER BY pos) AS e FROM (
+        SELECT day, topic, pos, avg(x) AS x FROM (SELECT day, topic, unnest(range(0, len(p.e))) AS pos, unnest(p.e) AS x FROM (SELECT DISTINCT day FROM r) JOIN p ON p.captured < day) GROUP BY day, topic, pos) GROUP BY day, topic),
+    s AS (SELECT b.event_id, a.topic, round({_COS}, 9) AS likeness, count(*) OVER (PARTITION BY b.event_id) AS known_topics, row_number() OVER (PARTITION BY b.event_id ORDER BY round({_COS}, 9) DESC, a.topic) AS rn FROM r b JOIN c a ON a.day = b.day)
+    SELECT r.event_id, coalesce(known_topics, 0) AS known_topics, topic, round(CASE WHEN likeness IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, 1 - likeness)) END, 6) AS topic_novelty FROM r LEFT JOIN s ON s.event_id = r.event_id AND rn = 1""")
+def event_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each event on a captured page: the topics known on its day, the nearest of them, and how new the page was."""
+    chunks = tables.chunks(spark, sf_dir)
+    means = rollups.topic_centroids(chunks.select(F.col("document_id").alias("topic"), "embedding")).select(F.col("topic").alias("document_id"), "centroid")
+    url = F.concat(F.lit("https://site"), (F.col("document_id") % 12).cast("string"), F.lit(".example.com/p/"), F.col("document_id").cast("string"))
+    read = tables.activity_events(spark, sf_dir).select("event_id", "occurred_at", "url").join(means.withColumn("url", url), "url")
+    found = novelty.known_likeness(read, novelty.centroid_versions(_passages(spark, sf_dir)), "event_id", "occurred_at", "centroid")
+    return found.select("event_id", "known_topics", "topic", F.round(novelty.novelty(F.col("likeness")), 6).alias("topic_novelty"))
