@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import canonical_url, seconds_of, since_until
+from mnemospark.sources.scratch import materialize
 
 
 def with_as_of(rows: DataFrame, ts: str, name: str = "as_of", as_of: Column | None = None) -> DataFrame:
@@ -121,28 +123,68 @@ def topic_centroids(chunks: DataFrame, topic: str = "topic", vector: str = "embe
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
 
 
+#: Time of an event within its user's, and the day by which long histories are cut.
+_ORDER, _DAY = ("occurred_at", "event_id"), "__day"
+
+
+def _with_day(events: DataFrame) -> DataFrame:
+    return events.withColumn(_DAY, F.unix_date(F.col("occurred_at").cast("date")))
+
+
+def _running(events: DataFrame, keys: Sequence[str], count: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``count`` over the earlier events of the same keys, in two levels.
+
+    A window runs within each day of the keys; what the days before it bring is summed by day, which few rows hold, and
+    joined back. So keys with many events (a user, a domain of theirs) are read by as many tasks as they have days.
+    """
+    own = Window.partitionBy(*keys, _DAY).orderBy(*_ORDER)
+    counted = events.withColumn("__n", count)
+    days = counted.groupBy(*keys, _DAY).agg(F.sum("__n").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy(_DAY).rowsBetween(Window.unboundedPreceding, -1)
+    marks = [f"__k{i}" for i in range(len(keys))] + ["__d"]
+    carried = days.select(*[F.col(k).alias(m) for k, m in zip([*keys, _DAY], marks, strict=True)], F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carry"))
+    inner = counted.withColumn("__own", F.coalesce(F.sum("__n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip([*keys, _DAY], marks, strict=True)]
+    return inner.join(carried, reduce(lambda a, b: a & b, same)).withColumn(name, F.col("__own") + F.col("__carry")).drop("__n", "__own", "__carry", *marks)
+
+
+def _with_pages(events: DataFrame) -> DataFrame:
+    """Adds __page, the canonical url or the url itself; each different url is worked on once."""
+    pages = events.select(F.col("url").alias("__url")).where("url is not null").distinct().withColumn("__page", F.coalesce(canonical_url(F.col("__url")), "__url"))
+    return events.join(pages, F.col("url") == F.col("__url"), "left").drop("__url")
+
+
 def revisit_signals(events: DataFrame) -> DataFrame:
     """Adds revisit_count (earlier events of the same user and canonical url) and is_unique_domain (first of a domain, not the user's first event)."""
-    events = events.withColumn("__page", F.coalesce(canonical_url(F.col("url")), "url"))
-    by_url = Window.partitionBy("user_id", "__page").orderBy("occurred_at", "event_id")
-    by_domain = Window.partitionBy("user_id", "domain").orderBy("occurred_at", "event_id")
-    by_user = Window.partitionBy("user_id").orderBy("occurred_at", "event_id")
-    return events.withColumn("revisit_count", F.row_number().over(by_url) - 1).withColumn("is_unique_domain", (F.row_number().over(by_domain) == 1) & (F.row_number().over(by_user) > 1)).drop("__page")
+    out = _running(_with_day(_with_pages(events)), ["user_id", "__page"], F.lit(1), "revisit_count")
+    out = _running(out, ["user_id", "domain"], F.lit(1), "__domains")
+    first = events.groupBy(F.col("user_id").alias("__user")).agg(F.min(F.struct(*_ORDER)).alias("__first"))
+    out = out.join(first, F.col("user_id").eqNullSafe(F.col("__user")))
+    out = out.withColumn("is_unique_domain", (F.col("__domains") == 0) & (F.struct(*_ORDER) > F.col("__first")))
+    return out.withColumn("revisit_count", F.col("revisit_count").cast("int")).drop("__page", "__domains", "__user", "__first", _DAY)
 
 
 def history_window(events: DataFrame) -> DataFrame:
     """:func:`revisit_signals` and :func:`foreground_seconds`, with seen_domains: the domains that the user had met before."""
-    out = foreground_seconds(revisit_signals(events))
-    by_domain = Window.partitionBy("user_id", "domain").orderBy("occurred_at", "event_id")
-    before = Window.partitionBy("user_id").orderBy("occurred_at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.when(F.col("domain").isNotNull() & (F.row_number().over(by_domain) == 1), 1).otherwise(0)
-    return out.withColumn("__first", first).withColumn("seen_domains", F.coalesce(F.sum("__first").over(before), F.lit(0))).drop("__first")
+    out = _with_day(foreground_seconds(revisit_signals(events)))
+    out = _running(out, ["user_id", "domain"], F.lit(1), "__domains")
+    first = F.when(F.col("domain").isNotNull() & (F.col("__domains") == 0), 1).otherwise(0)
+    return _running(out, ["user_id"], first, "seen_domains").drop("__domains", _DAY)
 
 
 def foreground_seconds(events: DataFrame, hours: int = 24) -> DataFrame:
-    """Adds foreground_seconds: the user's seconds over the trailing hours, the event's own included."""
-    w = Window.partitionBy("user_id").orderBy("__s").rangeBetween(-hours * 3600, 0)
-    return events.withColumn("__s", seconds_of(F.col("occurred_at"))).withColumn("foreground_seconds", F.sum("duration_seconds").over(w)).drop("__s")
+    """Adds foreground_seconds: the user's seconds over the trailing hours, the event's own included.
+
+    Hours are cut into pieces of their own length. A piece sees the one before as a halo, whose rows count but are not
+    returned, so that a user with many events is read by as many tasks as there are pieces.
+    """
+    length = hours * 3600
+    rows = events.withColumn("__s", seconds_of(F.col("occurred_at"))).withColumn("__own", F.floor(F.col("__s") / max(1, length)))
+    halo = rows.select("user_id", "__s", "duration_seconds", (F.col("__own") + 1).alias("__piece"), F.lit(True).alias("__halo"))
+    sums = halo.groupBy("user_id", "__s", "__piece", "__halo").agg(F.sum("duration_seconds").alias("duration_seconds"))
+    both = rows.withColumns({"__piece": F.col("__own"), "__halo": F.lit(False)}).unionByName(sums, allowMissingColumns=True)
+    w = Window.partitionBy("user_id", "__piece").orderBy("__s").rangeBetween(-length, 0)
+    return both.withColumn("foreground_seconds", F.sum("duration_seconds").over(w)).where("not __halo").drop("__s", "__own", "__piece", "__halo")
 
 
 def evict_over_capacity(events: DataFrame, capacity: int) -> DataFrame:
@@ -162,29 +204,55 @@ def suppress_recent(events: DataFrame, seconds: int) -> DataFrame:
 RECENT_KEYS = 2_000
 
 
+def _last_keys(ordered: DataFrame, capacity: int) -> DataFrame:
+    """(device_id, slice, keys): the device's last ``capacity`` keys before each of its slices but the first, latest first.
+
+    A slice's own last keys are its summary. Summaries of 1, 2, 4, ... slices are joined to ones of twice as many, until
+    each is full or reaches the device's first slice; a full one needs no older keys, so few rounds are made.
+    """
+    last = ordered.groupBy("device_id", "slice", "dedupe_key").agg(F.max(F.struct("occurred_at", "event_id")).alias("at"))
+    latest = Window.partitionBy("device_id", "slice").orderBy(F.desc("at"))
+    kept = last.withColumn("__rn", F.row_number().over(latest)).where(F.col("__rn") <= capacity)
+    own = kept.groupBy("device_id", "slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "dedupe_key"))), lambda x: x["dedupe_key"]).alias("keys"))
+    held = materialize(own.withColumn("k", F.row_number().over(Window.partitionBy("device_id").orderBy("slice"))))
+    step = 1
+    while not held.where((F.size("keys") < capacity) & (F.col("k") > step)).isEmpty():
+        older = held.select("device_id", (F.col("k") + step).alias("k"), F.col("keys").alias("older"))
+        both = F.slice(F.concat("keys", F.array_except("older", "keys")), F.lit(1), F.lit(capacity))
+        joined = held.join(older, ["device_id", "k"], "left").withColumn("keys", F.when((F.size("keys") >= capacity) | F.col("older").isNull(), F.col("keys")).otherwise(both)).drop("older")
+        held, step = materialize(joined), 2 * step
+    following = held.select("device_id", (F.col("k") + 1).alias("k"), "keys")
+    return held.select("device_id", "slice", "k").join(following, ["device_id", "k"]).select("device_id", "slice", "keys")
+
+
 def suppress_last_keys(events: DataFrame, capacity: int = RECENT_KEYS) -> DataFrame:
     """Events (event_id, device_id, dedupe_key, occurred_at) whose key is not among the device's last ``capacity`` keys.
 
-    Every sight makes a key the latest one. A device is a sequence, so it is read in order by one task, which
-    remembers ``capacity`` keys and no more.
+    Every sight makes a key the latest one. Events are dealt in order over all tasks, so that a device with many of them
+    is cut into slices; each slice starts with the keys that the device remembers before it. Events without a device stay.
     """
-    rows = events.select("event_id", "device_id", "dedupe_key", "occurred_at").repartition("device_id").sortWithinPartitions("device_id", "occurred_at", "event_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        device, held = None, OrderedDict()
-        for pdf in frames:
-            new = []
-            for d, k in zip(pdf["device_id"], pdf["dedupe_key"], strict=True):
-                if d != device:
-                    device, held = d, OrderedDict()
-                new.append(k not in held)
-                held[k] = None
-                held.move_to_end(k)
-                while len(held) > max(0, capacity):
-                    held.popitem(last=False)
-            yield pdf[new]
-
-    return rows.mapInPandas(run, rows.schema)
+    columns = ["event_id", "device_id", "dedupe_key", "occurred_at"]
+    rows = events.select(*columns)
+    if capacity <= 0:
+        return rows
+    known = rows.where("device_id is not null")
+    ordered = materialize(known.repartitionByRange("device_id", "occurred_at", "event_id").withColumn("slice", F.spark_partition_id()))
+    before = _last_keys(ordered, capacity).select(F.col("device_id").alias("__device"), F.col("slice").alias("__slice"), "keys")
+
+    def run(events: pa.Table, remembered: pa.Table) -> pa.Table:
+        events = events.sort_by([("occurred_at", "ascending"), ("event_id", "ascending")])
+        held: OrderedDict = OrderedDict((k, None) for k in reversed(remembered["keys"][0].as_py() if remembered.num_rows else []))
+        new = []
+        for k in events["dedupe_key"].to_pylist():
+            new.append(k not in held)
+            held[k] = None
+            held.move_to_end(k)
+            if len(held) > capacity:
+                held.popitem(last=False)
+        return events.select(columns).filter(pa.array(new, pa.bool_()))
+
+    met = ordered.groupBy("device_id", "slice").cogroup(before.groupBy("__device", "__slice"))
+    return met.applyInArrow(run, rows.schema).unionByName(rows.where("device_id is null"))
 
 
 def recent_events(events: DataFrame, limit: int = 50, types: Sequence[str] | None = None, devices: Sequence | None = None, low: Column | None = None, high: Column | None = None) -> DataFrame:

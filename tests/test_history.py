@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions.intervals import FAR, dyadic_cells, join_moments
-from mnemospark.operators import memory, novelty
+from mnemospark.operators import memory, novelty, rollups
 
 DAY0 = datetime.datetime(2024, 1, 1)
 
@@ -66,3 +66,46 @@ def test_novelty_by_hand(spark, monkeypatch, part):
     for r in versions.collect():
         assert r.members == sum(1 for t, d, _ in good if t == r.topic and (d - datetime.date(1970, 1, 1)).days < r.from_day)
     assert [round(x, 3) for x in spark.createDataFrame([(0.2,), (None,), (-0.5,)], "x double").select(novelty.novelty(F.col("x")).alias("n")).toPandas()["n"]] == [0.8, 0.5, 1.0]
+
+
+# ---- sequences by slices
+
+
+def test_last_keys_of_a_busy_device(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice([None, *(f"k{j}" for j in range(25))]), DAY0 + datetime.timedelta(seconds=rng.randrange(4000))) for i in range(3000)]
+    rows += [(5000 + i, 4, f"n{i}", DAY0 + datetime.timedelta(seconds=i)) for i in range(50)] + [(6000 + i, 4, f"n{i}", DAY0 + datetime.timedelta(seconds=100 + i)) for i in range(50)]
+    events = spark.createDataFrame(rows, "event_id bigint, device_id bigint, dedupe_key string, occurred_at timestamp").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for capacity in (1, 3, 20, 49, 50, 1000):
+            held, want = {}, []
+            for i, d, k, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[3], r[0])):
+                seen = held.setdefault(d, [])
+                if k not in seen:
+                    want.append(i)
+                else:
+                    seen.remove(k)
+                seen.append(k)
+                del seen[: max(0, len(seen) - capacity)]
+            got = [r.event_id for r in rollups.suppress_last_keys(events, capacity).collect()]
+            assert sorted(got) == sorted(want + [r[0] for r in rows if r[1] is None])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_histories_in_two_levels(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([1, 1, 2, None]), DAY0 + datetime.timedelta(hours=rng.randrange(200), seconds=rng.randrange(3)), rng.choice([None, "a.org", "b.org", "c.org"]), rng.choice([None, "https://a.org/x?utm_source=f", "https://a.org/x", "https://b.org/y"]), rng.choice([None, 5, 70])) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, occurred_at timestamp, domain string, url string, duration_seconds bigint").repartition(3)
+    want, ordered = {}, sorted(rows, key=lambda r: (r[2], r[0]))
+    page = lambda u: u and u.split("?")[0]
+    for n, (i, u, at, d, url, _) in enumerate(ordered):
+        mine = [r for r in ordered[:n] if r[1] == u]
+        recent = [r[5] for r in rows if r[1] == u and 0 <= (at - r[2]).total_seconds() <= 86_400 and r[5] is not None]
+        want[i] = (sum(page(r[4]) == page(url) for r in mine), bool(mine) and all(r[3] != d for r in mine), sum(recent) if recent else None, len({r[3] for r in mine} - {None}))
+    got = {r.event_id: (r.revisit_count, r.is_unique_domain, r.foreground_seconds, r.seen_domains) for r in rollups.history_window(events).collect()}
+    assert got == want and set(rollups.history_window(events).columns) == {*events.columns, "revisit_count", "is_unique_domain", "foreground_seconds", "seen_domains"}
