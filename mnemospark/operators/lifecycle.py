@@ -80,8 +80,8 @@ def category_rules(spark: SparkSession) -> DataFrame:
 def route_categories(documents: DataFrame, rules: DataFrame, key: str = "document_id", host: str = "host", topics: str = "topics", text: str = "title") -> DataFrame:
     """(key, category, confidence, matched_by): the surest matching rule, hosts before topics before keywords, then in rule order.
 
-    Hosts match by suffix, keywords as whole words. The candidates of a document are exploded and equi-joined with
-    the rule table, which is small by its definition. Under CATEGORY_LEAST a document is unclassified.
+    Hosts match by suffix, keywords as whole words. Of a document's words and pairs of words only those that some rule
+    names leave its row; the rule table is small by its definition. Under CATEGORY_LEAST a document is unclassified.
     """
     parts = F.split(F.lower(F.coalesce(host, F.lit(""))), "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 100), "."))
@@ -90,9 +90,10 @@ def route_categories(documents: DataFrame, rules: DataFrame, key: str = "documen
     tagged = F.concat(
         F.transform(suffixes, lambda v: F.struct(F.lit("host").alias("kind"), v.alias("value"))),
         F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda v: F.struct(F.lit("topic").alias("kind"), v.alias("value"))),
-        F.transform(F.concat(words, pairs), lambda v: F.struct(F.lit("keyword").alias("kind"), v.alias("value"))),
+        F.transform(F.array_intersect(F.concat(words, pairs), F.col("__keywords")), lambda v: F.struct(F.lit("keyword").alias("kind"), v.alias("value"))),
     )
-    asked = documents.select(key, F.explode(tagged).alias("t")).select(key, "t.kind", "t.value")
+    keywords = rules.agg(F.coalesce(F.collect_set(F.when(F.col("kind") == "keyword", F.col("value"))), F.array().cast("array<string>")).alias("__keywords"))  # one row
+    asked = documents.join(F.broadcast(keywords), how="cross").select(key, F.explode(tagged).alias("t")).select(key, "t.kind", "t.value")
     found = asked.join(F.broadcast(rules), ["kind", "value"])
     order = F.struct((-F.col("confidence")).alias("c"), F.when(F.col("kind") == "host", 0).when(F.col("kind") == "topic", 1).otherwise(2).alias("k"), "place", "value", "category", "kind")
     best = found.groupBy(key).agg(F.min(order).alias("b"))

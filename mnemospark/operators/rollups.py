@@ -43,19 +43,27 @@ def time_by(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").alias("events"), F.sum("duration_seconds").alias("seconds"), F.max("occurred_at").alias("last_at"))
 
 
+def read_documents(events: DataFrame, documents: DataFrame, topics: DataFrame) -> DataFrame:
+    """Events with the topics of the document that they are on: documents (url, document_id, and user_id if each user has
+    their own) are met by canonical url, and by the event's user where documents have one."""
+    pages = documents.select(F.coalesce(canonical_url(F.col("url")), "url").alias("__page"), "document_id", *(["user_id"] if "user_id" in documents.columns else []))
+    on = [c for c in pages.columns if c != "document_id"]
+    return _with_pages(events).join(pages, on).drop("__page").join(topics.select("document_id", "topic").distinct(), "document_id")
+
+
 def time_by_topic(events: DataFrame, documents: DataFrame, topics: DataFrame) -> DataFrame:
-    """Seconds, events and last time per topic: events meet documents (url, document_id) and their topics (document_id, topic).
+    """Seconds, events and last time per topic: events meet documents (see :func:`read_documents`) and their topics (document_id, topic).
 
     Events without a document are absent; a document with several topics counts for each.
     """
-    read = events.join(documents.select("url", "document_id"), "url").join(topics.select("document_id", "topic").distinct(), "document_id")
-    return time_by(read, "topic")
+    return time_by(read_documents(events, documents, topics), "topic")
 
 
 def time_by_day_topic(events: DataFrame, documents: DataFrame, topics: DataFrame, values: list) -> DataFrame:
-    """A column of seconds per topic and one row per day, with the day's total over these topics."""
-    read = events.join(documents.select("url", "document_id"), "url").join(topics.select("document_id", "topic").distinct(), "document_id")
-    return time_by_day_pivot(read, "topic", values)
+    """A column of seconds for each named topic, ``other`` for the rest, and one row per day, with the day's total over all topics."""
+    read = read_documents(events, documents, topics)
+    named = F.coalesce(F.when(F.col("topic").isin(*values), F.col("topic").cast("string")), F.lit("other"))
+    return time_by_day_pivot(read.withColumn("topic", named), "topic", [*map(str, values), "other"])
 
 
 def time_by_day_pivot(events: DataFrame, column: str, values: list[str]) -> DataFrame:

@@ -292,10 +292,10 @@ def topic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _READ = f"""SELECT CAST(e.occurred_at AS DATE) AS day, t.topic, e.duration_seconds FROM ({V_EVENTS}) e
     JOIN (SELECT doc_id, 'https://site' || CAST(doc_id % 12 AS VARCHAR) || '.example.com/p/' || CAST(doc_id AS VARCHAR) AS url FROM documents) d ON d.url = e.url
-    JOIN (SELECT DISTINCT vec_id // 5 AS document_id, label AS topic FROM embeddings) t ON t.document_id = d.doc_id WHERE t.topic IN (0, 1, 2, 3)"""
+    JOIN (SELECT DISTINCT vec_id // 5 AS document_id, label AS topic FROM embeddings) t ON t.document_id = d.doc_id"""
 
 
-@query(f"""SELECT day, {", ".join(f'CAST(coalesce(sum(duration_seconds) FILTER (WHERE topic = {t}), 0) AS BIGINT) AS "{t}"' for t in range(4))}, CAST(sum(duration_seconds) AS BIGINT) AS total FROM ({_READ}) GROUP BY day""")
+@query(f"""SELECT day, {", ".join(f'CAST(coalesce(sum(duration_seconds) FILTER (WHERE topic = {t}), 0) AS BIGINT) AS "{t}"' for t in range(4))}, CAST(coalesce(sum(duration_seconds) FILTER (WHERE topic IS NULL OR topic NOT IN (0, 1, 2, 3)), 0) AS BIGINT) AS other, CAST(sum(duration_seconds) AS BIGINT) AS total FROM ({_READ}) GROUP BY day""")
 def time_by_day_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("https://site"), (F.col("doc_id") % 12).cast("string"), F.lit(".example.com/p/"), F.col("doc_id").cast("string"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), url.alias("url"))
@@ -341,3 +341,14 @@ def event_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tables.activity_events(spark, sf_dir).select("event_id", "occurred_at", "url").join(means.withColumn("url", url), "url")
     found = novelty.known_likeness(read, novelty.centroid_versions(_passages(spark, sf_dir)), "event_id", "occurred_at", "centroid")
     return found.select("event_id", "known_topics", "topic", F.round(novelty.novelty(F.col("likeness")), 6).alias("topic_novelty"))
+
+
+@query(f"""SELECT t.topic, count(*) AS events, CAST(sum(e.duration_seconds) AS BIGINT) AS seconds, max(e.occurred_at) AS last_at FROM ({V_EVENTS}) e
+    JOIN (SELECT doc_id, doc_id % 7 AS of_user, 'https://site' || CAST(doc_id % 12 AS VARCHAR) || '.example.com/p/' || CAST(doc_id AS VARCHAR) AS url FROM documents) d ON d.url = e.url AND d.of_user = e.user_id % 7
+    JOIN (SELECT DISTINCT vec_id // 5 AS document_id, label AS topic FROM embeddings) t ON t.document_id = d.doc_id GROUP BY t.topic""")
+def own_time_by_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time on topics where each user has documents of their own; events name their pages with a campaign's parameters."""
+    url = F.concat(F.lit("https://site"), (F.col("doc_id") % 12).cast("string"), F.lit(".example.com/p/"), F.col("doc_id").cast("string"))
+    docs = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), url.alias("url"), (F.col("doc_id") % 7).alias("user_id"))
+    events = tables.activity_events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 7).withColumn("url", F.concat("url", F.lit("?utm_source=feed#top")))
+    return rollups.time_by_topic(events, docs, tables.chunks(spark, sf_dir))
