@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import working_hours
-from mnemospark.operators import importance, ingest, lifecycle, rollups, sessions
+from mnemospark.operators import importance, ingest, lifecycle, rollups, sessions, sketches
 from mnemospark.sources import tables
 
 #: The event view as SQL, for the DuckDB side.
@@ -403,3 +403,17 @@ def rejected_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distillation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = importance.server_score(signals(spark, sf_dir))
     return scored.where(ingest.distillation_gate(F.col("score"))).select("event_id", "band")
+
+
+@query(f"""SELECT type, count(*) AS events, CAST(sum(duration_seconds) AS BIGINT) AS total, count(DISTINCT user_id) AS users, true AS median_close FROM ({V_EVENTS})
+    WHERE CAST(occurred_at AS DATE) >= DATE '2024-01-05' AND CAST(occurred_at AS DATE) < DATE '2024-01-20' GROUP BY type""")
+def sketched_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of days from daily sketches; so few users are counted exactly, the median's rank is held against the events."""
+    low, high = (F.lit(d).cast("date") for d in ("2024-01-05", "2024-01-20"))
+    events = E(spark, sf_dir)
+    found = sketches.over_range(sketches.daily_sketches(events, ["type"], "user_id", "duration_seconds"), ["type"], low, high, [0.5])
+    day = F.to_date("occurred_at")
+    held = events.where((day >= low) & (day < high)).join(found.select("type", F.col("quantiles")[0].alias("median")), "type")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    close = held.groupBy("type").agg(((share(F.col("duration_seconds") < F.col("median")) <= 0.53) & (share(F.col("duration_seconds") <= F.col("median")) >= 0.47)).alias("median_close"))
+    return found.join(close, "type").select("type", "events", F.col("total").cast("bigint").alias("total"), F.col("distinct").alias("users"), "median_close")

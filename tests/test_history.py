@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions.intervals import FAR, dyadic_cells, join_moments
-from mnemospark.operators import memory, novelty, rollups
+from mnemospark.operators import memory, novelty, rollups, sketches
 
 DAY0 = datetime.datetime(2024, 1, 1)
 
@@ -109,3 +109,21 @@ def test_histories_in_two_levels(spark):
         want[i] = (sum(page(r[4]) == page(url) for r in mine), bool(mine) and all(r[3] != d for r in mine), sum(recent) if recent else None, len({r[3] for r in mine} - {None}))
     got = {r.event_id: (r.revisit_count, r.is_unique_domain, r.foreground_seconds, r.seen_domains) for r in rollups.history_window(events).collect()}
     assert got == want and set(rollups.history_window(events).columns) == {*events.columns, "revisit_count", "is_unique_domain", "foreground_seconds", "seen_domains"}
+
+
+# ---- sketches
+
+
+def test_sketches_merge_within_their_error(spark):
+    events = spark.range(120_000).select((F.col("id") % 3).alias("g"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id % 40 as int), 0, 0, 0)").alias("occurred_at"), F.when(F.col("id") % 50 > 0, F.col("id") % 30_011).alias("k"), F.when(F.col("id") % 7 > 0, (F.xxhash64("id") % 1000).cast("double")).alias("v"))
+    daily = sketches.daily_sketches(events, ["g"], "k", "v").persist()
+    low, high = F.lit("2024-01-03").cast("date"), F.lit("2024-01-31").cast("date")
+    held = events.where("occurred_at >= '2024-01-03' and occurred_at < '2024-01-31'")
+    got = {r.g: r for r in sketches.over_range(daily, ["g"], low, high, [0.1, 0.5, 0.95]).collect()}
+    for r in held.groupBy("g").agg(F.count("*").alias("events"), F.sum("v").alias("total"), F.count_distinct("k").alias("k"), F.sort_array(F.collect_list("v")).alias("v")).collect():
+        assert (got[r.g].events, got[r.g].total) == (r.events, r.total) and abs(got[r.g].distinct / r.k - 1) < 0.05
+        for q, x in zip([0.1, 0.5, 0.95], got[r.g].quantiles, strict=True):
+            assert abs(np.searchsorted(r.v, x) / len(r.v) - q) < 0.0133 * 2
+    nothing = sketches.daily_sketches(events.limit(3).withColumns({"k": F.lit(None).cast("bigint"), "v": F.lit(None).cast("double")}), ["g"], "k", "v")
+    assert {(r.events, r.total, r.distinct, tuple(r.quantiles)) for r in sketches.over_range(nothing, ["g"]).collect()} == {(1, 0.0, 0, (None, None))}
+    assert sketches.over_range(daily.limit(0), ["g"]).count() == 0
