@@ -101,3 +101,32 @@ def test_embedding_queue(spark, tmp_path):
     d.write.parquet(str(tmp_path / "d"))
     got = drain(jobs.embedding_queue(spark.readStream.schema(d.schema).parquet(str(tmp_path / "d"))), name="queue")
     assert sorted(map(tuple, got.collect())) == [(1, "h1"), (1, "h4")]
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_sessions_in_any_order(spark, tmp_path, files):
+    """Late, re-sent and shuffled changes give the sessions of the batch; the state keeps nothing of what is done."""
+    import random
+
+    from mnemospark.streaming import sessions_state
+
+    rng = random.Random(7)
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(d, 100 * d + i, rng.choice(["a", "b", None]), t + datetime.timedelta(seconds=20 * i + rng.randrange(15))) for d in range(4) for i in range(40)]
+    last = [(99, 9999, "z", t + datetime.timedelta(days=3))]  # moves the watermark past all others
+    sent = rows + rng.sample(rows, 50)
+    rng.shuffle(sent)
+    schema = "device_id bigint, event_id bigint, package string, occurred_at timestamp"
+    for i in range(files):
+        spark.createDataFrame(sent[i::files], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame(last, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions_state.PROVIDER)
+    try:
+        changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = drain(sessions_state.ordered_app_sessions(changes, "1 hour"), name="ordered").where("device_id < 99")
+        batch = sessions.app_sessions(spark.createDataFrame(rows, schema))
+        want = sorted((r.device_id, r.package, int(r.started_at.timestamp()), int(r.ended_at.timestamp())) for r in batch.collect())
+        assert sorted((r.device_id, r.package, r.started_s, r.ended_s) for r in got.collect()) == want and len(want) > 60
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
