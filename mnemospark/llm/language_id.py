@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import bound_batches, map_text, materialize, worker_state
 
-#: Bounds of the training sample: documents considered and characters used of each language, characters of all languages.
+#: Bounds of the training sample: rows and symbols of each language, symbols of all languages. Rows are used whole or not at all.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_CHARS_ALL = 400, 40_000, 800_000
+#: Characters of a row from which it is long: such rows are used only where a language has too few others.
+LONG_ROW = 5_000
 UND = "und"
 _PLANE = 0x3000
 
@@ -95,20 +97,14 @@ class Sample(NamedTuple):
         return float(np.log2(len(self.line) + 1))
 
 
-def equal_shares(sizes: list[int], budget: int) -> list[int]:
-    """What each gets of a budget if all get the same, none more than its size, and what some leave goes to the rest."""
-    given, left = [0] * len(sizes), max(0, budget)
-    for done, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
-        given[i] = min(sizes[i], left // (len(sizes) - done))
-        left -= given[i]
-    return given
-
-
 def sample_of(lang: str, texts: Iterable[str], chars: int) -> Sample:
-    """The training text of a language: its documents' symbols, equally shared, with a NUL about each."""
-    docs = [symbols(t) for t in texts]
-    shares = equal_shares([len(s) for s in docs], chars - 1 - len(docs))
-    return Sample(lang, "\0" + "".join(s[:n] + "\0" for s, n in zip(docs, shares, strict=True)))
+    """The training text of a language: the symbols of its first text, and of each further one that still fits, with a NUL about each."""
+    line = "\0"
+    for text in texts:
+        new = symbols(text)
+        if len(line) == 1 or len(line) + len(new) < chars:
+            line += new + "\0"
+    return Sample(lang, line)
 
 
 def phrases(start: dict[str, dict], line: str) -> int:
@@ -128,28 +124,26 @@ def _rank(h: Column) -> Column:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[Sample]:
-    """The training text of each language, from a bounded sample of labelled rows.
-
-    Of each language the TRAIN_DOCS rows with the smallest hash of key and text are considered, equal rows once. They
-    share 4 * TRAIN_CHARS characters equally (what a short one leaves goes to the others, no one has more than
-    TRAIN_CHARS), and their symbols share TRAIN_CHARS likewise, fewer where the languages together would exceed
-    TRAIN_CHARS_ALL. Rows with a null text, language or key are not used. A count per language gives a bound of the
-    hash that a few times TRAIN_DOCS rows are under, so that no more than these meet in a task.
+    """The training text of each language, from a bounded sample of whole labelled rows.
+
+    Of each language the rows come in the order of a hash of key and text, equal rows once, and rows of over LONG_ROW
+    characters after all others, the shortest first. Up to TRAIN_DOCS of them, with 4 * TRAIN_CHARS characters
+    together, are fetched; of these the first is used, and each further one whose symbols fit within TRAIN_CHARS,
+    fewer where the languages together would exceed TRAIN_CHARS_ALL. Rows with a null text, language or key, and rows
+    of over 4 * TRAIN_CHARS characters, are not used. A count per language gives a bound of the hash that a few times
+    TRAIN_DOCS rows are under, so that no more than these meet in a task.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (F.length(text) > 0))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & F.length(text).between(1, 4 * TRAIN_CHARS))
     labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     bounds = labelled.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(3.0 * TRAIN_DOCS) / F.col("n")).alias("most"))
     bounds = materialize(bounds, 1)  # one row per language
     near = labelled.join(F.broadcast(bounds), "lang").withColumn("h", F.xxhash64("key", "text")).where(_rank(F.col("h")) <= F.col("most"))
-    sizes = near.groupBy("lang", "h").agg(F.min(F.least(F.length("text"), F.lit(TRAIN_CHARS))).alias("size"))
-    chosen = sizes.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(_rank(F.col("h")), "h"))).where(F.col("place") <= TRAIN_DOCS)
-    # the share is a water level: with sizes ascending, what the smaller ones leave over those still to come, at its highest
-    line = Window.partitionBy("lang").orderBy("size", "place")
-    before = F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level = F.floor((F.lit(4 * TRAIN_CHARS) - before) / (F.count("*").over(Window.partitionBy("lang")) - F.row_number().over(line) + 1))
-    chosen = materialize(chosen.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy("lang"))).select("lang", "h", "place", "level"), TRAIN_DOCS)
+    sizes = near.groupBy("lang", "h").agg(F.min(F.length("text")).alias("size"))
+    line = Window.partitionBy("lang").orderBy(F.when(F.col("size") > LONG_ROW, F.col("size")).otherwise(0), _rank(F.col("h")), "h")
+    placed = sizes.withColumns({"place": F.row_number().over(line), "upto": F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    chosen = materialize(placed.where((F.col("place") <= TRAIN_DOCS) & (F.col("upto") <= 4 * TRAIN_CHARS)).select("lang", "h", "place"), TRAIN_DOCS)
     sample = near.join(F.broadcast(chosen), ["lang", "h"])  # at most TRAIN_DOCS rows per language
-    sample = sample.groupBy("lang", "place").agg(F.min(F.expr(f"substring(text, 1, CAST(least(level, {TRAIN_CHARS}) AS INT))")).alias("text"))
+    sample = sample.groupBy("lang", "place").agg(F.min("text").alias("text"))
     rows = sample.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts")).orderBy("lang").collect()
     if not rows:
         return []

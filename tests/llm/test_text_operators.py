@@ -418,13 +418,15 @@ def test_language_is_what_the_parse_finds(spark):
     assert {r.doc_id for r in only} == {1, 3, 5, 7, 9, 21, 22} and {r.lang for r in only} == {"bb"}
 
 
-def test_language_learns_from_all_of_the_sample(spark):
-    assert language_id.equal_shares([100, 3, 50, 0], 43) == [20, 3, 20, 0] and language_id.equal_shares([2, 5], 90) == [2, 5]
+def test_language_learns_from_whole_rows(spark):
     words = ["alpha", "bravo", "charly", "delta", "wiz", "quux", "jump", "fog"]
-    docs = spark.createDataFrame([*[(i, "z" * 100_000, "aa") for i in range(20)], *[(100 + i, w, "aa") for i, w in enumerate(words)]], "doc_id bigint, text string, lang string")
-    (sample,) = language_id.train(docs)
-    assert set(sample.line) - {"\0"} == set("".join(words) + "z")
-    assert abs(len(sample.line) - language_id.TRAIN_CHARS) < 20
+    long = [(i, f"start{i} " + "z" * 100_000, "aa") for i in range(20)] + [(50, "y" * 200_000, "bb"), (60, "x" * 90_000, "cc"), (61, "w" * 80_000, "cc")]
+    docs = spark.createDataFrame([*long, *[(100 + i, w, "aa") for i, w in enumerate(words)]], "doc_id bigint, text string, lang string")
+    aa, cc = language_id.train(docs)  # bb has no row that is not too long
+    assert sorted(aa.line.strip("\0").split("\0")) == sorted(words)  # no room for a long row, and no part of one
+    assert (cc.lang, cc.line) == ("cc", "\0" + "w" * 80_000 + "\0")
+    texts = ["ab" * 30, "cd" * 300, "ef" * 100]
+    assert language_id.sample_of("x", texts, 400).line == "\0" + texts[0] + "\0" + texts[2] + "\0"
 
 
 def test_language_sample_of_many_rows(spark):
