@@ -28,8 +28,10 @@ BLOCK_WORDS, SHARD_SLOTS = 64, 4096
 LEAST_LANES, LANE_ROWS = 512, 20_000
 #: Shards that are drawn together, and tasks that draw.
 STRETCH, TASKS = 16, 10_000
-#: Counts up to which numpy draws hypergeometric numbers exactly; rounds of the permutations' Feistel network.
-EXACT_DRAWS, ROUNDS = 10**9, 6
+#: Counts under which numpy draws hypergeometric numbers; larger ones are brought down to such by exact steps. Draws that are made one by one.
+NUMPY_DRAWS, FEW_DRAWS = 10**9, 64
+#: Rounds of the permutations' Feistel network.
+ROUNDS = 6
 
 
 def word_count(text: str) -> Column:
@@ -58,14 +60,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """How many of ``sample`` draws without replacement are good; by the normal limit where numpy's exact draw ends."""
+    """How many of ``sample`` draws without replacement are good, at any size.
+
+    The draws are the smallest of independent uniform numbers, one for each good and bad one. So where a population is
+    beyond numpy, a place is drawn that cuts it: the k-th smallest good number has a beta distribution, and the bad ones
+    below it are binomial. What lies below is either all drawn, or holds all draws; either way what is left to decide
+    is a far smaller sample, or by symmetry a far smaller rest.
+    """
     if not good or not sample:
         return 0
-    if max(good, bad) < EXACT_DRAWS:
+    if sample >= good + bad or not bad:
+        return min(good, sample)
+    if max(good, bad) < NUMPY_DRAWS:
         return int(rng.hypergeometric(good, bad, sample))
-    share, n = good / (good + bad), good + bad
-    spread = (sample * share * (1 - share) * ((n - sample) / max(1, n - 1))) ** 0.5
-    return min(good, sample, max(0, sample - bad, round(rng.normal(sample * share, spread))))
+    if 2 * sample > good + bad:
+        return good - _hypergeometric(rng, good, bad, good + bad - sample)
+    if sample <= FEW_DRAWS:
+        found = 0
+        for done in range(sample):
+            found += int(rng.integers(good + bad - done)) < good - found
+        return found
+    k = max(1, min(good, round(sample * (good / (good + bad)))))
+    below = int(rng.binomial(bad, rng.beta(k, good - k + 1)))
+    if k + below <= sample:
+        return k + _hypergeometric(rng, good - k, bad - below, sample - k - below)
+    return _hypergeometric(rng, k - 1, below, sample)
 
 
 def shard_slots(quotas: list[int], seed: int, wanted: range) -> Iterator[tuple[int, int, int, int]]:

@@ -364,3 +364,26 @@ def test_pipeline(spark, sf):
         if k == 4:
             assert at.count() == before.count()
     assert at.columns == ["doc_id", "n_tokens", "ids"]
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(3000, 7000, 5000), (40, 9000, 300), (5000, 5000, 9990), (8000, 1, 4000), (2000, 3000, 70)])
+def test_draws_of_big_populations_are_exact(monkeypatch, good, bad, sample):
+    want = np.random.default_rng(1).hypergeometric(good, bad, sample, 20_000)
+    monkeypatch.setattr(mixing, "NUMPY_DRAWS", 50)
+    rng = np.random.default_rng(2)
+    got = np.array([mixing._hypergeometric(rng, good, bad, sample) for _ in range(4000)])
+    n = good + bad
+    mean, var = sample * good / n, sample * good * bad * (n - sample) / (n * n * (n - 1))
+    assert abs(got.mean() - mean) < 4.5 * (var / 4000) ** 0.5 + 1e-9 and abs(got.var() / var - 1) < 0.15
+    for q in (0.05, 0.25, 0.5, 0.75, 0.95):
+        x = np.quantile(want, q)
+        assert abs((got <= x).mean() - (want <= x).mean()) < 0.04
+
+
+def test_draws_beyond_numpy():
+    rng = np.random.default_rng(3)
+    got = [mixing._hypergeometric(rng, 6 * 10**12, 3 * 10**12, 10**12) for _ in range(300)]
+    spread = (10**12 * (2 / 3) * (1 / 3) * (8 / 9)) ** 0.5
+    z = (np.array(got, float) - 2 / 3 * 1e12) / spread
+    assert abs(z.mean()) < 0.25 and 0.8 < z.std() < 1.2
+    assert mixing._hypergeometric(rng, 10**12, 0, 7) == 7 and mixing._hypergeometric(rng, 0, 10**12, 7) == 0 and mixing._hypergeometric(rng, 10**12, 5, 10**12 + 5) == 10**12
