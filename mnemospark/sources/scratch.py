@@ -33,6 +33,15 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    drop_folder(spark, path, at_exit=True)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder of the shared store, now or when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:
+        store.deleteOnExit(folder)
+    else:
+        store.delete(folder, True)

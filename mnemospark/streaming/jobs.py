@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from mnemospark.functions.columns import seconds_of
 from mnemospark.operators.ingest import clamp_clock, event_verdict, keep_first, quarantine, upsert_documents
 from mnemospark.operators.sessions import LEAST_SESSION
+from mnemospark.sources.scratch import drop_folder
 
 #: How long a client may hold an event back, and so how long a key is remembered.
 KEY_MEMORY = "7 days"
@@ -44,15 +45,19 @@ def ingest(events: DataFrame, table: str, rejected: str, checkpoint: str, trigge
     spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = quarantine(event_verdict(clamp_clock(batch, F.col("received_at"))))
-        fresh = keep_first(good, ["device_id", "dedupe_key"], ["occurred_at", "event_id"])
-        oldest = batch.agg(F.min("received_at").alias("t")).first().t
-        if oldest is not None and _there(spark, table):
-            recent = F.col("received_at") >= F.lit(oldest).cast(batch.schema["received_at"].dataType) - F.expr(f"INTERVAL {KEY_MEMORY}")
-            stored = spark.read.parquet(table).where((F.col("batch_id") != batch_id) & recent).select("device_id", "dedupe_key")
-            fresh = fresh.join(stored, ["device_id", "dedupe_key"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        batch = batch.persist()  # it is read for its oldest event, for what is good and for what is not
+        try:
+            good, bad = quarantine(event_verdict(clamp_clock(batch, F.col("received_at"))))
+            fresh = keep_first(good, ["device_id", "dedupe_key"], ["occurred_at", "event_id"])
+            oldest = batch.agg(F.min("received_at").alias("t")).first().t
+            if oldest is not None and _there(spark, table):
+                recent = F.col("received_at") >= F.lit(oldest).cast(batch.schema["received_at"].dataType) - F.expr(f"INTERVAL {KEY_MEMORY}")
+                stored = spark.read.parquet(table).where((F.col("batch_id") != batch_id) & recent).select("device_id", "dedupe_key")
+                fresh = fresh.join(stored, ["device_id", "dedupe_key"], "left_anti")
+            fresh.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -61,30 +66,71 @@ def ingest(events: DataFrame, table: str, rejected: str, checkpoint: str, trigge
 BUCKETS = 64
 
 
+#: Snapshots of a table of documents that are kept; readers of older ones have to look again.
+SNAPSHOTS = 3
+
+
+def _snapshots(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the snapshots that are complete, ascending."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/snapshots")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    done = [f.getPath() for f in store.listStatus(folder) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch-")) for p in done)
+
+
+def _heads(spark: SparkSession, table: str, number: int) -> dict[int, int]:
+    """Of each bucket of a snapshot the batch that wrote it; as many rows as buckets."""
+    return {r.bucket: r.batch for r in spark.read.parquet(f"{table}/snapshots/batch-{number}").collect()}
+
+
+def _bucket_paths(table: str, heads: dict[int, int]) -> list[str]:
+    return [f"{table}/data/batch-{batch}/bucket={b}" for b, batch in sorted(heads.items())]
+
+
+def read_captures(spark: SparkSession, table: str) -> DataFrame:
+    """The table of documents that :func:`upsert_captures` keeps, as its latest whole batch left it."""
+    numbers = _snapshots(spark, table)
+    if not numbers:
+        raise ValueError(f"no batch has been written to {table}")
+    return spark.read.parquet(*_bucket_paths(table, _heads(spark, table, numbers[-1])))
+
+
 def upsert_captures(captures: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Fold captures of documents into a table of one row per content, dealt to buckets by content.
+    """Fold captures of documents into a table of one row per content, dealt to buckets by content; read it by :func:`read_captures`.
 
-    A batch reads and rewrites only the buckets that it touches, by way of a staging folder. A bucket keeps the batch
-    that wrote it, so that a batch that is run again leaves what it has already written as it is.
+    A batch reads the buckets that it touches and writes them anew beside the old ones, then a snapshot that names the
+    batch of each bucket. A snapshot counts once it is complete, so that a reader sees all of a batch or none of it, a
+    batch that failed half-way is written again, and one that is run again after it was complete changes nothing.
     """
     spark = captures.sparkSession
-    staged = f"{table}_staged"
+    bucket = F.pmod(F.xxhash64("user_id", "content_hash"), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("user_id", "content_hash"), F.lit(buckets)).cast("int"))
-        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        stored = None
-        if _there(spark, table):
-            held = spark.read.parquet(table).where(F.col("bucket").isin(touched))
-            done = {r.bucket for r in held.where(F.col("batch_id") >= batch_id).select("bucket").distinct().collect()}
-            touched = [b for b in touched if b not in done]
-            stored = held.where(F.col("bucket").isin(touched))
-        if not touched:
+        numbers = _snapshots(spark, table)
+        if numbers and numbers[-1] >= batch_id:
             return
-        merged = upsert_documents(dealt.where(F.col("bucket").isin(touched)), stored)
-        merged = merged.withColumn("bucket", F.pmod(F.xxhash64("user_id", "content_hash"), F.lit(buckets)).cast("int")).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        batch = batch.persist()
+        try:
+            touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+            if not touched:
+                return
+            heads = _heads(spark, table, numbers[-1]) if numbers else {}
+            held = _bucket_paths(table, {b: heads[b] for b in touched if b in heads})
+            merged = upsert_documents(batch, spark.read.parquet(*held) if held else None)
+            merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/batch-{batch_id}")
+            heads |= dict.fromkeys(touched, batch_id)
+            spark.createDataFrame(sorted(heads.items()), "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{table}/snapshots/batch-{batch_id}")
+            kept = [*numbers, batch_id][-SNAPSHOTS:]
+            needed = {b for n in kept for b in _heads(spark, table, n).values()}
+            for old in set(numbers) - set(kept):
+                drop_folder(spark, f"{table}/snapshots/batch-{old}")
+            for old in range(min([*numbers, batch_id]), batch_id):
+                if old not in needed:
+                    drop_folder(spark, f"{table}/data/batch-{old}")
+        finally:
+            batch.unpersist()
 
     return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

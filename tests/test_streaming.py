@@ -77,11 +77,25 @@ def test_upsert_stream(spark, sf, tmp_path):
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
     jobs.upsert_captures(s, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     rows = lambda x: sorted(tuple(r) for r in x.select("user_id", "content_hash", "document_id", "url").collect())
-    got = spark.read.parquet(str(tmp_path / "t"))
-    assert rows(got) == rows(ingest.upsert_documents(d))
+    assert rows(jobs.read_captures(spark, str(tmp_path / "t"))) == rows(ingest.upsert_documents(d))
     again = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d"))
     jobs.upsert_captures(again, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination()  # batches 0 and 1 have been written
-    assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(ingest.upsert_documents(d))
+    assert rows(jobs.read_captures(spark, str(tmp_path / "t"))) == rows(ingest.upsert_documents(d))
+
+
+def test_upserts_are_whole_batches(spark, tmp_path):
+    table, t = str(tmp_path / "t"), datetime.datetime(2024, 1, 1)
+    schema = "document_id bigint, user_id bigint, content_hash string, url string, captured_at timestamp"
+    for i in range(6):
+        spark.createDataFrame([(10 * i + j, j, f"h{j}", f"u{i}", t + datetime.timedelta(days=i)) for j in range(5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    with pytest.raises(ValueError, match="no batch"):
+        jobs.read_captures(spark, table)
+    jobs.upsert_captures(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "d")), table, str(tmp_path / "c"), buckets=4).awaitTermination()
+    whole = sorted(map(tuple, jobs.read_captures(spark, table).select("user_id", "content_hash", "url").collect()))
+    assert len(whole) == 5 and len(list((tmp_path / "t" / "snapshots").glob("batch-*"))) == jobs.SNAPSHOTS
+    (tmp_path / "t" / "snapshots" / "batch-5" / "_SUCCESS").unlink()  # as if the last batch had stopped half-way
+    half = sorted(map(tuple, jobs.read_captures(spark, table).select("user_id", "content_hash", "url").collect()))
+    assert len(half) == 5 and jobs._snapshots(spark, table)[-1] == 4
 
 
 def test_ingest_clamps_clocks(spark, split, tmp_path):
