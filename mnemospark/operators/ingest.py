@@ -122,12 +122,16 @@ PAYLOAD_RULES = {
 
 
 def payload_verdict(events: DataFrame, type_: str = "type", payload: str = "payload") -> DataFrame:
-    """Adds ``payload_reason``: the first field that the event's type needs and its JSON payload does not keep to."""
+    """Adds ``payload_reason``: the first field that the event's type needs and its JSON payload does not keep to.
+
+    A payload is parsed once, to a variant; one that is no JSON has no fields.
+    """
+    events = events.withColumn("__parsed", F.try_parse_json(F.col(payload)))
     reason = F.lit(None).cast("string")
     for kind, fields in PAYLOAD_RULES.items():
-        rules = [(name, F.expr(re.sub(r"\bv\b", lambda _, n=name: f"get_json_object({payload}, '$.{n}')", rule))) for name, rule in fields.items()]
+        rules = [(name, F.expr(re.sub(r"\bv\b", lambda _, n=name: f"try_variant_get(__parsed, '$.{n}', 'string')", rule))) for name, rule in fields.items()]
         reason = F.when(F.col(type_) == kind, first_reason(rules)).otherwise(reason)
-    return events.withColumn("payload_reason", reason)
+    return events.withColumn("payload_reason", reason).drop("__parsed")
 
 
 def document_verdict(documents: DataFrame, sources: Sequence[str] = DOCUMENT_SOURCES) -> DataFrame:

@@ -114,12 +114,12 @@ def merge_topics(links: DataFrame, moves: DataFrame) -> DataFrame:
 
 def merge_topics_everywhere(links: DataFrame, memories: DataFrame, topics: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, memories, topics) after topics are merged: links and the memories' topic_ids repointed, the merged ones gone,
-    and each topic's documents and memories counted anew. Moves (from_id, to_id) are a stated, small set."""
-    links = merge_topics(links, F.broadcast(moves))
+    and each topic's documents and memories counted anew. Moves (from_id, to_id) are broadcast only where Spark finds them small."""
+    links = merge_topics(links, moves)
     each = memories.select("memory_id", F.explode("topic_ids").alias("topic_id"))
-    each = each.join(F.broadcast(moves), F.col("topic_id") == F.col("from_id"), "left").select("memory_id", F.coalesce("to_id", "topic_id").alias("topic_id")).distinct()
+    each = each.join(moves, F.col("topic_id") == F.col("from_id"), "left").select("memory_id", F.coalesce("to_id", "topic_id").alias("topic_id")).distinct()
     held = each.groupBy("memory_id").agg(F.array_sort(F.collect_list("topic_id")).alias("topic_ids"))
-    kept = topics.join(F.broadcast(moves.select(F.col("from_id").alias("topic_id"))), "topic_id", "left_anti").drop("documents", "memories")
+    kept = topics.join(moves.select(F.col("from_id").alias("topic_id")), "topic_id", "left_anti").drop("documents", "memories")
     counted = kept.join(links.groupBy("topic_id").agg(F.count("*").alias("documents")), "topic_id", "left").join(each.groupBy("topic_id").agg(F.count("*").alias("memories")), "topic_id", "left")
     return links, memories.drop("topic_ids").join(held, "memory_id", "left"), counted.na.fill(0, ["documents", "memories"])
 
