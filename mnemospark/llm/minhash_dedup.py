@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     that links reach. Null texts, and texts without words, have no shingles and link with nothing; so do rows with a
     null key, whose component is null and which are kept. Rows that repeat a key are one node of the graph with the
     sets of all of them. An empty table gives an empty result; other columns are left aside. A link is missed only if
-    its signatures share no band (at most 5e-6 at the threshold) or are pruned (MISS).
+    its signatures share no band (at most 5e-6 at the threshold), are pruned (MISS a batch, 1e-5 over the 14 batches), or
+    look in their 16 bits a position as if an earlier band had been shared (2.5e-5).
     """
     return _near_duplicates(docs, key, text)[0]
 
