@@ -23,7 +23,7 @@ from mnemospark.operators import vector_index
 from mnemospark.operators.covers import score_postings
 
 RRF_K = 60
-#: Queries that are compared with the corpus as one broadcast block; more of them go through a vector index, centroids in further blocks.
+#: Queries that are compared with the corpus as one broadcast block; more of them go through a vector index.
 QUERY_BLOCK = 2_000
 #: Digits of a similarity that count, so that ranks do not hang on the order of a sum.
 PLACES = 9
@@ -65,17 +65,15 @@ def unit_rows(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, n
     return rows[good], v[good] / size[good, None]
 
 
-def _query_blocks(queries: DataFrame, query_vector: str, by: str | None) -> Iterator[list[tuple]]:
-    """The queries (query_id, by, vector) in blocks of QUERY_BLOCK; one block at a time passes the driver."""
+def _few(queries: DataFrame, query_vector: str) -> bool:
+    """Whether there are at most QUERY_BLOCK vectors."""
+    return queries.where(F.col(query_vector).isNotNull()).limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+
+
+def _block(queries: DataFrame, query_vector: str, by: str | None) -> list[tuple]:
+    """The queries (query_id, by, vector), few as they are, for a broadcast."""
     asked = queries.select("query_id", (F.col(by) if by else F.lit(None)).alias("by"), F.col(query_vector).alias("v")).where("v is not null")
-    block: list[tuple] = []
-    for row in asked.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    return [tuple(row) for row in asked.collect()]  # QUERY_BLOCK rows at most
 
 
 def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least: float = 0.0, vector: str = "embedding", query_vector: str = "query_embedding", keep: Sequence[str] = (), by: str | None = None, grouped: bool = False) -> DataFrame:
@@ -88,7 +86,7 @@ def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least
     one, by the nearest of them: a key among the k nearest is so in the batch of its nearest row. Null, zero and broken vectors, and vectors of another width
     than the query's, match nothing. Similarities are rounded to PLACES digits before they are ranked.
     """
-    if queries.where(F.col(query_vector).isNotNull()).limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+    if not _few(queries, query_vector):
         index = vector_index.build(corpus, key, vector, () if grouped else keep, by)
         return vector_index.search(queries, index, k, least, query_vector, grouped)
     row = ", ".join(f"`{c}` {corpus.schema[c].dataType.simpleString()}" for c in (key, *keep))
@@ -134,8 +132,8 @@ def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least
 
         return rows.mapInArrow(run, schema)
 
-    blocks = [block_of(b) for b in _query_blocks(queries, query_vector, by)]
-    found = reduce(DataFrame.unionByName, blocks) if blocks else rows.sparkSession.createDataFrame([], schema)
+    block = _block(queries, query_vector, by)
+    found = block_of(block) if block else rows.sparkSession.createDataFrame([], schema)
     if grouped:
         found = found.groupBy("query_id", key).agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
@@ -145,8 +143,12 @@ def match_vectors(queries: DataFrame, corpus: DataFrame, key: str, k: int, least
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, label: str, vector: str = "embedding", centroid: str = "centroid") -> DataFrame:
     """(key, label, similarity): of each row the centroid (label, centroid) with the largest cosine, ties by label.
 
-    Centroids meet the rows in blocks, as in :func:`match_vectors`; each block leaves one candidate a row.
+    Up to QUERY_BLOCK centroids are broadcast; of more an index is made, in which each row looks for its nearest.
     """
+    if not _few(centroids, centroid):
+        index = vector_index.build(centroids, label, centroid)
+        found = vector_index.search(rows.select(F.col(key).alias("query_id"), F.col(vector).alias("query_embedding")), index, 1, -1.0)
+        return found.select(F.col("query_id").alias(key), label, "similarity")
     asked = centroids.select(F.col(label).alias("query_id"), F.col(centroid).alias("query_embedding"))
     label_type = to_arrow_type(centroids.schema[label].dataType)
     schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, `{label}` {centroids.schema[label].dataType.simpleString()}, similarity double"
@@ -167,10 +169,8 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, label: str
 
         return rows.select(key, F.col(vector).alias("__v")).mapInArrow(run, schema)
 
-    blocks = [block_of(b) for b in _query_blocks(asked, "query_embedding", None)]
-    found = reduce(DataFrame.unionByName, blocks) if blocks else rows.sparkSession.createDataFrame([], schema)
-    best = found.groupBy(key).agg(F.min(F.struct((-F.col("similarity")).alias("d"), label)).alias("b"))
-    return best.select(key, F.col(f"b.{label}").alias(label), (-F.col("b.d")).alias("similarity"))
+    block = _block(asked, "query_embedding", None)
+    return block_of(block) if block else rows.sparkSession.createDataFrame([], schema)
 
 
 def nearest_per_group(matches: DataFrame, group: str, key: str) -> DataFrame:
