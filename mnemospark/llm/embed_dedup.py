@@ -143,8 +143,9 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     missed, with probability MISS; closer pairs with less.
     """
     valid = materialize(_valid(vectors, key, vector, label).withColumn("vkey", F.sha2(F.concat_ws("|", F.hex(F.encode("label", "utf-8")), F.hex("vec")), 256)))
-    heads = valid.groupBy("vkey").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
-    heads = materialize(valid.join(heads, "vkey").where("vec_id = head").dropDuplicates(["vec_id", "vkey"]).select("vec_id", "copies", "label", "vec", "vkey"), valid.count())
+    # label and vector are the same in all rows of a vkey, so that a hot vector is one row of each task before it is shuffled
+    heads = valid.groupBy("vkey").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    heads = materialize(heads, valid.count())
     rows = heads.count()
     links = materialize(_links(heads.drop("vkey"), rows, *tables_for(rows)), rows)
     # keys with several vectors connect what these link with
@@ -156,6 +157,8 @@ def near_embeddings(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     per_head = heads.select(F.col("vec_id").alias("head"), "copies", "vkey").join(degree.withColumnRenamed("vec_id", "head"), "head", "left").join(component.withColumnRenamed("node", "head"), "head", "left")
     per_head = per_head.select("vkey", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "head").alias("component_id"))
     found = split_join(valid.select("vec_id", "vkey"), per_head, "vkey").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col(key).cast("bigint").alias("vec_id")).join(found, "vec_id", "left")
+    keys = vectors.select(F.col(key).cast("bigint").alias("vec_id"))
+    alone = keys.where("vec_id is null").select("vec_id", F.lit(None).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component_id"))
+    out = split_join(keys.where("vec_id is not null"), found, "vec_id", "left").unionByName(alone)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select(F.col("vec_id").alias(key), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
