@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every row: doc_id (null if it was), n_tokens, ids; a null or empty text has none."""
+    """The token ids of every row: doc_id (null if it was), n_tokens, ids; a null or empty text has none. They are decoded
+    and must give the row's text again."""
     return bpe.encode_documents(docs, decoded=False)
 
 

@@ -13,7 +13,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +194,17 @@ def load_bpe(tokenizer: str) -> ByteBpe:
     return worker_state(f"bpe {path}", lambda: ByteBpe(path))
 
 
-def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, columns: dict[str, tuple[str, Callable[[ByteBpe, list[bytes]], pa.Array]]]) -> DataFrame:
-    """Encode every text where it is; each column is made of a slice's ids by its function."""
+def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, columns: dict[str, tuple[str, Callable[[ByteBpe, list[bytes]], pa.Array]]], compared: bool = False) -> DataFrame:
+    """Encode every text where it is; each column is made of a slice's ids by its function. ``compared``: the ids are
+    decoded and must give the text."""
 
     def run(keys: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
         bpe = load_bpe(tokenizer)
         ids = bpe.encode(texts)
+        if compared:
+            for k, t, back in zip(keys[0], texts, _texts(bpe, ids), strict=True):
+                if back != t:
+                    raise ValueError(f"the ids of {key} {k} do not decode to its text; {tokenizer} loses some of it")
         return pa.RecordBatch.from_arrays([*keys, *[make(bpe, ids) for _, make in columns.values()]], [key, *columns])
 
     schema = ", ".join([f"`{key}` bigint", *[f"{name} {kind}" for name, (kind, _) in columns.items()]])
@@ -215,8 +220,8 @@ def _lists(bpe: ByteBpe, ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
 
 
-def _texts(bpe: ByteBpe, ids: list[bytes]) -> list[str]:
-    return [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
+def _texts(bpe: ByteBpe, ids: list[bytes]) -> Iterator[str]:
+    return (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
 
 
 def _digests(parts: Iterable[bytes]) -> pa.Array:
@@ -224,8 +229,10 @@ def _digests(parts: Iterable[bytes]) -> pa.Array:
 
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json", decoded: bool = True) -> DataFrame:
-    """Token ids and, if asked for, the decoded text of every row: (key, n_tokens, ids, decoded).
+    """Token ids and decoded text of every row: (key, n_tokens, ids, decoded).
 
+    Every row's ids are decoded. Without ``decoded`` that text is compared with the row's where it is and does not travel;
+    a row whose ids give another text ends the job.
     A null text counts as empty and has no tokens; a null key stays null; repeated rows give repeated results; other
     columns are left aside; an empty table gives an empty result. Special tokens' strings in a text become their ids.
     ``tokenizer`` is a file name of the public_tokenizers package or a path that every executor can read.
@@ -233,7 +240,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     columns = {"n_tokens": ("bigint", _count), "ids": ("array<int>", _lists)}
     if decoded:
         columns["decoded"] = ("string", lambda bpe, ids: pa.array(_texts(bpe, ids), pa.string()))
-    return _encoded(docs, key, text, tokenizer, columns)
+    return _encoded(docs, key, text, tokenizer, columns, compared=not decoded)
 
 
 def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

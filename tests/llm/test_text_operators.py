@@ -1,6 +1,8 @@
 """Operators on single texts: license scan, BPE, chat format, HTML, language, toxicity, against brute force."""
 
+import functools
 import hashlib
+import json
 import random
 import re
 
@@ -174,6 +176,29 @@ def test_bpe_round_trip(spark, sf):
     assert len(rows) == docs.count() and all(r.decoded == r.text and r.n_tokens == len(r.ids) for r in rows)
 
 
+def test_pipeline_decodes_what_it_encodes(spark, tmp_path, monkeypatch):
+    """The pipeline's ids are decoded and compared; a vocabulary in which two strings share an id is found out."""
+    import corpus_pipeline as pipeline
+
+    texts = [(1, "a plain text\u3000\U0001f600<|endoftext|> \n"), (2, None), (3, ""), (None, "x"), (4, "aa" * 40_000), (4, "y")]
+    lib = library()
+    expected = [(i, lib.encode(t or "", add_special_tokens=False).ids) for i, t in texts]
+    got = pipeline.encode(spark, frame(spark, texts), "")
+    assert got.columns == ["doc_id", "n_tokens", "ids"]
+    rows = got.collect()
+    assert sorted(((r.doc_id, r.ids) for r in rows), key=str) == sorted(expected, key=str) and all(r.n_tokens == len(r.ids) for r in rows)
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][0]["id"] = spec["model"]["vocab"]["!"]
+    lossy = tmp_path / "lossy.json"
+    lossy.write_text(json.dumps(spec), encoding="utf-8")
+    monkeypatch.setattr(pipeline.bpe, "encode_documents", functools.partial(bpe.encode_documents, tokenizer=str(lossy)))
+    assert pipeline.encode(spark, frame(spark, [(1, "no mark")]), "").count() == 1
+    with pytest.raises(Exception, match="doc_id 7 do not decode"):
+        pipeline.encode(spark, frame(spark, [(1, "no mark"), (7, "a mark!")]), "").collect()
+
+
 # ---- chat format
 
 
