@@ -8,12 +8,14 @@ has a later rank than the merge, so ascending order gives every word the result
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,14 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import map_text, worker_state
 
-#: Distinct chunks whose ids a worker remembers, and twice the number of its pre-tokens; about 20 MB.
-CACHE_CHUNKS = 80_000
-#: Chunks and pre-tokens above this length are encoded but not remembered.
+#: Distinct pre-tokens whose ids a worker remembers, the last ones that it met; about 20 MB.
+CACHE_WORDS = 120_000
+#: Pre-tokens above this length are encoded but not remembered.
 CACHE_CHARS = 64
 #: Positions from which the merges of a pair are made together.
 MANY = 24
-#: White space as the pre-tokenizer's pattern has it, and the coarse cut that it allows.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Characters that the narrow form of the pre-tokenizer's pattern does not know.
+WIDE = re.compile("[\U00010000-\U0010ffff]")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -42,6 +43,16 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+def narrow_pattern(pattern: str) -> re.Pattern:
+    """The pre-tokenizer's pattern for texts without characters above U+FFFF, its classes spelled out as ranges; it finds
+    what the given one does, in less time."""
+    plane = "".join(map(chr, range(0x10000)))
+    kinds = {k: "".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(f"{k}+", plane)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    space = kinds[r"\s"]
+    inside = re.sub(r"\[[^]]*\]", lambda m: functools.reduce(lambda x, k: x.replace(k, kinds[k]), kinds, m[0]), pattern)
+    return re.compile(functools.reduce(lambda x, k: x.replace(k, f"[{kinds[k]}]"), kinds, inside).replace(r"\S", f"[^{space}]"))
+
+
 class ByteBpe:
     """Vocabulary, merges and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -74,10 +85,11 @@ class ByteBpe:
         for r in range(none):
             if self.left[r] in id_byte and self.right[r] in id_byte:
                 self.byte_rank[id_byte[self.left[r]] << 8 | id_byte[self.right[r]]] = r
-        self.words = regex.compile(public_tokenizers.PATTERN)
+        self.words, self.narrow_words = regex.compile(public_tokenizers.PATTERN), narrow_pattern(public_tokenizers.PATTERN)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_ids = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
         self.cache: dict[str, bytes] = {}
-        self.word_cache: dict[str, bytes] = {}
+        self.vocab = pa.array(self.token_bytes, pa.binary())
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
@@ -128,7 +140,7 @@ class ByteBpe:
                     if h >= 0 and (new := rank_of(sym[h] << 20 | ab)) is not None:
                         note(new, h)
                 continue
-            i = np.unique(np.array(at, np.int64))
+            i = np.array(at, np.int64)  # a place comes twice, if at all, in a pair of equal symbols
             j = nfollowing[i]
             ok = (j >= 0) & (nsym[i] == a) & (nsym[j] == b)
             i, j = i[ok], j[ok]
@@ -147,45 +159,39 @@ class ByteBpe:
         ids, upto = nsym[live].astype("<u4").tobytes(), (np.cumsum(live)[ends - 1] * 4 * (ends > 0)).tolist()
         return [ids[s:e] for s, e in zip([0, *upto[:-1]], upto, strict=True)]
 
-    def chunks(self, text: str) -> list[str]:
-        """Runs without white space, each with the space before it, runs of white space and special tokens, in order.
-
-        No pre-token reaches over the end of such a run, so a chunk's ids are those of its own pre-tokens.
-        """
+    def pretokens(self, text: str) -> list[str]:
+        """Pre-tokens and special tokens, in order."""
+        find = (self.words if WIDE.search(text) else self.narrow_words).findall
         if self.cut is None or not any(s in text for s in self.special):
-            return CHUNKS.findall(text)
+            return find(text)
         out: list[str] = []
         for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else CHUNKS.findall(part)
+            out += [part] if k % 2 else find(part)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        if len(self.word_cache) > CACHE_CHUNKS // 2:
-            self.word_cache.clear()
-        chunks = [self.chunks(t) for t in texts]
-        known, word_ids = self.cache, self.word_cache
-        for s, i in self.special.items():
-            known[s] = np.array([i], "<u4").tobytes()
-        got = [list(map(known.get, part)) for part in chunks]
-        new = list({c for part, ids in zip(chunks, got, strict=True) if None in ids for c, x in zip(part, ids, strict=True) if x is None})
-        inside = list(map(self.words.findall, new))
-        words = list({w for part in inside for w in part} - word_ids.keys())
-        word_ids.update(zip(words, self.merge_words([w.encode() for w in words]), strict=True))
-        known.update(zip(new, (b"".join(map(word_ids.__getitem__, part)) for part in inside), strict=True))
-        out = [b"".join(map(known.__getitem__, part) if None in ids else ids) for part, ids in zip(chunks, got, strict=True)]
-        for w in words:
-            if len(w) > CACHE_CHARS:
-                del word_ids[w]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del known[c]
+        parts, known = [self.pretokens(t) for t in texts], self.cache
+        met = dict.fromkeys(chain.from_iterable(parts))
+        known.update(self.special_ids)
+        new = [w for w in met if w not in known]
+        known.update(zip(new, self.merge_words([w.encode() for w in new]), strict=True))
+        out = [b"".join(map(known.__getitem__, part)) for part in parts]
+        for w in met:
+            ids = known.pop(w)
+            if len(w) <= CACHE_CHARS:
+                known[w] = ids  # as the last one met
+        for w in list(islice(known, max(0, len(known) - CACHE_WORDS))):
+            del known[w]
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The text of each document's ids."""
+        tokens = self.vocab.take(pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+        starts = np.frombuffer(tokens.buffers()[1], np.int32)
+        cuts = starts[np.cumsum([0, *[len(x) // 4 for x in ids]])].tolist()
+        data = memoryview(tokens.buffers()[2] or b"")
+        return [str(data[s:e], "utf-8", "replace") for s, e in pairwise(cuts)]
 
 
 def load_bpe(tokenizer: str) -> ByteBpe:
@@ -202,7 +208,7 @@ def _encoded(docs: DataFrame, key: str, text: str, tokenizer: str, columns: dict
         bpe = load_bpe(tokenizer)
         ids = bpe.encode(texts)
         if compared:
-            for k, t, back in zip(keys[0], texts, _texts(bpe, ids), strict=True):
+            for k, t, back in zip(keys[0], texts, bpe.decode(ids), strict=True):
                 if back != t:
                     raise ValueError(f"the ids of {key} {k} do not decode to its text; {tokenizer} loses some of it")
         return pa.RecordBatch.from_arrays([*keys, *[make(bpe, ids) for _, make in columns.values()]], [key, *columns])
@@ -220,10 +226,6 @@ def _lists(bpe: ByteBpe, ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
 
 
-def _texts(bpe: ByteBpe, ids: list[bytes]) -> Iterator[str]:
-    return (bpe.decode(np.frombuffer(x, "<u4")) for x in ids)
-
-
 def _digests(parts: Iterable[bytes]) -> pa.Array:
     return pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
 
@@ -239,7 +241,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     """
     columns = {"n_tokens": ("bigint", _count), "ids": ("array<int>", _lists)}
     if decoded:
-        columns["decoded"] = ("string", lambda bpe, ids: pa.array(_texts(bpe, ids), pa.string()))
+        columns["decoded"] = ("string", lambda bpe, ids: pa.array(bpe.decode(ids), pa.string()))
     return _encoded(docs, key, text, tokenizer, columns, compared=not decoded)
 
 
@@ -249,6 +251,6 @@ def token_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
     columns = {
         "n_tokens": ("bigint", _count),
         "ids_sha256": ("string", lambda bpe, ids: _digests(ids)),
-        "decoded_sha256": ("string", lambda bpe, ids: _digests(t.encode() for t in _texts(bpe, ids))),
+        "decoded_sha256": ("string", lambda bpe, ids: _digests(t.encode() for t in bpe.decode(ids))),
     }
     return _encoded(docs, key, text, tokenizer, columns)

@@ -170,6 +170,40 @@ def test_bpe_equals_the_library(spark):
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+def test_bpe_merges_common_words_once():
+    """Words that every slice has stay known while more others pass by than a worker remembers."""
+    tokenizer, rng, merged = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4), []
+    merge, lib = tokenizer.merge_words, library()
+    tokenizer.merge_words = lambda words: merged.extend(words) or merge(words)
+    common = [f" common{''.join(rng.choices('aeiou', k=6))}" for _ in range(200)]
+    for _ in range(5):
+        texts = ["".join([*common, *[" " + "".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(5000)]]) for _ in range(9)]
+        ids = tokenizer.encode(texts)
+        assert np.frombuffer(ids[0], "<u4").tolist() == lib.encode(texts[0], add_special_tokens=False).ids
+    assert len(merged) > 200_000 and all(merged.count(w.encode()) == 1 for w in set(common[:20]))
+
+
+def test_bpe_narrow_pattern_finds_the_same():
+    tokenizer = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for form in ("{}", "a{}{}b", " {} ", "1 {}2", " \n{} {}x'll{}"):
+        for start in range(0, len(plane), 256):
+            text = "".join(form.replace("{}", c) for c in plane[start : start + 256])
+            assert tokenizer.narrow_words.findall(text) == tokenizer.words.findall(text)
+    lib = library()
+    for text in ("", "\U00010400\U00010401x \U0001d7d8\U0001d7d9 \U0001f600!", "a b\U00020000c", "\uffff \ufffd"):
+        [ids] = tokenizer.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids and tokenizer.decode([ids]) == [text]
+
+
+def test_bpe_decodes_any_ids():
+    """Ids that no text has, too: broken characters, special tokens, no ids at all."""
+    tokenizer, lib, rng = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), library(), random.Random(5)
+    ids = [[rng.randrange(n) for _ in range(rng.randrange(20))] for n in (256, len(tokenizer.token_bytes)) for _ in range(500)]
+    assert tokenizer.decode([np.array(x, "<u4").tobytes() for x in ids]) == [lib.decode(x, skip_special_tokens=False) for x in ids]
+    assert tokenizer.decode([b"", b""]) == ["", ""] and tokenizer.decode([]) == []
+
+
 def test_bpe_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = bpe.encode_documents(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
