@@ -40,3 +40,18 @@ def over_range(daily: DataFrame, keys: Sequence[str], low: Column | None = None,
     merged = held.groupBy(*keys).agg(F.sum("events").alias("events"), F.sum("total").alias("total"), F.hll_union_agg("distinct_sketch").alias("__d"), F.kll_merge_agg_double("quantile_sketch").alias("__q"))
     at = [F.when(F.kll_sketch_get_n_double("__q") > 0, F.kll_sketch_get_quantile_double("__q", F.lit(float(q)))) for q in quantiles]
     return merged.select(*keys, "events", "total", F.hll_sketch_estimate("__d").alias("distinct"), F.array(*at).alias("quantiles"))
+
+
+def daily_members(events: DataFrame, keys: Sequence[str], distinct: str, at: str = "occurred_at") -> DataFrame:
+    """(day, keys, value): each value of ``distinct`` once a day, nulls left out, where its number over a range must be exact."""
+    return events.where(F.col(distinct).isNotNull()).select(F.to_date(at).alias("day"), *keys, F.col(distinct).alias("value")).distinct()
+
+
+def members_over_range(daily: DataFrame, keys: Sequence[str], low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """(keys, distinct): how many values the days from ``low`` to before ``high`` (null or absent: open) have, exactly."""
+    held = daily
+    if low is not None:
+        held = held.where(F.col("day") >= low)
+    if high is not None:
+        held = held.where(F.col("day") < high)
+    return held.select(*keys, "value").distinct().groupBy(*keys).agg(F.count("*").alias("distinct"))

@@ -127,3 +127,12 @@ def test_sketches_merge_within_their_error(spark):
     nothing = sketches.daily_sketches(events.limit(3).withColumns({"k": F.lit(None).cast("bigint"), "v": F.lit(None).cast("double")}), ["g"], "k", "v")
     assert {(r.events, r.total, r.distinct, tuple(r.quantiles)) for r in sketches.over_range(nothing, ["g"]).collect()} == {(1, 0.0, 0, (None, None))}
     assert sketches.over_range(daily.limit(0), ["g"]).count() == 0
+
+
+def test_members_are_counted_exactly(spark):
+    """A sketch of so many values is off by some dozens; nulls are no member, a value on many days is one."""
+    events = spark.range(60_000).select((F.col("id") % 2).alias("g"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id % 40 as int), 0, 0, 0)").alias("occurred_at"), F.when(F.col("id") % 50 > 0, F.col("id") % 9_001).alias("k"))
+    daily = sketches.daily_members(events, ["g"], "k")
+    low, high = F.lit("2024-01-03").cast("date"), F.lit("2024-01-31").cast("date")
+    want = {r.g: r.n for r in events.where("occurred_at >= '2024-01-03' and occurred_at < '2024-01-31'").groupBy("g").agg(F.count_distinct("k").alias("n")).collect()}
+    assert {r.g: r.distinct for r in sketches.members_over_range(daily, ["g"], low, high).collect()} == want and min(want.values()) > 7_000
