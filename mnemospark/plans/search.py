@@ -5,7 +5,7 @@ The SQL of each follows the reference's search functions, one query row after an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators import memory, retrieval, search, sql_functions, vector_index
@@ -64,6 +64,11 @@ def _text_sql(rows: str, key: str, asked: str = ASKED) -> str:
     return f"SELECT query_id, {key}, raw FROM ({covers_sql(hits, key)})"
 
 
+def _six(column: str) -> Column:
+    """Six digits as the SQL rounds them: the product's nearest integer, not the nearest decimal."""
+    return F.round(F.col(column) * 1e6) / 1e6
+
+
 def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return tables.recall_queries(spark, sf_dir), tables.recall_chunks(spark, sf_dir), tables.recall_documents(spark, sf_dir), tables.recall_memories(spark, sf_dir)
 
@@ -72,14 +77,14 @@ def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c, d, _ = _views(spark, sf_dir)
     out = search.match_chunks(q, c, d, 10)
-    return out.select("query_id", "chunk_id", "document_id", "ordinal", F.round("similarity", 6).alias("similarity"), "text", F.col("rank").cast("bigint").alias("rank"))
+    return out.select("query_id", "chunk_id", "document_id", "ordinal", _six("similarity").alias("similarity"), "text", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"SELECT query_id, chunk_id, document_id, round(similarity, 6) AS similarity, rank FROM ({_near_sql(_VISIBLE, 'chunk_id', 10, 0)})")
 def index_match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c, d, _ = _views(spark, sf_dir)
     index = vector_index.build(search.visible_chunks(c, d), "chunk_id", keep=["document_id"], by="user_id")
-    return vector_index.search(q, index, 10).withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+    return vector_index.search(q, index, 10).withColumn("similarity", _six("similarity")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM ({_near_sql(_VISIBLE, 'chunk_id', 10, 0)})")
@@ -99,14 +104,14 @@ _ACTIVE = f"SELECT * FROM ({MEMORIES}) WHERE status = 'active'"
 @query(f"SELECT query_id, memory_id, statement, kind, confidence, round(similarity, 6) AS similarity, rank FROM ({_near_sql(_ACTIVE, 'memory_id', 5, 0)})")
 def match_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, _, _, m = _views(spark, sf_dir)
-    return search.match_memories(q, m, 5).withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+    return search.match_memories(q, m, 5).withColumn("similarity", _six("similarity")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"SELECT query_id, memory_id, round(similarity, 6) AS similarity, rank FROM ({_near_sql(_ACTIVE + chr(39).join([' AND kind = ', 'preference', '']), 'memory_id', 5, 0.1)})")
 def match_memories_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, _, _, m = _views(spark, sf_dir)
     out = search.match_memories(q, m, 5, 0.1, ["preference"])
-    return out.select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return out.select("query_id", "memory_id", _six("similarity").alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _TOPICS = "topic_ids IS NOT NULL AND list_has_any(topic_ids, [0, 1, 2, 3, 4, 5])"
@@ -127,7 +132,7 @@ def _hybrid_sql(where: str, kinds: str) -> str:
 
 
 def _rounded(found: DataFrame) -> DataFrame:
-    return found.withColumn("vector_score", F.round("vector_score", 6)).withColumn("score", F.round("score", 8)).withColumn("rank", F.col("rank").cast("bigint"))
+    return found.withColumn("vector_score", _six("vector_score")).withColumn("score", (F.round(F.col("score") * 1e8) / 1e8)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(_hybrid_sql("true", "true"))
